@@ -8,7 +8,7 @@ logistic curve fitted on other labelled documents.
 Learning sees only labelled rows whose crc32(doc_id) mod FOLDS is not HELD_OUT,
 and a bounded sample of those: the ids smallest in a fixed hash order, at most
 DICTIONARY_ROWS of either label for the dictionaries (one excerpt each, at a place
-chosen by hash) and CALIBRATION_ROWS for the curve.  Every document is scored
+chosen by hash, DICTIONARY_CHARS in all) and CALIBRATION_ROWS for the curve.  Every document is scored
 whole.
 
 Defined results for odd input: a null text is an empty one and gets the score of
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from accordant.llm.common import hash_order, rows_in_slices, text_of
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-DICTIONARY_ROWS, EXCERPT, CALIBRATION_ROWS, LEVEL = 1400, 750, 4000, 3
+DICTIONARY_ROWS, DICTIONARY_CHARS, EXCERPT, LEVEL = 1400, 1_000_000, 700, 3
+CALIBRATION_ROWS, CALIBRATION_PERCENT = 4000, 40
 
 
 def held_out(id_col: str = "doc_id"):
@@ -93,13 +94,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from bounded samples; ids with two labels that differ are left out."""
     said = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     said = said.where("quality = most").select("doc_id", "quality").withColumn("order", hash_order("doc_id"))
-    chosen = [said.where(F.col("quality") == q).orderBy("order").limit(DICTIONARY_ROWS).withColumn("part", F.lit(f"d{q}")) for q in (0, 1)]
-    # the curve is fitted on other rows: those that come first in the opposite order
-    chosen.append(said.orderBy(F.desc("order")).limit(CALIBRATION_ROWS).withColumn("part", F.lit("c")))
+    # one labelled row is either in a dictionary or behind the curve, never both
+    curve = F.pmod("order", F.lit(100)) < CALIBRATION_PERCENT
+    chosen = [said.where(~curve & (F.col("quality") == q)).orderBy("order").limit(DICTIONARY_ROWS).withColumn("part", F.lit(f"d{q}")) for q in (0, 1)]
+    chosen.append(said.where(curve).orderBy("order").limit(CALIBRATION_ROWS).withColumn("part", F.lit("c")))
     ids = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).select(F.col("doc_id").alias("k"), "quality", "order", "part")
     rows = docs.select(F.col(id_col).alias("k"), text_of(text_col).alias("text")).join(F.broadcast(ids), "k")
-    spot = F.pmod(F.col("order"), F.greatest(F.length("text") - EXCERPT, F.lit(1))).cast("int")
-    excerpts = rows.where("part <> 'c'").select("part", "order", F.substring("text", spot + 1, F.lit(EXCERPT)).alias("text")).collect()
+    sampled = {r.part: r.n for r in ids.where("part <> 'c'").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    width = F.coalesce(*[F.when(F.col("part") == p, F.lit(max(EXCERPT, DICTIONARY_CHARS // n))) for p, n in sorted(sampled.items())], F.lit(EXCERPT))
+    spot = F.pmod(F.col("order"), F.greatest(F.length("text") - width, F.lit(1))).cast("int")
+    excerpts = rows.where("part <> 'c'").select("part", "order", F.substring("text", spot + 1, width).alias("text")).collect()
     held = {part: "\n".join(r.text for r in sorted(excerpts, key=lambda r: (r.order, r.text)) if r.part == part).encode() for part in ("d0", "d1")}
     if min(map(len, held.values())) < 64:
         return Model()
@@ -113,8 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 sizes = made.sizes(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in sizes.T), part.column(1).cast(pa.int64())], [f.name for f in fields])
 
-    in_dictionary = F.broadcast(chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("k")))
-    others = rows.where("part = 'c'").join(in_dictionary, "k", "left_anti").select("text", "quality")
+    others = rows.where("part = 'c'").select("text", "quality")
     got = np.array([tuple(r) for r in others.mapInArrow(run, T.StructType(fields)).collect()], np.int64).reshape(-1, 5)
     got = got[np.lexsort(got.T)]
     if len(set(got[:, 4])) < 2:  # too few labelled rows: calibrate on those of the dictionaries
