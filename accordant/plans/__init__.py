@@ -1 +1,6 @@
 """Registered queries and their SQL."""
+
+from accordant.plans import queries_facts  # noqa: F401
+from accordant.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
