@@ -23,6 +23,7 @@ result; other columns are ignored; a null id is kept.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from functools import lru_cache
 
@@ -38,37 +39,83 @@ CAPACITY, END_ID = 4096, 1
 #: Lengths over CAPACITY / LARGE_PART are grouped; of those so many groups.
 LARGE_PART, GROUPS = 6, 1600
 #: Words whose ids a worker keeps, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 300_000, 48
+KEPT_WORDS, KEPT_CHARS = 500_000, 48
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {"": b""}
+#: Words of these characters only are split here as the tokenizer splits them, so
+#: that their parts can be encoded many at a time; all other words go to it whole.
+_L, _CAPITALS = "a-zß-öø-ſ", "A-ZÀ-ÖØ-Þ"
+PLAIN = re.compile(rf"[!-~{_CAPITALS}{_L}]+")
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^{_L}0-9]+")
 
 
-def encoded(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text.
+class Encoder:
+    """Ids of words, met words and parts kept up to a bound.
 
     White space never joins tokens in this vocabulary, so the ids of a text are
-    those of its words, and a word met before need not be encoded again.
+    those of its words; a word's are those of its parts (runs of letters, digits,
+    marks), and the last id of each part is one that ends a part.
     """
-    tokenizer, kept = _tokenizer(path)
-    words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    fresh = list(set().union(*words) - kept.keys())
-    for i in range(0, len(fresh), 4096):
-        part = fresh[i : i + 4096]
-        for word, got in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-            kept[word] = np.array(got.ids, "<u4").tobytes()
-    out = [b"".join(map(kept.__getitem__, ws)) for ws in words]
-    for word in fresh:
-        if len(word) > KEPT_CHARS:
-            del kept[word]
-    if len(kept) > KEPT_WORDS:
-        kept.clear()
-        kept[""] = b""
-    return out
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words, self.parts = {"": b""}, {}
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_parts(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 20_000):
+            some = parts[i : i + 20_000]
+            lines = [" ".join(some[k : k + 400]) for k in range(0, len(some), 400)]
+            ids = np.array([x for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], "<u4")
+            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(last) != len(some):
+                self.parts.update(zip(some, self.alone(some)))
+                continue
+            raw, at = ids.tobytes(), 0
+            for part, to in zip(some, last):
+                self.parts[part] = raw[4 * at : 4 * to]
+                at = to
+
+    def learn(self, words: list[str]) -> None:
+        split, odd = {}, []
+        for w in words:
+            if PLAIN.fullmatch(w) and not ("<|" in w and any(x in w for x in self.special)):
+                split[w] = PARTS.findall(w.lower())
+            else:
+                odd.append(w)
+        self.learn_parts(list(set().union(*split.values()) - self.parts.keys()))
+        part = self.parts.__getitem__
+        for w, ps in split.items():
+            self.words[w] = part(ps[0]) if len(ps) == 1 else b"".join(map(part, ps))
+        self.words.update(zip(odd, self.alone(odd)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        fresh = list(set().union(*words) - self.words.keys())
+        self.learn(fresh)
+        out = [b"".join(map(self.words.__getitem__, ws)) for ws in words]
+        for w in fresh:
+            if len(w) > KEPT_CHARS:
+                del self.words[w]
+        for held in (self.words, self.parts):
+            if len(held) > KEPT_WORDS:
+                held.clear()
+        self.words[""] = b""
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -81,7 +128,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for part in rows_in_slices(batch):
                 rows = []
-                for i, ids in enumerate(encoded(part.column(1).to_pylist(), vocabulary)):
+                for i, ids in enumerate(encoder(vocabulary).encode(part.column(1).to_pylist())):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
