@@ -1,13 +1,13 @@
 """Numbers, money, durations, dates and text out of raw values, as columns.
 
-``normalised`` gives one struct for every declared type; null is what cannot be
+``with_value`` adds one struct for every declared type; null is what cannot be
 read.  Only built-in functions are used, so all of it stays inside one stage of
 generated code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant import config as C
@@ -112,51 +112,80 @@ def trimmed(text: Column, limit: int = 72) -> Column:
     return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit - 1)), F.lit("…"))).otherwise(flat)
 
 
-def _struct(raw, canonical, kind, number=None, unit=None, currency=None, as_date=None, ambiguous=None, note=None, display=None) -> Column:
+class Parsed:
+    """What a raw value was read as, one column each, so that nothing is read twice."""
+
+    def __init__(self, raw: Column, text: Column, number: Column, shown: Column, unit: Column, currency: Column, day: Column):
+        self.raw, self.text, self.number, self.shown, self.unit, self.currency, self.day = raw, text, number, shown, unit, currency, day
+
+
+def _struct(p: Parsed, canonical, kind, number=None, unit=None, currency=None, as_date=None, ambiguous=None, note=None, display=None) -> Column:
     lit = lambda c, t: (F.lit(None) if c is None else c).cast(t)
     return F.struct(
-        raw.alias("raw"), canonical.alias("canonical"), F.lit(kind).alias("value_type"), lit(number, DECIMAL).alias("number"), lit(unit, "string").alias("unit"),
+        p.raw.alias("raw"), canonical.alias("canonical"), F.lit(kind).alias("value_type"), lit(number, DECIMAL).alias("number"), lit(unit, "string").alias("unit"),
         lit(currency, "string").alias("currency"), lit(as_date, "date").alias("as_date"), F.coalesce(lit(ambiguous, "boolean"), F.lit(False)).alias("ambiguous"),
         lit(note, "string").alias("note"), F.coalesce(lit(display, "string"), canonical).alias("display"),
     )
 
 
-def money_value(raw: Column) -> Column:
-    text, number = stripped(raw), cents(parse_number(raw))
-    return F.when(number.isNotNull(), _struct(text, F.concat_ws(" ", currency_of(text), number.cast("string")), "money", number, currency=currency_of(text)))
+def money_value(p: Parsed) -> Column:
+    amount = cents(p.number)
+    return F.when(amount.isNotNull(), _struct(p, F.concat_ws(" ", p.currency, amount.cast("string")), "money", amount, currency=p.currency))
 
 
-def number_value(raw: Column) -> Column:
-    number = parse_number(raw)
-    return F.when(number.isNotNull(), _struct(raw, plain(number), "number", number))
+def number_value(p: Parsed) -> Column:
+    return F.when(p.number.isNotNull(), _struct(p, p.shown, "number", p.number))
 
 
-def duration_value(raw: Column) -> Column:
-    text, number = stripped(raw), parse_number(raw)
-    unit = duration_unit(text)
-    note = F.when(unit != "days", F.concat(plain(in_days(number, unit)), F.lit(" days equivalent")))
-    spoken = _struct(text, F.concat_ws(" ", plain(number), unit), "duration", number, unit=unit, note=note)
-    return F.when(number.isNotNull() & unit.isNotNull(), spoken).when(number.isNotNull(), _struct(text, plain(number), "number", number))
+def duration_value(p: Parsed) -> Column:
+    note = F.when(p.unit != "days", F.concat(plain(in_days(p.number, p.unit)), F.lit(" days equivalent")))
+    spoken = _struct(p, F.concat_ws(" ", p.shown, p.unit), "duration", p.number, unit=p.unit, note=note)
+    return F.when(p.number.isNotNull() & p.unit.isNotNull(), spoken).when(p.number.isNotNull(), _struct(p, p.shown, "number", p.number))
 
 
-def date_value(raw: Column) -> Column:
-    text, day, doubt = stripped(raw), parse_date(raw), ambiguous_date(raw)
-    note = F.when(doubt, F.concat(text, F.lit(" is ambiguous: day and month cannot be told apart in the document")))
-    return F.when(day.isNotNull(), _struct(text, day.cast("string"), "date", as_date=day, ambiguous=doubt, note=note))
+def date_value(p: Parsed) -> Column:
+    doubt = ambiguous_date(p.text)
+    note = F.when(doubt, F.concat(p.text, F.lit(" is ambiguous: day and month cannot be told apart in the document")))
+    return F.when(p.day.isNotNull(), _struct(p, p.day.cast("string"), "date", as_date=p.day, ambiguous=doubt, note=note))
 
 
-def text_value(raw: Column) -> Column:
-    return _struct(raw, folded(raw), "text", display=collapsed(raw))
+def text_value(p: Parsed) -> Column:
+    return _struct(p, folded(p.raw), "text", display=collapsed(p.raw))
 
 
 #: Value types and their handlers; a domain may pass more.
 HANDLERS = {"money": money_value, "number": number_value, "duration": duration_value, "date": date_value, "text": text_value}
-
-
-def normalised(value_type: Column, raw: Column, handlers=None) -> Column:
-    """The value in its declared type; null for a blank or unreadable value and for a type without a handler."""
-    out = None
-    for kind, handler in (handlers or HANDLERS).items():
-        hit = (value_type == kind) & raw.isNotNull() & (stripped(raw) != "")
-        out = F.when(hit, handler(raw)) if out is None else out.when(hit, handler(raw))
-    return out
+_NUMERIC = ("money", "number", "duration")
+
+
+def with_value(rows: DataFrame, value_type: str = "value_type", raw: str = "value_raw", out: str = "value", handlers=None) -> DataFrame:
+    """The table with the value in its declared type; null for a blank or unreadable value and for a type without a handler.
+
+    Each part is read once, in a projection of its own, and only for the types
+    that use it (types with handlers of their own get all parts).
+    """
+    handlers = handlers or HANDLERS
+    kind = F.col(value_type)
+    own = [k for k in handlers if k not in HANDLERS]
+    only = lambda kinds, c: F.when(kind.isin(*kinds, *own), c)
+    staged = rows.withColumn("_text", stripped(F.col(raw)))
+    staged = staged.withColumns(
+        {
+            "_number": only(_NUMERIC, parse_number(F.col("_text"))),
+            "_unit": only(("duration",), duration_unit(F.col("_text"))),
+            "_currency": only(("money",), currency_of(F.col("_text"))),
+            "_day": only(("date",), parse_date(F.col("_text"))),
+        }
+    )
+    staged = staged.withColumn("_shown", plain(F.col("_number")))
+    parsed = Parsed(*[F.col(c) for c in (raw, "_text", "_number", "_shown", "_unit", "_currency", "_day")])
+    value = None
+    for name, handler in handlers.items():
+        hit = (kind == name) & (F.col("_text") != "")
+        value = F.when(hit, handler(parsed)) if value is None else value.when(hit, handler(parsed))
+    return staged.withColumn(out, value).drop("_text", "_number", "_unit", "_currency", "_day", "_shown")
+
+
+def unknown_types(rows: DataFrame, value_type: str = "value_type", handlers=None) -> DataFrame:
+    """Declared types without a handler, with counts: must be empty."""
+    return rows.where(~F.col(value_type).isin(*(handlers or HANDLERS))).groupBy(value_type).agg(F.count("*").alias("n"))

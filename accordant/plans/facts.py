@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accordant.functions.agreement import precedence_of
-from accordant.functions.normalize import normalised
+from accordant.functions.normalize import with_value
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,7 @@ def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_values(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("value", normalised(F.col("value_type"), F.col("value_raw"))).withColumn("rank", precedence_of(F.col("doc_type")))
+    return with_value(rows).withColumn("rank", precedence_of(F.col("doc_type")))
 
 
 DOCS_SQL = """

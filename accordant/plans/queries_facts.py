@@ -48,7 +48,8 @@ def n2_money(spark, sf_dir):
     amount = (F.col("p_retailprice").cast("decimal(18,3)") + F.lit("0.005").cast("decimal(4,3)")).cast("string")
     kind = F.col("p_size") % 4
     raw = F.when(kind == 0, F.concat(F.lit("€"), amount)).when(kind == 1, F.concat(F.lit("gbp "), amount)).when(kind == 2, F.concat(F.lit("US$ "), amount)).otherwise(F.concat(amount, F.lit(" JPY")))
-    return table(spark, sf_dir, "part").select("p_partkey", N.money_value(raw)["canonical"].alias("canonical"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("money").alias("value_type"), raw.alias("value_raw"))
+    return N.with_value(rows).select("p_partkey", F.col("value.canonical").alias("canonical"))
 
 
 @query(
@@ -58,8 +59,8 @@ def n2_money(spark, sf_dir):
 def n3_duration(spark, sf_dir):
     unit = F.col("p_partkey") % 4
     raw = F.concat(F.lit("a term of "), F.col("p_size").cast("string"), F.when(unit == 0, " calendar days").when(unit == 1, " business days").when(unit == 2, " Months").otherwise(""))
-    v = N.duration_value(raw)
-    return table(spark, sf_dir, "part").select("p_partkey", v["canonical"].alias("canonical"), v["value_type"].alias("kind"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("duration").alias("value_type"), raw.alias("value_raw"))
+    return N.with_value(rows).select("p_partkey", F.col("value.canonical").alias("canonical"), F.col("value.value_type").alias("kind"))
 
 
 @query(
@@ -75,8 +76,9 @@ def n4_date(spark, sf_dir):
 
 @query("SELECT c_custkey, lower(trim(c_name)) || ' of strasse' AS canonical, c_name || ' of Straße' AS display FROM customer")
 def n5_text(spark, sf_dir):
-    v = N.text_value(F.concat(F.lit("  "), F.col("c_name"), F.lit(" \t of\n Straße ")))
-    return table(spark, sf_dir, "customer").select("c_custkey", v["canonical"].alias("canonical"), v["display"].alias("display"))
+    raw = F.concat(F.lit("  "), F.col("c_name"), F.lit(" \t of\n Straße "))
+    rows = N.with_value(table(spark, sf_dir, "customer").select("c_custkey", F.lit("text").alias("value_type"), raw.alias("value_raw")))
+    return rows.select("c_custkey", F.col("value.canonical").alias("canonical"), F.col("value.display").alias("display"))
 
 
 @query("SELECT s_suppkey, rtrim(rtrim(CAST(CAST(s_acctbal AS DECIMAL(18,4)) AS VARCHAR), '0'), '.') AS shown FROM supplier")
@@ -95,8 +97,10 @@ def n7_dispatch(spark, sf_dir):
 )
 def n8_agreement(spark, sf_dir):
     both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    money = lambda c: N.money_value(F.concat(F.lit("$"), c.cast("decimal(18,2)").cast("string")))
-    return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", values_agree(money(F.col("l_extendedprice") / F.col("l_quantity")), money(F.col("p_retailprice"))).alias("agrees"))
+    spoken = lambda c: F.concat(F.lit("$"), c.cast("decimal(18,2)").cast("string"))
+    both = both.withColumns({"kind": F.lit("money"), "paid": spoken(F.col("l_extendedprice") / F.col("l_quantity")), "listed": spoken(F.col("p_retailprice"))})
+    both = N.with_value(N.with_value(both, "kind", "paid", "a"), "kind", "listed", "b")
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", values_agree(F.col("a"), F.col("b")).alias("agrees"))
 
 
 @query(f"{WITH_FACTS} SELECT document, field, char_start, canonical FROM facts WHERE field IN ('payment_terms_days', 'hourly_rate')")
