@@ -40,7 +40,7 @@ def nearest(candidates: DataFrame, known: DataFrame, floor: float = C.NEAR_MATCH
     """candidate_id, entity_key, sim: the most similar known name at or above the floor."""
     q = V.vectors(V.features(candidates, "candidate_id", "name"))
     items = V.vectors(V.features(known, "entity_key", "name"))
-    best = V.similar(q, items, floor).groupBy("query_id").agg(F.max_by(F.struct("id", "sim"), F.struct("sim", "id")).alias("b"))
+    best = V.similar(q, items, floor).groupBy("query_id").agg(F.max_by(F.struct("id", "sim"), F.struct(F.round("sim", 9), "id")).alias("b"))
     return best.select(F.col("query_id").alias("candidate_id"), F.col("b.id").alias("entity_key"), F.col("b.sim").alias("sim"))
 
 
