@@ -30,12 +30,12 @@ _STAGES_SQL = "stages AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_type
 
 
 @query(
-    f"""WITH {_STAGES_SQL}, a AS (SELECT run_id, stage, count(*) AS calls, round(sum(ms), 4) AS ms, coalesce(sum(tokens_in), 0) AS tokens_in, string_agg(DISTINCT path_taken, ',' ORDER BY path_taken) AS paths, CAST(epoch_ms(min(seen)) AS BIGINT) AS first_ms FROM stages GROUP BY run_id, stage),
-    t AS (SELECT run_id, 'total' AS stage, count(*) AS calls, round(sum(ms), 4) AS ms, coalesce(sum(tokens_in), 0) AS tokens_in, string_agg(DISTINCT path_taken, ',' ORDER BY path_taken) AS paths, CAST(epoch_ms(min(seen)) AS BIGINT) AS first_ms FROM stages GROUP BY run_id)
-    SELECT run_id, stage, calls, round(ms, 2) AS ms, CAST(tokens_in AS BIGINT) AS tokens_in, paths, first_ms FROM (SELECT * FROM a UNION ALL SELECT * FROM t)"""
+    f"""WITH {_STAGES_SQL}, a AS (SELECT run_id, stage, count(*) AS calls, round(sum(ms), 4) AS ms, coalesce(sum(tokens_in), 0) AS tokens_in, string_agg(DISTINCT path_taken, ',' ORDER BY path_taken) AS paths, CAST(epoch_us(min(seen)) AS BIGINT) AS first_us FROM stages GROUP BY run_id, stage),
+    t AS (SELECT run_id, 'total' AS stage, count(*) AS calls, round(sum(ms), 4) AS ms, coalesce(sum(tokens_in), 0) AS tokens_in, string_agg(DISTINCT path_taken, ',' ORDER BY path_taken) AS paths, CAST(epoch_us(min(seen)) AS BIGINT) AS first_us FROM stages GROUP BY run_id)
+    SELECT run_id, stage, calls, round(ms, 2) AS ms, CAST(tokens_in AS BIGINT) AS tokens_in, paths, first_us FROM (SELECT * FROM a UNION ALL SELECT * FROM t)"""
 )
 def a11_run_report(spark, sf_dir):
-    return P.run_report(_stages(spark, sf_dir)).select("run_id", "stage", "calls", F.round("ms", 2).alias("ms"), "tokens_in", "paths", F.unix_millis(F.col("first_at").cast("timestamp")).alias("first_ms"))
+    return P.run_report(_stages(spark, sf_dir)).select("run_id", "stage", "calls", F.round("ms", 2).alias("ms"), "tokens_in", "paths", F.unix_micros(F.col("first_at").cast("timestamp")).alias("first_us"))
 
 
 @query(f"WITH {_STAGES_SQL} SELECT run_id, stage || ':' || path_taken AS path, count(*) AS n FROM stages GROUP BY ALL")
@@ -369,11 +369,11 @@ def u14_proposal_list(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_STAGES_SQL} SELECT run_id, CASE stage WHEN 'purchase' THEN 'done' ELSE stage END AS status, CASE WHEN stage = 'purchase' THEN CAST(epoch_ms(seen) AS BIGINT) END AS ended_ms FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seen DESC, seq DESC) AS r FROM stages) WHERE r = 1"""
+    f"""WITH {_STAGES_SQL} SELECT run_id, CASE stage WHEN 'purchase' THEN 'done' ELSE stage END AS status, CASE WHEN stage = 'purchase' THEN CAST(epoch_us(seen) AS BIGINT) END AS ended_us FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seen DESC, seq DESC) AS r FROM stages) WHERE r = 1"""
 )
 def u15_run_status(spark, sf_dir):
     rows = _stages(spark, sf_dir).withColumn("status", F.when(F.col("stage") == "purchase", "done").otherwise(F.col("stage")))
-    return U.run_status(rows).select("run_id", "status", F.unix_millis(F.col("ended").cast("timestamp")).alias("ended_ms"))
+    return U.run_status(rows).select("run_id", "status", F.unix_micros(F.col("ended").cast("timestamp")).alias("ended_us"))
 
 
 @query(f"WITH {_STAGES_SQL} SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seen, seq) AS place FROM stages")
