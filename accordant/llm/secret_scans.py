@@ -103,9 +103,11 @@ def findings_at_paths(versions: DataFrame, *ledgers: DataFrame) -> DataFrame:
         parts = parts.unionByName(more)
     if len(ledgers) > 1:
         parts = parts.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    held = parts.where(F.size("spans") > 0).select(F.col("blob").alias("of"), "spans")
+    # a second key makes Spark deal out both sides anew, so that it can split the paths of a blob with very many
+    held = parts.where(F.size("spans") > 0).select(F.col("blob").alias("of"), F.left("blob", F.lit(4)).alias("of_head"), "spans")
     none = F.array().cast("array<struct<start:long,rank:int,kind:string,end:long>>")
-    return versions.select("path", "blob").join(held, F.col("blob") == F.col("of"), "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
+    same = (F.col("blob") == F.col("of")) & (F.col("head") == F.col("of_head"))
+    return versions.select("path", "blob", F.left("blob", F.lit(4)).alias("head")).join(held, same, "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
