@@ -38,8 +38,8 @@ from accordant.llm.common import rows_in_slices, settled, text_of
 CAPACITY, END_ID = 4096, 1
 #: Lengths over CAPACITY / LARGE_PART are grouped; of those so many groups.
 LARGE_PART, GROUPS = 6, 1600
-#: Words whose ids a worker keeps, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 500_000, 48
+#: Words and parts whose ids a worker keeps, and the longest of them in characters.
+KEPT_WORDS, KEPT_PARTS, KEPT_CHARS = 400_000, 250_000, 48
 
 
 #: Words of these characters only are split here as the tokenizer splits them, so
@@ -106,8 +106,8 @@ class Encoder:
         for w in fresh:
             if len(w) > KEPT_CHARS:
                 del self.words[w]
-        for held in (self.words, self.parts):
-            if len(held) > KEPT_WORDS:
+        for held, most in ((self.words, KEPT_WORDS), (self.parts, KEPT_PARTS)):
+            if len(held) > most:
                 held.clear()
         self.words[""] = b""
         return out
