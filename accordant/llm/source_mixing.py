@@ -37,7 +37,7 @@ NONE, REST = "(none)", "(rest)"
 # Forms of text that serve as topics, the first that holds.
 TOPICS = (
     ("licensed", r"(?i)\b(licen[cs]e|copyright)\b"),
-    ("contacts", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\."),
+    ("contacts", r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\."),
     ("tables", r"\|[^|\n]*\|"),
     ("figures", r"[0-9]{3}"),
 )
