@@ -7,6 +7,8 @@ meet; a bucket's frequency bounds its work.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,12 @@ def with_null_vectors(rows: DataFrame, id_col: str, vecs: DataFrame) -> DataFram
     return rows.select(F.col(id_col).alias("id")).join(whole, "id", "left")
 
 
+def embedded(rows: DataFrame, id_col: str, text_col: str, embedder: Callable[[Column], Column]) -> DataFrame:
+    """id, embedding by the caller's function of a text column (built-in functions or a pandas UDF that returns an array); null for a blank text."""
+    text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
+    return rows.select(F.col(id_col).alias("id"), F.when(text != "", embedder(text)).alias("embedding"))
+
+
 def similar(queries: DataFrame, items: DataFrame, floor: float = C.SEARCH_FLOOR) -> DataFrame:
     """query_id, id, sim: all pairs at or above the floor."""
     q = queries.select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw"))

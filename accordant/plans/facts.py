@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from accordant.functions.agreement import precedence_of
 from accordant.functions.normalize import with_value
+from accordant.sources.sinks import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,11 @@ def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_values(facts(spark, sf_dir))
 
 
+def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once: for operators that take the facts several times."""
+    return stored(sourced(spark, sf_dir))
+
+
 def with_values(rows: DataFrame) -> DataFrame:
     return with_value(rows).withColumn("rank", precedence_of(F.col("doc_type")))
 

@@ -9,7 +9,7 @@ from accordant.functions import normalize as N
 from accordant.functions.agreement import values_agree
 from accordant.operators import reconcile as R
 from accordant.operators import rules as E
-from accordant.plans.facts import DOCS_SQL, FACTS_SQL, documents_of_orders, sourced, table
+from accordant.plans.facts import DOCS_SQL, FACTS_SQL, documents_of_orders, fact_table, sourced, table
 from accordant.plans.registry import query
 
 _SKIP = ", ".join(f"'{f}'" for f in (*C.INSTANCE_FIELDS, *C.IDENTITY_FIELDS))
@@ -144,7 +144,7 @@ def a2_per_document_fields(spark, sf_dir):
 
 @query(f"{WITH_CONFLICTS} SELECT * FROM conflicts")
 def a3_conflict_detect(spark, sf_dir):
-    return R.conflicts(sourced(spark, sf_dir))
+    return R.conflicts(fact_table(spark, sf_dir))
 
 
 @query(
@@ -153,7 +153,7 @@ def a3_conflict_detect(spark, sf_dir):
     FROM (SELECT *, min(document || lpad(CAST(char_start AS VARCHAR), 9, '0')) OVER (PARTITION BY pile_id, entity_key, field, canonical) AS first_seen FROM comparable)"""
 )
 def a4_cluster_ids(spark, sf_dir):
-    return R.cluster_ids(sourced(spark, sf_dir))
+    return R.cluster_ids(fact_table(spark, sf_dir))
 
 
 @query(
@@ -162,12 +162,12 @@ def a4_cluster_ids(spark, sf_dir):
     ) WHERE r = 1"""
 )
 def a5_agreed(spark, sf_dir):
-    return R.agreed(sourced(spark, sf_dir)).select("pile_id", "entity_key", "field", "document", "doc_type", F.col("value.canonical").alias("canonical"), "char_start")
+    return R.agreed(fact_table(spark, sf_dir)).select("pile_id", "entity_key", "field", "document", "doc_type", F.col("value.canonical").alias("canonical"), "char_start")
 
 
 @query(f"{WITH_FACTS} SELECT pile_id, document, max_by(as_date, char_start) AS effective FROM facts WHERE field = 'effective_date' GROUP BY ALL")
 def a6_effective_dates(spark, sf_dir):
-    return R.effective_dates(sourced(spark, sf_dir))
+    return R.effective_dates(fact_table(spark, sf_dir))
 
 
 PROPOSALS_SQL = f"""{CONFLICTS_SQL},
@@ -197,7 +197,7 @@ sizes AS (SELECT pile_id, entity_key, field, count(*) AS members FROM members GR
 
 @query(f"WITH {PROPOSALS_SQL} SELECT pile_id, entity_key, field, members, outcome, proposed_document, proposed_value FROM chosen JOIN sizes USING (pile_id, entity_key, field)")
 def a7_proposals(spark, sf_dir):
-    return R.proposals(sourced(spark, sf_dir)).drop("rationale")
+    return R.proposals(fact_table(spark, sf_dir)).drop("rationale")
 
 
 @query(
@@ -210,7 +210,7 @@ def a7_proposals(spark, sf_dir):
     FROM chosen LEFT JOIN other USING (pile_id, entity_key, field)"""
 )
 def a8_rationale(spark, sf_dir):
-    return R.proposals(sourced(spark, sf_dir)).select("pile_id", "entity_key", "field", "rationale")
+    return R.proposals(fact_table(spark, sf_dir)).select("pile_id", "entity_key", "field", "rationale")
 
 
 @query(
@@ -218,7 +218,7 @@ def a8_rationale(spark, sf_dir):
       SELECT pile_id, entity_key, field, canonical, min((9 - rank) || document || lpad(CAST(char_start AS VARCHAR), 9, '0')) AS first_seen FROM members GROUP BY ALL) GROUP BY ALL"""
 )
 def a9_distinct_values(spark, sf_dir):
-    return R.distinct_values(sourced(spark, sf_dir)).withColumn("shown", F.array_join("shown", " | "))
+    return R.distinct_values(fact_table(spark, sf_dir)).withColumn("shown", F.array_join("shown", " | "))
 
 
 @query(
@@ -226,7 +226,7 @@ def a9_distinct_values(spark, sf_dir):
       CASE WHEN count(*) FILTER (WHERE disputed) > 25 THEN count(*) FILTER (WHERE disputed) || ' conflicts are more than 25; the run itself needs review' END AS note FROM conflicts GROUP BY ALL"""
 )
 def a10_volume(spark, sf_dir):
-    return R.volume(R.conflicts(sourced(spark, sf_dir)))
+    return R.volume(R.conflicts(fact_table(spark, sf_dir)))
 
 
 # ----------------------------------------------------------------------- rules
@@ -252,7 +252,7 @@ present AS (
 
 @query(f"WITH {PRESENT_SQL} SELECT * FROM present")
 def r2_field_present(spark, sf_dir):
-    return _judged(E.field_present(sourced(spark, sf_dir), _rule("liability_cap_present"), C.Domain()))
+    return _judged(E.field_present(fact_table(spark, sf_dir), _rule("liability_cap_present"), C.Domain()))
 
 
 def _matches_sql(rule: str, severity: str, field: str, relative: str) -> str:
@@ -285,7 +285,7 @@ TERMS_SQL = _matches_sql("payment_terms_consistent", "medium", "payment_terms_da
 
 @query(f"WITH {FACTS_SQL},{RATE_SQL},{TERMS_SQL} SELECT * FROM m_hourly_rate UNION ALL SELECT * FROM m_payment_terms_days")
 def r3_matches_governing(spark, sf_dir):
-    rows = sourced(spark, sf_dir)
+    rows = fact_table(spark, sf_dir)
     return _judged(E.matches_governing(rows, _rule("rate_matches_current_agreement"), C.Domain()).unionByName(E.matches_governing(rows, _rule("payment_terms_consistent"), C.Domain())))
 
 
@@ -304,7 +304,7 @@ limits AS (
 
 @query(f"WITH {FACTS_SQL},{SUM_SQL} SELECT * FROM limits")
 def r4_sum_within_limit(spark, sf_dir):
-    return _judged(E.sum_within_limit(sourced(spark, sf_dir), _rule("hours_within_sow_cap"), C.Domain()))
+    return _judged(E.sum_within_limit(fact_table(spark, sf_dir), _rule("hours_within_sow_cap"), C.Domain()))
 
 
 LEAST_SQL = """
@@ -323,7 +323,7 @@ minimums AS (
 
 @query(f"WITH {FACTS_SQL},{LEAST_SQL} SELECT * FROM minimums")
 def r5_at_least(spark, sf_dir):
-    return _judged(E.at_least(sourced(spark, sf_dir), _rule("termination_notice_observed"), C.Domain()))
+    return _judged(E.at_least(fact_table(spark, sf_dir), _rule("termination_notice_observed"), C.Domain()))
 
 
 TERM_SQL = """
@@ -344,7 +344,7 @@ dated AS (
 
 @query(f"WITH {FACTS_SQL},{TERM_SQL} SELECT * FROM dated")
 def r6_date_within(spark, sf_dir):
-    return _judged(E.date_within(sourced(spark, sf_dir), _rule("invoice_within_term"), C.Domain()))
+    return _judged(E.date_within(fact_table(spark, sf_dir), _rule("invoice_within_term"), C.Domain()))
 
 
 def _sources(spark, sf_dir):
@@ -372,7 +372,7 @@ found AS (
 
 
 def _examined(spark, sf_dir):
-    return E.examine(sourced(spark, sf_dir), _sources(spark, sf_dir))
+    return E.examine(fact_table(spark, sf_dir), _sources(spark, sf_dir))
 
 
 @query(f"WITH {ALL_SQL} SELECT rule_key, severity, pile_id, entity_key, outcome, n_citations FROM found")

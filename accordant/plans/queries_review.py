@@ -10,7 +10,7 @@ from accordant.operators import register as G
 from accordant.operators import reports as P
 from accordant.operators import review as U
 from accordant.operators import rules as E
-from accordant.plans.facts import DOCS_SQL, FACTS_SQL, documents_of_orders, facts, sourced, table
+from accordant.plans.facts import DOCS_SQL, FACTS_SQL, documents_of_orders, fact_table, facts, table
 from accordant.plans.queries_facts import ALL_SQL, CONFLICTS_SQL, PROPOSALS_SQL, _examined
 from accordant.plans.registry import query
 from accordant.sources import sinks
@@ -90,7 +90,7 @@ def a17_usage(spark, sf_dir):
     SELECT * FROM d JOIN f USING (pile_id) JOIN k USING (pile_id)"""
 )
 def a18_run_outcome(spark, sf_dir):
-    rows = sourced(spark, sf_dir)
+    rows = fact_table(spark, sf_dir)
     return P.run_outcome(documents_of_orders(spark, sf_dir), rows, R.conflicts(rows))
 
 
@@ -103,12 +103,12 @@ def a19_facts_per_document(spark, sf_dir):
     f"""WITH {FACTS_SQL} SELECT document, field, char_start, row_number() OVER (PARTITION BY pile_id, entity_key, field ORDER BY rank DESC, document, char_start) AS place, rank() OVER (PARTITION BY pile_id, entity_key, field ORDER BY rank DESC) AS standing FROM facts"""
 )
 def w1_precedence(spark, sf_dir):
-    return P.ranked_members(sourced(spark, sf_dir)).select("document", "field", "char_start", F.col("place").cast("long").alias("place"), F.col("standing").cast("long").alias("standing"))
+    return P.ranked_members(fact_table(spark, sf_dir)).select("document", "field", "char_start", F.col("place").cast("long").alias("place"), F.col("standing").cast("long").alias("standing"))
 
 
 @query(f"WITH {FACTS_SQL} SELECT document, field, char_start, first_value(canonical) OVER (PARTITION BY pile_id, entity_key, field ORDER BY document, char_start) AS first FROM facts")
 def w2_first_representative(spark, sf_dir):
-    return P.first_representative(sourced(spark, sf_dir)).select("document", "field", "char_start", "first")
+    return P.first_representative(fact_table(spark, sf_dir)).select("document", "field", "char_start", "first")
 
 
 def _scans(spark, sf_dir):
@@ -177,7 +177,7 @@ def w10_set_difference(spark, sf_dir):
 )
 def c1_section_rows(spark, sf_dir):
     """Also C2: explicit gaps."""
-    rows = sourced(spark, sf_dir)
+    rows = fact_table(spark, sf_dir)
     made = G.section_rows(rows, R.conflicts(rows).where("disputed"))
     return made.groupBy("section_key", "pile_id", "field").agg(F.count_if(~F.col("gap")).alias("stated"), F.count_if("gap").alias("gaps"))
 
@@ -189,7 +189,7 @@ def c1_section_rows(spark, sf_dir):
     SELECT pile_id, sha256(string_agg(block, chr(10) || chr(10) ORDER BY entity_key, field)) AS digest FROM blocks GROUP BY ALL"""
 )
 def c3_conflict_section(spark, sf_dir):
-    rows = sourced(spark, sf_dir)
+    rows = fact_table(spark, sf_dir)
     return G.conflict_section(R.disputed_members(rows), R.proposals(rows)).select("pile_id", F.sha2("body", 256).alias("digest"))
 
 
@@ -213,7 +213,7 @@ changes AS (SELECT t.pile_id, t.section_key, t.content_hash AS to_hash, o.conten
     SELECT pile_id, section_key, lines + 2 AS lines FROM rows"""
 )
 def c5_table_rendering(spark, sf_dir):
-    rows = sourced(spark, sf_dir)
+    rows = fact_table(spark, sf_dir)
     made = G.table_body(G.section_rows(rows, R.conflicts(rows).where("disputed")), ["term", "shown", "source", "stated_at"], ["place", "source", "char_start"])
     lines = F.split("body", "\n")
     even = F.size(F.array_distinct(F.transform(lines, lambda x: F.length(x)))) == 1
@@ -277,7 +277,7 @@ def u3_section_patches(spark, sf_dir):
 
 @query(f"WITH {CONFLICTS_SQL}, c AS (SELECT pile_id, entity_key || '|' || field AS ref_id, members FROM conflicts WHERE disputed) SELECT pile_id, ref_id, CAST(members AS VARCHAR) AS shown FROM c WHERE members >= 4")
 def u1_conflict_proposals(spark, sf_dir):
-    found = R.conflicts(sourced(spark, sf_dir)).where("disputed").select("pile_id", F.concat_ws("|", "entity_key", "field").alias("ref_id"), F.col("members").cast("string").alias("shown"), "members")
+    found = R.conflicts(fact_table(spark, sf_dir)).where("disputed").select("pile_id", F.concat_ws("|", "entity_key", "field").alias("ref_id"), F.col("members").cast("string").alias("shown"), "members")
     asked = found.where("members < 4").select("pile_id", "ref_id", F.when(F.col("members") == 2, F.col("shown")).otherwise("other").alias("shown"), F.when(F.col("members") == 3, "pending").otherwise("rejected").alias("status"))
     return U.new_conflict_proposals(found.drop("members"), asked)
 
@@ -301,7 +301,7 @@ def u5_no_change(spark, sf_dir):
 
 @query(f"""WITH {CONFLICTS_SQL} SELECT pile_id, entity_key, field, '{{"field":"' || field || '","members":' || members || '}}' AS payload FROM conflicts WHERE disputed""")
 def u6_payloads(spark, sf_dir):
-    return U.payloads(R.conflicts(sourced(spark, sf_dir)).where("disputed"), ["field", "members"]).select("pile_id", "entity_key", "field", "payload")
+    return U.payloads(R.conflicts(fact_table(spark, sf_dir)).where("disputed"), ["field", "members"]).select("pile_id", "entity_key", "field", "payload")
 
 
 @query(
@@ -358,7 +358,7 @@ def u12_finding_upsert(spark, sf_dir):
 
 @query(f"WITH {CONFLICTS_SQL} SELECT pile_id, entity_key, field, CASE WHEN members > 2 THEN 'approved' ELSE 'open' END AS status, CAST(members AS VARCHAR) AS rationale FROM conflicts WHERE disputed")
 def u13_conflict_upsert(spark, sf_dir):
-    found = R.conflicts(sourced(spark, sf_dir)).where("disputed").select("pile_id", "entity_key", "field", F.col("members").cast("string").alias("rationale"), "members")
+    found = R.conflicts(fact_table(spark, sf_dir)).where("disputed").select("pile_id", "entity_key", "field", F.col("members").cast("string").alias("rationale"), "members")
     held = found.where("members > 2").select("pile_id", "entity_key", "field", F.lit("approved").alias("status"), F.lit("before").alias("rationale"))
     return U.merged_conflicts(held, found)
 
@@ -424,7 +424,7 @@ def t7_watch_report(spark, sf_dir):
 @query(f"WITH {ALL_SQL} SELECT rule_key, count(*) AS n FROM found GROUP BY ALL")
 def h5_registered_checks(spark, sf_dir):
     """A playbook run with the kinds that a user registered."""
-    return E.examine(sourced(spark, sf_dir), _held(spark, sf_dir), kinds=dict(E.KINDS)).groupBy("rule_key").agg(F.count("*").alias("n"))
+    return E.examine(fact_table(spark, sf_dir), _held(spark, sf_dir), kinds=dict(E.KINDS)).groupBy("rule_key").agg(F.count("*").alias("n"))
 
 
 def _held(spark, sf_dir):

@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows written once as Parquet and read again, for work that takes them several times.
+
+    The folder is the cluster's shared one (spark.checkpoint.dir), or a new one
+    where none is named, as in tests.
+    """
+    spark, context = rows.sparkSession, rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="accordant-"))
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_table(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet, one folder per pile, so that a read of one pile prunes the rest."""
     rows.repartition("pile_id").write.mode(mode).partitionBy("pile_id").parquet(path)

@@ -106,6 +106,27 @@ def deduplicated_stream(rows: DataFrame, at: str = "at", delay: str = "1 hour")
     return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(["pile_id", "content_sha256"])
 
 
+def updated(held: DataFrame, arrived: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` makes of all facts of the piles that the arrivals touch.
+
+    held, arrived: facts (pile_id, document, ...), the second of documents just
+    read.  Those documents' older facts give way; other piles are not read beyond
+    the semi join.  Made for ``watch``'s dispatch, where the batch is small and is
+    the side that Spark may broadcast by its measured size.
+    """
+    older = held.join(arrived.select("pile_id", "document").distinct(), ["pile_id", "document"], "left_anti")
+    return work(older.join(arrived.select("pile_id").distinct(), "pile_id", "left_semi").unionByName(arrived))
+
+
+def running_registry(facts: DataFrame) -> DataFrame:
+    """Stream of facts (pile_id, entity_key, name, seq) to one row per engagement: its first name and how many facts so far.
+
+    A streaming aggregate: the state is one row per engagement, not per pile, and
+    partial results combine before the shuffle, so a hot pile spreads.
+    """
+    return facts.where("entity_key is not null").groupBy("pile_id", "entity_key").agg(F.min_by(F.left("name", F.lit(500)), "seq").alias("name"), F.count("*").alias("facts"))
+
+
 def watch_report(files: DataFrame, events: DataFrame, limit: int = 50) -> DataFrame:
     """Files of the inbox that no event accounts for."""
     return files.where(~ignored(F.col("filename"))).join(events.select("pile_id", "filename"), ["pile_id", "filename"], "left_anti").orderBy("pile_id", "filename").limit(limit)
