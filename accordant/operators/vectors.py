@@ -48,8 +48,7 @@ def with_null_vectors(rows: DataFrame, id_col: str, vecs: DataFrame) -> DataFram
 
 def embedded(rows: DataFrame, id_col: str, text_col: str, embedder: Callable[[Column], Column]) -> DataFrame:
     """id, embedding by the caller's function of a text column (built-in functions or a pandas UDF that returns an array); null for a blank text."""
-    text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
-    return rows.select(F.col(id_col).alias("id"), F.when(text != "", embedder(text)).alias("embedding"))
+    return rows.select(F.col(id_col).alias("id"), F.when(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "", embedder(F.col(text_col))).alias("embedding"))
 
 
 def similar(queries: DataFrame, items: DataFrame, floor: float = C.SEARCH_FLOOR) -> DataFrame:

@@ -212,3 +212,16 @@ def v12_weak_answers(spark, sf_dir):
     items = _embedded(spark, sf_dir)
     queries = items.where("id % 50 = 0")
     return V.weak(queries, V.dense_similar(queries, items).where("query_id <> id")).select("query_id", "weak")
+
+
+@query(
+    """SELECT doc_id AS id, CASE WHEN blank THEN NULL ELSE length(text) END AS size, CASE WHEN blank THEN NULL ELSE (length(text) - length(replace(text, 'e', ''))) / CAST(length(text) AS DOUBLE) END AS e,
+      CASE WHEN blank THEN NULL ELSE (length(text) - length(replace(text, 'o', ''))) / CAST(length(text) AS DOUBLE) END AS o
+    FROM (SELECT *, trim(coalesce(text, ''), ' ') = '' AS blank FROM documents)"""
+)
+def v11_embedder(spark, sf_dir):
+    """An embedder of the caller's: length and two letters' shares."""
+    share = lambda t, letter: (F.length(t) - F.length(F.replace(t, F.lit(letter)))) / F.length(t).cast("double")
+    made = V.embedded(table(spark, sf_dir, "documents"), "doc_id", "text", lambda t: F.array(F.length(t).cast("double"), share(t, "e"), share(t, "o")))
+    at = lambda i: F.get("embedding", F.lit(i))
+    return made.select("id", at(0).cast("long").alias("size"), at(1).alias("e"), at(2).alias("o"))

@@ -9,8 +9,9 @@ from accordant.functions import normalize as N
 from accordant.functions.agreement import values_agree
 from accordant.operators import reconcile as R
 from accordant.operators import rules as E
-from accordant.plans.facts import DOCS_SQL, FACTS_SQL, documents_of_orders, fact_table, sourced, table
+from accordant.plans.facts import DOCS_SQL, FACTS_SQL, documents_of_orders, fact_table, facts, sourced, table
 from accordant.plans.registry import query
+from accordant.streaming.inbox import running_registry, updated
 
 _SKIP = ", ".join(f"'{f}'" for f in (*C.INSTANCE_FIELDS, *C.IDENTITY_FIELDS))
 _VARY = ", ".join(f"'{f}'" for f in C.TIME_VARYING_FIELDS)
@@ -401,3 +402,26 @@ def r10_finding_order(spark, sf_dir):
 
     order = Window.partitionBy("pile_id").orderBy(F.desc("severity"), "rule_key", "entity_key")
     return _examined(spark, sf_dir).where("outcome = 'violated'").select("rule_key", "severity", "pile_id", "entity_key", F.row_number().over(order).cast("long").alias("place"))
+
+
+# ------------------------------------------------------------------ updates
+
+
+_ARRIVED = ("ASIA", "EUROPE")
+
+
+@query(
+    f"""{WITH_CONFLICTS} SELECT * FROM conflicts WHERE pile_id IN (SELECT pile_id FROM facts WHERE pile_id IN ({', '.join(f"'{p}'" for p in _ARRIVED)}) AND CAST(substr(document, 7) AS BIGINT) % 97 = 0)"""
+)
+def t6_incremental_update(spark, sf_dir):
+    """Some documents of two piles arrive; conflicts of the piles touched come anew, from all their facts."""
+    every = fact_table(spark, sf_dir)
+    new = F.col("pile_id").isin(*_ARRIVED) & (F.substring("document", 7, 20).cast("long") % 97 == 0)
+    return updated(every.where(~new), every.where(new), R.conflicts)
+
+
+@query(f"{WITH_FACTS} SELECT pile_id, entity_key, min(document) AS name, count(*) AS facts FROM facts GROUP BY ALL")
+def t9_running_registry(spark, sf_dir):
+    """In batch; tests hold the stream against it."""
+    rows = facts(spark, sf_dir).select("pile_id", "entity_key", F.col("document").alias("name"), F.struct("document", "char_start").alias("seq"))
+    return running_registry(rows)

@@ -209,3 +209,41 @@ def test_settled_stream(spark, tmp_path):
     stream = inbox.settled_stream(spark.readStream.schema(inbox.SCANS).parquet(str(tmp_path / "scans"))).writeStream.format("memory").queryName("settled").outputMode("append").trigger(availableNow=True).start()
     stream.awaitTermination()
     assert {(r.filename, r.scan) for r in spark.table("settled").collect()} == {("x", 2), ("y", 3)}
+
+
+def test_update_reads_only_touched_piles(spark):
+    from accordant.streaming.inbox import updated
+
+    held = spark.createDataFrame([("p", "a", 1), ("p", "b", 2), ("q", "c", 3)], "pile_id string, document string, n int")
+    arrived = spark.createDataFrame([("p", "b", 20), ("p", "d", 4)], held.schema)
+    got = updated(held, arrived, lambda facts: facts)
+    assert sorted(map(tuple, got.collect())) == [("p", "a", 1), ("p", "b", 20), ("p", "d", 4)]
+    assert updated(held, arrived.limit(0), lambda facts: facts).count() == 0
+
+
+def test_registry_as_a_stream(spark, tmp_path):
+    from accordant.streaming.inbox import running_registry
+
+    kind = "pile_id string, entity_key string, name string, seq int"
+    first = [("p", "e", "Second", 2), ("p", None, "nobody", 1), ("q", "e", "Else", 1)]
+    later = [("p", "e", "First", 1), ("p", "f", "New", 3)]
+    (tmp_path / "in").mkdir()
+    query = running_registry(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
+    for rows in (first, later):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query.writeStream.format("memory").queryName("registry").outputMode("complete").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(map(tuple, spark.table("registry").collect())) == [("p", "e", "First", 2), ("p", "f", "New", 1), ("q", "e", "Else", 1)]
+
+
+def test_embedder_of_the_caller(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from accordant.operators.vectors import embedded
+
+    @F.pandas_udf("array<float>")
+    def lengths(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [float(len(t)), 1.0])
+
+    rows = spark.createDataFrame([(1, "abc"), (2, " "), (3, None)], "id int, text string")
+    assert [tuple(r) for r in embedded(rows, "id", "text", lengths).orderBy("id").collect()] == [(1, [3.0, 1.0]), (2, None), (3, None)]
