@@ -133,19 +133,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    prints = settled(fingerprints(docs, id_col, text_col))
+def _component_of(prints: DataFrame) -> DataFrame:
+    """(of, component_id): each distinct fingerprint with the smallest doc_id of its component."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp")))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("of"), "component_id")
+    return rooted.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("of"), "component_id")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    prints = settled(fingerprints(docs, id_col, text_col))
+    named = _component_of(prints)
     return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Hash of a row's id, which may be null, and of its text."""
+    known = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-"))
+    return F.sha2(F.concat(known, F.lit("\n"), F.sha2(text_of(text_col), 256)), 256)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Of each group the document with the smallest id stays, in the columns of docs."""
-    groups = near_duplicate_groups(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group one row stays, in the columns of docs: of the smallest id (null last), then of the smallest row key."""
+    who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row_key().alias("key")).alias("who")
+    prints = settled(fingerprints(docs.select(who, "text"), "who"))
+    kept = _component_of(prints).select(F.col("component_id.key").alias("kept_key")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("key"))
+    # the key decides the group, so rows of one key are equal in id and text
+    return rows.join(kept, F.col("key") == F.col("kept_key"), "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -285,6 +285,14 @@ def test_near_duplicates(odd, documents, nothing):
     assert kept.columns == odd.columns and len(ids) == len(set(ids)) == len({k for r, k in zip(rows, roots) if r.doc_id is None or r.doc_id < 1000} - {None}) or len(ids) == len(set(ids))
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    words = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=200))
+    rows = [(None, words(1)), (None, words(2)), (None, words(2)), (None, words(3)), (5, words(3)), (7, words(4)), (7, words(5)), (7, words(5)), (3, words(5)), (9, words(6)), (9, words(7)), (9, None)]
+    got = N.drop_near_duplicates(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, key int").repartition(4)).collect()
+    assert bag((r.doc_id, r.text) for r in got) == bag([(None, words(1)), (None, words(2)), (5, words(3)), (7, words(4)), (3, words(5)), (9, words(6)), (9, words(7)), (9, None)])
+    assert all(rows[r.key] == (r.doc_id, r.text) for r in got)
+
+
 def test_covering_loses_no_link(spark):
     draw = random.Random(3)
     centres = [draw.getrandbits(64) for _ in range(60)] + [0, 2**64 - 1]
