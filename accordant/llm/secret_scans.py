@@ -45,10 +45,21 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}", hint="AKIA"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+# A private key: from its first line to its last; without a last line, encapsulated headers, long runs of base64 and
+# lines of nothing else. All loops are possessive, which the engine runs without recursion and without going back.
+_BREAK = r"(?:\r?\n|\r|\\+r\\+n|\\+n)"
+_EDGE = r"""[\x20\t"'>|#*,;]*+"""
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+    r"(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|"
+    r"""(?:(?:\s|\\+[nrt]|["'>|#*,;])*+(?:(?:Proc-Type|DEK-Info):\x20?[^\s\\]++|[A-Za-z0-9+/]{20,}+=*+)|"""
+    rf"{_EDGE}{_BREAK}{_EDGE}[A-Za-z0-9+/]++=*+(?={_EDGE}(?:{_BREAK}|\z))|"
+    r"\x20[A-Za-z0-9+/]++={1,2}+)*+)"
+)
 # What the method adds to them.
 ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="PRIVATE KEY-----"),
+    Rule("pem", PEM, hint="PRIVATE KEY-----", version=2),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
 )
 RULES = BASE + ADDED
