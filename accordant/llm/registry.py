@@ -59,7 +59,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mixing.mixed(table(spark, sf_dir, "documents"))
+    return source_mixing.mixed(table(spark, sf_dir, "documents"), keep=source_mixing.KEEP)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

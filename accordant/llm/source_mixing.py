@@ -2,17 +2,21 @@
 
 Tokens are summed per cell of source, language and topic.  Raking then scales
 the cells in turn until the totals of every margin meet their targets.  A cell's
-inclusion probability is its raked share over its share now, scaled so that the
-largest is one: the most that can be kept without repeating a document and with
-the margins in expectation on target.  Each document is kept if a fixed hash of
-its id falls below its cell's probability.
+rate is its raked share over its share now.  Where the targets are to be exact, a
+cell's inclusion probability is its rate, scaled so that the largest is one: the
+most that can be kept with all margins in expectation on target, but as little as
+the scarcest cell allows.  Where a share of the tokens is to be kept at least and
+exact targets keep less, the rates are scaled to that share, cells beyond one are
+kept whole, and the others are raked again; a category with fewer tokens than its
+target asks for then has all it has, and the others share what it lacks in
+proportion to their targets.  Each document is kept if a fixed hash of its id
+falls below its cell's probability.  Margins that miss are reported by a warning.
 
 Targets are given per margin, or follow from the corpus: a category's share
-raised to a power below one, which moves weight from large to small ones.
-Categories beyond the largest MOST of a margin are one category, so that there
-are at most the product of MOST (plus one) cells whatever the input; only this
-table is raked, in one partition, and it is broadcast.  Only DataFrame functions
-are used.
+raised to a power below one, which moves weight from large to small ones.  Every
+category is a cell of its own.  Up to FEW cells are raked in one partition and
+broadcast; more are a distributed table, raked by sums per margin joined back.
+Only DataFrame functions are used.
 
 Defined results for odd input: a null text has no tokens and is kept by its
 cell's probability; null sources and languages are the category ``(none)``; a
@@ -22,17 +26,22 @@ alike; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.llm.common import settled, text_of
 
 MARGINS = ("mix_source", "mix_lang", "mix_topic")
-MOST = {"mix_source": 256, "mix_lang": 32, "mix_topic": 8}
 #: Powers of the shares: one keeps a margin as it is, zero makes it even.
 POWERS = {"mix_source": 0.7, "mix_lang": 0.85, "mix_topic": 0.9}
-CYCLES, CYCLES_A_JOB, TOLERANCE = 60, 6, 1e-9
-NONE, REST = "(none)", "(rest)"
+CYCLES, CYCLES_A_JOB, TOLERANCE, REPORTED = 60, 6, 1e-9, 1e-6
+#: Cells that one partition rakes and a broadcast holds.
+FEW = 20_000
+#: Share of the tokens that the query and the pipeline keep at least.
+KEEP = 0.5
+NONE = "(none)"
 
 # Forms of text that serve as topics, the first that holds.
 TOPICS = (
@@ -61,66 +70,104 @@ def weighed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     return docs.select(F.col(id_col).alias("doc_id"), known(source_col).alias("mix_source"), known(lang_col).alias("mix_lang"), topic_of(text).alias("mix_topic"), n_tokens(text).alias("n_tokens"))
 
 
-def _bounded(sums: DataFrame) -> DataFrame:
-    """Cells with categories beyond the largest MOST put together."""
-    for m in MARGINS:
-        top = sums.groupBy(m).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), m).limit(MOST[m]).select(F.col(m).alias("top"))
-        sums = sums.join(F.broadcast(top), F.col(m) == F.col("top"), "left").withColumn(m, F.coalesce("top", F.lit(REST))).drop("top")
-    return sums.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
+def _with_sums(cells: DataFrame, margin: str, value: Column, few: bool) -> DataFrame:
+    """cells with held: the sum of value over the cell's category."""
+    if few:
+        return cells.withColumn("held", F.sum(value).over(Window.partitionBy(margin)))
+    sums = cells.groupBy(F.col(margin).alias("of")).agg(F.sum(value).alias("held"))
+    return cells.join(sums, F.col(margin) == F.col("of")).drop("of")
 
 
-def raked(sums: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Cells with probability; sums has the margins and tokens, in any number of rows per cell."""
-    cells = settled(_bounded(sums).withColumn("tokens", F.col("tokens").cast("double"))).coalesce(1)
-    whole = lambda m: Window.partitionBy(m)
-    everything = Window.partitionBy(F.lit(1))
-    cells = cells.where("tokens > 0").withColumn("total", F.sum("tokens").over(everything))
-    for m in MARGINS:
-        share = F.pow(F.sum("tokens").over(whole(m)) / F.col("total"), F.lit(POWERS[m]))
-        if targets and m in targets:
-            given = F.create_map(*[F.lit(x) for kv in targets[m].items() for x in kv])
-            share = F.coalesce(F.try_element_at(given, F.col(m)), F.lit(0.0))
-        cells = cells.withColumn(f"{m}_share", share)
-        first = F.row_number().over(whole(m).orderBy(*MARGINS)) == 1
-        cells = cells.withColumn("once", F.when(first, F.col(f"{m}_share")).otherwise(0.0))
-        cells = cells.withColumn(f"{m}_share", F.col(f"{m}_share") / F.sum("once").over(everything)).drop("once")
-    cells = settled(cells.withColumn("w", F.col("tokens") / F.col("total")))
+def _scaled(cells: DataFrame, few: bool, whole: bool) -> tuple[DataFrame, float]:
+    """cells with rate x scaled in turn to each margin's target, at one at most if whole; and how far the worst total is off."""
+    kept, step, off = F.col("s") * F.col("x"), (lambda c: c) if few else settled, 0.0
     for _ in range(0, CYCLES, CYCLES_A_JOB):
-        cells = cells.coalesce(1)
         for _ in range(CYCLES_A_JOB):
             for m in MARGINS:
-                held = F.sum("w").over(whole(m))
-                cells = cells.withColumn("w", F.when(held > 0, F.col("w") * F.col(f"{m}_share") / held).otherwise(0.0))
-        off = [F.abs(F.sum("w").over(whole(m)) - F.col(f"{m}_share")) for m in MARGINS]
-        cells = settled(cells.withColumn("off", F.greatest(*off)))
-        if (cells.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
+                x = F.col("x") * F.col(f"{m}_target") / F.col("held")
+                x = F.when(F.col("held") > 0, F.least(F.lit(1.0), x) if whole else x).otherwise(0.0)
+                cells = step(_with_sums(cells, m, kept, few).withColumn("x", x).drop("held"))
+        cells = cells.withColumn("off", F.lit(0.0))
+        for m in MARGINS:
+            cells = step(_with_sums(cells, m, kept, few).withColumn("off", F.greatest("off", F.abs(F.col("held") - F.col(f"{m}_target")))).drop("held"))
+        cells = settled(cells)
+        off = cells.agg(F.max("off")).first()[0] or 0.0
+        cells = (cells.coalesce(1) if few else cells).drop("off")
+        if off < TOLERANCE:
             break
-    ratio = F.col("w") / (F.col("tokens") / F.col("total"))
-    return cells.coalesce(1).select(*MARGINS, "tokens", F.col("w").alias("share"), (ratio / F.max(ratio).over(everything)).alias("probability"))
-
-
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 7) -> DataFrame:
+    return cells, off
+
+
+def _within_stock(cells: DataFrame, margin: str, keep: float) -> DataFrame:
+    """cells with the margin's targets for a kept share: no more than a category has, the rest in proportion to the targets."""
+    stock = settled(cells.groupBy(F.col(margin).alias("of")).agg(F.sum(F.when(F.col("x") > 0, F.col("s")).otherwise(0.0)).alias("stock"), F.first(f"{margin}_target").alias("target")))
+    level, before = keep, 0.0
+    while level > before * (1 + 1e-12):
+        short = F.col("stock") <= F.col("target") * level
+        full, free = stock.agg(F.sum(F.when(short, F.col("stock")).otherwise(0.0)), F.sum(F.when(short, 0.0).otherwise(F.col("target")))).first()
+        before, level = level, (keep - full) / free if free > 0 else level
+    stock = stock.select("of", F.least("stock", F.col("target") * level).alias("bounded"))
+    return cells.join(stock, F.col(margin) == F.col("of")).withColumn(f"{margin}_target", F.col("bounded")).drop("of", "bounded")
+
+
+def raked(sums: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float | None = None) -> DataFrame:
+    """Cells with share and probability; sums has the margins and tokens, in any number of rows per cell. keep: share of the tokens to keep at least (none: exact targets)."""
+    cells = settled(sums.groupBy(*MARGINS).agg(F.sum("tokens").cast("double").alias("tokens")).where("tokens > 0"))
+    n, total = cells.agg(F.count("*"), F.sum("tokens")).first()
+    few = n <= FEW
+    cells = cells.withColumn("s", F.col("tokens") / F.lit(total or 1.0)).withColumn("x", F.lit(1.0))
+    for m in MARGINS:
+        shares = cells.groupBy(F.col(m).alias("of")).agg(F.sum("s").alias("held")).withColumn("target", F.pow("held", F.lit(POWERS[m])))
+        if targets and m in targets:
+            given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[m].items()], "name string, given double")
+            absent = [r.name for r in given.where("given > 0").join(shares, F.col("name") == F.col("of"), "left_anti").collect()]
+            if absent and n:
+                warnings.warn(f"{m}: no tokens for the targets of {sorted(absent)}", stacklevel=2)
+            shares = shares.join(given, F.col("name") == F.col("of"), "left").withColumn("target", F.coalesce("given", F.lit(0.0)))
+        shares = settled(shares.select("of", "target"))
+        whole = shares.agg(F.sum("target")).first()[0]
+        if n and not whole:
+            raise ValueError(f"{m}: no target names a category of the corpus")
+        cells = cells.join(shares, F.col(m) == F.col("of")).withColumn(f"{m}_target", F.col("target") / F.lit(whole or 1.0)).drop("of", "target")
+    cells = settled(cells)
+    cells, off = _scaled(cells.coalesce(1) if few else cells, few, False)
+    top, stock = cells.agg(F.max("x"), F.sum(F.when(F.col("x") > 0, F.col("s")))).first()
+    if off > REPORTED:
+        warnings.warn(f"mixture: after {CYCLES} cycles a margin's share is off by {off:.2g}", stacklevel=2)
+    if keep is not None and top and 1 / top < keep:
+        keep = min(keep, stock)
+        for m in MARGINS:
+            cells = _within_stock(cells, m, keep)
+        cells = settled(cells.withColumn("x", F.least(F.lit(1.0), F.col("x") * F.lit(keep))))
+        exact = 1 / top
+        cells, off = _scaled(cells.coalesce(1) if few else cells, few, True)
+        kept = cells.agg(F.sum(F.col("s") * F.col("x"))).first()[0]
+        warnings.warn(f"mixture: exact targets would keep {exact:.3g} of the tokens; {kept:.3g} are kept, scarce cells whole, shares off by {off / kept:.2g} from what the stock allows", stacklevel=2)
+        top, held = 1.0, kept
+    else:
+        held = 1.0
+    return cells.select(*MARGINS, "tokens", (F.col("s") * F.col("x") / F.lit(held)).alias("share"), (F.col("x") / F.lit(top or 1.0)).alias("probability"))
+
+
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 7, keep: float | None = None) -> DataFrame:
     """doc_id, source_class, lang_class, topic, n_tokens, probability, selected: one row per document."""
     rows = weighed(docs)
-    cells = settled(raked(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets))
+    cells = settled(raked(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets, keep))
     return _chosen(rows, cells, F.col("doc_id"), seed).select("doc_id", F.col("mix_source").alias("source_class"), F.col("mix_lang").alias("lang_class"), F.col("mix_topic").alias("topic"), "n_tokens", "probability", "selected")
 
 
 def _chosen(rows: DataFrame, cells: DataFrame, key: Column, seed: int) -> DataFrame:
-    """rows, which have the margins, with probability and selected; categories without cells of their own are the rest."""
-    for m in MARGINS:
-        named = cells.select(F.col(m).alias("named")).distinct()
-        rows = rows.join(F.broadcast(named), F.col(m) == F.col("named"), "left").withColumn(m, F.coalesce("named", F.lit(REST))).drop("named")
+    """rows, which have the margins, with probability and selected."""
     held = cells.select(*[F.col(m).alias(f"of_{m}") for m in MARGINS], F.col("probability").alias("held"))
     same = [F.col(m) == F.col(f"of_{m}") for m in MARGINS]
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / F.lit(float(1 << 53))
-    out = rows.join(F.broadcast(held), same, "left").withColumn("probability", F.coalesce("held", F.lit(1.0)))
+    out = rows.join(F.broadcast(held) if held.count() <= FEW else held, same, "left").withColumn("probability", F.coalesce("held", F.lit(1.0)))
     return out.withColumn("selected", u < F.col("probability")).drop("held", *[f"of_{m}" for m in MARGINS])
 
 
-def kept_mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 7) -> DataFrame:
+def kept_mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 7, keep: float | None = None) -> DataFrame:
     """The documents that the mixture selects, in the columns of docs."""
-    cells = settled(raked(weighed(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets))
+    cells = settled(raked(weighed(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets, keep))
     text, known = text_of("text"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     rows = docs.select(F.struct(*docs.columns).alias("row"), known("source").alias("mix_source"), known("lang").alias("mix_lang"), topic_of(text).alias("mix_topic"))
     return _chosen(rows, cells, F.col("row.doc_id"), seed).where("selected").select("row.*")

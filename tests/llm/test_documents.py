@@ -381,6 +381,47 @@ def test_mixing_given_targets(documents):
     assert t["en"] == pytest.approx(t["de"], rel=1e-6)
 
 
+def shares(cells, margin):
+    return {r[0]: (r.now, r.kept) for r in cells.groupBy(margin).agg(F.sum("tokens").alias("now"), F.sum(F.col("tokens") * F.col("probability")).alias("kept")).collect()}
+
+
+SCARCE = [("a", "en", "prose", 6_000_000), ("b", "en", "prose", 3_000_000), ("a", "de", "prose", 1_000_000), ("b", "de", "tables", 500_000), ("a", "en", "tables", 400_000), (X.NONE, "xx", "prose", 1)]
+
+
+def test_many_cells_are_raked_like_few(spark, monkeypatch):
+    sums = spark.createDataFrame(SCARCE, "mix_source string, mix_lang string, mix_topic string, tokens long")
+    monkeypatch.setattr(X, "CYCLES", 2)
+    monkeypatch.setattr(X, "CYCLES_A_JOB", 2)
+    few = {tuple(r[:3]): r.probability for r in X.raked(sums, keep=0.5).collect()}
+    monkeypatch.setattr(X, "FEW", 0)
+    assert {tuple(r[:3]): pytest.approx(r.probability) for r in X.raked(sums, keep=0.5).collect()} == few and len(few) == len(SCARCE)
+
+
+def test_scarce_cells_are_whole_and_the_rest_is_raked(spark):
+    sums = spark.createDataFrame(SCARCE, "mix_source string, mix_lang string, mix_topic string, tokens long")
+    exact = shares(X.raked(sums), "mix_source")
+    assert sum(k for _, k in exact.values()) < 0.1 * sum(n for n, _ in exact.values())
+    with pytest.warns(UserWarning, match="exact targets would keep"):
+        made = X.raked(sums, keep=0.5).collect()
+    cells = spark.createDataFrame(made)
+    for margin, power in X.POWERS.items():
+        got = shares(cells, margin)
+        total, kept = (sum(x[i] for x in got.values()) for i in (0, 1))
+        assert kept == pytest.approx(0.5 * total, rel=1e-4)
+        others = {c: n**power for c, (n, _) in got.items() if c not in (X.NONE, "xx")}
+        if margin == "mix_source":
+            assert all(got[c][1] / kept == pytest.approx(t / sum(others.values()), abs=1e-3) for c, t in others.items())
+    assert {r.mix_lang: r.probability for r in made}["xx"] == 1 and max(r.probability for r in made) <= 1
+
+
+def test_no_category_is_folded_and_misses_are_reported(spark):
+    rows = [(f"s{i:03d}", "en", "prose", 100 + i) for i in range(300)]
+    sums = spark.createDataFrame(rows, "mix_source string, mix_lang string, mix_topic string, tokens long")
+    with pytest.warns(UserWarning, match="nowhere"):
+        got = {r.mix_source: r.share for r in X.raked(sums, {"mix_source": {"s000": 0.75, "s299": 0.25, "nowhere": 1.0}}).collect()}
+    assert len(got) == 300 and got["s000"] == pytest.approx(0.75) and got["s299"] == pytest.approx(0.25) and sum(got.values()) == pytest.approx(1)
+
+
 # ---------------------------------------------------------------------- op10
 
 
