@@ -178,6 +178,51 @@ def test_packing(odd, documents, nothing):
     assert all(len(r.ids) <= 4096 for r in rows_out) and sum(len(r.doc_ids) for r in rows_out) == odd.where("doc_id < 9").count()
 
 
+def test_encoder_forgets_and_learns_again(monkeypatch, documents):
+    texts = [r.text or "" for r in documents.limit(60).collect()] * 2
+    want = P.Encoder(WORDS).encode(texts)
+    monkeypatch.setattr(P, "KEPT_WORDS", 60)
+    monkeypatch.setattr(P, "KEPT_PARTS", 40)
+    few = P.Encoder(WORDS)
+    got = [x for k in range(0, len(texts), 7) for x in few.encode(texts[k : k + 7])]
+    assert got == want and len(few.words.old) <= len(set().union(*[t.split() for t in texts])) / 2
+
+
+def test_sequences_hold_the_ids_of_every_row(spark, odd):
+    """Two texts under one id, equal rows and null ids each come back as they went in."""
+    rows = odd.select("doc_id", "text").union(spark.createDataFrame([(4, "another text of the same id"), (None, None), (None, "word")], "doc_id long, text string"))
+    whole, want = P.Encoder(WORDS), collections.Counter()
+    for r in rows.collect():
+        ids = np.frombuffer(whole.encode([r.text or ""])[0], "<u4").tolist() + [1]
+        want.update((r.doc_id, tuple(ids[k : k + 4096])) for k in range(0, len(ids), 4096))
+    made, placed = P.sequences(rows, WORDS).collect(), collections.Counter()
+    for r in made:
+        at = 0
+        for who in r.doc_ids:  # a document's end id is 1 and none else is; a full piece without it fills its sequence
+            end = r.ids.index(1, at) + 1 if 1 in r.ids[at:] else len(r.ids)
+            placed[who, tuple(r.ids[at:end])] += 1
+            at = end
+        assert at == len(r.ids)
+    assert placed == want
+
+
+def test_rows_meet_few_parts_of_a_run():
+    histogram = {1: 900_000, 4095: 2000, 4094: 1500, 4000: 700, 3: 40_000, 700: 9}
+    runs, _ = P.plan(histogram)
+    parts, width = P.by_steps(runs, histogram)
+    of = collections.defaultdict(list)
+    for length, step, a, b, *where in parts:
+        of[length, step].append((a, b))
+    assert len(parts) <= 2 * len(runs)
+    for length, n in histogram.items():
+        w, met = width[length], 0
+        for step in range(-(-n // w)):
+            inside = [(max(a, step * w), min(b, step * w + w)) for a, b in of[length, step]]
+            assert sum(b - a for a, b in inside) == min(w, n - step * w)
+            met += len(inside) * min(w, n - step * w)
+        assert met <= 3 * n + 3 * w
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_everything_once(seed):
     draw = random.Random(seed)
