@@ -41,6 +41,43 @@ def test_page_shapes(page, want):
     assert E.main_text(page) == want
 
 
+BODY = "body words of an article go on for long " * 6
+LINKS = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in "home news sport money travel video".split())
+TEASERS = "<p><b>travel</b> <i>to</i> <u>the</u> <em>sea</em> <b>now</b></p>" * 9
+# name of the page: (html, the main text); no article or main element and no telling name unless the page is about them
+PAGES = {
+    "unclosed head": (f"<html><head><title>t</title><body><p>{BODY}</p>", BODY),
+    "head without body": (f"<head><meta charset=u><p>{BODY}</p>", BODY),
+    "text in the head": (f"<head><title>t</title>{BODY}", BODY),
+    "misleading names": (f"<div class='search-results has-sidebar' id='no-menu-layout'><h1 class='entry-header'>Head</h1><p>{BODY}</p></div>", f"Head {BODY}"),
+    "legal text": (f"<div class='legal'><p>{BODY}</p></div>", BODY),
+    "named wrapper": (f"<div class='menu'><main><p>{BODY}</p></main></div>", BODY),
+    "unmarked links around": (f"<div class='a'><ul>{LINKS}</ul></div><div class='b'><h1>Head</h1><p>{BODY}</p><p>Short.</p><p>{BODY}</p></div><div class='c'><ul>{LINKS}</ul></div>", f"Head {BODY} Short. {BODY}"),
+    "heading before the region": (f"<div><ul>{LINKS}</ul><h1>Head</h1><div><p>{BODY}</p><p>Short.</p></div><ul>{LINKS}</ul></div>", f"Head {BODY} Short."),
+    "sibling parts": (f"<div><div><p>{BODY * 3}</p></div><div><p>{BODY * 2}</p><p>End.</p></div></div><div><ul>{LINKS}</ul></div>", f"{BODY * 3} {BODY * 2} End."),
+    "bare body": (f"<body><ul>{LINKS}</ul><h1>Head</h1><p>Short.</p><p>{BODY}</p><p>Shorter.</p><p>{BODY}</p><p>End.</p><ul>{LINKS}</ul></body>", f"Head Short. {BODY} Shorter. {BODY} End."),
+    "several articles": (f"<div><ul>{LINKS}</ul></div><article><p>{BODY * 9}</p></article><article><p>Two short.</p></article>", f"{BODY * 9} Two short."),
+    "a remark as an article": (f"<article><p>{BODY}</p><article class='comment'><p>{BODY * 4}</p></article></article>", BODY),
+    "teasers full of tags": (f"<div>{TEASERS}</div><div><p>{BODY}</p><p>{BODY}</p></div><div>{TEASERS}</div>", f"{BODY} {BODY}"),
+    "nothing but boilerplate": (f"<nav>{LINKS}</nav><div class='ad'>{BODY}</div><article><h1></h1></article><footer>{BODY}</footer>", ""),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_regions(name):
+    page, want = PAGES[name]
+    assert E.main_text(page) == re.sub(r"\s+", " ", want).strip()
+
+
+@pytest.mark.parametrize("name", ["teasers full of tags", "bare body"])
+def test_clusters_choose_the_region(name, monkeypatch):
+    """With every line in the upper cluster what stands around the text comes too; with none there is no text."""
+    monkeypatch.setattr(E, "threshold", lambda level: level.min())
+    assert "travel" in E.main_text(PAGES[name][0])
+    monkeypatch.setattr(E, "threshold", lambda level: level.max() + 1)
+    assert E.main_text(PAGES[name][0]) == ""
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 20_000 + "x"
     rows = spark.createDataFrame([(1, "u", None, "t", 1), (1, "u", None, "t", 1), (None, None, deep, "t", 2)], "page_id long, url string, html string, text string, n_chars int")
