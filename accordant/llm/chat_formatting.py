@@ -1,12 +1,17 @@
 """Chat formatting by schema fingerprints.
 
-The nested field paths of a record are hashed to a fingerprint, which selects a
-declarative mapping from its layout (prompt and completion, instruction with
-input, message lists, rows by turn) to canonical turns of role and text.  Turns
-are then written with a template that marks them by control strings; a control
-string inside a text is escaped, so that the text can be read back exactly, and a
-loss mask holds the spans of the assistant's texts.  Only DataFrame functions are
-used.
+Nested field paths are hashed to a fingerprint, which selects a declarative
+mapping from a layout (prompt and completion, instruction with input, message
+lists, rows by turn) to canonical turns of role and text.  A layout's fingerprint
+is that of the paths it needs; a record or a table has the layout if those of its
+paths that the layout names hash to it, and of several the one that needs most
+paths holds, so that further fields, nested ones too, cost no turns.  A table's
+paths are those of its schema, a JSON record's those of its keys.
+
+Turns are then written with a template that marks them by control strings; a
+control string inside a text is escaped, so that the text can be read back
+exactly, and a loss mask holds the spans of the assistant's texts.  Only DataFrame
+functions are used.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.  In a text, every
 ``<|`` becomes ``<||``; so ``<|`` followed by a letter is a control string, and
@@ -15,9 +20,11 @@ the line end are escaped as well.
 
 Defined results for odd input: a null text or role is an empty one; turns with
 equal numbers go by role, then text, and null numbers come first; repeated rows
-are turns of their own; a null conversation id is a conversation; records with an
-unknown layout have null turns; an empty table gives an empty result; further
-columns are ignored.
+are turns of their own; a null conversation id is a conversation; a content that is
+a list of parts is the texts of its parts in order; JSON records of an unknown
+layout, or no JSON at all, have null turns, and a table of an unknown layout is an
+error; an empty table gives an empty result; further columns are ignored, and one
+named like a column that is added gives way to it.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Where turns are: a list field with a role and a text path in each item, or single fields with fixed roles."""
+    """Where turns are: rows of their own, a list field with a role and a text path in each item, or single fields with fixed roles."""
 
     name: str
     paths: tuple[str, ...]
@@ -63,6 +70,7 @@ def _single(name: str, *fields: tuple[str, tuple[str, ...]]) -> Layout:
 
 # The layouts that are known, and other names of roles.
 LAYOUTS = (
+    Layout("turn_rows", ("conv_id", "turn", "role", "text"), role="role", text="text"),
     _list("messages", "messages", "role", "content"),
     _list("speakers", "conversations", "from", "value"),
     _list("dialogue", "dialogue", "speaker", "text"),
@@ -73,10 +81,13 @@ LAYOUTS = (
     _single("prompt_response", ("user", ("prompt",)), ("assistant", ("response",))),
     _single("question_answer", ("user", ("question",)), ("assistant", ("answer",))),
 )
-TURN_ROWS = ("conv_id", "role", "text", "turn")
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+def by_need(layouts: tuple[Layout, ...]) -> list[Layout]:
+    return sorted(layouts, key=lambda x: -len(x.paths))
+
+
 def schema_paths(schema: T.StructType, above: str = "") -> list[str]:
     """Nested field paths of a table, lists and maps passed through."""
     out = []
@@ -90,38 +101,73 @@ def schema_paths(schema: T.StructType, above: str = "") -> list[str]:
     return out
 
 
-def record_fingerprint(value: Column) -> Column:
-    """Fingerprint of a JSON record (variant): its paths by the depth-one lists and fields that layouts use."""
-    shape = F.schema_of_variant(value)
-    lists = F.regexp_extract_all(shape, F.lit(r"(\w+): ARRAY<OBJECT<([^<>]*)>>"), F.lit(0))
-    inner = F.flatten(F.transform(lists, lambda x: F.transform(
-        F.regexp_extract_all(F.regexp_extract(x, r"OBJECT<([^<>]*)>", 1), F.lit(r"(\w+): "), F.lit(1)), lambda k: F.concat(F.regexp_extract(x, r"^(\w+)", 1), F.lit("."), k))))
-    flat = F.regexp_replace(shape, r"ARRAY<OBJECT<[^<>]*>>", "LIST")
-    outer = F.regexp_extract_all(F.regexp_extract(flat, r"^OBJECT<([^<>]*)>$", 1), F.lit(r"(\w+): "), F.lit(1))
-    return F.sha2(F.array_join(F.array_sort(F.concat(outer, inner)), "\n"), 256)
+def layout_of(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
+    """The layout that a table's fingerprint selects."""
+    paths = set(schema_paths(schema))
+    for x in by_need(layouts):
+        if hashed(paths & set(x.paths)) == x.fingerprint:
+            return x
+    raise ValueError(f"no mapping for a table with the fields {sorted(paths)}")
+
+
+def known_role(role: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, role), role, F.lit(""))
+
+
+def joined(texts: list[Column]) -> Column:
+    """Texts that are not empty, a line end between them."""
+    return F.array_join(F.filter(F.array(*[F.coalesce(t, F.lit("")) for t in texts]), lambda t: t != ""), "\n")
+
+
+def canonical_rows(table: DataFrame, id_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """conv_id, turn, role, text from a table of any known layout, which its schema's fingerprint selects."""
+    x, who = layout_of(table.schema, layouts), F.col(id_col).alias("conv_id")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    if x.items:
+        table = table.select(who, F.posexplode(x.items).alias("turn", "item"))
+        return table.select("conv_id", F.col("turn").cast("long").alias("turn"), known_role(F.col(f"item.{x.role}").cast("string")).alias("role"), text(F.col(f"item.{x.text}")).alias("text"))
+    if x.fields:
+        parts = F.array(*[F.struct(F.lit(role).alias("role"), joined([F.col(p).cast("string") for p in ps]).alias("text")) for role, ps in x.fields])
+        table = table.select(who, F.posexplode(parts).alias("turn", "item"))
+        return table.select("conv_id", F.col("turn").cast("long").alias("turn"), "item.role", "item.text")
+    return table.select(who, "turn", text(F.col(x.role)).alias("role"), text(F.col(x.text)).alias("text"))  # roles as they stand
+
+
+def record_paths(value: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Paths of a JSON record (variant): its keys, and those of the items of its lists that layouts know."""
+    keys = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
+    out = [keys(F.try_variant_get(value, "$", "map<string,variant>"))]
+    for items in dict.fromkeys(x.items for x in layouts if x.items):
+        inner = F.flatten(F.transform(F.try_variant_get(value, f"$.{items}", "array<variant>"), lambda m: keys(F.try_variant_get(m, "$", "map<string,variant>"))))
+        out.append(F.coalesce(F.transform(inner, lambda k: F.concat(F.lit(f"{items}."), k)), F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.concat(*out)))
 
 
 def canonical_turns(records: DataFrame, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """The table with layout (null: unknown) and turns."""
-    value = F.try_parse_json(F.col(json_col))
-    get = lambda v, path: F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+    """The table with record_fingerprint, layout (null: unknown) and turns."""
+    value = F.try_parse_json(F.col(json_col).cast("string"))
+
+    def get(v: Column, path: str) -> Column:
+        """A text, or the texts of a list of parts, which are texts or have one in their field text."""
+        parts = F.try_variant_get(v, path, "array<variant>")
+        texts = F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")), F.lit("")))
+        return F.coalesce(F.array_join(texts, ""), F.try_variant_get(v, path, "string"), F.lit(""))
 
     def turns(x: Layout) -> Column:
         if x.items:
             items = F.try_variant_get(value, f"$.{x.items}", "array<variant>")
-            return F.transform(items, lambda m: F.struct(get(m, f"$.{x.role}").alias("role"), get(m, f"$.{x.text}").alias("text")))
-        parts = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[get(value, f"$.{p}") for p in ps]), lambda t: t != ""), "\n").alias("text")) for role, ps in x.fields]
-        return F.array(*parts)
-
-    print_, layout, made = record_fingerprint(value), None, None
-    for x in layouts:
-        hit = F.col("record_fingerprint") == x.fingerprint
-        layout = F.when(hit, x.name) if layout is None else layout.when(hit, x.name)
-        made = F.when(hit, turns(x)) if made is None else made.when(hit, turns(x))
-    out = records.withColumn("record_fingerprint", print_).withColumn("layout", layout).withColumn("turns", made)
-    known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-    named = F.transform("turns", lambda t: F.struct(F.coalesce(F.try_element_at(known, t["role"]), t["role"]).alias("role"), t["text"].alias("text")))
-    return out.withColumn("turns", named)
+            return F.transform(items, lambda m: F.struct(known_role(get(m, f"$.{x.role}")).alias("role"), get(m, f"$.{x.text}").alias("text")))
+        return F.array(*[F.struct(F.lit(role).alias("role"), joined([get(value, f"$.{p}") for p in ps]).alias("text")) for role, ps in x.fields])
+
+    layouts = tuple(x for x in layouts if x.items or x.fields)
+    paths, layout, made = record_paths(value, layouts), F.when(F.lit(False), ""), F.when(F.lit(False), F.array().cast(TURNS))
+    for x in by_need(layouts):
+        named = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in x.paths])))
+        hit = F.sha2(F.array_join(named, "\n"), 256) == x.fingerprint
+        layout, made = layout.when(hit, x.name), made.when(hit, turns(x))
+    added = {"record_fingerprint": F.sha2(F.array_join(paths, "\n"), 256), "layout": layout, "turns": made}
+    return records.withColumns(added)
 
 
 def escaped(text: Column) -> Column:
@@ -140,13 +186,9 @@ def unescaped_role(role: Column) -> Column:
     return F.replace(F.replace(unescaped(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def formatted_turn_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_mask (spans of code points) from a table whose fingerprint is that of rows by turn."""
-    paths = [p for p in schema_paths(rows.schema) if p in TURN_ROWS]
-    if hashed(paths) != hashed(TURN_ROWS):
-        raise ValueError(f"no mapping for a table with the fields {sorted(schema_paths(rows.schema))}")
-    empty = F.lit("")
-    turns = rows.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+def formatted_turn_rows(table: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """conv_id, formatted, loss_mask (spans of code points) of each conversation of a table of any known layout."""
+    turns = canonical_rows(table, id_col)
     part = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = turns.withColumn("part", part).withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))

@@ -128,6 +128,44 @@ def test_layouts(spark):
     assert all(r.back == r.turns for r in texts.collect())
 
 
+def test_layouts_of_real_records(spark):
+    """Further keys, nested ones, parts of content and keys of two layouts cost no turns; clashing columns give way."""
+    parts = [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, "b"]
+    records = [
+        ({"id": 1, "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a", "tool": {"x": [1]}}], "meta": {"lang": {"code": "en"}}}, "messages", [("user", "q"), ("assistant", "a")]),
+        ({"prompt": "q", "completion": "a", "score": 0.5, "tags": ["x"]}, "prompt_completion", [("user", "q"), ("assistant", "a")]),
+        ({"system": "s", "instruction": "q", "input": "i", "output": "a", "source": {"k": 1}}, "instruction_system", [("system", "s"), ("user", "q\ni"), ("assistant", "a")]),
+        ({"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": None}]}, "messages", [("user", "ab"), ("assistant", "")]),
+        ({"messages": [{"role": "user"}, {"role": "assistant", "content": "a"}]}, "messages", [("user", ""), ("assistant", "a")]),
+        ({"prompt": "p", "messages": [{"role": "user", "content": "q"}]}, "messages", [("user", "q")]),
+        ({"prompt": 7, "completion": None}, "prompt_completion", [("user", "7"), ("assistant", "")]),
+        ({"messages": "no list", "prompt": "q"}, None, None),
+        ([1, 2], None, None),
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(r), "mine", 3) for i, (r, _, _) in enumerate(records)], "i int, record string, layout string, turns int")
+    got = {r.i: r for r in C.canonical_turns(rows, "record").collect()}
+    for i, (_, layout, turns) in enumerate(records):
+        assert got[i].layout == layout and (got[i].turns and [tuple(t) for t in got[i].turns]) == turns, (i, got[i])
+    assert C.canonical_turns(rows.where("false"), "record").count() == 0
+
+
+def test_tables_of_other_layouts(spark):
+    """A table's schema selects its mapping: the same talk in three layouts gives the same formatted text."""
+    talk = [("user", "q1"), ("assistant", "a <|im_end|>")]
+    by_turn = spark.createDataFrame([(1, k, r, t, 0) for k, (r, t) in enumerate(talk)], "conv_id long, turn long, role string, text string, extra int")
+    lists = spark.createDataFrame([(1, [(r, t, "x") for r, t in talk], 0)], "conv_id long, messages array<struct<role:string,content:string,name:string>>, extra int")
+    single = spark.createDataFrame([(1, talk[0][1], "", talk[1][1], {"k": "v"})], "conv_id long, instruction string, input string, output string, meta map<string,string>")
+    assert [C.layout_of(t.schema).name for t in (by_turn, lists, single)] == ["turn_rows", "messages", "instruction"]
+    made = [C.formatted_turn_rows(t).collect() for t in (by_turn, lists, single)]
+    assert made[0] == made[1] == made[2] and len(made[0]) == 1
+
+
+def test_sql_of_chats(spark, sf_dir):
+    from compare import differ, duck
+
+    assert differ(registry.QUERIES["op8_chat_formatting"](spark, sf_dir), duck(sf_dir), registry.ORACLES["op8_chat_formatting"]) == ""
+
+
 def test_registered_over_all_rows(spark, sf_dir):
     assert len(registry.QUERIES) == 10 and {re.match(r"op(\d+)_", n).group(1) for n in registry.QUERIES} == {str(i) for i in range(1, 11)}
     got = registry.QUERIES["op8_chat_formatting"](spark, sf_dir)
