@@ -83,6 +83,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def _spans_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one rule in the distinct texts: lengths of what lies between matches and of matches, summed."""
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT text, {rank} AS rank, '{kind}' AS kind, CAST(upto AS BIGINT) - length(whole) AS start, CAST(upto AS BIGINT) AS "end" FROM (
+    SELECT text, whole, value, sum(length(gap) + length(whole)) OVER (PARTITION BY text ORDER BY nth) AS upto FROM (
+      SELECT text, unnest(regexp_extract_all(text, '{p}')) AS whole, unnest(regexp_extract_all(text, '{p}', {group})) AS value,
+        unnest(list_slice(string_split_regex(text, '{p}'), 1, len(regexp_extract_all(text, '{p}')))) AS gap, unnest(range(len(regexp_extract_all(text, '{p}')))) AS nth
+      FROM texts WHERE regexp_matches(text, '{p}')))
+  WHERE length(value) >= {least}"""
+
+
+#: RE2 has no possessive loops: this pattern reads private keys that have their last line, or none but the first.
+_PEM_SQL = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"
+_NEWER = "coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' token=added0in0version2' ELSE '' END"
+
+
+def _secrets_sql(documents: str, more: str = "") -> str:
+    return (
+        f"WITH docs AS ({documents}), texts AS (SELECT DISTINCT text FROM docs), spans AS ("
+        + " UNION ALL ".join(_spans_sql(i, r.kind, _PEM_SQL if r.kind == "pem" else r.pattern, r.group, r.least) for i, r in enumerate(secret_scans.RULES))
+        + f"""),
+held AS (
+  SELECT text, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) FILTER (rank < 3), '') AS base,
+    string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY text
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans{more}
+FROM docs d LEFT JOIN held h ON d.text = h.text
+"""
+    )
+
+
+def secret_ledger_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of documents: the first lacks each seventh, the second adds a line to each fifth; unseen: the second scan had to read the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    _, ledger = secret_scans.scanned(docs.where("doc_id % 7 <> 0"))
+    newer = docs.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, " token=added0in0version2").otherwise("")))
+    found, gained = secret_scans.scanned(newer, ledger)
+    unseen = gained.select(F.col("blob").alias("of"), F.lit(True).alias("unseen"))
+    marked = found.join(unseen, F.col("blob") == F.col("of"), "left")
+    return secret_scans.digested(marked, more=("unseen",)).withColumn("unseen", F.coalesce("unseen", F.lit(False)))
+
+
+ORACLES_OF_SECRETS = {
+    "op2_secret_scans": _secrets_sql("SELECT doc_id, coalesce(text, '') AS text FROM documents"),
+    "secret_ledger_versions": _secrets_sql(
+        f"SELECT doc_id, {_NEWER} AS text FROM documents", ", d.text NOT IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 7 <> 0) AS unseen"
+    ),
+}
+
 #: The template marks a turn by START, the role, a line end, the text and END; "<|" inside is written "<||".
 OP8_SQL = """
 WITH turns AS (
@@ -100,4 +152,5 @@ said AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM said
 """
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": OP8_SQL}
+ORACLES: dict[str, str] = {**ORACLES_OF_SECRETS, "op8_chat_formatting": OP8_SQL}
+QUERIES["secret_ledger_versions"] = secret_ledger_versions

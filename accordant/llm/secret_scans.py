@@ -1,16 +1,19 @@
 """Secret scans through an incremental ledger of blobs.
 
 Every version of every path is addressed by the SHA-256 of its content.  The
-ledger has, per blob, the rule versions that scanned it and the spans they found;
-a scan looks only at pairs of blob and rule version that are not in it, each blob
-once however many paths and versions carry it, and the findings are joined back
-to all paths.  Only DataFrame functions are used: a rule's matches and the text
-between them come from the regular-expression functions, and offsets are running
-sums of their lengths in code points.
+ledger has, per blob, the rule versions that scanned it and the spans they found,
+each under its rule version; a scan looks only at pairs of blob and rule version
+that are not in it, each blob once however many paths and versions carry it.
+Hashes are held against the ledger before any text is moved.  The findings are
+joined back to all paths, those of the rule versions in force only, so that a rule
+that was replaced has no say.  Only DataFrame functions are used: a rule's matches
+and the text between them come from the regular-expression functions, and offsets
+are running sums of their lengths in code points.
 
 Defined results for odd input: a null text is an empty one, without spans; equal
 texts have equal spans; repeated rows give repeated rows; an empty table gives an
-empty result; further columns are ignored; ids may be null.
+empty result, and an empty ledger is as none; further columns are ignored, or kept
+where the rows of the table are returned, whatever their names; ids may be null.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from accordant.llm.common import text_of
+from accordant.llm.common import settled, text_of
 
 
 @dataclass(frozen=True)
@@ -63,7 +66,10 @@ ADDED = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
 )
 RULES = BASE + ADDED
-LEDGER = "blob string, rules array<string>, spans array<struct<start:long,rank:int,kind:string,end:long>>"
+SPANS = "array<struct<start:long,rank:int,kind:string,end:long,rule:string>>"
+LEDGER = f"blob string, rules array<string>, spans {SPANS}"
+#: Hashes of unseen blobs that a broadcast holds (100 bytes each at most); more are joined by a shuffle.
+FEW_BLOBS = 200_000
 
 
 def _matches(rule: Rule, rank: int, text: Column, due: Column) -> Column:
@@ -76,11 +82,11 @@ def _matches(rule: Rule, rank: int, text: Column, due: Column) -> Column:
     found = F.transform(
         F.slice(joined, F.lit(1), F.size(whole)),
         lambda x, i: F.struct(
-            F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), i.alias("at"), F.length(x["between"]).cast("long").alias("before"),
+            F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.name).alias("rule"), i.alias("at"), F.length(x["between"]).cast("long").alias("before"),
             F.length(x["whole"]).cast("long").alias("n"), (F.length(x["value"]) >= rule.least).alias("counts"),
         ),
     )
-    return F.when(due & likely, found).otherwise(F.array().cast("array<struct<rank:int,kind:string,at:int,before:long,n:long,counts:boolean>>"))
+    return F.when(due & likely, found).otherwise(F.array().cast("array<struct<rank:int,kind:string,rule:string,at:int,before:long,n:long,counts:boolean>>"))
 
 
 def versions_of(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,34 +97,54 @@ def versions_of(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New rows for the ledger: each blob once, under the rule versions that have not scanned it."""
     wanted = F.array(*[F.lit(r.name) for r in rules])
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
-        blobs = blobs.withColumn("due", wanted)
+        due_texts = versions.select("blob", "text").withColumn("due", wanted)
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
         due = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
-        blobs = blobs.join(seen, "blob", "left").withColumn("due", due).where(F.size("due") > 0)
+        hashes = versions.select("blob").distinct().join(seen, "blob", "left")
+        unseen = settled(hashes.select(F.col("blob").alias("of"), due.alias("due")).where(F.size("due") > 0))
+        unseen = F.broadcast(unseen) if unseen.count() <= FEW_BLOBS else unseen
+        due_texts = versions.join(unseen, F.col("blob") == F.col("of")).select("blob", "text", "due")
+    blobs = due_texts.groupBy("blob").agg(F.first("text").alias("text"), F.first("due").alias("due"))
     text = F.col("text")
     found = F.concat(*[_matches(r, i, text, F.array_contains("due", r.name)) for i, r in enumerate(rules)])
     each = blobs.select("blob", "due", F.explode_outer(found).alias("m"))
     so_far = Window.partitionBy("blob", "m.rank").orderBy("m.at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("m.before") + F.col("m.n")).over(so_far)
-    spans = each.withColumn("end", end).select("blob", "due", F.when(F.col("m.counts"), F.struct((F.col("end") - F.col("m.n")).alias("start"), "m.rank", "m.kind", "end")).alias("span"))
+    span = F.struct((F.col("end") - F.col("m.n")).alias("start"), "m.rank", "m.kind", "end", "m.rule")
+    spans = each.withColumn("end", end).select("blob", "due", F.when(F.col("m.counts"), span).alias("span"))
     return spans.groupBy("blob").agg(F.first("due").alias("rules"), F.sort_array(F.collect_list("span")).alias("spans"))
 
 
-def findings_at_paths(versions: DataFrame, *ledgers: DataFrame) -> DataFrame:
-    """path, blob, spans (by start, then rule order) of all paths, from the ledger's parts."""
-    parts = ledgers[0]
-    for more in ledgers[1:]:
-        parts = parts.unionByName(more)
-    if len(ledgers) > 1:
-        parts = parts.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    # a second key makes Spark deal out both sides anew, so that it can split the paths of a blob with very many
-    held = parts.where(F.size("spans") > 0).select(F.col("blob").alias("of"), F.left("blob", F.lit(4)).alias("of_head"), "spans")
-    none = F.array().cast("array<struct<start:long,rank:int,kind:string,end:long>>")
-    same = (F.col("blob") == F.col("of")) & (F.col("head") == F.col("of_head"))
-    return versions.select("path", "blob", F.left("blob", F.lit(4)).alias("head")).join(held, same, "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
+def in_force(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, spans (by start, then the order of rules) of the blobs that have some under these rule versions."""
+    order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
+    known = F.filter("spans", lambda s: F.try_element_at(order, s["rule"]).isNotNull())
+    ranked = F.transform(known, lambda s: F.struct(s["start"].alias("start"), F.try_element_at(order, s["rule"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), s["rule"].alias("rule")))
+    return ledger.select("blob", ranked.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+
+
+def findings_at_paths(versions: DataFrame, *ledgers: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """path, blob, spans of all paths, from the ledger's parts."""
+    if len(ledgers) == 1:
+        held = ledgers[0].where(F.size("spans") > 0).select("blob", "spans")
+    else:
+        parts = ledgers[0].select("blob", "spans")
+        for more in ledgers[1:]:
+            parts = parts.unionByName(more.select("blob", "spans"))
+        held = in_force(parts, rules)
+    found = _with_spans(versions.select("path", "blob"), held)
+    return found.select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def _with_spans(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """rows, which have blob, with the spans of their blob.
+
+    A second key makes Spark deal out both sides anew, so that it can split the rows of a blob with very many.
+    """
+    held = held.select(F.col("blob").alias("of"), F.left("blob", F.lit(4)).alias("of_head"), "spans")
+    return rows.withColumn("head", F.left("blob", F.lit(4))).join(held, (F.col("blob") == F.col("of")) & (F.col("head") == F.col("of_head")), "left")
 
 
 def listed(spans: Column) -> Column:
@@ -126,15 +152,26 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def digested(found: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans from the spans at paths, and more of their columns."""
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
+    of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *more)
+
+
+def scanned(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What was found at every path, and the rows that the ledger gains (written once)."""
+    versions = versions_of(docs, id_col, text_col)
+    new = settled(scan_unseen(versions, ledger, rules))
+    return findings_at_paths(versions, *([new] if ledger is None else [ledger, new]), rules=rules), new
+
+
 def secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every whole text."""
     versions = versions_of(docs, id_col, text_col)
     new = scan_unseen(versions, ledger)
-    found = findings_at_paths(versions, *([new] if ledger is None else [ledger, new]))
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
-    counts = [F.size(of_kind(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE]
-    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return digested(findings_at_paths(versions, *([new] if ledger is None else [ledger, new])))
 
 
 def without_secrets(text: Column, spans: Column, mask: str = "[secret]") -> Column:
@@ -155,10 +192,9 @@ def without_secrets(text: Column, spans: Column, mask: str = "[secret]") -> Colu
 
 def redacted(docs: DataFrame) -> DataFrame:
     """All documents, secrets masked and n_chars counted anew where some were, in the columns of docs."""
-    held = scan_unseen(versions_of(docs)).where(F.size("spans") > 0).select(F.col("blob").alias("of_blob"), F.col("spans").alias("found_spans"))
-    hit = docs.withColumn("at_blob", F.sha2(text_of("text"), 256)).join(held, F.col("at_blob") == F.col("of_blob"), "left")
-    clean = F.when(F.col("found_spans").isNotNull(), without_secrets(F.col("text"), F.col("found_spans"))).otherwise(F.col("text"))
-    hit = hit.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.when(F.col("found_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return hit.select(*docs.columns)
+    held = scan_unseen(versions_of(docs)).where(F.size("spans") > 0)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(text_of("text"), 256).alias("blob"))
+    hit, masked = F.col("spans").isNotNull(), without_secrets(F.col("row.text"), F.col("spans"))
+    rows = _with_spans(rows, held).select("row", hit.alias("hit"), F.when(hit, masked).otherwise(F.col("row.text")).alias("clean"))
+    put = {"text": F.col("clean"), "n_chars": F.when(F.col("hit"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[put[c].alias(c) if c in put else F.col("row")[c].alias(c) for c in docs.columns])

@@ -135,6 +135,48 @@ def test_ledger_is_incremental(spark, odd):
     assert S.secrets(odd, S.scan_unseen(versions)).orderBy("doc_id").collect() == one
 
 
+def test_a_replaced_rule_has_no_say(spark):
+    """The ledger of hex@1 keeps its spans; under hex@2, which asks for 32 digits, they are in no result."""
+    docs = spark.createDataFrame([(1, "a " + "0a" * 8 + " b"), (2, "c " + "0b" * 16), (3, None)], "doc_id long, text string")
+    found, ledger = S.scanned(docs, None, S.BASE)
+    assert {r.path: len(r.spans) for r in found.collect()} == {1: 1, 2: 1, 3: 0}
+    rules = (*S.BASE[:2], S.Rule("hex", r"[0-9a-f]{32,}", version=2))
+    found, gained = S.scanned(docs, ledger, rules)
+    assert {r.path: [s.rule for s in r.spans] for r in found.collect()} == {1: [], 2: ["hex@2"], 3: []}
+    assert {x for r in gained.collect() for x in r.rules} == {"hex@2"}
+    again, none = S.scanned(docs, ledger.unionByName(gained), rules)
+    assert none.count() == 0 and sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_only_unseen_blobs_are_scanned(spark, odd, monkeypatch, few):
+    """Whether the unseen hashes are broadcast or not; a ledger without rows is as none."""
+    monkeypatch.setattr(S, "FEW_BLOBS", few)
+    _, ledger = S.scanned(odd.where("doc_id < 8"))
+    whole, all_rows = S.scanned(odd)
+    found, gained = S.scanned(odd, ledger)
+    assert bag((r.path, r.blob, tuple(r.spans)) for r in found.collect()) == bag((r.path, r.blob, tuple(r.spans)) for r in whole.collect())
+    seen = {r.blob for r in ledger.collect()}
+    assert {r.blob for r in gained.collect()} == {r.blob for r in all_rows.collect()} - seen and seen
+    assert S.scanned(odd, ledger.where("false"))[1].count() == all_rows.count()
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    kind = "doc_id long, text string, at_blob int, of_blob int, blob int, head int, spans int, found_spans int, row int, n_chars int"
+    rows = spark.createDataFrame([(1, "x password = 'hunter2hunter2' y", *range(8)), (2, None, *range(8))], kind)
+    got = {r.doc_id: r for r in S.redacted(rows).collect()}
+    assert got[1].text == "x [secret]' y" and got[1].n_chars == len(got[1].text) and tuple(got[1])[2:9] == tuple(range(7)) and tuple(got[2])[2:] == tuple(range(8))
+
+
+@pytest.mark.parametrize("name", ["op2_secret_scans", "secret_ledger_versions"])
+def test_sql_of_secrets(spark, sf_dir, name):
+    from compare import differ, duck
+
+    from accordant.llm import registry
+
+    assert differ(registry.QUERIES[name](spark, sf_dir), duck(sf_dir), registry.ORACLES[name]) == ""
+
+
 # ----------------------------------------------------------------------- op3
 
 
