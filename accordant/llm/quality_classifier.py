@@ -1,19 +1,23 @@
 """Quality classifier by compression against labelled dictionaries.
 
-Two zstandard dictionaries hold excerpts of labelled good and bad documents.  A
-text is compressed whole with either one and with neither; the difference of the
-compressed sizes, normalised by the length, becomes a calibrated score through a
-logistic curve fitted on other labelled documents.
+Two zstandard dictionaries hold labelled good and bad documents.  A text is
+compressed whole with either one and with none; the differences of the compressed
+sizes, normalised by the length, by its root and by the plain size, become a
+calibrated score through a logistic curve fitted on other labelled documents.
+Nothing but these differences goes into the score.
 
 Learning sees only labelled rows whose crc32(doc_id) mod FOLDS is not HELD_OUT,
 and a bounded sample of those: the ids smallest in a fixed hash order, at most
-DICTIONARY_ROWS of either label for the dictionaries (one excerpt each, at a place
-chosen by hash, DICTIONARY_CHARS in all) and CALIBRATION_ROWS for the curve.  Every document is scored
-whole.
+DICTIONARY_ROWS of either label for the dictionaries, of which whole texts are
+taken in that order as long as they fit in DICTIONARY_BYTES, and CALIBRATION_ROWS
+others for the curve.  Every document is scored whole.
 
 Defined results for odd input: a null text is an empty one and gets the score of
-length zero; repeated rows give repeated rows; documents may be an empty table;
-without labels of both kinds every score is 0.5; other columns are ignored.
+difference zero; repeated rows give repeated rows; an id with two labels that
+differ is not learnt from, and of one with several texts the smallest is; where no
+labelled row is left for the curve, or only of one label, the rows of the
+dictionaries serve for it; documents may be an empty table; without labels of both
+kinds every score is 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accordant.llm.common import hash_order, rows_in_slices, text_of
+from accordant.llm.common import hash_order, rows_in_slices, settled, text_of
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-DICTIONARY_ROWS, DICTIONARY_CHARS, EXCERPT, LEVEL = 1400, 1_000_000, 700, 3
-CALIBRATION_ROWS, CALIBRATION_PERCENT = 4000, 40
+DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 1400, 1_000_000, 9
+CALIBRATION_ROWS, CALIBRATION_PERCENT, CURVE_TASKS = 4000, 40, 16
 
 
 def held_out(id_col: str = "doc_id"):
@@ -36,14 +40,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def shape(sizes: np.ndarray) -> np.ndarray:
-    """Features of (length, good size, bad size, plain size): the normalised difference and how much there is to compress."""
+    """Of (length, good size, bad size, plain size): what either dictionary saves, by the length, by its root, and by the plain size."""
     n, good, bad, plain = sizes.T.astype(float)
-    length = np.maximum(n, 1.0)
-    return np.column_stack([(bad - good) / length, np.log((bad + 8) / (good + 8)), (plain - good) / length, (plain - bad) / length, np.minimum(plain / length, 2.0), np.log1p(n) / 10])
+    saved = np.column_stack([plain - good, plain - bad])
+    return np.hstack([saved / by[:, None] for by in (np.maximum(n, 1.0), np.sqrt(np.maximum(n, 1.0)), plain)])
 
 
 class Compressors:
-    """Good, bad and no dictionary, made once in each worker."""
+    """With the good dictionary, with the bad one and with none, made once in each worker."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard as z
@@ -80,7 +84,7 @@ class Model:
         self.good, self.bad, self.weights, self.made = good, bad, weights, None
 
     def __getstate__(self):
-        return {"good": self.good, "bad": self.bad, "weights": self.weights, "made": None}
+        return self.__dict__ | {"made": None}
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
@@ -90,6 +94,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
+def fitting(lengths: list[int], most: int) -> list[int]:
+    """Places of the lengths that fit, taken in order."""
+    out, held = [], 0
+    for i, n in enumerate(lengths):
+        if held + n <= most:
+            out.append(i)
+            held += n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from bounded samples; ids with two labels that differ are left out."""
     said = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
@@ -100,11 +114,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen.append(said.where(curve).orderBy("order").limit(CALIBRATION_ROWS).withColumn("part", F.lit("c")))
     ids = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).select(F.col("doc_id").alias("k"), "quality", "order", "part")
     rows = docs.select(F.col(id_col).alias("k"), text_of(text_col).alias("text")).join(F.broadcast(ids), "k")
-    sampled = {r.part: r.n for r in ids.where("part <> 'c'").groupBy("part").agg(F.count("*").alias("n")).collect()}
-    width = F.coalesce(*[F.when(F.col("part") == p, F.lit(max(EXCERPT, DICTIONARY_CHARS // n))) for p, n in sorted(sampled.items())], F.lit(EXCERPT))
-    spot = F.pmod(F.col("order"), F.greatest(F.length("text") - width, F.lit(1))).cast("int")
-    excerpts = rows.where("part <> 'c'").select("part", "order", F.substring("text", spot + 1, width).alias("text")).collect()
-    held = {part: "\n".join(r.text for r in sorted(excerpts, key=lambda r: (r.order, r.text)) if r.part == part).encode() for part in ("d0", "d1")}
+    rows = settled(rows.groupBy("k", "quality", "order", "part").agg(F.min("text").alias("text")))
+    held = {}
+    for part in ("d0", "d1"):
+        of_part = rows.where(F.col("part") == part)
+        sizes = of_part.select("order", "k", F.octet_length("text").alias("n")).orderBy("order", "k").collect()
+        wanted = [sizes[i].k for i in fitting([r.n for r in sizes], DICTIONARY_BYTES)]
+        texts = of_part.where(F.col("k").isin(wanted)).orderBy("order", "k").collect() if wanted else []
+        held[part] = "\n".join(r.text for r in texts).encode()
     if min(map(len, held.values())) < 64:
         return Model()
     compressors = held["d1"], held["d0"]
@@ -117,12 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 sizes = made.sizes(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in sizes.T), part.column(1).cast(pa.int64())], [f.name for f in fields])
 
-    others = rows.where("part = 'c'").select("text", "quality")
-    got = np.array([tuple(r) for r in others.mapInArrow(run, T.StructType(fields)).collect()], np.int64).reshape(-1, 5)
+    for curve_rows in (rows.where("part = 'c'"), rows.where("part <> 'c'")):
+        got = np.array([tuple(r) for r in curve_rows.select("text", "quality").repartition(CURVE_TASKS).mapInArrow(run, T.StructType(fields)).collect()], np.int64).reshape(-1, 5)
+        if len(set(got[:, 4])) == 2:
+            break
     got = got[np.lexsort(got.T)]
-    if len(set(got[:, 4])) < 2:  # too few labelled rows: calibrate on those of the dictionaries
-        again = rows.where("part <> 'c'").select("text", "quality").mapInArrow(run, T.StructType(fields)).collect()
-        got = np.array([tuple(r) for r in again], np.int64).reshape(-1, 5)
     return Model(held["d1"], held["d0"], logistic(shape(got[:, :4]), got[:, 4].astype(float)))
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -512,6 +513,58 @@ def test_no_category_is_folded_and_misses_are_reported(spark):
 # ---------------------------------------------------------------------- op10
 
 
+def test_the_curve_is_the_likeliest():
+    """No weight can be moved without a loss of penalised likelihood."""
+    draw = np.random.RandomState(2)
+    x = draw.randn(300, 3) * [1.0, 0.01, 50.0] + [0, 5, 100]
+    y = (draw.rand(300) < 1 / (1 + np.exp(-(x[:, 0] + (x[:, 2] - 100) / 40)))).astype(float)
+    mean, sd = x.mean(0), x.std(0) + 1e-9
+
+    def loss(w):
+        z = x @ w[:-1] + w[-1]
+        slopes, bias = w[:-1] * sd, w[-1] + w[:-1] @ mean
+        return np.logaddexp(0, z).sum() - y @ z + 1e-3 * 300 / 2 * (slopes @ slopes + bias * bias)
+
+    w = Q.logistic(x, y)
+    for i in range(4):
+        for step in (-1e-3, 1e-3):
+            moved = w.copy()
+            moved[i] += step / (sd[i] if i < 3 else 1)
+            assert loss(moved) > loss(w)
+
+
+def test_scores_by_a_second_computation(spark, documents, labels):
+    """Samples, dictionaries, sizes and curve made anew in plain Python."""
+    import zstandard
+
+    ordered = labels.select("doc_id", "quality", Q.hash_order("doc_id").alias("o")).orderBy("o").collect()
+    seen = [r for r in ordered if zlib.crc32(str(r.doc_id).encode()) % 5]
+    text = {r.doc_id: r.text or "" for r in documents.collect()}
+    packs = []
+    for q in (1, 0):
+        parts, n = [], 0
+        for r in [r for r in seen if r.quality == q and r.o % 100 >= 40][:1400]:
+            size = len(text[r.doc_id].encode())
+            if n + size <= 1_000_000:
+                parts.append(text[r.doc_id])
+                n += size
+        packs.append(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict("\n".join(parts).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
+
+    packs.append(zstandard.ZstdCompressor(level=9))
+
+    def savings(t):
+        raw = t.encode()
+        good, bad, plain = (len(p.compress(raw)) for p in packs)
+        n = max(1, len(raw))
+        return [(plain - s) / by for by in (n, n**0.5, plain) for s in (good, bad)]
+
+    curve = [r for r in seen if r.o % 100 < 40][:4000]
+    w = Q.logistic(np.array([savings(text[r.doc_id]) for r in curve]), np.array([float(r.quality) for r in curve]))
+    for r in Q.scored(documents, Q.fit(documents, labels)).collect():
+        z = sum(a * b for a, b in zip(w, savings(text[r.doc_id]))) + w[-1]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6), r
+
+
 def test_quality_classifier(spark, odd, documents, labels, nothing):
     model = Q.fit(documents, labels)
     got = Q.scored(documents, model).join(labels, "doc_id")
