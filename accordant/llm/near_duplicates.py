@@ -101,7 +101,9 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b), a < b: every pair of distinct fingerprints within max_distance (3 at most); a pair may come twice."""
     if max_distance > MAX_DISTANCE:
         raise ValueError("two blocks with radius-one anchors cover three differing bits at most")
-    home, replica = homes_and_replicas(prints)
+    # a fixed number of tasks, since each row becomes up to 32: one exchange of distinct fingerprints that is not coalesced
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    home, replica = homes_and_replicas(prints.select("fp").repartition(tasks, "fp"))
     h, r = home.alias("h"), replica.alias("r")
     close = F.bit_count(F.col("h.fp").bitwiseXOR(F.col("r.fp"))) <= max_distance
     met = h.join(r, (F.col("h.anchor") == F.col("r.anchor")) & (F.col("h.fp") < F.col("r.fp")) & close)

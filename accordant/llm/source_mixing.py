@@ -13,7 +13,8 @@ proportion to their targets.  Each document is kept if a fixed hash of its id
 falls below its cell's probability.  Margins that miss are reported by a warning.
 
 Targets are given per margin, or follow from the corpus: a category's share
-raised to a power below one, which moves weight from large to small ones.  Every
+raised to a power below one, which moves weight from large to small ones.  Topics
+are a column of the caller's, or the form of the text stands for them.  Every
 category is a cell of its own.  Up to FEW cells are raked in one partition and
 broadcast; more are a distributed table, raked by sums per margin joined back.
 Only DataFrame functions are used.
@@ -64,10 +65,16 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def weighed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def margins_of(topic_col: str | None = None, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> list[Column]:
+    """The three margins; topic_col: the caller's own topics, else the form of the text stands for one."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    topic = known(topic_col) if topic_col else topic_of(text_of(text_col))
+    return [known(source_col).alias("mix_source"), known(lang_col).alias("mix_lang"), topic.alias("mix_topic")]
+
+
+def weighed(docs: DataFrame, topic_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """doc_id, the three margins and n_tokens."""
-    text, known = text_of(text_col), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    return docs.select(F.col(id_col).alias("doc_id"), known(source_col).alias("mix_source"), known(lang_col).alias("mix_lang"), topic_of(text).alias("mix_topic"), n_tokens(text).alias("n_tokens"))
+    return docs.select(F.col(id_col).alias("doc_id"), *margins_of(topic_col, text_col, source_col, lang_col), n_tokens(text_of(text_col)).alias("n_tokens"))
 
 
 def _with_sums(cells: DataFrame, margin: str, value: Column, few: bool) -> DataFrame:
@@ -149,9 +156,9 @@ def raked(sums: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     return cells.select(*MARGINS, "tokens", (F.col("s") * F.col("x") / F.lit(held)).alias("share"), (F.col("x") / F.lit(top or 1.0)).alias("probability"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 7, keep: float | None = None) -> DataFrame:
-    """doc_id, source_class, lang_class, topic, n_tokens, probability, selected: one row per document."""
-    rows = weighed(docs)
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 7, keep: float | None = None, topic_col: str | None = None) -> DataFrame:
+    """doc_id, source_class, lang_class, topic, n_tokens, probability, selected: one row per document, whose text is read once."""
+    rows = settled(weighed(docs, topic_col))
     cells = settled(raked(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets, keep))
     return _chosen(rows, cells, F.col("doc_id"), seed).select("doc_id", F.col("mix_source").alias("source_class"), F.col("mix_lang").alias("lang_class"), F.col("mix_topic").alias("topic"), "n_tokens", "probability", "selected")
 
@@ -165,9 +172,8 @@ def _chosen(rows: DataFrame, cells: DataFrame, key: Column, seed: int) -> DataFr
     return out.withColumn("selected", u < F.col("probability")).drop("held", *[f"of_{m}" for m in MARGINS])
 
 
-def kept_mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 7, keep: float | None = None) -> DataFrame:
+def kept_mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 7, keep: float | None = None, topic_col: str | None = None) -> DataFrame:
     """The documents that the mixture selects, in the columns of docs."""
-    cells = settled(raked(weighed(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets, keep))
-    text, known = text_of("text"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), known("source").alias("mix_source"), known("lang").alias("mix_lang"), topic_of(text).alias("mix_topic"))
+    cells = settled(raked(weighed(docs, topic_col).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets, keep))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *margins_of(topic_col))
     return _chosen(rows, cells, F.col("row.doc_id"), seed).where("selected").select("row.*")

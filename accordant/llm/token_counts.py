@@ -4,7 +4,8 @@ A pre-token is a run of characters other than ASCII white space, with the
 vocabulary's word mark in front.  Its tokens are the best segmentation under a
 unigram model over a public vocabulary: pieces are ranked by the file, and a
 piece of rank r scores -log(r + 1).  A character that no piece covers counts as
-its UTF-8 bytes, each below the rarest piece.
+its UTF-8 bytes, each below the rarest piece.  No public file here holds a unigram
+model, and none is trained, so these scores are a surrogate.
 
 The distinct pre-tokens of a batch are walked in sorted order, which is a
 depth-first walk of their trie: the forward scores of the path to a node are
