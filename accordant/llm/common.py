@@ -14,10 +14,12 @@ ROWS_OUT = 512
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Make checkpoints possible: the cluster's own folder, or a new one if none is set (tests)."""
+    """Make checkpoints possible: in the cluster's own folder; a local session without one gets a new folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="accordant-"))
 
 
@@ -50,3 +52,13 @@ def rows_in_slices(batch, rows: int = ROWS_OUT):
 def hash_order(name: str, seed: int = 11) -> Column:
     """A fixed pseudo-random order of ids, for bounded samples of labelled rows."""
     return F.xxhash64(F.col(name), F.lit(seed))
+
+
+def fitting(lengths: list[int], most: int) -> list[int]:
+    """Places of the lengths that fit, taken in order."""
+    out, held = [], 0
+    for i, n in enumerate(lengths):
+        if held + n <= most:
+            out.append(i)
+            held += n
+    return out

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accordant.llm.common import hash_order, rows_in_slices, settled, text_of
+from accordant.llm.common import fitting, hash_order, rows_in_slices, settled, text_of
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 1400, 1_000_000, 9
@@ -94,16 +94,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fitting(lengths: list[int], most: int) -> list[int]:
-    """Places of the lengths that fit, taken in order."""
-    out, held = [], 0
-    for i, n in enumerate(lengths):
-        if held + n <= most:
-            out.append(i)
-            held += n
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from bounded samples; ids with two labels that differ are left out."""
     said = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))

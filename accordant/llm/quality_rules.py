@@ -7,15 +7,17 @@ lie in content lines decides retention.
 
 The field is trained here, by gradient ascent on the conditional likelihood, from
 a bounded sample of labelled documents: the SAMPLE_ROWS ids smallest in a fixed
-hash order of either label, of at most SAMPLE_LINES lines each (a longer one gives
-a run of lines at a place chosen by hash).  Lines of documents labelled good count
-as content, unless they say licence or repeat a line above; lines of documents
+hash order of either label, whole ones, taken in that order as long as their lines
+fit in SAMPLE_LINES for the label.  Their lines' features are computed by tasks;
+only those numbers reach the driver.  Lines of documents labelled good count as
+content, unless they say licence or repeat a line above; lines of documents
 labelled bad count as boilerplate.
 
 Defined results for odd input: a null or blank text has no words, fails the base
 rules and is not kept; repeated rows give repeated rows; an empty table gives an
-empty result; other columns are ignored; without labels of both kinds the verdict
-is that of the base rules.
+empty result; other columns are ignored; an id with two labels that differ is not
+learnt from, and of one with several texts the smallest is; without labels of both
+kinds the verdict is that of the base rules.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accordant.llm.common import hash_order, rows_in_slices, text_of
+from accordant.llm.common import fitting, hash_order, rows_in_slices, settled, text_of
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-SAMPLE_ROWS, SAMPLE_LINES, STEPS, CONTENT_SHARE = 700, 40, 150, 0.5
+SAMPLE_ROWS, SAMPLE_LINES, SAMPLE_TASKS, STEPS, CONTENT_SHARE = 700, 20_000, 16, 150, 0.5
 SYMBOLS = b"#*$%&|<>"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALPHA, UPPER = re.compile(r"[\W\d_]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -130,19 +132,22 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def trained(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(weights: features x 2, transitions: 2 x 2) that make the labels of the sequences likely."""
-    longest = max(len(y) for _, y in sequences)
-    x, y, there = np.zeros((len(sequences), longest, N_FEATURES)), np.zeros((len(sequences), longest), int), np.zeros((len(sequences), longest), bool)
-    for i, (f, labels) in enumerate(sequences):
-        x[i, : len(labels)], y[i, : len(labels)], there[i, : len(labels)] = f, labels, True
-    w, p = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    means, squares, both = np.zeros(2 * N_FEATURES + 4), np.zeros(2 * N_FEATURES + 4), there[:, 1:]
-    truth = np.eye(2)[y] * there[..., None]
-    moved = np.einsum("ita,itb,it->iab", np.eye(2)[y][:, :-1], np.eye(2)[y][:, 1:], both.astype(float))
-    total = there.sum()
-    for step in range(1, STEPS + 1):
-        u = x @ w
+class Padded:
+    """Sequences of like length as arrays: features, labels, and where there is a line."""
+
+    def __init__(self, sequences: list[tuple[np.ndarray, np.ndarray]]):
+        longest = max(len(y) for _, y in sequences)
+        self.x, y, self.there = np.zeros((len(sequences), longest, N_FEATURES)), np.zeros((len(sequences), longest), int), np.zeros((len(sequences), longest), bool)
+        for i, (f, labels) in enumerate(sequences):
+            self.x[i, : len(labels)], y[i, : len(labels)], self.there[i, : len(labels)] = f, labels, True
+        self.both, self.y = self.there[:, 1:], y
+        self.truth = np.eye(2)[y] * self.there[..., None]
+        self.moved = np.einsum("ita,itb,it->ab", self.truth[:, :-1], self.truth[:, 1:], self.both.astype(float))
+
+    def likelihood(self, w: np.ndarray, p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Logarithm of the labels' likelihood, and its slopes by the weights and by the transitions."""
+        u, there = self.x @ w, self.there
+        longest = u.shape[1]
         ahead, behind = np.zeros_like(u), np.zeros_like(u)
         ahead[:, 0] = u[:, 0]
         for t in range(1, longest):
@@ -151,9 +156,27 @@ def trained(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
             behind[:, t] = np.where(there[:, t + 1, None], _lse((behind[:, t + 1] + u[:, t + 1])[:, None, :] + p, 2), 0.0)
         z = _lse(ahead[:, -1], 1)
         single = np.exp(ahead + behind - z[:, None, None]) * there[..., None]
-        pair = np.exp(ahead[:, :-1, :, None] + p + (u + behind)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None]
-        gw = np.einsum("itf,ita->fa", x, truth - single) / total
-        gp = (moved - pair.sum(1)).sum(0) / total
+        pair = np.exp(ahead[:, :-1, :, None] + p + (u + behind)[:, 1:, None, :] - z[:, None, None, None]) * self.both[..., None, None]
+        said = (u * self.truth).sum() + (self.moved * p).sum() - z.sum()
+        return float(said), np.einsum("itf,ita->fa", self.x, self.truth - single), self.moved - pair.sum((0, 1))
+
+
+def padded(sequences: list[tuple[np.ndarray, np.ndarray]]) -> list[Padded]:
+    """Groups of sequences of which none is over twice as long as another."""
+    groups: dict[int, list] = {}
+    for s in sequences:
+        groups.setdefault(len(s[1]).bit_length(), []).append(s)
+    return [Padded(groups[k]) for k in sorted(groups)]
+
+
+def trained(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(weights: features x 2, transitions: 2 x 2) that make the labels of the sequences likely."""
+    groups, total = padded(sequences), sum(len(y) for _, y in sequences)
+    w, p = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+    means, squares = np.zeros(2 * N_FEATURES + 4), np.zeros(2 * N_FEATURES + 4)
+    for step in range(1, STEPS + 1):
+        slopes = [g.likelihood(w, p)[1:] for g in groups]
+        gw, gp = sum(a for a, _ in slopes) / total, sum(b for _, b in slopes) / total
         g = np.concatenate([gw.ravel(), gp.ravel()]) - 1e-4 * np.concatenate([w.ravel(), p.ravel()])
         means, squares = 0.9 * means + 0.1 * g, 0.99 * squares + 0.01 * g * g
         move = 0.15 * (means / (1 - 0.9**step)) / (np.sqrt(squares / (1 - 0.99**step)) + 1e-8)
@@ -167,14 +190,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     said = said.where("quality = most").select(F.col("doc_id").alias("k"), "quality", hash_order("doc_id", 5).alias("order"))
     chosen = said.where("quality = 0").orderBy("order").limit(SAMPLE_ROWS).unionByName(said.where("quality = 1").orderBy("order").limit(SAMPLE_ROWS))
     rows = docs.select(F.col(id_col).alias("k"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "k")
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    at = F.pmod("order", F.greatest(F.size("lines") - SAMPLE_LINES, F.lit(0)) + 1).cast("int") + 1
-    sample = rows.withColumn("lines", lines).where("size(lines) > 0").select("quality", "order", F.array_join(F.slice("lines", at, F.lit(SAMPLE_LINES)), "\n").alias("text")).collect()
-    sequences = []
-    for r in sorted(sample, key=lambda r: (r.order, r.text)):
-        x, _, again = line_features(r.text)
-        sequences.append((x, np.where(again | (x[:, 8] > 0), 0, 1) if r.quality else np.zeros(len(x), int)))
-    return trained(sequences) if len({r.quality for r in sample}) == 2 else None
+    rows = rows.groupBy("k", "quality", "order").agg(F.min("text").alias("text")).repartition(SAMPLE_TASKS)
+    schema = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("order", T.LongType()), T.StructField("n", T.LongType()), T.StructField("lines", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            for part in rows_in_slices(batch):
+                made = [(x, again) for x, _, again in map(line_features, part.column(2).to_pylist())]
+                packed = [np.column_stack([x, again]).astype("<f8").tobytes() for x, again in made]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), part.column(1), pa.array([len(x) for x, _ in made], pa.int64()), pa.array(packed, pa.binary())], schema.names)
+
+    sample = settled(rows.select("quality", "order", "text").mapInArrow(run, schema).where("n > 0"))
+    sequences, kinds = [], set()
+    for quality in (0, 1):
+        of_kind = sample.where(F.col("quality") == quality)
+        sizes = of_kind.select("order", "n").orderBy("order").collect()
+        wanted = [sizes[i].order for i in fitting([r.n for r in sizes], SAMPLE_LINES)]
+        for r in of_kind.where(F.col("order").isin(wanted)).orderBy("order").collect() if wanted else []:
+            lines = np.frombuffer(r.lines, "<f8").reshape(r.n, N_FEATURES + 1)
+            x, again = lines[:, :N_FEATURES], lines[:, N_FEATURES] > 0
+            sequences.append((x, np.where(again | (x[:, 8] > 0), 0, 1) if quality else np.zeros(len(x), int)))
+            kinds.add(quality)
+    return trained(sequences) if len(kinds) == 2 else None
 
 
 def content_share(text: str, field: tuple[np.ndarray, np.ndarray]) -> float:
