@@ -1,21 +1,32 @@
 """Media columns: payloads stored in a media container, found again by signature.
 
 ``media_column`` stores a text's bytes as the samples of an 8-bit PCM wave file,
-under a deliberately vague declared type.  ``sniffed`` takes any binary column:
-an Aho-Corasick automaton locates the magic bytes of known formats in one pass,
-validators confirm each hit by its structure and lengths, the hit at offset zero
-corrects the declared type, and further confirmed hits are carved as embedded
-media.  ``media_features`` reads the stored payload back and describes it.
+under the type that its source declared, that of a text.  ``sniffed`` takes any
+binary column: an Aho-Corasick automaton locates the magic bytes and end marks of
+known formats in one pass, validators confirm each hit by its structure, lengths
+and checksums, the hit at offset zero corrects the declared type, and further
+confirmed hits are carved as embedded media.  ``media_features`` reads the stored
+payload back and describes it; ``described_texts`` does all three in one pass.
+
+What confirms a hit: wave and PNG, chunks that add up, PNG checksums; GIF, its
+blocks to the trailer; JPEG, segments with a frame before the scan, and the end
+mark; Ogg, pages of one stream with their checksums; FLAC, its metadata blocks and
+the checksum of the first frame's head (it has no length: it ends with the buffer);
+PDF, a cross-reference where the last lines say; zip, a directory whose place, size
+and entries agree with its end record.
 
 Defined results for odd input: a null text is an empty one and is stored as one
-block of padding; equal texts give equal values; null media give no type and no
-segments; repeated rows give repeated rows; an empty table gives an empty
-result; other columns are ignored.
+block of padding; equal texts give equal values; null media give no segments, keep
+their declared type, and have null features; repeated rows give repeated rows; an
+empty table gives an empty result; other columns are kept by ``sniffed``, where
+media_type, segments and refused give way to its own, and ignored elsewhere.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -29,7 +40,7 @@ from pyspark.sql import types as T
 from accordant.llm.common import rows_in_slices, text_of
 
 BLOCK, PAD, RATE = 576, b"\xff", 8000
-UNKNOWN = "application/octet-stream"
+DECLARED = "text/plain"
 
 # Signatures of media formats, by type.
 SIGNATURES = {
@@ -42,6 +53,9 @@ SIGNATURES = {
     "application/pdf": b"%PDF-",
     "application/zip": b"PK\x03\x04",
 }
+# Where formats end.
+ENDS = {"jpeg end": b"\xff\xd9", "pdf end": b"%%EOF", "zip end": b"PK\x05\x06"}
+Where = tuple[int, int, int]  # end, payload start, payload end
 
 
 def stored_as_wave(payload: bytes) -> bytes:
@@ -103,43 +117,106 @@ def _gif(b: bytes, at: int) -> tuple[int, int, int] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[int, int, int] | None:
-    i = at + 2
+def _jpeg(b: bytes, at: int, ends: list[int]) -> Where | None:
+    i, framed = at + 2, False
     while i + 4 <= len(b) and b[i] == 0xFF:
         kind, n = b[i + 1], int.from_bytes(b[i + 2 : i + 4], "big")
         if kind < 0xC0 or n < 2 or i + 2 + n > len(b):
             return None
+        framed = framed or 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", i + 2 + n)
-            return (end + 2, at + 2, end) if end >= 0 else None
+            k = bisect.bisect_left(ends, i + 2 + n)
+            return (ends[k] + 2, at + 2, ends[k]) if framed and k < len(ends) else None
         i += 2 + n
     return None
 
 
-def _ogg(b: bytes, at: int) -> tuple[int, int, int] | None:
+_MIRROR = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
+
+
+def ogg_checksum(page: bytes) -> int:
+    """CRC-32 with the highest bit first, from zero: the usual one over mirrored bytes, mirrored."""
+    turned = zlib.crc32(page.translate(_MIRROR), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{turned:032b}"[::-1], 2)
+
+
+def _ogg(b: bytes, at: int) -> Where | None:
+    """From a page that begins a stream over the pages that follow."""
     i = at
     while b[i : i + 5] == b"OggS\x00" and i + 27 <= len(b):
-        lacing = b[i + 27 : i + 27 + b[i + 26]]
-        i += 27 + b[i + 26] + sum(lacing)
-    return (i, at, i) if at < i <= len(b) else None
+        if i == at and not b[i + 5] & 2:
+            return None
+        end = i + 27 + b[i + 26]
+        end += sum(b[i + 27 : end])
+        page = b[i:end]
+        if end > len(b) or ogg_checksum(page[:22] + bytes(4) + page[26:]) != int.from_bytes(page[22:26], "little"):
+            break
+        i = end
+    return (i, at, i) if i > at else None
+
+
+def _crc8(part: bytes) -> int:
+    out = 0
+    for x in part:
+        out ^= x
+        for _ in range(8):
+            out = (out << 1 ^ (7 if out & 128 else 0)) & 255
+    return out
+
+
+def _flac(b: bytes, at: int) -> Where | None:
+    i, first = at + 4, True
+    while i + 4 <= len(b):
+        kind, n = b[i], int.from_bytes(b[i + 1 : i + 4], "big")
+        if first and (kind & 127 or n != 34) or kind & 127 == 127:
+            return None
+        i, first = i + 4 + n, False
+        if kind & 128:
+            break
+    if b[i : i + 2] not in (b"\xff\xf8", b"\xff\xf9"):
+        return None
+    # the head has 4 bytes, a number of 1 to 7, sizes of 0 to 4, and its checksum
+    return (len(b), at + 4, len(b)) if any(_crc8(b[i : i + n]) == b[i + n] for n in range(5, 16) if i + n < len(b)) else None
 
 
-def _flac(b: bytes, at: int) -> tuple[int, int, int] | None:
-    ok = len(b) >= at + 42 and b[at + 4] & 127 == 0 and int.from_bytes(b[at + 5 : at + 8], "big") == 34
-    return (len(b), at + 4, len(b)) if ok else None
+_XREF = re.compile(rb"startxref[ \t]*\r?\n?[ \t]*([0-9]{1,10})[ \t]*\r?\n?$")
+_TABLE = re.compile(rb"xref\s|[0-9]{1,10} [0-9]{1,5} obj")
 
 
-def _pdf(b: bytes, at: int) -> tuple[int, int, int] | None:
-    end = b.find(b"%%EOF", at) if b[at + 5 : at + 6].isdigit() else -1
-    return (end + 5, at, end) if end >= 0 else None
+def _pdf(b: bytes, at: int, ends: list[int], starts: list[int]) -> Where | None:
+    """To the last end before another file begins whose cross-reference stands where it says."""
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    k = bisect.bisect_right(starts, at)
+    most = starts[k] if k < len(starts) else len(b)
+    for end in reversed(ends[bisect.bisect_left(ends, at) : bisect.bisect_left(ends, most)]):
+        said = _XREF.search(b[max(at, end - 40) : end])
+        if said and int(said[1]) < end - at and _TABLE.match(b[at + int(said[1]) : at + int(said[1]) + 24]):
+            return end + 5, at, end
+    return None
 
 
-def _zip(b: bytes, at: int) -> tuple[int, int, int] | None:
-    end = b.find(b"PK\x05\x06", at)
-    return (end + 22, at, end) if 0 <= end <= len(b) - 22 else None
+def zip_files(b: bytes, ends: list[int]) -> dict[int, Where]:
+    """Zip files by their start, from their end records: an end record says where its file starts."""
+    out: dict[int, Where] = {}
+    for end in ends:
+        if end + 22 > len(b):
+            continue
+        disk, of_disk, here, entries, size, offset, comment = struct.unpack("<HHHHIIH", b[end + 4 : end + 22])
+        at, i = end - size - offset, end - size
+        if disk or of_disk or here != entries or at < 0 or end + 22 + comment > len(b):
+            continue
+        for _ in range(entries):
+            if b[i : i + 4] != b"PK\x01\x02" or i + 46 > end:
+                break
+            i += 46 + sum(struct.unpack("<HHH", b[i + 28 : i + 34]))
+        else:
+            if i == end:
+                out[at] = (end + 22 + comment, at, end)
+    return out
 
 
-VALIDATORS = {"audio/wav": _wave, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "audio/ogg": _ogg, "audio/flac": _flac, "application/pdf": _pdf, "application/zip": _zip}
+PLAIN_VALIDATORS = {"audio/wav": _wave, "image/png": _png, "image/gif": _gif, "audio/ogg": _ogg, "audio/flac": _flac}
 
 
 @lru_cache(maxsize=1)
@@ -147,39 +224,57 @@ def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, magic in SIGNATURES.items():
+    for kind, magic in (SIGNATURES | ENDS).items():
         found.add_word(magic.decode("latin-1"), (kind, len(magic)))
     found.make_automaton()
     return found
 
 
 def segments(media: bytes) -> tuple[list[tuple[str, int, int, int, int]], int]:
-    """Confirmed (type, start, end, payload start, payload end), outermost first, and the hits refused."""
-    found, refused, inside = [], 0, 0
-    hits = sorted((end - n + 1, kind) for end, (kind, n) in automaton().iter(media.decode("latin-1")))
-    for start, kind in hits:
-        if start < inside and found[-1][0] == kind and found[-1][1] == start:
-            continue
-        where = VALIDATORS[kind](media, start)
+    """Confirmed (type, start, end, payload start, payload end), by start, and the hits refused."""
+    at: dict[str, list[int]] = {kind: [] for kind in SIGNATURES | ENDS}
+    for end, (kind, n) in automaton().iter(media.decode("latin-1")):
+        at[kind].append(end - n + 1)
+    zips = zip_files(media, at["zip end"]) if at["application/zip"] else {}
+    found, refused, streamed, zipped = [], 0, 0, 0
+    for start, kind in sorted((start, kind) for kind in SIGNATURES for start in at[kind]):
+        if kind == "audio/ogg" and start < streamed:
+            continue  # a further page of the stream before
+        if kind == "image/jpeg":
+            where = _jpeg(media, start, at["jpeg end"])
+        elif kind == "application/pdf":
+            where = _pdf(media, start, at["pdf end"], at[kind])
+        elif kind == "application/zip":
+            if start < zipped and start not in zips:
+                continue  # a further entry of the file before
+            where = zips.get(start)
+            zipped = max(zipped, where[0]) if where else zipped
+        else:
+            where = PLAIN_VALIDATORS[kind](media, start)
         if where is None:
             refused += 1
-        else:
-            found.append((kind, start, *where))
-            inside = max(inside, where[0])
+            continue
+        found.append((kind, start, *where))
+        if kind == "audio/ogg":
+            streamed = where[0]
     return found, refused
 
 
+def stored_text(text: str) -> tuple[int, bytes]:
+    """Bytes of a text, and the media that hold them, padded to whole blocks."""
+    raw = text.encode()
+    return len(raw), stored_as_wave(raw + PAD * (-len(raw) % BLOCK if raw else BLOCK))
+
+
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, declared_type, media (binary)."""
-    ids = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", ids), T.StructField("n_bytes", T.LongType()), T.StructField("declared_type", T.StringType()), T.StructField("media", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("declared_type", T.StringType()), T.StructField("media", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for part in rows_in_slices(batch):
-                raw = [t.encode() for t in part.column(1).to_pylist()]
-                stored = [stored_as_wave(r + PAD * (-len(r) % BLOCK if r else BLOCK)) for r in raw]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([UNKNOWN] * len(raw)), pa.array(stored, pa.binary())], schema.names)
+                sizes, stored = zip(*map(stored_text, part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array([DECLARED] * len(sizes)), pa.array(stored, pa.binary())], schema.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -193,6 +288,12 @@ SNIFFED = T.StructType(
 )
 
 
+def typed(media: bytes | None, declared: str | None) -> tuple[str | None, list[tuple[str, int, int, int, int]], int]:
+    """The type that holds, the segments, and the hits refused."""
+    found, refused = segments(media) if media is not None else ([], 0)
+    return (found[0][0] if found and found[0][1] == 0 else declared), found, refused
+
+
 def sniffed(media: DataFrame, media_col: str = "media") -> DataFrame:
     """The table with media_type (the declared one where nothing at offset zero is confirmed), segments and refused hits."""
     added = [T.StructField(f.name, f.dataType) for f in SNIFFED]
@@ -207,8 +308,8 @@ def sniffed(media: DataFrame, media_col: str = "media") -> DataFrame:
             for part in rows_in_slices(batch):
                 types, parts, refused = [], [], []
                 for b, said in zip(part.column(at).to_pylist(), part.column(declared).to_pylist()):
-                    found, no = segments(b) if b is not None else ([], 0)
-                    types.append(found[0][0] if found and found[0][1] == 0 else said)
+                    kind, found, no = typed(b, said)
+                    types.append(kind)
                     parts.append([dict(zip(("type", "start", "end", "payload_start", "payload_end"), x)) for x in found])
                     refused.append(no)
                 kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("payload_start", pa.int64()), ("payload_end", pa.int64())]))
@@ -217,28 +318,55 @@ def sniffed(media: DataFrame, media_col: str = "media") -> DataFrame:
     return media.mapInArrow(run, schema)
 
 
+FEATURES = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+
+
+def described(b: bytes, kind: str | None, found: list[tuple[str, int, int, int, int]], refused: int) -> tuple:
+    """FEATURES of the payload read back from the first confirmed segment, or of all bytes if none begins the media."""
+    read = b[found[0][3] : found[0][4]] if found and found[0][1] == 0 else b
+    samples = np.frombuffer(read, np.uint8)
+    blocks = samples.reshape(-1, BLOCK).mean(1) if samples.size and samples.size % BLOCK == 0 else np.zeros(1)
+    edges = int(np.count_nonzero(np.diff(samples >= 128))) if samples.size else 0
+    carved = ",".join(f"{x[0]}@{x[1]}-{x[2]}" for x in found[1:])
+    levels = "/".join(map(str, np.bincount(samples >> 5, minlength=8).tolist()))
+    feature = f"{kind};rate={RATE};levels={levels};crossings={edges};blocks={len(blocks)};low={blocks.min():.3f};high={blocks.max():.3f};refused={refused};carved={carved}"
+    return len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(b), hashlib.sha256(b).hexdigest(), feature
+
+
+def _columns(rows: list[tuple], types: list) -> list[pa.Array]:
+    kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string()}
+    return [pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)]
+
+
 def media_features(found: DataFrame) -> DataFrame:
-    """Digests and features of the payload that is read back from the first confirmed segment."""
-    schema = T.StructType(
-        [found.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType())]
-        + [T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
-    )
-
-    def described(n: int, b: bytes, kind: str, parts: list, refused: int) -> tuple:
-        read = b[parts[0]["payload_start"] : parts[0]["payload_end"]] if parts and parts[0]["start"] == 0 else b
-        samples = np.frombuffer(read, np.uint8)
-        blocks = samples.reshape(-1, BLOCK).mean(1) if samples.size and samples.size % BLOCK == 0 else np.zeros(1)
-        edges = int(np.count_nonzero(np.diff(samples >= 128))) if samples.size else 0
-        carved = [f"{p['type']}@{p['start']}-{p['end']}" for p in parts[1:]]
-        levels = np.bincount(samples >> 5, minlength=8).tolist()
-        feature = f"{kind};rate={RATE};levels={'/'.join(map(str, levels))};crossings={edges};blocks={len(blocks)};low={blocks.min():.3f};high={blocks.max():.3f};refused={refused};carved={','.join(carved)}"
-        return n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(b), hashlib.sha256(b).hexdigest(), feature
+    """doc_id, n_bytes and FEATURES of sniffed media; null media have null features."""
+    schema = T.StructType([found.schema["doc_id"], T.StructField("n_bytes", T.LongType()), *(T.StructField(n, t) for n, t in FEATURES)])
 
     def run(batches):
         for batch in batches:
             for part in rows_in_slices(batch):
-                rows = [described(*x) for x in zip(*(part.column(i).to_pylist() for i in range(1, 6)))]
-                columns = [pa.array(c, f) for c, f in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema.names)
+                rows = []
+                for b, kind, parts, refused in zip(*(part.column(i).to_pylist() for i in range(2, 6))):
+                    rows.append((None,) * len(FEATURES) if b is None else described(b, kind, [tuple(p.values()) for p in parts], refused))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_columns(rows, [t for _, t in FEATURES])], schema.names)
+
+    return found.select("doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), "media", "media_type", "segments", "refused").mapInArrow(run, schema)
 
-    return found.where("media is not null").select("doc_id", "n_bytes", "media", "media_type", "segments", "refused").mapInArrow(run, schema)
+
+def described_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, FEATURES, declared_type, media_type: texts stored, sniffed and read back in one pass, so that media do not leave the worker."""
+    kinds = [("n_bytes", T.LongType()), *FEATURES, ("declared_type", T.StringType()), ("media_type", T.StringType())]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t in kinds)])
+
+    def one(text: str) -> tuple:
+        n, media = stored_text(text)
+        kind, found, refused = typed(media, DECLARED)
+        return n, *described(media, kind, found, refused), DECLARED, kind
+
+    def run(batches):
+        for batch in batches:
+            for part in rows_in_slices(batch):
+                rows = [one(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *_columns(rows, [t for _, t in kinds])], schema.names)
+
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)

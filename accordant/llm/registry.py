@@ -38,7 +38,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns.media_features(media_columns.sniffed(media_columns.media_column(table(spark, sf_dir, "documents"))))
+    return media_columns.described_texts(table(spark, sf_dir, "documents"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

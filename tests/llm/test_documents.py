@@ -378,15 +378,105 @@ def test_media(odd, documents, nothing):
     assert M.media_features(M.sniffed(M.media_column(nothing))).count() == 0
 
 
+def test_stored_form_and_feature_by_a_second_computation(odd):
+    """The wave file that the standard library writes, and the feature counted in plain Python."""
+    import io
+    import wave
+
+    rows = odd.select("doc_id", "text").where("doc_id <> 10 and doc_id <> 11")
+    want = collections.Counter()
+    for r in rows.collect():
+        raw = (r.text or "").encode()
+        raw += b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, 8000, 0, "NONE", ""))
+            w.writeframes(raw)
+        levels = "/".join(str(sum(x >> 5 == k for x in raw)) for k in range(8))
+        means = [sum(raw[i : i + 576]) / 576 for i in range(0, len(raw), 576)]
+        edges = sum((x >= 128) != (y >= 128) for x, y in zip(raw, raw[1:]))
+        feature = f"audio/wav;rate=8000;levels={levels};crossings={edges};blocks={len(means)};low={min(means):.3f};high={max(means):.3f};refused=0;carved="
+        want[(r.doc_id, hashlib.sha256(out.getvalue()).hexdigest(), feature, "text/plain", "audio/wav")] += 1
+    got = M.described_texts(rows)
+    assert bag(got.select("doc_id", "media_sha256", "feature", "declared_type", "media_type").collect()) == want
+    shared = [c for c in got.columns if c not in ("declared_type", "media_type")]
+    assert bag(got.select(shared).collect()) == bag(M.media_features(M.sniffed(M.media_column(rows))).select(shared).collect())
+
+
+PNG = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big") for k, d in ((b"IHDR", b"\0" * 13), (b"IEND", b"")))
+GIF = b"GIF89a\x01\0\x01\0\0\0\0," + b"\0" * 9 + b"\x02\x02L\x01\0;"
+_HEAD = b"%PDF-1.4\n1 0 obj <<>> endobj\n"
+PDF = _HEAD + b"xref\n0 1\ntrailer <<>>\nstartxref\n" + str(len(_HEAD)).encode() + b"\n%%EOF"
+JPEG = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x05abc\xff\xda\0\x04abscan\xff\xd9"
+
+
+def zipped(n=2):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(n):
+            z.writestr(f"f{i}", "text" * i)
+        z.comment = b"a remark"
+    return out.getvalue()
+
+
+def ogg(pages, first=2):
+    """Pages with checksums by the definition: a shift register, highest bit first."""
+    out = b""
+    for i in range(pages):
+        head = b"OggS\0" + bytes([first if i == 0 else 0]) + i.to_bytes(8, "little") + b"\x07\0\0\0" + i.to_bytes(4, "little") + bytes(4) + b"\x02\x03\x02abcde"
+        crc = 0
+        for x in head:
+            crc ^= x << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+        out += head[:22] + crc.to_bytes(4, "little") + head[26:]
+    return out
+
+
+def flac():
+    head = b"\xff\xf8\x69\x18\x00"
+    return b"fLaC\x80\0\0\x22" + bytes(34) + head + bytes([M._crc8(head)]) + b"samples"
+
+
 def test_signatures_are_validated_and_carved(spark):
-    png = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big") for k, d in ((b"IHDR", b"\0" * 13), (b"IEND", b"")))
-    gif = b"GIF89a\x01\0\x01\0\0\0\0," + b"\0" * 9 + b"\x02\x02L\x01\0;"
-    wave = M.stored_as_wave(png + b"GIF8 no" + gif + b"RIFFnope" + b"%PDF-1 x %%EOF")
+    wave = M.stored_as_wave(PNG + b"GIF8 no" + GIF + b"RIFFnope" + PDF)
     found, refused = M.segments(wave)
     assert [x[0] for x in found] == ["audio/wav", "image/png", "image/gif", "application/pdf"] and refused == 2
-    assert wave[found[1][1] : found[1][2]] == png and wave[found[2][1] : found[2][2]] == gif
-    rows = spark.createDataFrame([(1, "image/gif", png, 0), (2, "text/plain", b"hello", 0), (3, "x", None, 0)], "doc_id long, declared_type string, media binary, refused int")
-    assert {r.doc_id: r.media_type for r in M.sniffed(rows).collect()} == {1: "image/png", 2: "text/plain", 3: "x"}
+    assert wave[found[1][1] : found[1][2]] == PNG and wave[found[2][1] : found[2][2]] == GIF
+    rows = spark.createDataFrame([(1, "image/gif", PNG, 0), (2, "text/plain", b"hello", 0), (3, "x", None, 0), (4, None, b"", 0)], "doc_id long, declared_type string, media binary, refused int")
+    assert {r.doc_id: r.media_type for r in M.sniffed(rows).collect()} == {1: "image/png", 2: "text/plain", 3: "x", 4: None}
+    made = {r.doc_id: r for r in M.media_features(M.sniffed(rows).withColumn("n_bytes", F.lit(1))).collect()}
+    assert len(made) == 4 and made[3].feature is None and made[3].media_sha256 is None and made[4].media_bytes == 0
+
+
+@pytest.mark.parametrize("kind, whole", [("application/pdf", PDF), ("image/jpeg", JPEG), ("application/zip", zipped()), ("application/zip", zipped(0)), ("audio/ogg", ogg(3)), ("image/png", PNG), ("image/gif", GIF), ("audio/flac", flac())])
+def test_whole_files_are_found_in_the_middle(kind, whole):
+    found, refused = M.segments(b"before " + whole + (b"" if kind == "audio/flac" else b" after"))
+    if whole == zipped(0):  # has no entry, so no signature
+        assert found == []
+    else:
+        assert [(x[0], x[1], x[2]) for x in found] == [(kind, 7, 7 + len(whole))] and refused == 0
+
+
+@pytest.mark.parametrize(
+    "broken",
+    [b"PK\3\4 garbage PK\5\6" + bytes(18), zipped()[:-1], zipped().replace(b"PK\1\2", b"PK\1\1", 1), b"%PDF-1 x %%EOF", PDF.replace(b"xref\n0", b"yref\n0"), JPEG.replace(b"\xff\xc0", b"\xff\xe1"), JPEG[:-2], ogg(1, first=0), ogg(1)[:-1] + b"x", flac()[:-8] + b"\0" * 8, PNG[:-1], GIF[:-1]],
+)
+def test_what_only_looks_like_media_is_refused(broken):
+    found, refused = M.segments(broken)
+    assert not found and refused >= 1
+
+
+def test_many_signatures_take_linear_time():
+    import time
+
+    start = time.process_time()
+    for magic in (b"PK\3\4", b"%PDF-1", b"\xff\xd8\xff\xda\0\2", b"OggS\0\2", b"fLaC\0\0\0\x22"):
+        M.segments(magic * 80_000)
+    assert time.process_time() - start < 20
 
 
 # ----------------------------------------------------------------------- op6
