@@ -7,14 +7,23 @@ from dataclasses import dataclass, field
 # Document types in ascending authority, and the fields each declares (name: type, required).
 PRECEDENCE = {"invoice": 1, "notice": 2, "sow": 3, "msa": 4, "amendment": 5}
 SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
-    "amendment": {"hourly_rate": ("money", False), "effective_date": ("date", True), "liability_cap": ("money", False)},
-    "invoice": {"hourly_rate": ("money", True), "payment_terms_days": ("number", False), "hours_billed": ("number", True), "invoice_date": ("date", True), "amount_due": ("money", True)},
     "msa": {
-        "hourly_rate": ("money", True), "payment_terms_days": ("number", True), "effective_date": ("date", True), "term_months": ("number", False),
-        "termination_notice_days": ("number", True), "liability_cap": ("money", False), "counterparty": ("text", True),
+        "counterparty": ("text", True), "effective_date": ("date", False), "term_months": ("number", False), "hourly_rate": ("money", False), "payment_terms_days": ("number", False),
+        "termination_notice_days": ("number", False), "liability_cap": ("money", False), "auto_renews": ("text", False),
     },
-    "notice": {"notice_period_days": ("number", True)},
-    "sow": {"hours_cap": ("number", True)},
+    "amendment": {
+        "counterparty": ("text", True), "amendment_number": ("number", False), "effective_date": ("date", False), "hourly_rate": ("money", False), "payment_terms_days": ("number", False),
+        "termination_notice_days": ("number", False), "liability_cap": ("money", False), "term_months": ("number", False),
+    },
+    "sow": {
+        "counterparty": ("text", True), "sow_number": ("text", False), "start_date": ("date", False), "end_date": ("date", False), "hours_cap": ("number", False), "hourly_rate": ("money", False),
+        "total_value": ("money", False),
+    },
+    "invoice": {
+        "counterparty": ("text", True), "invoice_number": ("text", False), "invoice_date": ("date", False), "service_period": ("text", False), "hourly_rate": ("money", False),
+        "hours_billed": ("number", False), "amount_due": ("money", False), "payment_terms_days": ("number", False),
+    },
+    "notice": {"counterparty": ("text", True), "notice_type": ("text", False), "notice_date": ("date", False), "effective_date": ("date", False), "notice_period_days": ("number", False)},
 }
 
 # Normalization.
@@ -56,14 +65,14 @@ class Rule:
 
 # The playbook.
 RULES = (
-    Rule("amendment_references_parent", "low", "field_present", {"field": "amends_agreement"}),
+    Rule("rate_matches_current_agreement", "high", "matches_governing", {"field": "hourly_rate", "must_match": ["invoice"]}),
     Rule("hours_within_sow_cap", "high", "sum_within_limit", {"sum_of": "hours_billed", "limit": "hours_cap"}),
-    Rule("invoice_within_term", "medium", "date_within", {"value": "invoice_date", "start": "effective_date", "plus_months": "term_months"}),
-    Rule("liability_cap_present", "medium", "field_present", {"field": "liability_cap"}),
-    Rule("no_instructions_in_sources", "high", "no_quarantined_sources"),
     Rule("payment_terms_consistent", "medium", "matches_governing", {"field": "payment_terms_days", "must_match": ["invoice"]}),
-    Rule("rate_matches_current_agreement", "high", "matches_governing", {"field": "hourly_rate", "must_match": ["invoice"]}),
     Rule("termination_notice_observed", "high", "at_least", {"field": "notice_period_days", "minimum": "termination_notice_days"}),
+    Rule("liability_cap_present", "medium", "field_present", {"field": "liability_cap"}),
+    Rule("amendment_references_parent", "low", "field_present", {"field": "amends_agreement"}),
+    Rule("invoice_within_term", "medium", "date_within", {"value": "invoice_date", "start": "effective_date", "plus_months": "term_months"}),
+    Rule("no_instructions_in_sources", "high", "no_quarantined_sources"),
 )
 #: What each kind of check needs from a rule.
 KINDS = {"field_present": ("field",), "matches_governing": ("field",), "sum_within_limit": ("sum_of", "limit"), "at_least": ("field", "minimum"), "date_within": ("value", "start"), "no_quarantined_sources": ()}
@@ -75,6 +84,8 @@ SECTIONS = (
     ("risk", "Risk and Exit", ("liability_cap", "termination_notice_days")),
     ("billing", "Billing Activity", ("invoice_number", "invoice_date", "service_period", "hours_billed", "amount_due")),
 )
+# Sections that are computed from disputes and from gaps (key, heading), after the others.
+COMPUTED_SECTIONS = (("disagreements", "Where the Documents Disagree"), ("gaps", "What Could Not Be Established"))
 
 
 @dataclass(frozen=True)
@@ -88,6 +99,8 @@ class Domain:
 
     def problems(self) -> list[str]:
         out = [f"precedence names {t!r}, which has no schema" for t in self.precedence if t not in self.schemas]
+        known = {f for fields in self.schemas.values() for f in fields}
+        out += [f"section {key!r} has the undeclared field {f!r}" for key, _, fields in self.sections for f in fields if f not in known]
         for rule in self.rules:
             if rule.kind not in KINDS:
                 out.append(f"rule {rule.key!r} has the unknown kind {rule.kind!r}")

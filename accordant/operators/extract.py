@@ -33,20 +33,34 @@ def located(rows: DataFrame, text: str = "text", quote: str = "quote", out: str
     return staged.withColumn(out, F.coalesce("_exact", "_loose", "_case")).drop("_p", "_exact", "_loose", "_case")
 
 
-def located_fuzzily(rows: DataFrame, keys: list[str], text: str = "text", quote: str = "quote", floor: float = FUZZY_FLOOR) -> DataFrame:
-    """keys and span: windows that begin at the quote's first word, in three lengths, the most similar one at or above the floor."""
-    t, q = F.col(text), F.col(quote)
-    first = F.regexp_extract(q, r"(?U)^\s*(\S+)", 1)
-    pieces = F.call_function("split", t, F.concat(F.lit("\\Q"), F.col("_first"), F.lit("\\E")), F.lit(ANCHORS + 1))
-    staged = rows.withColumn("_first", first).where((F.col("_first") != "") & ~F.contains("_first", F.lit("\\E"))).withColumn("_pieces", pieces)
-    each = staged.select(*keys, t.alias("_t"), q.alias("_q"), "_first", F.posexplode(F.slice("_pieces", F.lit(1), F.least(F.size("_pieces") - 1, F.lit(ANCHORS)))).alias("_i", "_piece"), F.col("_pieces").alias("_all"))
-    before = F.aggregate(F.slice("_all", F.lit(1), F.col("_i") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.col("_i") * F.length("_first")
-    windows = each.withColumn("_start", before).select(*keys, "_t", "_q", "_start", F.explode(F.array(*[F.greatest(F.lit(1), F.round(F.length("_q") * x).cast("int")) for x in LENGTHS])).alias("_n"))
-    windows = windows.withColumn("_w", F.substring("_t", F.col("_start") + 1, F.col("_n")))
-    score = 1 - F.levenshtein("_w", "_q") / F.greatest(F.length("_w"), F.length("_q"))
-    scored = windows.withColumn("score", score).where(F.col("score") >= floor)
-    span = F.struct(F.col("_start").cast("int").alias("char_start"), (F.col("_start") + F.length("_w")).cast("int").alias("char_end"), F.col("_w").alias("text"), F.lit("fuzzy").alias("method"), F.col("score").alias("score"))
-    return scored.groupBy(*keys).agg(F.max_by(span, F.struct("score", -F.col("_start"), -F.col("_n"))).alias("span"))
+def located_fuzzily(rows: DataFrame, keys: list[str], text: str = "text", quote: str = "quote", floor: float = FUZZY_FLOOR, anchors: int | None = None) -> DataFrame:
+    """keys and span: windows that begin at the quote's first word, in any case and three lengths, the most similar one at or above the floor.
+
+    Every place of that word is tried; anchors sets how many at most, for parity
+    with engines that stop at ANCHORS.  Places and scores stay in the row, so a long
+    text with many places is held once.  A quote without a word has no span.
+    """
+    t, q = F.col("_t"), F.col("_q")
+    staged = rows.select(*keys, F.col(text).alias("_t"), F.col(quote).alias("_q"), F.regexp_extract(F.col(quote), r"(?U)(\w+)", 1).alias("_first")).where("_first <> '' and _t is not null")
+    pieces = F.call_function("split", t, F.concat(F.lit("(?iu)"), F.col("_first")), F.lit(-1 if anchors is None else anchors + 1))
+    lead, wide = F.instr(q, F.col("_first")) - 1, F.length("_first")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    ends = F.aggregate(F.slice("_pieces", F.lit(1), F.size("_pieces") - 1), none, lambda a, x: F.struct((a["at"] + F.length(x) + wide).alias("at"), F.concat(a["found"], F.array(a["at"] + F.length(x))).alias("found")))
+    staged = staged.withColumn("_pieces", pieces).withColumn("_starts", ends["found"]).drop("_pieces")
+    widths = F.array(*[F.greatest(F.lit(1), F.round((F.length("_q") - lead) * x).cast("int")) for x in LENGTHS])
+    said = F.lower(F.substring(q, lead + 1, F.length(q)))
+
+    def scored(start: Column, n: Column) -> Column:
+        window = F.substring(t, start + 1, n)
+        score = 1 - F.levenshtein(F.lower(window), said) / F.greatest(F.length(window), F.length(said))
+        return F.struct(score.alias("score"), (-start).alias("start"), (-n).alias("n"))
+
+    best = F.array_max(F.transform("_starts", lambda start: F.array_max(F.transform(widths, lambda n: scored(start, n)))))
+    staged = staged.withColumn("_best", best).where(F.col("_best.score") >= floor)
+    window = F.substring(t, 1 - F.col("_best.start"), -F.col("_best.n"))
+    start = -F.col("_best.start")
+    span = F.struct(start.cast("int").alias("char_start"), (start + F.length(window)).cast("int").alias("char_end"), window.alias("text"), F.lit("fuzzy").alias("method"), F.col("_best.score").alias("score"))
+    return staged.groupBy(*keys).agg(F.max_by(span, "_best").alias("span"))
 
 
 def broken_spans(facts: DataFrame, text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from accordant import config as C
 from accordant.functions.normalize import trimmed
 
 NOT_ESTABLISHED = "Not established"
+NO_DISPUTE, NO_GAP = "No two documents disagree.", "Nothing is missing."
 SECTION = ["pile_id", "section_key"]
 
 
@@ -85,6 +86,29 @@ def conflict_section(members: DataFrame, proposals: DataFrame) -> DataFrame:
     return each.groupBy("pile_id").agg(F.array_join(ordered, "\n\n").alias("body")).withColumn("section_key", F.lit("disagreements"))
 
 
+def gap_section(rows: DataFrame) -> DataFrame:
+    """pile_id, section_key, body: one line per gap, ordered."""
+    line = F.concat(F.lit("- "), F.col("field"), F.lit(" ("), F.coalesce("document", F.lit("no source")), F.lit("): "), F.col("reason"))
+    ordered = F.array_sort(F.collect_list(F.struct("field", "document", "reason", line.alias("line"))))
+    return rows.groupBy("pile_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("body")).withColumn("section_key", F.lit("gaps"))
+
+
+def whole_register(facts: DataFrame, disputed: DataFrame, disagreements: DataFrame, gaps: DataFrame, sections=C.SECTIONS) -> DataFrame:
+    """SECTION, ordinal, heading, body, gaps, content_hash: all sections of every pile, the computed ones last.
+
+    disagreements and gaps are rows of conflict_section and gap_section; a pile
+    that has none of them says so.
+    """
+    out = composed(facts, disputed, sections)
+    piles = facts.select("pile_id").distinct()
+    for (key, heading), made, none in zip(C.COMPUTED_SECTIONS, (disagreements, gaps), (NO_DISPUTE, NO_GAP)):
+        body = F.coalesce("body", F.lit(none)).alias("body")
+        rows = piles.join(made.select("pile_id", "body"), "pile_id", "left")
+        ordinal = len(sections) + [k for k, _ in C.COMPUTED_SECTIONS].index(key)
+        out = out.unionByName(hashed(rows.select("pile_id", F.lit(key).alias("section_key"), F.lit(ordinal).alias("ordinal"), F.lit(heading).alias("heading"), body, F.lit(0).cast("long").alias("gaps"))))
+    return out
+
+
 def gap_rows(facts: DataFrame, documents: DataFrame, field_gaps: DataFrame | None = None, include_empty: bool = False, sections=C.SECTIONS) -> DataFrame:
     """pile_id, field, document, reason: gaps of fields, of whole documents, and declared fields that nothing states."""
     statuses = ["quarantined", "unsupported", "escalated"] + ["empty"] * include_empty

@@ -126,3 +126,8 @@ def abandoned(run_id: str, who: str, why: str, at, spark) -> DataFrame:
 
 def event_log(events: DataFrame) -> DataFrame:
     return events.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("at", "seq")))
+
+
+def listed(proposals: DataFrame) -> DataFrame:
+    """The proposals with their place in the list of their run and status."""
+    return proposals.withColumn("place", F.row_number().over(Window.partitionBy("run_id", "status").orderBy("proposal_id")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from accordant import config as C
 
-BUCKETS, WORD_WEIGHT, GRAM_WEIGHT, GRAM = 1024, 1.5, 1.0, 3
+BUCKETS, WORD_WEIGHT, GRAM_WEIGHT, GRAM, FIT_ROWS = 1024, 1.5, 1.0, 3, 1000
 
 
 def words_of(text: Column) -> Column:
@@ -47,8 +47,11 @@ def with_null_vectors(rows: DataFrame, id_col: str, vecs: DataFrame) -> DataFram
 
 
 def embedded(rows: DataFrame, id_col: str, text_col: str, embedder: Callable[[Column], Column]) -> DataFrame:
-    """id, embedding by the caller's function of a text column (built-in functions or a pandas UDF that returns an array); null for a blank text."""
-    return rows.select(F.col(id_col).alias("id"), F.when(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "", embedder(F.col(text_col))).alias("embedding"))
+    """id, embedding by the caller's function of a text column (built-in functions or a pandas UDF that returns an array); null for a blank text, which the function never sees."""
+    blank = F.trim(F.coalesce(F.col(text_col), F.lit(""))) == ""
+    made = rows.where(~blank).select(F.col(id_col).alias("id"), embedder(F.col(text_col)).alias("embedding"))
+    none = F.lit(None).cast(made.schema["embedding"].dataType).alias("embedding")
+    return made.unionByName(rows.where(blank).select(F.col(id_col).alias("id"), none))
 
 
 def similar(queries: DataFrame, items: DataFrame, floor: float = C.SEARCH_FLOOR) -> DataFrame:
@@ -83,13 +86,17 @@ def dense_similar(queries: DataFrame, items: DataFrame, vector: str = "embedding
 
 
 def approximate(items: DataFrame, queries: DataFrame, vector: str = "embedding", bucket_length: float = 0.6, tables: int = 8, seed: int = 3) -> DataFrame:
-    """query_id, id, sim: neighbours that share a random projection's bucket, ranked exactly."""
+    """query_id, id, sim: neighbours that share a random projection's bucket, ranked exactly.
+
+    The projections are drawn at random and need one vector for their width only, so
+    the fit reads FIT_ROWS vectors; every vector is in the index.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     unit = lambda df: df.withColumn("d", F.transform(vector, lambda x: x.cast("double"))).withColumn("l", F.sqrt(dot(F.col("d"), F.col("d")))).where("l > 0").select("id", array_to_vector(F.transform("d", lambda x: x / F.col("l"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(unit(items).limit(1000))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(unit(items).limit(FIT_ROWS))
     pairs = model.approxSimilarityJoin(unit(queries), unit(items), 2.0, "gap")
     a, b = vector_to_array("datasetA.v"), vector_to_array("datasetB.v")
     return pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), dot(a, b).alias("sim"))

@@ -351,11 +351,16 @@ def x7_fuzzy_span(spark, sf_dir):
 
 @query("SELECT doc_id AS document, item_id, strpos(d.text, b.text) - 1 AS char_start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def x8_many_quotes(spark, sf_dir):
-    """Benchmark passages (three words at least) in documents: candidates meet on up to eight words behind the passage's first, then the whole is located."""
+    """Benchmark passages in documents: candidates meet on up to eight words behind the passage's first, then the whole is located.
+
+    Passages of one and two words have no word of their own; they are the rest of a
+    stated set of quotes, and each block of them is sought in every document.
+    """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     # the first and the last word of a passage may be parts of a document's words
     inner = F.slice("words", F.lit(2), F.greatest(F.least(F.size("words") - 2, F.lit(8)), F.lit(0)))
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).withColumn("words", words(F.col("quote"))).withColumn("inner", inner)
+    short = quotes.where(F.size("inner") == 0).select("item_id", "quote")
     quotes = quotes.where(F.size("inner") > 0).select("item_id", "quote", F.size("inner").alias("n"), F.xxhash64(F.array_join("inner", " "), F.size("inner")).alias("key"))
     widths = sorted(r.n for r in quotes.select("n").distinct().collect())  # eight at most
     docs = _docs(spark, sf_dir).select("document", "text")
@@ -364,7 +369,13 @@ def x8_many_quotes(spark, sf_dir):
     runs = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, F.lit(n)), " "), F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
     keys = cut.select("document", F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[runs(n) for n in widths]))).alias("key"))
     met = keys.join(quotes.select("item_id", "quote", "key"), "key").select("document", "item_id", "quote").distinct()
-    return E.located(met.join(docs, "document")).where("span.method = 'exact'").select("document", "item_id", "span.char_start")
+    found = E.located(met.join(docs, "document")).where("span.method = 'exact'").select("document", "item_id", "span.char_start")
+    blocks = -(-short.count() // 1000)
+    for block in range(blocks):
+        part = F.broadcast(short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block))  # about 1,000 short quotes
+        at = F.call_function("locate", F.col("quote"), F.col("text")) - 1
+        found = found.unionByName(docs.join(part, F.contains("text", F.col("quote"))).select("document", "item_id", at.cast("int").alias("char_start")))
+    return found
 
 
 @query("SELECT doc_id AS document, 'engagement:' || CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE source || '-' || lang END AS entity_key FROM documents")
@@ -381,9 +392,13 @@ def x10_unattributed(spark, sf_dir):
     return E.unattributed(rows)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS broken")
+@query(f"SELECT document, sha256(quote) AS at_offsets, false AS broken FROM ({_QUOTED}) WHERE quote <> ''")
 def x11_span_integrity(spark, sf_dir):
-    return E.broken_spans(E.located(_quotes(spark, sf_dir)).where("span is not null")).agg(F.count("*").alias("broken"))
+    """What stands at each span's offsets, and whether the span is among the broken ones."""
+    found = E.located(_quotes(spark, sf_dir)).where("span is not null")
+    broken = E.broken_spans(found).select(F.col("document").alias("of"), F.lit(True).alias("broken"))
+    stands = F.substring("text", F.col("span.char_start") + 1, F.col("span.char_end") - F.col("span.char_start"))
+    return found.join(broken, F.col("document") == F.col("of"), "left").select("document", F.sha2(stands, 256).alias("at_offsets"), F.coalesce("broken", F.lit(False)).alias("broken"))
 
 
 def _found(spark, sf_dir):

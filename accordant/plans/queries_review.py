@@ -182,12 +182,13 @@ def c1_section_rows(spark, sf_dir):
     return made.groupBy("section_key", "pile_id", "field").agg(F.count_if(~F.col("gap")).alias("stated"), F.count_if("gap").alias("gaps"))
 
 
-@query(
-    f"""WITH {PROPOSALS_SQL}, said AS (SELECT pile_id, entity_key, field, string_agg(doc_type || ' | ' || document || ' | ' || canonical, chr(10) ORDER BY rank DESC, document, char_start) AS lines, count(DISTINCT canonical) AS n FROM members GROUP BY ALL),
+_DISPUTES_SQL = """said AS (SELECT pile_id, entity_key, field, string_agg(doc_type || ' | ' || document || ' | ' || canonical, chr(10) ORDER BY rank DESC, document, char_start) AS lines, count(DISTINCT canonical) AS n FROM members GROUP BY ALL),
     blocks AS (SELECT s.*, '### ' || field || ': ' || n || ' different values' || chr(10) || lines || chr(10) || 'Suggested: ' || CASE WHEN proposed_document IS NULL THEN '' ELSE proposed_value || ' from ' || proposed_document END || chr(10) || 'Still open.' AS block
-      FROM said s JOIN chosen USING (pile_id, entity_key, field))
-    SELECT pile_id, sha256(string_agg(block, chr(10) || chr(10) ORDER BY entity_key, field)) AS digest FROM blocks GROUP BY ALL"""
-)
+      FROM said s JOIN chosen USING (pile_id, entity_key, field)),
+    disputes AS (SELECT pile_id, string_agg(block, chr(10) || chr(10) ORDER BY entity_key, field) AS body FROM blocks GROUP BY ALL)"""
+
+
+@query(f"WITH {PROPOSALS_SQL}, {_DISPUTES_SQL} SELECT pile_id, sha256(body) AS digest FROM disputes")
 def c3_conflict_section(spark, sf_dir):
     rows = fact_table(spark, sf_dir)
     return G.conflict_section(R.disputed_members(rows), R.proposals(rows)).select("pile_id", F.sha2("body", 256).alias("digest"))
@@ -207,17 +208,56 @@ changes AS (SELECT t.pile_id, t.section_key, t.content_hash AS to_hash, o.conten
   FROM two t LEFT JOIN one o USING (pile_id, section_key))"""
 
 
+_COLUMNS = ("term", "shown", "source", "stated_at")
+_RULE = " || '|' || ".join(f"repeat('-', CAST(w_{c} + 2 AS BIGINT))" for c in _COLUMNS)
+#: The tables of the register as text: cells padded to their column's widest, one line per fact or gap.
+TABLES_SQL = f"""spec AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {j}, '{f}')" for k, _, fs in C.SECTIONS for j, f in enumerate(fs))}) AS s(section_key, place, field)),
+disputed AS (SELECT DISTINCT pile_id, field FROM conflicts WHERE disputed),
+asked AS (SELECT pile_id, section_key, place, field FROM (SELECT DISTINCT pile_id FROM facts), spec),
+cells AS (
+  SELECT a.pile_id, section_key, place, char_start, a.field || CASE WHEN document IS NOT NULL AND d.field IS NOT NULL THEN ' ⚠' ELSE '' END AS term,
+    CASE WHEN document IS NULL THEN 'Not established' ELSE canonical END AS shown, coalesce(document, 'not stated') AS source,
+    CASE WHEN document IS NULL THEN 'no source' ELSE '"' || value_raw || '" [' || char_start || '-' || char_end || ']' END AS stated_at
+  FROM asked a LEFT JOIN facts f ON a.pile_id = f.pile_id AND a.field = f.field LEFT JOIN disputed d ON a.pile_id = d.pile_id AND a.field = d.field
+),
+wide AS (SELECT pile_id, section_key, {', '.join(f"greatest(max(length({c})), {len(c)}) AS w_{c}" for c in _COLUMNS)} FROM cells GROUP BY ALL),
+tables AS (
+  SELECT pile_id, section_key, {" || ".join(f"'| ' || rpad('{c}', CAST(min(w_{c}) AS INT), ' ') || ' '" for c in _COLUMNS)} || '|' || chr(10) || '|' || {_RULE.replace('w_', 'min(w_').replace(' + 2', ') + 2')} || '|' || chr(10)
+    || string_agg({" || ".join(f"'| ' || rpad({c}, CAST(w_{c} AS INT), ' ') || ' '" for c in _COLUMNS)} || '|', chr(10) ORDER BY place, source, char_start) AS body
+  FROM cells JOIN wide USING (pile_id, section_key) GROUP BY pile_id, section_key
+)"""
+
+
+@query(f"WITH {CONFLICTS_SQL}, {TABLES_SQL} SELECT pile_id, section_key, sha256(body) AS digest FROM tables")
+def c5_table_rendering(spark, sf_dir):
+    rows = fact_table(spark, sf_dir)
+    made = G.table_body(G.section_rows(rows, R.conflicts(rows).where("disputed")), list(_COLUMNS), ["place", "source", "char_start"])
+    return made.select("pile_id", "section_key", F.sha2("body", 256).alias("digest"))
+
+
+_HEADS = ", ".join(f"('{k}', {i}, '{h}')" for i, (k, h) in enumerate([(k, h) for k, h, _ in C.SECTIONS] + list(C.COMPUTED_SECTIONS)))
+
+
 @query(
-    f"""WITH {FACTS_SQL}, spec AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{f}')" for k, _, fs in C.SECTIONS for f in fs)}) AS s(section_key, field)),
-    rows AS (SELECT p.pile_id, s.section_key, count(f.document) + count(*) FILTER (WHERE f.document IS NULL) AS lines FROM (SELECT DISTINCT pile_id FROM facts) p, spec s LEFT JOIN facts f ON f.pile_id = p.pile_id AND f.field = s.field GROUP BY ALL)
-    SELECT pile_id, section_key, lines + 2 AS lines FROM rows"""
+    f"""WITH {PROPOSALS_SQL}, {TABLES_SQL}, {_DISPUTES_SQL},
+    gaps AS (
+      SELECT pile_id, string_agg('- ' || field || ' (' || document || '): ' || reason, chr(10) ORDER BY field, document, reason) AS body FROM (
+        SELECT pile_id, '*' AS field, document, status AS reason FROM docs WHERE status = 'quarantined'
+        UNION ALL SELECT pile_id, field, 'no source', 'not stated in any document' FROM (SELECT DISTINCT pile_id, field FROM docs, (VALUES {_ASKED_SQL}) v(field)) ANTI JOIN facts USING (pile_id, field)) GROUP BY ALL
+    ),
+    every AS (
+      SELECT pile_id, section_key, body FROM tables
+      UNION ALL SELECT pile_id, 'disagreements', coalesce(body, '{G.NO_DISPUTE}') FROM (SELECT DISTINCT pile_id FROM facts) LEFT JOIN disputes USING (pile_id)
+      UNION ALL SELECT pile_id, 'gaps', coalesce(body, '{G.NO_GAP}') FROM (SELECT DISTINCT pile_id FROM facts) LEFT JOIN gaps USING (pile_id)
+    )
+    SELECT pile_id, section_key, ordinal, heading, sha256(body) AS content_hash FROM every JOIN (VALUES {_HEADS}) v(section_key, ordinal, heading) USING (section_key)"""
 )
-def c5_table_rendering(spark, sf_dir):
+def c4_whole_register(spark, sf_dir):
+    """All six sections of every pile's register, as text."""
     rows = fact_table(spark, sf_dir)
-    made = G.table_body(G.section_rows(rows, R.conflicts(rows).where("disputed")), ["term", "shown", "source", "stated_at"], ["place", "source", "char_start"])
-    lines = F.split("body", "\n")
-    even = F.size(F.array_distinct(F.transform(lines, lambda x: F.length(x)))) == 1
-    return made.select("pile_id", "section_key", F.when(even, F.size(lines)).cast("long").alias("lines"))
+    gaps = G.gap_section(G.gap_rows(rows, documents_of_orders(spark, sf_dir)))
+    made = G.whole_register(rows, R.conflicts(rows).where("disputed"), G.conflict_section(R.disputed_members(rows), R.proposals(rows)), gaps)
+    return made.select("pile_id", "section_key", "ordinal", "heading", "content_hash")
 
 
 @query(f"WITH {_SECTIONS_SQL} SELECT pile_id, section_key, content_hash FROM two")
@@ -289,9 +329,10 @@ def u2_finding_proposals(spark, sf_dir):
     return U.new_finding_proposals(found, asked).select("pile_id", "ref_id")
 
 
-@query("SELECT CAST(doc_id % 400 AS VARCHAR) AS pile_id, CASE WHEN count(*) = 1 THEN min(doc_id) END AS cause_document FROM documents WHERE doc_id < 600 GROUP BY ALL")
+@query("SELECT CAST(n_chars AS VARCHAR) AS pile_id, CASE WHEN count(*) = 1 THEN min(doc_id) END AS cause_document FROM documents GROUP BY ALL")
 def u4_cause_document(spark, sf_dir):
-    return U.cause(table(spark, sf_dir, "documents").where("doc_id < 600").select((F.col("doc_id") % 400).cast("string").alias("pile_id"), F.col("doc_id").alias("document")))
+    """Documents of one length are a pile, so that many piles have one and many have several."""
+    return U.cause(table(spark, sf_dir, "documents").select(F.col("n_chars").cast("string").alias("pile_id"), F.col("doc_id").alias("document")))
 
 
 @query(f"WITH {_PROPOSALS_SQL} SELECT CAST(c_custkey AS VARCHAR) AS pile_id, 'no_change' AS path, 'nothing to review' AS note FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT run_id FROM proposals)")
@@ -363,9 +404,10 @@ def u13_conflict_upsert(spark, sf_dir):
     return U.merged_conflicts(held, found)
 
 
-@query(f"WITH {_PROPOSALS_SQL} SELECT proposal_id, kind FROM proposals WHERE status = 'pending' AND run_id = '7'")
+@query(f"WITH {_PROPOSALS_SQL} SELECT run_id, status, proposal_id, kind, row_number() OVER (PARTITION BY run_id, status ORDER BY proposal_id) AS place FROM proposals")
 def u14_proposal_list(spark, sf_dir):
-    return _proposals(spark, sf_dir).where("status = 'pending' and run_id = '7'").select("proposal_id", "kind").orderBy("proposal_id")
+    """The list of every run and status."""
+    return U.listed(_proposals(spark, sf_dir)).select("run_id", "status", "proposal_id", "kind", F.col("place").cast("long").alias("place"))
 
 
 @query(
@@ -415,7 +457,7 @@ def t5_arrival_outcomes(spark, sf_dir):
     return made.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("SELECT lang AS pile_id, 'f' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS filename FROM documents WHERE doc_id % 3 <> 0 ORDER BY 1, 2 LIMIT 50")
+@query("SELECT lang AS pile_id, 'f' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS filename FROM documents WHERE doc_id % 3 <> 0")
 def t7_watch_report(spark, sf_dir):
     rows = _inbox(spark, sf_dir)
     return inbox.watch_report(rows, rows.where("doc_id % 3 = 0")).select("pile_id", "filename")

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 def stored(rows: DataFrame) -> DataFrame:
     """The rows written once as Parquet and read again, for work that takes them several times.
 
-    The folder is the cluster's shared one (spark.checkpoint.dir), or a new one
-    where none is named, as in tests.
+    The folder is the cluster's shared one (spark.checkpoint.dir); a local session
+    that names none gets a new one.
     """
     spark, context = rows.sparkSession, rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="accordant-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="accordant-"))
     path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.parquet(path)

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 # Names that are not finished files.
 PARTIAL = (".part", ".crdownload", ".tmp", ".swp", "~")
 EVENTS = "batch_id long, pile_id string, filename string, content_sha256 string, outcome string, detail string"
+ARRIVAL = ("pile_id", "filename", "content", "content_sha256")
+WAITING = "batch_id long, pile_id string, filename string, content binary, content_sha256 string"
+Table = Callable[[], DataFrame] | None
+Dispatch = Callable[[DataFrame], None]
 SCANS = "filename string, scan int, size long, mtime long"
 
 
@@ -56,31 +60,68 @@ def outcomes(new: DataFrame, piles: DataFrame, busy: DataFrame, failed: DataFram
     return out.withColumn("recorded", F.col("outcome").isin("failed", "dispatched"))
 
 
-def watch(spark: SparkSession, folder: str, events_path: str, checkpoint: str, dispatch: Callable[[DataFrame], None], per_trigger: int = 100, once: bool = True):
-    """Start the stream: each batch hands its unhandled arrivals to ``dispatch`` and records them."""
+def handled(spark: SparkSession, batch: DataFrame, batch_id: int, events_path: str, dispatch: Dispatch, piles: Table = None, busy: Table = None, documents: Table = None) -> None:
+    """One batch: arrivals and those that waited, by their outcome.
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        events = read_events(spark, events_path)
-        if not events.where(F.col("batch_id") == batch_id).isEmpty():
-            return
-        new = unhandled(batch, events).persist()
+    Dispatched and failed arrivals are recorded and never come again.  Those of a
+    pile that is busy or unknown are kept with their content beside the event log,
+    and come again with the next batch.  A batch that ended after its dispatch but
+    before its record is run again; contents that ``documents`` then holds are not
+    dispatched twice.
+    """
+    events = read_events(spark, events_path)
+    if not events.where(F.col("batch_id") == batch_id).isEmpty():
+        return
+    waiting = _read(spark, f"{events_path}_waiting", WAITING)
+    last = waiting.where(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
+    both = batch.select(*ARRIVAL).unionByName(waiting.where(F.col("batch_id") == last).where("content_sha256 is not null").select(*ARRIVAL)) if last is not None else batch.select(*ARRIVAL)
+    new = unhandled(both, events, documents() if documents else None)
+    known = piles() if piles else new.select("pile_id").distinct()
+    locked = busy() if busy else known.where("false")
+    staged = outcomes(new, known, locked).persist()
+    try:
+        due = staged.where("outcome = 'dispatched'").select(*ARRIVAL)
+        outcome, detail = "dispatched", ""
         try:
-            dispatch(new)
-            new.select(F.lit(batch_id).cast("long").alias("batch_id"), "pile_id", "filename", "content_sha256", F.lit("dispatched").alias("outcome"), F.lit("").alias("detail")).write.mode("append").parquet(events_path)
-        finally:
-            new.unpersist()
+            dispatch(due)
+        except Exception as error:  # the arrivals are at fault, not the watcher: recorded, and not tried again
+            outcome, detail = "failed", str(error)[:500]
+        # the batch's own row, without a content, says which batch the waiting ones belong to
+        mark = spark.createDataFrame([(batch_id, None, None, None, None)], WAITING)
+        later = staged.where("not recorded").select(F.lit(batch_id).cast("long").alias("batch_id"), *ARRIVAL)
+        later.unionByName(mark).write.mode("append").parquet(f"{events_path}_waiting")
+        done = due.select(F.lit(batch_id).cast("long").alias("batch_id"), "pile_id", "filename", "content_sha256", F.lit(outcome).alias("outcome"), F.lit(detail).alias("detail"))
+        done.unionByName(spark.createDataFrame([(batch_id, None, None, None, "batch", "")], EVENTS)).write.mode("append").parquet(events_path)
+    finally:
+        staged.unpersist()
+
+
+def watch(spark: SparkSession, folder: str, events_path: str, checkpoint: str, dispatch: Dispatch, per_trigger: int = 100, once: bool = True, piles: Table = None, busy: Table = None, documents: Table = None):
+    """Start the stream: each batch hands its unhandled arrivals to ``dispatch`` and records what became of them.
+
+    piles, busy, documents: functions that give the known piles, those in work, and
+    the stored documents when a batch begins; without them no arrival waits.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        handled(spark, batch, batch_id, events_path, dispatch, piles, busy, documents)
 
     writer = arrivals(spark, folder, per_trigger).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="3 seconds")).start()
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The event log; a batch's own row has no file."""
+    return _read(spark, path, EVENTS)
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(EVENTS).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except Exception as error:  # the first batch finds no folder yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], EVENTS)
+        return spark.createDataFrame([], schema)
 
 
 def settled_stream(scans: DataFrame) -> DataFrame:
@@ -127,6 +168,11 @@ def running_registry(facts: DataFrame) -> DataFrame:
     return facts.where("entity_key is not null").groupBy("pile_id", "entity_key").agg(F.min_by(F.left("name", F.lit(500)), "seq").alias("name"), F.count("*").alias("facts"))
 
 
-def watch_report(files: DataFrame, events: DataFrame, limit: int = 50) -> DataFrame:
-    """Files of the inbox that no event accounts for."""
-    return files.where(~ignored(F.col("filename"))).join(events.select("pile_id", "filename"), ["pile_id", "filename"], "left_anti").orderBy("pile_id", "filename").limit(limit)
+def watch_report(files: DataFrame, events: DataFrame) -> DataFrame:
+    """All files of the inbox that no event accounts for."""
+    return files.where(~ignored(F.col("filename"))).join(events.select("pile_id", "filename"), ["pile_id", "filename"], "left_anti").orderBy("pile_id", "filename")
+
+
+def recent(events: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest events of the log, a report of so many rows."""
+    return events.where("filename is not null").orderBy(F.desc("batch_id"), "pile_id", "filename").limit(limit)

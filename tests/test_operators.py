@@ -247,3 +247,140 @@ def test_embedder_of_the_caller(spark):
 
     rows = spark.createDataFrame([(1, "abc"), (2, " "), (3, None)], "id int, text string")
     assert [tuple(r) for r in embedded(rows, "id", "text", lengths).orderBy("id").collect()] == [(1, [3.0, 1.0]), (2, None), (3, None)]
+
+
+def test_blank_texts_never_reach_the_embedder(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from accordant.operators.vectors import embedded
+
+    @F.pandas_udf("array<float>")
+    def strict(text: pd.Series) -> pd.Series:
+        assert text.notna().all() and (text.str.strip() != "").all()
+        return text.map(lambda t: [float(len(t))])
+
+    rows = spark.createDataFrame([(1, "abc", 0), (1, "abc", 0), (2, " ", 0), (None, None, 0)], "id int, text string, embedding int")
+    assert sorted((r.id or 0, r.embedding) for r in embedded(rows, "id", "text", strict).collect()) == [(0, None), (1, [3.0]), (1, [3.0]), (2, None)]
+    assert embedded(rows.where("false"), "id", "text", strict).count() == 0
+
+
+def test_report_names_every_pending_file(spark):
+    files = spark.createDataFrame([("p", f"f{i:03d}.txt") for i in range(60)] + [("p", ".hidden"), ("p", "half.part")], "pile_id string, filename string")
+    events = spark.createDataFrame([(1, "p", "f000.txt", "h", "dispatched", ""), (2, "p", "f001.txt", "h", "failed", "x"), (2, None, None, None, "batch", "")], inbox.EVENTS)
+    assert inbox.watch_report(files, events).count() == 58
+    assert [r.filename for r in inbox.recent(events).collect()] == ["f001.txt", "f000.txt"]
+
+
+def _run(spark, tmp_path, dispatch, **tables):
+    inbox.watch(spark, str(tmp_path / "in"), str(tmp_path / "events"), str(tmp_path / "check"), dispatch, **tables).awaitTermination(120)
+    return {(r.filename, r.outcome) for r in inbox.read_events(spark, str(tmp_path / "events")).collect() if r.filename}
+
+
+def test_outcomes_in_the_stream(spark, tmp_path):
+    """Busy and unknown piles wait and come again with their content; a failed dispatch does not; contents that are stored are not dispatched twice."""
+    import hashlib
+
+    piles, busy, stored, got = {"p", "r"}, {"r"}, set(), []
+    names = lambda held: lambda: spark.createDataFrame([(x,) for x in sorted(held)] or [], "pile_id string")
+    documents = lambda: spark.createDataFrame([tuple(x) for x in sorted(stored)] or [], "pile_id string, content_sha256 string")
+    tables = dict(piles=names(piles), busy=names(busy), documents=documents)
+
+    def dispatch(df):
+        rows = df.collect()
+        got.append(sorted((r.pile_id, r.filename, bytes(r.content).decode()) for r in rows))
+        if any(b"broken" in bytes(r.content) for r in rows):
+            raise ValueError("cannot be read")
+
+    for pile, name, text in (("p", "a.txt", "one"), ("q", "b.txt", "two"), ("r", "c.txt", "three")):
+        (tmp_path / "in" / pile).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / pile / name).write_text(text)
+    assert _run(spark, tmp_path, dispatch, **tables) == {("a.txt", "dispatched")}
+    piles.add("q")
+    (tmp_path / "in" / "p" / "d.txt").write_text("four")
+    assert _run(spark, tmp_path, dispatch, **tables) == {("a.txt", "dispatched"), ("b.txt", "dispatched"), ("d.txt", "dispatched")}
+    busy.clear()
+    (tmp_path / "in" / "p" / "e.txt").write_text("broken")
+    after = _run(spark, tmp_path, dispatch, **tables)
+    assert ("e.txt", "failed") in after and ("c.txt", "failed") in after
+    (tmp_path / "in" / "p" / "f.txt").write_text("broken")  # the same content again
+    (tmp_path / "in" / "p" / "g.txt").write_text("kept")
+    (tmp_path / "in" / "p" / "h.txt").write_text("held already")
+    stored.add(("p", hashlib.sha256(b"held already").hexdigest()))
+    _run(spark, tmp_path, dispatch, **tables)
+    assert got == [[("p", "a.txt", "one")], [("p", "d.txt", "four"), ("q", "b.txt", "two")], [("p", "e.txt", "broken"), ("r", "c.txt", "three")], [("p", "g.txt", "kept")]]
+
+
+def test_a_batch_that_was_dispatched_but_not_recorded(spark, tmp_path):
+    """The batch comes again; what its dispatch stored is not dispatched twice."""
+    import hashlib
+
+    row = ("p", "a.txt", bytearray(b"one"), hashlib.sha256(b"one").hexdigest())
+    batch = spark.createDataFrame([row, ("p", "b.txt", bytearray(b"two"), hashlib.sha256(b"two").hexdigest())], "pile_id string, filename string, content binary, content_sha256 string")
+    stored, got = [("p", row[3])], []
+    inbox.handled(spark, batch, 4, str(tmp_path / "events"), lambda df: got.extend(r.filename for r in df.collect()), documents=lambda: spark.createDataFrame(stored, "pile_id string, content_sha256 string"))
+    inbox.handled(spark, batch, 4, str(tmp_path / "events"), lambda df: got.extend(r.filename for r in df.collect()))
+    assert got == ["b.txt"]
+
+
+def test_an_arrival_updates_its_pile_through_the_stream(spark, tmp_path):
+    """A document that arrives is read, and conflicts of its pile come anew from all its facts; other piles are left alone."""
+    from accordant.streaming.inbox import updated
+
+    held = spark.createDataFrame([("p", "a", 100), ("q", "c", 7)], "pile_id string, document string, rate int")
+    made = []
+
+    def dispatch(df):
+        from pyspark.sql import functions as F
+
+        arrived = df.select("pile_id", F.col("filename").alias("document"), F.col("content").cast("string").cast("int").alias("rate"))
+        conflicts = updated(held, arrived, lambda facts: facts.groupBy("pile_id").agg(F.count("*").alias("facts"), F.countDistinct("rate").alias("values")))
+        made.extend(tuple(r) for r in conflicts.collect())
+
+    (tmp_path / "in" / "p").mkdir(parents=True)
+    (tmp_path / "in" / "p" / "b").write_text("120")
+    assert _run(spark, tmp_path, dispatch) == {("b", "dispatched")} and made == [("p", 2, 2)]
+
+
+def test_fuzzy_places(spark):
+    """The first word meets in any case and behind marks, at any of its places; ANCHORS as an option."""
+    from accordant.operators.extract import ANCHORS, located_fuzzily
+
+    quote = '"The fee is due within thirty daze of receipt'
+    real = "the fee is due within thirty days of receipt"
+    rows = [(1, "x " + real + " y", quote), (2, "The fog. " * 500 + real, quote), (3, "\\E the " + real, "the\\E fee is due within thirty days of receipt"), (4, "nothing of the kind", quote), (5, None, quote), (6, "text", "...")]
+    docs = spark.createDataFrame(rows, "document int, text string, quote string")
+    got = {r.document: r.span for r in located_fuzzily(docs, ["document"]).collect()}
+    assert set(got) == {1, 2, 3} and all(got[i].score >= 0.86 for i in got)
+    for i, text, _ in rows[:3]:
+        assert text[got[i].char_start : got[i].char_end] == got[i].text and got[i].text.startswith("the fee is due")
+    assert 2 not in {r.document for r in located_fuzzily(docs, ["document"], anchors=ANCHORS).collect()}
+
+
+def test_short_passages_are_found(spark, tmp_path):
+    from accordant.plans import QUERIES
+
+    spark.createDataFrame([(1, "a secret garden gate stands here", "s", "en"), (2, "seagate standstill", "s", "en"), (3, None, "s", None)], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "gate stand"), (2, "gate"), (3, "secret garden gate stands")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.document, r.item_id, r.char_start) for r in QUERIES["x8_many_quotes"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 16), (1, 2, 16), (1, 3, 2), (2, 1, 3), (2, 2, 3)}
+
+
+def test_the_domain_names_only_what_it_declares():
+    from accordant import config as C
+
+    assert sum(map(len, C.SCHEMAS.values())) == 36 and C.Domain().problems() == []
+    odd = C.Domain(sections=(("parties", "Parties", ("counterparty", "shoe_size")),))
+    assert odd.problems() == ["section 'parties' has the undeclared field 'shoe_size'"]
+
+
+def test_a_register_says_when_nothing_is_missing(spark):
+    from accordant.operators import register as G
+
+    facts = spark.createDataFrame([("p", "f", "d", 0, 3, "abc", ("abc",)), ("q", "f", "e", 0, 3, "xyz", ("xyz",))], "pile_id string, field string, document string, char_start int, char_end int, value_raw string, value struct<display:string>")
+    none = spark.createDataFrame([], "pile_id string, section_key string, body string")
+    gaps = G.gap_section(spark.createDataFrame([("q", "*", "e", "quarantined"), ("q", "f", None, "not stated")], "pile_id string, field string, document string, reason string"))
+    made = {(r.pile_id, r.section_key): r for r in G.whole_register(facts, facts.where("false"), none, gaps, (("one", "One", ("f",)),)).collect()}
+    assert len(made) == 6 and [made["p", k].ordinal for k in ("one", "disagreements", "gaps")] == [0, 1, 2]
+    assert made["p", "gaps"].body == G.NO_GAP and made["p", "disagreements"].body == G.NO_DISPUTE
+    assert made["q", "gaps"].body == "- * (e): quarantined\n- f (no source): not stated"
