@@ -46,17 +46,21 @@ def located_fuzzily(rows: DataFrame, keys: list[str], text: str = "text", quote:
     lead, wide = F.instr(q, F.col("_first")) - 1, F.length("_first")
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
     ends = F.aggregate(F.slice("_pieces", F.lit(1), F.size("_pieces") - 1), none, lambda a, x: F.struct((a["at"] + F.length(x) + wide).alias("at"), F.concat(a["found"], F.array(a["at"] + F.length(x))).alias("found")))
-    staged = staged.withColumn("_pieces", pieces).withColumn("_starts", ends["found"]).drop("_pieces")
+    once = lambda c: F.explode(F.array(c))  # noqa: E731 - a column made by explode is not evaluated again where it is used
     widths = F.array(*[F.greatest(F.lit(1), F.round((F.length("_q") - lead) * x).cast("int")) for x in LENGTHS])
     said = F.lower(F.substring(q, lead + 1, F.length(q)))
-
-    def scored(start: Column, n: Column) -> Column:
-        window = F.substring(t, start + 1, n)
-        score = 1 - F.levenshtein(F.lower(window), said) / F.greatest(F.length(window), F.length(said))
-        return F.struct(score.alias("score"), (-start).alias("start"), (-n).alias("n"))
-
-    best = F.array_max(F.transform("_starts", lambda start: F.array_max(F.transform(widths, lambda n: scored(start, n)))))
-    staged = staged.withColumn("_best", best).where(F.col("_best.score") >= floor)
+    staged = staged.withColumns({"_pieces": pieces, "_widths": widths, "_said": said})
+    staged = staged.select(*keys, "_t", "_widths", "_said", once(ends["found"]).alias("_starts"))
+
+    def scored(start: Column, longest: Column) -> Column:
+        """The best of the windows that begin like the longest one."""
+        by_width = F.transform("_widths", lambda n: F.element_at(F.transform(F.array(F.left(longest, n)), lambda w: F.struct(
+            (1 - F.levenshtein(F.lower(w), F.col("_said")) / F.greatest(F.length(w), F.length("_said"))).alias("score"), (-start).alias("start"), (-n).alias("n"))), 1))
+        return F.array_max(by_width)
+
+    most = F.array_max("_widths")
+    best = F.array_max(F.transform("_starts", lambda start: F.element_at(F.transform(F.array(F.substring(F.col("_t"), start + 1, most)), lambda longest: scored(start, longest)), 1)))
+    staged = staged.select(*keys, "_t", once(best).alias("_best")).where(F.col("_best.score") >= floor)
     window = F.substring(t, 1 - F.col("_best.start"), -F.col("_best.n"))
     start = -F.col("_best.start")
     span = F.struct(start.cast("int").alias("char_start"), (start + F.length(window)).cast("int").alias("char_end"), window.alias("text"), F.lit("fuzzy").alias("method"), F.col("_best.score").alias("score"))
