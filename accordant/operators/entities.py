@@ -6,13 +6,13 @@ relational division over tokens, so that no name is compared with all others.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant import config as C
 from accordant.functions.normalize import significant_tokens, slug
 from accordant.operators import vectors as V
+from accordant.operators.reports import placed
 
 
 def contained(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -79,33 +79,36 @@ def resolved(candidates: DataFrame, known: DataFrame, aliases: dict[str, str] |
 def resolved_in_order(candidates: DataFrame, order: str = "document") -> DataFrame:
     """candidates: pile_id, document, name. Document k sees the keys made by those before it, pile by pile.
 
-    One pile is one task; piles run side by side.
+    A name makes a key unless a name seen earlier in its pile has no other tokens
+    than it has.  "Earlier with a subset of the tokens" is transitive, so whether
+    that earlier name made a key itself does not matter: below every such chain
+    stands one that did.  This turns the order into two joins on (pile, rarest
+    token), and no pile is put together in a task.  A null name is blank, a null
+    pile is a pile, rows that repeat a document and name share their answer, and an
+    empty table gives no rows.
     """
-
-    def run(pile: pd.DataFrame) -> pd.DataFrame:
-        keys: dict[str, set] = {}
-        rows = []
-        for document, name in pile.sort_values(order)[["document", "name"]].itertuples(index=False):
-            words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in (name or "").lower()).split()]
-            tokens = set(words) - set(C.STOPWORDS)
-            key = "engagement:" + "-".join(words)
-            held = sorted(k for k, t in keys.items() if t and t <= tokens)
-            if not words:
-                rows.append((document, "escalate_blank", None))
-            elif key in keys:
-                rows.append((document, "exact", key))
-            elif len(held) == 1:
-                rows.append((document, "containment", held[0]))
-            elif held:
-                rows.append((document, "escalate_ambiguous", None))
-            else:
-                keys[key] = tokens
-                rows.append((document, "new", key))
-        out = pd.DataFrame(rows, columns=["document", "method", "entity_key"])
-        out.insert(0, "pile_id", pile["pile_id"].iloc[0])
-        return out
-
-    return candidates.groupBy("pile_id").applyInPandas(run, "pile_id string, document string, method string, entity_key string")
+    at = F.struct(F.col(order).alias("order"), "document", F.col("name").alias("as_written"))
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    rows = candidates.select(F.struct("pile_id").alias("pile"), "document", bare.alias("slug"), at.alias("at"))
+    named = rows.where("slug <> ''")
+    seen = named.groupBy("pile", "slug").agg(F.min("at").alias("first")).withColumn("tokens", significant_tokens(F.col("slug")))
+    each = seen.where(F.size("tokens") > 0).withColumn("token", F.explode("tokens"))
+    often = each.groupBy("pile", "token").agg(F.count("*").alias("n"))
+    rarest = each.join(often, ["pile", "token"]).groupBy("pile", "slug").agg(F.min_by(F.struct("token", "tokens", "first"), F.struct("n", "token")).alias("r"))
+    keys = rarest.select("pile", "r.token", F.col("slug").alias("key_slug"), F.col("r.tokens").alias("key_tokens"), F.col("r.first").alias("key_first"))
+    pairs = each.join(keys, ["pile", "token"]).where((F.col("slug") != F.col("key_slug")) & (F.size(F.array_except("key_tokens", "tokens")) == 0))
+    pairs = pairs.select("pile", "slug", "first", "key_slug", "key_first")
+    dependent = pairs.where("key_first < first").select("pile", "slug").distinct()
+    made = pairs.join(dependent, ["pile", "slug"], "left_semi").join(dependent.withColumnRenamed("slug", "key_slug"), ["pile", "key_slug"], "left_anti")
+    by_time = Window.partitionBy("pile", "slug").orderBy("key_first", "key_slug")
+    two = made.withColumn("n", F.row_number().over(by_time)).where("n <= 2")
+    held = two.groupBy("pile", "slug").agg(F.max(F.when(F.col("n") == 1, F.col("key_slug"))).alias("held"), F.max(F.when(F.col("n") == 2, F.col("key_first"))).alias("second"))
+    known = seen.select("pile", "slug", "first").join(held, ["pile", "slug"], "left")
+    rivals = F.coalesce(F.col("second") < F.col("at"), F.lit(False))
+    method = F.when(F.col("slug") == "", "escalate_blank").when(F.col("held").isNull(), F.when(F.col("at") == F.col("first"), "new").otherwise("exact")).when(rivals, "escalate_ambiguous").otherwise("containment")
+    key = F.when(F.col("method").isin("new", "exact"), F.col("slug")).when(F.col("method") == "containment", F.col("held"))
+    out = rows.join(known, ["pile", "slug"], "left").withColumn("method", method)
+    return out.select("pile.pile_id", "document", "method", F.concat(F.lit("engagement:"), key).alias("entity_key"))
 
 
 def known_keys(facts: DataFrame) -> DataFrame:
@@ -130,4 +133,4 @@ def cited_spans(citations: DataFrame, spans: DataFrame) -> DataFrame:
 
 def audit_with_cause(audit: DataFrame, documents: DataFrame) -> DataFrame:
     joined = audit.join(documents.select(F.col("document").alias("cause_document"), "doc_type"), "cause_document", "left")
-    return joined.withColumn("place", F.row_number().over(Window.partitionBy("pile_id").orderBy(F.desc("at"), "section_key")))
+    return placed(joined, "pile_id", F.desc("at"), F.col("section_key"))

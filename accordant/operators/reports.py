@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.sources.sinks import stored
+
+
+def placed(rows: DataFrame, group: str, *order: Column, out: str = "place") -> DataFrame:
+    """rows with their place (from 1) within the group by the order, where one group may be most of the table.
+
+    The rows are parted by range over group and order, so that a large group lies in
+    many tasks, and written once; a row's place is its place in its task's share and
+    what the tasks before hold of the group.  Those counts are a row per task and
+    group.  Rows that the order does not tell apart stand in any order.  A null
+    group is a group.
+    """
+    share = stored(rows.repartitionByRange(F.col(group), *order).withColumn("_share", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    counts = share.groupBy(group, "_share").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = counts.select(F.col(group).alias("_group"), F.col("_share").alias("_of"), "_before")
+    inner = share.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_share").orderBy(*order)))
+    both = inner.join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_share") == F.col("_of")))
+    return both.withColumn(out, F.col("_at") + F.col("_before")).drop("_group", "_of", "_share", "_before", "_at")
+
 
 def run_report(stages: DataFrame) -> DataFrame:
     """Per run and stage, and per run in all: calls, milliseconds, tokens, paths, first event.
@@ -42,6 +62,22 @@ def findings_with_citations(findings: DataFrame) -> DataFrame:
     return findings.withColumn("citations", F.array_sort(F.coalesce("citations", F.array().cast("array<struct<document:string,char_start:int,char_end:int>>"))))
 
 
+def cited_findings(findings: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Findings with their citations as an ordered array of document, char_start, char_end and quote.
+
+    findings: pile_id, rule_key, entity_key, citations and more; quotes: pile_id,
+    document, char_start, char_end, quote.  A finding without citations has an empty
+    array, a citation without a known passage a null quote.
+    """
+    keys = ["pile_id", "rule_key", "entity_key"]
+    place = ["document", "char_start", "char_end"]
+    each = findings.select(*keys, F.explode("citations").alias("c")).select(*keys, "c.*").distinct()
+    known = quotes.groupBy("pile_id", *place).agg(F.min("quote").alias("quote"))
+    nested = each.join(known, ["pile_id", *place], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*place, "quote"))).alias("citations"))
+    none = F.array().cast("array<struct<document:string,char_start:int,char_end:int,quote:string>>")
+    return findings.drop("citations").join(nested, keys, "left").withColumn("citations", F.coalesce("citations", none))
+
+
 def outcome_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("pile_id", "outcome").agg(F.count("*").alias("n"))
 
@@ -50,12 +86,29 @@ def usage(attempts: DataFrame, keys: list[str]) -> DataFrame:
     return attempts.groupBy(*keys).agg(F.sum("tokens_in").alias("tokens_in"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
 
 
-def run_outcome(documents: DataFrame, facts: DataFrame, disputes: DataFrame) -> DataFrame:
-    """Per pile: documents, quarantined, facts, conflicts; a pile without any is zero."""
-    d = documents.groupBy("pile_id").agg(F.count("*").alias("documents"), F.count_if(F.col("status") == "quarantined").alias("quarantined"))
+def run_outcome(documents: DataFrame, facts: DataFrame, disputes: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """Per pile: documents, duplicates, quarantined, escalated, facts, gaps, conflicts and the outcome in a word; a pile without any is zero.
+
+    documents: pile_id, status, and content (a hash of what was read) where repeats
+    are to be counted: each further arrival of one content in a pile is a duplicate.
+    gaps: pile_id, one row a gap.
+    """
+    status = lambda s: F.count_if(F.col("status") == s).alias(s)
+    if "content" in documents.columns:
+        each = documents.groupBy("pile_id", "content").agg(F.count("*").alias("n"), status("quarantined"), status("escalated"))
+        again = F.sum(F.when(F.col("content").isNotNull(), F.col("n") - 1).otherwise(0)).alias("duplicates")
+        d = each.groupBy("pile_id").agg(F.sum("n").alias("documents"), again, F.sum("quarantined").alias("quarantined"), F.sum("escalated").alias("escalated"))
+    else:
+        d = documents.groupBy("pile_id").agg(F.count("*").alias("documents"), F.lit(0).cast("long").alias("duplicates"), status("quarantined"), status("escalated"))
     f = facts.groupBy("pile_id").agg(F.count("*").alias("facts"))
     c = disputes.groupBy("pile_id").agg(F.count_if("disputed").alias("conflicts"))
-    return d.join(f, "pile_id", "full_outer").join(c, "pile_id", "full_outer").na.fill(0)
+    g = gaps.groupBy("pile_id").agg(F.count("*").alias("gaps")) if gaps is not None else f.select("pile_id", F.lit(0).cast("long").alias("gaps"))
+    out = d
+    for part in (f, c, g):
+        out = out.join(part, "pile_id", "full_outer")
+    numbers = ["documents", "duplicates", "quarantined", "escalated", "facts", "gaps", "conflicts"]
+    word = F.when((F.col("facts") == 0) & (F.col("duplicates") > 0), "only duplicates").when(F.col("facts") == 0, "nothing read").when((F.col("conflicts") > 0) | (F.col("escalated") > 0), "to review").otherwise("agreed")
+    return out.na.fill(0, numbers).select("pile_id", *numbers, word.alias("outcome"))
 
 
 def facts_per_document(facts: DataFrame) -> DataFrame:
@@ -84,7 +137,7 @@ def review_queue(proposals: DataFrame) -> DataFrame:
     """Pending items, conflicts first, then findings by severity, then the rest, by name."""
     kind = F.when(F.col("kind") == "conflict", 0).when(F.col("kind") == "finding", 1).when(F.col("kind") == "escalation", 2).otherwise(3)
     grave = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    return proposals.where("status = 'pending'").withColumn("place", F.row_number().over(Window.partitionBy("pile_id").orderBy(kind, grave, "proposal_id")))
+    return placed(proposals.where("status = 'pending'"), "pile_id", kind, grave, F.col("proposal_id"))
 
 
 def newest(rows: DataFrame, at: str, tie: str, limit: int = 50) -> DataFrame:
@@ -93,4 +146,9 @@ def newest(rows: DataFrame, at: str, tie: str, limit: int = 50) -> DataFrame:
 
 def display_order(findings: DataFrame) -> DataFrame:
     shown = F.when(F.col("outcome") == "violated", 0).when(F.col("outcome") == "not_enough_evidence", 1).otherwise(2)
-    return findings.withColumn("place", F.row_number().over(Window.partitionBy("pile_id").orderBy(shown, "rule_key", "entity_key")))
+    return placed(findings, "pile_id", shown, F.col("rule_key"), F.col("entity_key"))
+
+
+def severity_order(findings: DataFrame) -> DataFrame:
+    """Findings in the order of a report: by severity's name downwards, then rule, then engagement."""
+    return placed(findings, "pile_id", F.desc("severity"), F.col("rule_key"), F.col("entity_key"))

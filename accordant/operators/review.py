@@ -46,16 +46,28 @@ def payloads(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("payload", F.to_json(F.struct(*columns)))
 
 
+#: What a decision may say besides its verdict: why, through which surface, when.
+SAID = ("reason", "decided_via", "decided_at")
+
+
 def decided(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     """proposals after review: the first decision on a pending item stands, later ones change nothing.
 
-    decisions: proposal_id, seq, approved, decided_by; one without a decider does
-    not count.
+    decisions: proposal_id, seq, approved, decided_by, and those of SAID that the
+    caller records; one without a decider or a verdict does not count.  What was
+    said stays null for an item that this review did not decide.
     """
-    first = decisions.where("decided_by is not null and trim(decided_by) <> ''").groupBy("proposal_id").agg(F.min_by(F.struct("approved", "decided_by"), F.struct("seq", "decided_by", "approved")).alias("d"))
-    both = proposals.join(first, "proposal_id", "left")
-    new = F.when((F.col("status") == "pending") & F.col("d").isNotNull(), F.when(F.col("d.approved"), "approved").otherwise("rejected")).otherwise(F.col("status"))
-    return both.withColumn("decided_by", F.when((F.col("status") == "pending") & F.col("d").isNotNull(), F.col("d.decided_by"))).withColumn("status", new).drop("d")
+    said = ["decided_by", *[c for c in SAID if c in decisions.columns]]
+    good = decisions.where("decided_by is not null and trim(decided_by) <> '' and approved is not null")
+    first = good.groupBy("proposal_id").agg(F.min_by(F.struct("approved", *said), F.struct("seq", "decided_by", "approved", *said[1:])).alias("d"))
+    both = proposals.drop(*said).join(first, "proposal_id", "left").withColumn("_now", (F.col("status") == "pending") & F.col("d").isNotNull())
+    verdict = F.when(F.col("_now"), F.when(F.col("d.approved"), "approved").otherwise("rejected")).otherwise(F.col("status"))
+    return both.withColumns({"status": verdict} | {c: F.when(F.col("_now"), F.col(f"d.{c}")) for c in said}).drop("d", "_now")
+
+
+def decision_counts(after: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, approved, rejected, pending: how a review stands; ``after`` is what ``decided`` gives."""
+    return after.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("approved", "rejected", "pending")])
 
 
 def blocks_commit(proposals: DataFrame, sections: DataFrame) -> DataFrame:

@@ -66,6 +66,23 @@ def top_k(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, min(50, k)))
 
 
+def search(queries: DataFrame, spans: DataFrame, vecs: DataFrame, k: int = 8, floor: float = C.SEARCH_FLOOR) -> DataFrame:
+    """query_id, place, sim and the columns of spans: the k most similar spans of the query's own pile.
+
+    queries: pile_id, id, bucket, weight; spans: id, pile_id and whatever tells where
+    they are from; vecs: id, bucket, weight.  A span without a vector is not found, a
+    query without features finds nothing; equal similarities (to six places) stand
+    by id.  The join is on (pile_id, bucket), so that piles do not meet, and the
+    texts join only those that are found.
+    """
+    q = queries.select("pile_id", F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw"))
+    items = vecs.join(spans.select("id", "pile_id"), "id")
+    sims = q.join(items, ["pile_id", "bucket"]).groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("sim")).where(F.col("sim") >= floor)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 6)), "id")
+    best = sims.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= max(1, min(50, k)))
+    return best.join(spans, "id")
+
+
 def dense_similar(queries: DataFrame, items: DataFrame, vector: str = "embedding", most: int = 4096) -> DataFrame:
     """query_id, id, sim of dense unit-length or other vectors.
 

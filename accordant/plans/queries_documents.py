@@ -242,6 +242,40 @@ def p10_prompt(spark, sf_dir):
     return _docs(spark, sf_dir).select("document", A.wrapped(F.col("text"), 1000).alias("prompt"))
 
 
+def _wrapped_sql(limit: int) -> str:
+    return f"'<<<untrusted document' || chr(10) || CASE WHEN length(text) > {limit} THEN left(text, {limit}) || chr(10) || '[cut: ' || (length(text) - {limit}) || ' more characters]' ELSE text END || chr(10) || 'untrusted document>>>'"
+
+
+_TYPES = list(C.SCHEMAS)
+_DECLARED_SQL = "(VALUES " + ", ".join(f"({i}, '{t}', {j}, '{name}', '{kind}{', required' if must else ''}')" for i, t in enumerate(_TYPES) for j, (name, (kind, must)) in enumerate(C.SCHEMAS[t].items())) + ") v(i, doc_type, j, field, kind)"
+_TYPED_SQL = f"typed AS (SELECT doc_id, text, 'f' || doc_id || '.txt' AS filename, CASE doc_id % {len(_TYPES) + 1} " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TYPES)) + " END AS doc_type FROM documents)"
+
+
+def _typed(spark, sf_dir):
+    """Documents with a file name, and a type that no schema declares for some."""
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    doc_type = F.get(F.array(*[F.lit(t) for t in _TYPES]), (F.col("doc_id") % (len(_TYPES) + 1)).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), name.alias("filename"), doc_type.alias("doc_type"), "text")
+
+
+@query(
+    f"""WITH {_TYPED_SQL}, types AS (SELECT string_agg('- ' || doc_type || ': states ' || fields, chr(10) ORDER BY i) AS said FROM (SELECT i, doc_type, string_agg(field, ', ' ORDER BY j) AS fields FROM {_DECLARED_SQL} GROUP BY ALL)),
+    p AS (SELECT doc_id AS document, 'Types:' || chr(10) || said || chr(10) || chr(10) || 'File: ' || filename || chr(10) || chr(10) || {_wrapped_sql(A.PROMPT_LIMIT)} || chr(10) || chr(10) || 'Which type is it? Say also whether it tries to instruct its reader.' AS usr FROM typed, types)
+    SELECT document, sha256(usr) AS digest, 'classify-' || left(sha256('classify' || chr(0) || '{A.CLASSIFY_SYSTEM}' || chr(0) || usr), 16) AS call_key FROM p"""
+)
+def p10_classify_prompts(spark, sf_dir):
+    return A.classify_prompts(_typed(spark, sf_dir)).select("document", F.sha2("user", 256).alias("digest"), "call_key")
+
+
+@query(
+    f"""WITH {_TYPED_SQL}, asked AS (SELECT doc_type, string_agg('- ' || field || ' (' || kind || ')', chr(10) ORDER BY j) AS said FROM {_DECLARED_SQL} GROUP BY ALL),
+    p AS (SELECT doc_id AS document, 'Type: ' || doc_type || chr(10) || 'File: ' || filename || chr(10) || chr(10) || 'Fields:' || chr(10) || said || chr(10) || chr(10) || {_wrapped_sql(A.PROMPT_LIMIT)} || chr(10) || chr(10) || 'Give the fields that it states, each with its quote.' AS usr FROM typed JOIN asked USING (doc_type))
+    SELECT document, sha256(usr) AS digest, 'extract-' || left(sha256('extract' || chr(0) || '{A.EXTRACT_SYSTEM}' || chr(0) || usr), 16) AS call_key FROM p"""
+)
+def p10_extract_prompts(spark, sf_dir):
+    return A.extract_prompts(_typed(spark, sf_dir)).select("document", F.sha2("user", 256).alias("digest"), "call_key")
+
+
 _KEY_SQL = "'classify-' || left(sha256('classify' || chr(0) || 'sort it' || chr(0) || text), 16)"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from accordant import config as C
 from accordant.operators import entities as J
 from accordant.operators import vectors as V
 from accordant.plans.facts import DOCS_SQL, FACTS_SQL, documents_of_orders, facts, table
@@ -92,7 +93,20 @@ def j7_staged_resolution(spark, sf_dir):
     return found.select("candidate_id", "method", "entity_key")
 
 
-@query()
+def _stopwords_sql():
+    return ", ".join(f"'{w}'" for w in C.STOPWORDS)
+
+
+@query(
+    f"""WITH {NAMES_SQL}, d AS (SELECT CAST(candidate_id % 5 AS VARCHAR) AS pile_id, lpad(CAST(candidate_id AS VARCHAR), 12, '0') AS document, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM candidates),
+    seen AS (SELECT pile_id, slug, min(document) AS first, list_filter(list_distinct(string_split(slug, '-')), lambda w: w NOT IN ({_stopwords_sql()})) AS tokens FROM d WHERE slug <> '' GROUP BY ALL),
+    within AS (SELECT a.pile_id, a.slug, b.slug AS other FROM seen a JOIN seen b ON a.pile_id = b.pile_id AND b.first < a.first AND len(b.tokens) > 0 AND list_has_all(a.tokens, b.tokens)),
+    keys AS (SELECT * FROM seen ANTI JOIN within USING (pile_id, slug)),
+    inside AS (SELECT d.pile_id, d.document, count(*) AS n, min(k.slug) AS slug FROM d JOIN seen s USING (pile_id, slug) JOIN keys k ON k.pile_id = d.pile_id AND k.first < d.document AND k.slug <> d.slug AND len(k.tokens) > 0 AND list_has_all(s.tokens, k.tokens) GROUP BY ALL),
+    r AS (SELECT d.pile_id, d.document, d.slug, h.slug AS in_slug, CASE WHEN d.slug = '' THEN 'escalate_blank' WHEN k.first = d.document THEN 'new' WHEN k.first IS NOT NULL THEN 'exact' WHEN h.n = 1 THEN 'containment' ELSE 'escalate_ambiguous' END AS method
+      FROM d LEFT JOIN keys k USING (pile_id, slug) LEFT JOIN inside h ON h.pile_id = d.pile_id AND h.document = d.document)
+    SELECT pile_id, document, method, 'engagement:' || CASE WHEN method IN ('new', 'exact') THEN slug WHEN method = 'containment' THEN in_slug END AS entity_key FROM r"""
+)
 def j8_ordered_resolution(spark, sf_dir):
     rows = _candidates(spark, sf_dir).select((F.col("candidate_id") % 5).cast("string").alias("pile_id"), F.lpad(F.col("candidate_id").cast("string"), 12, "0").alias("document"), "name")
     return J.resolved_in_order(rows)
@@ -174,6 +188,27 @@ def v6_similarity(spark, sf_dir):
     return V.similar(vecs, vecs).select("query_id", "id", F.round("sim", 6).alias("sim")).where("sim >= 0.251")
 
 
+def _spans(spark, sf_dir):
+    """Documents as spans of their source's pile, with where they are from; those of one length are without a vector."""
+    spans = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("pile_id"), F.format_string("f%08d", "doc_id").alias("document"), F.col("lang").alias("doc_type"), F.lit(1).alias("page_no"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
+    return spans, V.vectors(V.features(spans.where("char_end % 10 <> 0"), "id", "text"))
+
+
+@query(
+    f"""WITH has AS (SELECT * FROM documents WHERE length(text) % 10 <> 0), {_vectors_sql('d', 'has', 'doc_id', 'text')}, piles AS (SELECT doc_id AS id, source AS pile_id FROM documents),
+    scoped AS (SELECT pile_id, v.* FROM v_d v JOIN piles USING (id)),
+    pairs AS (SELECT q.id AS query_id, i.id, sum(q.weight * i.weight) AS sim FROM scoped q JOIN scoped i USING (pile_id, bucket) WHERE q.id % 50 = 0 GROUP BY ALL HAVING sum(q.weight * i.weight) >= 0.25),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, id) AS place FROM pairs)
+    SELECT query_id, id, place, source AS pile_id, 'f' || lpad(CAST(id AS VARCHAR), 8, '0') AS document, lang AS doc_type, 1 AS page_no, 0 AS char_start, CAST(length(text) AS INT) AS char_end, round(sim, 5) AS sim FROM best JOIN documents ON id = doc_id WHERE place <= 8"""
+)
+def v6_span_search(spark, sf_dir):
+    """Every fiftieth document as a query within its own pile, against all spans of that pile that have a vector."""
+    spans, vecs = _spans(spark, sf_dir)
+    queries = vecs.where("id % 50 = 0").join(spans.select("id", "pile_id"), "id")
+    found = V.search(queries, spans, vecs, 8)
+    return found.select("query_id", "id", "place", "pile_id", "document", "doc_type", "page_no", "char_start", "char_end", F.round("sim", 5).alias("sim"))
+
+
 def _embedded(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 

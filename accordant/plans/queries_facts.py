@@ -8,6 +8,7 @@ from accordant import config as C
 from accordant.functions import normalize as N
 from accordant.functions.agreement import values_agree
 from accordant.operators import reconcile as R
+from accordant.operators import reports as P
 from accordant.operators import rules as E
 from accordant.plans.facts import DOCS_SQL, FACTS_SQL, documents_of_orders, fact_table, facts, sourced, table
 from accordant.plans.registry import query
@@ -400,10 +401,7 @@ def r9_examine_summary(spark, sf_dir):
     f"""WITH {ALL_SQL} SELECT rule_key, severity, pile_id, entity_key, row_number() OVER (PARTITION BY pile_id ORDER BY severity DESC, rule_key, entity_key) AS place FROM found WHERE outcome = 'violated'"""
 )
 def r10_finding_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("pile_id").orderBy(F.desc("severity"), "rule_key", "entity_key")
-    return _examined(spark, sf_dir).where("outcome = 'violated'").select("rule_key", "severity", "pile_id", "entity_key", F.row_number().over(order).cast("long").alias("place"))
+    return P.severity_order(_examined(spark, sf_dir).where("outcome = 'violated'")).select("rule_key", "severity", "pile_id", "entity_key", "place")
 
 
 # ------------------------------------------------------------------ updates

@@ -11,7 +11,7 @@ from accordant.operators import reports as P
 from accordant.operators import review as U
 from accordant.operators import rules as E
 from accordant.plans.facts import DOCS_SQL, FACTS_SQL, documents_of_orders, fact_table, facts, table
-from accordant.plans.queries_facts import ALL_SQL, CONFLICTS_SQL, PROPOSALS_SQL, _examined
+from accordant.plans.queries_facts import ALL_SQL, CONFLICTS_SQL, PROPOSALS_SQL, _examined, _rule
 from accordant.plans.registry import query
 from accordant.sources import sinks
 from accordant.streaming import inbox
@@ -78,20 +78,50 @@ def a16_findings_per_outcome(spark, sf_dir):
     return P.outcome_counts(P.findings_with_citations(_examined(spark, sf_dir)))
 
 
+#: The citations of two rules by their definitions, as document:start:end:quote.
+_CITED_SQL = """cites AS (
+      SELECT 'liability_cap_present' AS rule_key, pile_id, entity_key, document, char_start, char_end, value_raw FROM best_cap
+      UNION ALL SELECT 'hours_within_sow_cap', f.pile_id, f.entity_key, f.document, char_start, char_end, value_raw FROM facts f JOIN s USING (pile_id, entity_key) LEFT JOIN caps c USING (pile_id, entity_key)
+        WHERE parts > 0 AND cap IS NOT NULL AND (field = 'hours_billed' OR (field = 'hours_cap' AND f.document = c.document))
+    ),
+    shown AS (SELECT rule_key, pile_id, entity_key, count(*) AS n, string_agg(document || ':' || char_start || ':' || char_end || ':' || value_raw, chr(10) ORDER BY document, char_start) AS said FROM cites GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {ALL_SQL}, {_CITED_SQL} SELECT rule_key, pile_id, entity_key, outcome, coalesce(n, 0) AS n, coalesce(said, '') AS said
+    FROM found LEFT JOIN shown USING (rule_key, pile_id, entity_key) WHERE rule_key = 'hours_within_sow_cap' OR (rule_key = 'liability_cap_present' AND outcome = 'satisfied')"""
+)
+def a16_cited_findings(spark, sf_dir):
+    """Findings of two rules with their passages; where a cap is stated, and every one on hours."""
+    rows = fact_table(spark, sf_dir)
+    found = E.field_present(rows, _rule("liability_cap_present"), C.Domain()).where("outcome = 'satisfied'").unionByName(E.sum_within_limit(rows, _rule("hours_within_sow_cap"), C.Domain()))
+    nested = P.cited_findings(found, rows.withColumnRenamed("value_raw", "quote"))
+    said = F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["document"], c["char_start"].cast("string"), c["char_end"].cast("string"), c["quote"])), "\n")
+    return nested.select("rule_key", "pile_id", "entity_key", "outcome", F.size("citations").cast("long").alias("n"), said.alias("said"))
+
+
 @query(f"WITH {_STAGES_SQL} SELECT stage, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, round(sum(CAST(ms AS DECIMAL(18,6)) / 1000), 4) AS cost_usd FROM stages GROUP BY ALL")
 def a17_usage(spark, sf_dir):
     rows = _stages(spark, sf_dir).withColumn("cost_usd", F.col("ms").cast("decimal(18,6)") / 1000)
     return P.usage(rows, ["stage"]).withColumn("cost_usd", F.round("cost_usd", 4).cast("double"))
 
 
+_ARRIVALS_SQL = "arrivals AS (SELECT pile_id, CASE WHEN doc_type = 'notice' AND o_orderkey % 3 = 0 THEN 'escalated' ELSE status END AS status, entity_key || doc_type AS content FROM docs)"
+
+
 @query(
-    f"""WITH {CONFLICTS_SQL}, d AS (SELECT pile_id, count(*) AS documents, count(*) FILTER (WHERE status = 'quarantined') AS quarantined FROM docs GROUP BY ALL),
-    f AS (SELECT pile_id, count(*) AS facts FROM facts GROUP BY ALL), k AS (SELECT pile_id, count(*) FILTER (WHERE disputed) AS conflicts FROM conflicts GROUP BY ALL)
-    SELECT * FROM d JOIN f USING (pile_id) JOIN k USING (pile_id)"""
+    f"""WITH {CONFLICTS_SQL}, {_ARRIVALS_SQL},
+    d AS (SELECT pile_id, count(*) AS documents, count(*) - count(DISTINCT content) AS duplicates, count(*) FILTER (WHERE status = 'quarantined') AS quarantined, count(*) FILTER (WHERE status = 'escalated') AS escalated FROM arrivals GROUP BY ALL),
+    f AS (SELECT pile_id, count(*) AS facts FROM facts GROUP BY ALL), k AS (SELECT pile_id, count(*) FILTER (WHERE disputed) AS conflicts FROM conflicts GROUP BY ALL),
+    g AS (SELECT pile_id, count(*) AS gaps FROM (SELECT pile_id FROM docs WHERE status = 'quarantined' UNION ALL SELECT pile_id FROM (SELECT DISTINCT pile_id, field FROM docs, (VALUES {', '.join(f"('{f}')" for _, _, fs in C.SECTIONS for f in fs)}) v(field)) ANTI JOIN facts USING (pile_id, field)) GROUP BY ALL)
+    SELECT *, CASE WHEN conflicts > 0 OR escalated > 0 THEN 'to review' ELSE 'agreed' END AS outcome FROM d JOIN f USING (pile_id) JOIN k USING (pile_id) JOIN g USING (pile_id)"""
 )
 def a18_run_outcome(spark, sf_dir):
-    rows = fact_table(spark, sf_dir)
-    return P.run_outcome(documents_of_orders(spark, sf_dir), rows, R.conflicts(rows))
+    """Orders of one customer, year and type count as one content; some notices as escalated."""
+    rows, docs = fact_table(spark, sf_dir), documents_of_orders(spark, sf_dir)
+    status = F.when((F.col("doc_type") == "notice") & (F.col("o_orderkey") % 3 == 0), "escalated").otherwise(F.col("status"))
+    arrivals = docs.select("pile_id", status.alias("status"), F.concat("entity_key", "doc_type").alias("content"))
+    return P.run_outcome(arrivals, rows, R.conflicts(rows), G.gap_rows(rows, docs))
 
 
 @query(f"WITH {FACTS_SQL} SELECT document, count(*) AS facts FROM facts GROUP BY ALL")
@@ -345,16 +375,32 @@ def u6_payloads(spark, sf_dir):
     return U.payloads(R.conflicts(fact_table(spark, sf_dir)).where("disputed"), ["field", "members"]).select("pile_id", "entity_key", "field", "payload")
 
 
-@query(
-    f"""WITH {_PROPOSALS_SQL}, d AS (SELECT l_orderkey AS proposal_id, l_linenumber * 1000000 + l_partkey * 10 AS seq, l_returnflag <> 'R' AS approved, CASE WHEN l_quantity < 5 THEN '' ELSE 'user' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') END AS who FROM lineitem),
-    f AS (SELECT proposal_id, approved, who FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY seq, who, approved) AS r FROM d WHERE who <> '') WHERE r = 1)
-    SELECT proposal_id, CASE WHEN status = 'pending' AND who IS NOT NULL THEN CASE WHEN approved THEN 'approved' ELSE 'rejected' END ELSE status END AS status, CASE WHEN status = 'pending' THEN who END AS decided_by FROM proposals LEFT JOIN f USING (proposal_id)"""
-)
-def u7_decisions(spark, sf_dir):
+_DECIDED_SQL = f"""{_PROPOSALS_SQL}, d AS (SELECT l_orderkey AS proposal_id, l_linenumber * 1000000 + l_partkey * 10 AS seq, l_returnflag <> 'R' AS approved, CASE WHEN l_quantity < 5 THEN '' ELSE 'user' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') END AS who,
+      'line ' || l_linestatus AS reason, CASE WHEN l_suppkey % 2 = 0 THEN 'page' ELSE 'interface' END AS via, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS said_on FROM lineitem),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY seq, who, approved, reason, via, said_on) AS r FROM d WHERE who <> '') WHERE r = 1),
+    after AS (SELECT proposal_id, pile_id, CASE WHEN status = 'pending' AND who IS NOT NULL THEN CASE WHEN approved THEN 'approved' ELSE 'rejected' END ELSE status END AS status, CASE WHEN status = 'pending' THEN who END AS decided_by,
+      CASE WHEN status = 'pending' THEN reason END AS reason, CASE WHEN status = 'pending' THEN via END AS decided_via, CASE WHEN status = 'pending' THEN said_on END AS decided_at FROM proposals LEFT JOIN f USING (proposal_id))"""
+
+
+def _decided(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
     seq = F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey") * 10
     who = F.when(F.col("l_quantity") < 5, "").otherwise(F.concat(F.lit("user"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")))
-    said = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("proposal_id"), seq.alias("seq"), (F.col("l_returnflag") != "R").alias("approved"), who.alias("decided_by"))
-    return U.decided(_proposals(spark, sf_dir), said).select("proposal_id", "status", "decided_by")
+    said = lines.select(
+        F.col("l_orderkey").alias("proposal_id"), seq.alias("seq"), (F.col("l_returnflag") != "R").alias("approved"), who.alias("decided_by"),
+        F.concat(F.lit("line "), "l_linestatus").alias("reason"), F.when(F.col("l_suppkey") % 2 == 0, "page").otherwise("interface").alias("decided_via"), F.to_date("l_shipdate").cast("string").alias("decided_at"),
+    )
+    return U.decided(_proposals(spark, sf_dir), said)
+
+
+@query(f"WITH {_DECIDED_SQL} SELECT proposal_id, status, decided_by, reason, decided_via, decided_at FROM after")
+def u7_decisions(spark, sf_dir):
+    return _decided(spark, sf_dir).select("proposal_id", "status", "decided_by", *U.SAID)
+
+
+@query(f"WITH {_DECIDED_SQL} SELECT pile_id, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'rejected') AS rejected, count(*) FILTER (WHERE status = 'pending') AS pending FROM after GROUP BY ALL")
+def u7_decision_counts(spark, sf_dir):
+    return U.decision_counts(_decided(spark, sf_dir), ["pile_id"])
 
 
 @query(f"WITH {_SECTIONS_SQL} SELECT pile_id, section_key, CASE WHEN section_key LIKE '%3' THEN 'pending' ELSE 'stale' END AS why FROM one JOIN two USING (pile_id, section_key) WHERE section_key LIKE '%3' OR one.content_hash <> two.content_hash")
