@@ -1,18 +1,23 @@
 """Checking facts against a playbook: violated, satisfied, not enough evidence.
 
-Each kind of check is one aggregation over (pile, entity), whatever the number of
-rules and entities; ``examine`` unions them.  A rule's row carries the citations
+All checks share one aggregation over (pile, entity), whatever the number of rules
+and entities; ``examine`` unions what they find.  A rule's row carries the citations
 that its outcome rests on, in load order and without repeats.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant import config as C
 from accordant.functions.agreement import values_agree
 from accordant.functions.normalize import plain
+from accordant.sources.sinks import stored
 
 ENTITY = ["pile_id", "entity_key"]
 VIOLATED, SATISFIED, UNJUDGED = "violated", "satisfied", "not_enough_evidence"
@@ -23,12 +28,8 @@ def _fact() -> Column:
 
 
 def _all(when: Column) -> Column:
-    return F.array_sort(F.collect_list(F.when(when, _fact())), _by_place)
-
-
-def _by_place(a: Column, b: Column) -> Column:
-    x, y = F.struct(a["document"], a["char_start"]), F.struct(b["document"], b["char_start"])
-    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+    """The facts that hold, by document and place, which come first in ``_fact``."""
+    return F.sort_array(F.collect_list(F.when(when, _fact())))
 
 
 def _cited(*parts: Column) -> Column:
@@ -61,10 +62,28 @@ def _best(members: Column) -> Column:
     return F.get(F.filter(members, lambda m: m["rank"] == top), F.lit(0))
 
 
-def field_present(facts: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
+@dataclass(frozen=True)
+class Check:
+    """A kind of check: what it gathers of an engagement's facts, and how it judges what was gathered.
+
+    Called with (facts, rule, domain) it is a check of its own, with one aggregation;
+    ``examine`` gathers for all its rules at once.
+    """
+
+    gathers: Callable[[C.Rule], dict[str, Column]]
+    judges: Callable[[DataFrame, C.Rule, C.Domain], DataFrame]
+
+    def __call__(self, facts: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
+        return self.judges(facts.groupBy(*ENTITY).agg(*[c.alias(n) for n, c in self.gathers(rule).items()]), rule, domain)
+
+
+def _gather_present(rule: C.Rule) -> dict[str, Column]:
+    return {"stated": _all(F.col("field") == rule.params["field"]), "authority": F.max_by(_fact(), F.struct("rank", "document", -F.col("char_start")))}
+
+
+def _judge_present(rows: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
     name = rule.params["field"]
     declared = any(name in s for s in domain.schemas.values())
-    rows = facts.groupBy(*ENTITY).agg(_all(F.col("field") == name).alias("stated"), F.max_by(_fact(), F.struct("rank", "document", -F.col("char_start"))).alias("authority"))
     if not declared:
         return _found(rows, rule, F.lit(UNJUDGED), F.lit(f"no schema declares {name}, so nothing can answer this rule"), F.array())
     best, has = _best(F.col("stated")), F.size("stated") > 0
@@ -72,9 +91,12 @@ def field_present(facts: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame
     return _found(rows, rule, F.when(has, SATISFIED).otherwise(VIOLATED), detail, F.when(has, _cited(F.array(best))).otherwise(_cited(F.array("authority"))))
 
 
-def matches_governing(facts: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
+def _gather_governing(rule: C.Rule) -> dict[str, Column]:
+    return {"stated": _all((F.col("field") == rule.params["field"]) & F.col("value").isNotNull())}
+
+
+def _judge_governing(rows: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
     name, must = rule.params["field"], rule.params.get("must_match") or []
-    rows = facts.groupBy(*ENTITY).agg(_all((F.col("field") == name) & F.col("value").isNotNull()).alias("stated"))
     rows = rows.withColumn("top", F.array_max(F.transform("stated", lambda m: m["rank"])))
     rows = rows.withColumn("governing", F.filter("stated", lambda m: m["rank"] == F.col("top")))
     follows = (lambda m: m["doc_type"].isin(*must)) if must else (lambda m: F.lit(True))
@@ -98,10 +120,14 @@ def _numbers(name: str) -> Column:
     return _all((F.col("field") == name) & F.col("value.number").isNotNull())
 
 
-def sum_within_limit(facts: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
+def _gather_sum(rule: C.Rule) -> dict[str, Column]:
     part, limit = rule.params["sum_of"], rule.params["limit"]
     number = lambda f: F.when(F.col("field") == f, F.col("value.number"))
-    rows = facts.groupBy(*ENTITY).agg(_numbers(part).alias("parts"), _numbers(limit).alias("caps"), F.sum(number(part)).cast("decimal(38,10)").alias("total"), F.min(number(limit)).alias("least"))
+    return {"parts": _numbers(part), "caps": _numbers(limit), "total": F.sum(number(part)).cast("decimal(38,10)"), "least": F.min(number(limit))}
+
+
+def _judge_sum(rows: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
+    part, limit = rule.params["sum_of"], rule.params["limit"]
     rows = rows.withColumn("cap", F.get(F.filter("caps", lambda m: m["value"]["number"] == F.col("least")), F.lit(0)))
     none, open_ = F.size("parts") == 0, F.size("caps") == 0
     outcome = F.when(none | open_, UNJUDGED).when(F.col("total") <= F.col("least"), SATISFIED).otherwise(VIOLATED)
@@ -115,9 +141,13 @@ def sum_within_limit(facts: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFr
     return _found(rows, rule, outcome, detail, _cited(F.array("cap"), F.col("parts")))
 
 
-def at_least(facts: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
+def _gather_least(rule: C.Rule) -> dict[str, Column]:
+    return {"given": _numbers(rule.params["field"]), "floors": _numbers(rule.params["minimum"])}
+
+
+def _judge_least(rows: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
     name, minimum = rule.params["field"], rule.params["minimum"]
-    rows = facts.groupBy(*ENTITY).agg(_numbers(name).alias("given"), _numbers(minimum).alias("floors")).withColumn("floor", _best(F.col("floors")))
+    rows = rows.withColumn("floor", _best(F.col("floors")))
     rows = rows.withColumn("short", F.filter("given", lambda m: m["value"]["number"] < F.col("floor.value.number")))
     none, open_ = F.size("given") == 0, F.size("floors") == 0
     outcome = F.when(none | open_, UNJUDGED).when(F.size("short") == 0, SATISFIED).otherwise(VIOLATED)
@@ -131,10 +161,13 @@ def at_least(facts: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
     return _found(rows, rule, outcome, detail, F.when(F.size("short") == 0, _cited(F.array("floor"), F.col("given"))).otherwise(_cited(F.array("floor"), F.col("short"))))
 
 
-def date_within(facts: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
-    name, start, months = rule.params["value"], rule.params["start"], rule.params.get("plus_months")
+def _gather_dates(rule: C.Rule) -> dict[str, Column]:
     dated = lambda f: _all((F.col("field") == f) & F.col("value.as_date").isNotNull())
-    rows = facts.groupBy(*ENTITY).agg(dated(name).alias("dates"), dated(start).alias("starts"), _numbers(months or "").alias("terms"))
+    return {"dates": dated(rule.params["value"]), "starts": dated(rule.params["start"]), "terms": _numbers(rule.params.get("plus_months") or "")}
+
+
+def _judge_dates(rows: DataFrame, rule: C.Rule, domain: C.Domain) -> DataFrame:
+    name, start, months = rule.params["value"], rule.params["start"], rule.params.get("plus_months")
     rows = rows.withColumn("begins", F.array_min(F.transform("starts", lambda m: m["value"]["as_date"])))
     rows = rows.withColumn("first", F.get(F.filter("starts", lambda m: m["value"]["as_date"] == F.col("begins")), F.lit(0))).withColumn("term", _best(F.col("terms")))
     rows = rows.withColumn("ends", F.add_months("begins", F.col("term.value.number").cast("int")) if months else F.lit(None).cast("date"))
@@ -164,24 +197,39 @@ def no_quarantined_sources(documents: DataFrame, rule: C.Rule) -> DataFrame:
     return _found(rows, rule, F.when(F.size("bad") == 0, SATISFIED).otherwise(VIOLATED), detail, F.array())
 
 
-#: Kinds and their checks over facts; a domain may register more.
+field_present = Check(_gather_present, _judge_present)
+matches_governing = Check(_gather_governing, _judge_governing)
+sum_within_limit = Check(_gather_sum, _judge_sum)
+at_least = Check(_gather_least, _judge_least)
+date_within = Check(_gather_dates, _judge_dates)
+
+#: Kinds and their checks over facts; a domain may register more, as a Check or any function of (facts, rule, domain).
 KINDS = {"field_present": field_present, "matches_governing": matches_governing, "sum_within_limit": sum_within_limit, "at_least": at_least, "date_within": date_within}
 
 
 def examine(facts: DataFrame, documents: DataFrame | None = None, domain: C.Domain | None = None, kinds=None) -> DataFrame:
-    """Every rule over every engagement, in one frame."""
-    domain, known, out = domain or C.Domain(), kinds or KINDS, None
-    for rule in domain.rules:
+    """Every rule over every engagement, in one frame.
+
+    What the rules need of an engagement is gathered in one aggregation and written
+    once; each rule then reads its own columns of that, without a shuffle.
+    """
+    domain, known, out = domain or C.Domain(), kinds or KINDS, []
+    together = {i: known[r.kind] for i, r in enumerate(domain.rules) if isinstance(known.get(r.kind), Check)}
+    if together:
+        gathered = stored(facts.groupBy(*ENTITY).agg(*[c.alias(f"r{i}_{n}") for i, check in together.items() for n, c in check.gathers(domain.rules[i]).items()]))
+    for i, rule in enumerate(domain.rules):
         if rule.kind == "no_quarantined_sources":
-            part = no_quarantined_sources(documents, rule) if documents is not None else None
+            if documents is not None:
+                out.append(no_quarantined_sources(documents, rule))
+        elif i in together:
+            own = gathered.select(*ENTITY, *[F.col(f"r{i}_{n}").alias(n) for n in together[i].gathers(rule)])
+            out.append(together[i].judges(own, rule, domain))
         elif rule.kind in known:
-            part = known[rule.kind](facts, rule, domain)
+            out.append(known[rule.kind](facts, rule, domain))
         else:
             piles = facts.select("pile_id").distinct().withColumn("entity_key", F.lit("-"))
-            part = _found(piles, rule, F.lit(UNJUDGED), F.lit(f"unknown check kind {rule.kind}"), F.array())
-        if part is not None:
-            out = part if out is None else out.unionByName(part)
-    return out
+            out.append(_found(piles, rule, F.lit(UNJUDGED), F.lit(f"unknown check kind {rule.kind}"), F.array()))
+    return reduce(DataFrame.unionByName, out)
 
 
 def cited_documents(findings: DataFrame) -> DataFrame:

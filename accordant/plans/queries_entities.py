@@ -9,6 +9,7 @@ from accordant.operators import entities as J
 from accordant.operators import vectors as V
 from accordant.plans.facts import DOCS_SQL, FACTS_SQL, documents_of_orders, facts, table
 from accordant.plans.registry import query
+from accordant.sources.sinks import stored
 
 
 def _known(spark, sf_dir):
@@ -191,7 +192,7 @@ def v6_similarity(spark, sf_dir):
 def _spans(spark, sf_dir):
     """Documents as spans of their source's pile, with where they are from; those of one length are without a vector."""
     spans = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("pile_id"), F.format_string("f%08d", "doc_id").alias("document"), F.col("lang").alias("doc_type"), F.lit(1).alias("page_no"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
-    return spans, V.vectors(V.features(spans.where("char_end % 10 <> 0"), "id", "text"))
+    return spans, stored(V.vectors(V.features(spans.where("char_end % 10 <> 0"), "id", "text")))
 
 
 @query(
