@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import best_fit_packing, chat_formatting, html_extraction, media_columns, near_duplicates, quality_classifier, quality_rules, secret_scans, source_mixing, token_counts
+from accordant.llm import (
+    best_fit_packing, chat_formatting, exact_duplicates, html_extraction, media_columns, merkle_manifest, near_duplicates, quality_classifier, quality_rules, secret_scans, source_mixing, token_counts,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +70,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates.duplicate_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
+    return merkle_manifest.verified(table(spark, sf_dir, "documents"), tampered, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_source_mixing,
         op10_quality_classifier,
+        op12_exact_duplicates,
+        op13_merkle_manifest,
     )
 }
 
@@ -152,5 +166,55 @@ said AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM said
 """
 
-ORACLES: dict[str, str] = {**ORACLES_OF_SECRETS, "op8_chat_formatting": OP8_SQL}
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def _tree_sql(name: str, base: str, levels: int = 4) -> str:
+    """name0: part, r, d of base; name1 and on: the nodes above; name_cK: nodes of a part in level K; name_sK: siblings; name_top: the last node of each part."""
+    out = [f"{name}0 AS ({base})"]
+    for k in range(levels):
+        out += [
+            f"{name}_c{k} AS (SELECT part, count(*) AS c FROM {name}{k} GROUP BY part)",
+            f"""{name}_s{k} AS (SELECT n.part, r, string_agg(d, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, string_agg(d, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS g
+  FROM {name}{k} n JOIN {name}_c{k} USING (part) WHERE c > 1 WINDOW run AS (PARTITION BY n.part, r // 16 ORDER BY r))""",
+            f"{name}{k + 1} AS (SELECT n.part, r // 16 AS r, sha256(string_agg(d, '' ORDER BY n.r)) AS d FROM {name}{k} n JOIN {name}_c{k} USING (part) WHERE c > 1 GROUP BY n.part, r // 16)",
+        ]
+    tops = " UNION ALL ".join(f"SELECT part, d FROM {name}{k} JOIN {name}_c{k} USING (part) WHERE c = 1" for k in range(levels))
+    return ",\n".join([*out, f"{name}_top AS ({tops})"])
+
+
+def _folds_sql(source: str, name: str, levels: int = 4, part: str = "part", rank: str = "r") -> str:
+    """source with `proof` and `acc` carried through the levels of a tree."""
+    for k in range(levels):
+        source = f"""(SELECT x.* REPLACE (proof || coalesce(l, '') || coalesce(g, '') AS proof, CASE WHEN s{k}.r IS NULL THEN acc ELSE sha256(coalesce(l, '') || acc || coalesce(g, '')) END AS acc)
+  FROM {source} x LEFT JOIN {name}_s{k} s{k} ON s{k}.part = x.{part} AND s{k}.r = x.{rank} // {16**k})"""
+    return source
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+_LOWERED = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+#: CRC-32 by bits: each byte is followed by seven zeros, so that every step shifts once.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: [ord(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+OP13_SQL = f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS part, {_leaf_sql("text")} AS leaf, CASE WHEN {_CRC_SQL} % 5 = 0 THEN {_leaf_sql(_LOWERED)} END AS presented FROM documents
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM leaves),
+{_tree_sql("low", "SELECT part, r, leaf AS d FROM placed")},
+parts AS (SELECT part AS of, d, row_number() OVER (ORDER BY part) - 1 AS pr, '' AS one FROM low_top),
+{_tree_sql("top", "SELECT one AS part, pr AS r, d FROM parts")},
+started AS (SELECT p.*, pr, parts.d AS subroot, one, '' AS proof, coalesce(presented, leaf) AS acc FROM placed p JOIN parts ON p.part = parts.of),
+folded AS (SELECT * FROM {_folds_sql(_folds_sql("started", "low"), "top", part="one", rank="pr")})
+SELECT doc_id, leaf, subroot, (SELECT d FROM top_top) AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = (SELECT d FROM top_top) AS verified FROM folded
+"""
+
+ORACLES: dict[str, str] = {**ORACLES_OF_SECRETS, "op8_chat_formatting": OP8_SQL, "op12_exact_duplicates": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
 QUERIES["secret_ledger_versions"] = secret_ledger_versions
