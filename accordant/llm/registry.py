@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordant.llm import (
-    best_fit_packing, chat_formatting, exact_duplicates, html_extraction, media_columns, merkle_manifest, near_duplicates, quality_classifier, quality_rules, secret_scans, source_mixing, token_counts,
+    best_fit_packing, chat_formatting, exact_duplicates, html_extraction, media_columns, merkle_manifest, near_duplicates, quality_classifier, quality_rules, ranked_search, secret_scans, source_mixing,
+    token_counts,
 )
 
 
@@ -70,6 +71,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates.duplicate_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_source_mixing,
         op10_quality_classifier,
+        op11_ranked_search,
         op12_exact_duplicates,
         op13_merkle_manifest,
     )
@@ -166,6 +172,21 @@ said AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM said
 """
 
+_TERMS_SQL = f"regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{ranked_search.TERM}')"
+OP11_SQL = f"""
+WITH found AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents) GROUP BY ALL),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM found GROUP BY doc_id),
+totals AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, totals GROUP BY term, big_n),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // l)))) AS BIGINT) AS score
+  FROM asked JOIN found USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 OP12_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
@@ -216,5 +237,5 @@ folded AS (SELECT * FROM {_folds_sql(_folds_sql("started", "low"), "top", part="
 SELECT doc_id, leaf, subroot, (SELECT d FROM top_top) AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = (SELECT d FROM top_top) AS verified FROM folded
 """
 
-ORACLES: dict[str, str] = {**ORACLES_OF_SECRETS, "op8_chat_formatting": OP8_SQL, "op12_exact_duplicates": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES: dict[str, str] = {**ORACLES_OF_SECRETS, "op8_chat_formatting": OP8_SQL, "op11_ranked_search": OP11_SQL, "op12_exact_duplicates": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
 QUERIES["secret_ledger_versions"] = secret_ledger_versions
