@@ -503,6 +503,24 @@ def t5_arrival_outcomes(spark, sf_dir):
     return made.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query(
+    """SELECT 'f' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS filename,
+    CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 3 = 0 THEN 'handled' WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'settling' WHEN lang = 'fr' THEN 'no_pile' WHEN lang = 'de' THEN 'busy' ELSE 'due' END AS standing,
+    CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 0 ELSE doc_id % 4 END AS tries FROM documents"""
+)
+def t1_arrival_standing(spark, sf_dir):
+    """Every document as a file of the inbox, held against the listing before: each seventh is new, each fifth has grown since, each third was handled."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    now = docs.select(F.concat_ws("/", F.lit("in"), "lang", name).alias("path"), F.col("lang").alias("pile_id"), name.alias("filename"), F.octet_length("text").cast("long").alias("size"), F.timestamp_seconds("doc_id").alias("mtime"), "doc_id")
+    last = now.where("doc_id % 7 <> 0").select(
+        "path", "pile_id", "filename", F.expr("size - if(doc_id % 5 = 0, 1, 0)").alias("size"), "mtime", F.lit(1).cast("long").alias("scan"), (F.col("doc_id") % 3 == 0).alias("done"), (F.col("doc_id") % 4).cast("int").alias("tries")
+    )
+    files = inbox.compared(now.drop("doc_id"), last)
+    piles = docs.where("lang <> 'fr'").select(F.col("lang").alias("pile_id"))
+    return inbox.standing(files, piles, docs.where("lang = 'de'").select(F.col("lang").alias("pile_id"))).select("filename", "standing", F.col("tries").cast("long").alias("tries"))
+
+
 @query("SELECT lang AS pile_id, 'f' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS filename FROM documents WHERE doc_id % 3 <> 0")
 def t7_watch_report(spark, sf_dir):
     rows = _inbox(spark, sf_dir)
