@@ -7,11 +7,14 @@ representatives are aggregates that combine before the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant import config as C
 from accordant.functions.agreement import values_agree
+from accordant.sources.sinks import stored
 
 KEYS = ["pile_id", "entity_key", "field"]
 PLACE = F.struct
@@ -34,19 +37,36 @@ def comparable(facts: DataFrame) -> DataFrame:
     return facts.where(~F.col("field").isin(*C.INSTANCE_FIELDS, *C.IDENTITY_FIELDS))
 
 
+#: What agreement looks at.
+MEANT = ("value_type", "number", "unit", "currency", "canonical")
+
+
 def conflicts(facts: DataFrame) -> DataFrame:
     """KEYS, members, readable, disputed: some readable member disagrees with the first one.
 
     Clusters are greedy by first representative, so that is the same as more than
-    one cluster.
+    one cluster.  What agrees with one value is an interval of numbers, or one text,
+    so a group agrees with its first member if its least and greatest numbers, types,
+    currencies and texts do, and none is missing.  Durations are compared per unit.
+    All of these combine before the shuffle; no fact is joined, and a large group is
+    a few rows for each task.
     """
     rows = comparable(facts)
     readable = F.col("value").isNotNull()
-    first = rows.groupBy(*KEYS).agg(F.min_by(F.when(readable, F.col("value")), F.when(readable, load_order())).alias("first"))
-    both = rows.join(first, KEYS)
-    return both.groupBy(*KEYS).agg(
-        F.count("*").alias("members"), F.count("value").alias("readable"), F.coalesce(F.bool_or(~values_agree(F.col("first"), F.col("value")) & readable), F.lit(False)).alias("disputed")
-    )
+    both = lambda name: [F.min(f"value.{name}").alias(f"least_{name}"), F.max(f"value.{name}").alias(f"most_{name}"), F.count(f"value.{name}").alias(f"n_{name}")]
+    first = F.min(F.when(readable, F.struct(load_order().alias("at"), *[F.col(f"value.{c}").alias(c) for c in MEANT])))
+    by_unit = rows.groupBy(*KEYS, F.col("value.unit").alias("unit"), readable.alias("is_read")).agg(F.count("*").alias("n"), first.alias("first"), *[x for c in MEANT if c != "unit" for x in both(c)])
+    end = lambda side: F.struct(*[F.col("unit") if c == "unit" else F.col(f"{side}_{c}").alias(c) for c in MEANT])
+    read = F.when(F.col("is_read"), F.struct("n", end("least").alias("least"), end("most").alias("most"), *[f"n_{c}" for c in MEANT if c != "unit"]))
+    groups = by_unit.groupBy(*KEYS).agg(F.sum("n").alias("members"), F.coalesce(F.sum(F.when(F.col("is_read"), F.col("n"))), F.lit(0)).alias("readable"), F.min("first").alias("first"), F.collect_list(read).alias("units"))
+
+    def off(u: Column) -> Column:
+        kind, first = F.col("first.value_type"), F.col("first")
+        counted = F.when(kind.isin("money", "number") | ((kind == "duration") & u["least"]["unit"].eqNullSafe(first["unit"])), u["n_number"]).otherwise(u["n_canonical"])
+        whole = (u["n_value_type"] == u["n"]) & (counted == u["n"]) & ((kind != "money") | (u["n_currency"] == u["n"]))
+        return ~(F.coalesce(whole, F.lit(False)) & values_agree(first, u["least"]) & values_agree(first, u["most"]))
+
+    return groups.select(*KEYS, "members", "readable", F.exists("units", off).alias("disputed"))
 
 
 def disputed_members(facts: DataFrame) -> DataFrame:
@@ -55,18 +75,29 @@ def disputed_members(facts: DataFrame) -> DataFrame:
 
 
 def cluster_ids(facts: DataFrame) -> DataFrame:
-    """KEYS, document, char_start, cluster: greedy assignment to the first cluster whose representative agrees."""
-    one = F.struct("document", "char_start", "value")
-    folded = comparable(facts).where("value is not null").groupBy(*KEYS).agg(F.array_sort(F.collect_list(one)).alias("all"))
-    value = "struct<raw:string,canonical:string,value_type:string,number:decimal(38,10),unit:string,currency:string,as_date:date,ambiguous:boolean,note:string,display:string>"
-
-    def place(heads: Column, v: Column) -> Column:
-        return F.coalesce(F.array_position(F.transform(heads, lambda h: values_agree(h, v)), True), F.lit(0)).cast("int")
-
-    # heads are the representatives so far; a member that agrees with none is a new one
-    heads = F.aggregate("all", F.array().cast(f"array<{value}>"), lambda acc, m: F.when(place(acc, m["value"]) > 0, acc).otherwise(F.concat(acc, F.array(m["value"]))))
-    placed = folded.withColumn("heads", heads)
-    return placed.select(*KEYS, F.explode(F.transform("all", lambda m: F.struct(m["document"].alias("document"), m["char_start"].alias("char_start"), place(F.col("heads"), m["value"]).alias("cluster")))).alias("m")).select(*KEYS, "m.*")
+    """KEYS, document, char_start, cluster: greedy assignment to the first cluster whose representative agrees.
+
+    Members that mean the same are one row, at their first place.  Each round, the
+    first open row of every group becomes the representative of its next cluster, and
+    all open rows of the group that agree with it leave, so that there are as many
+    rounds as the most clusters of a group; a row that agrees with nothing, not even
+    itself, is a cluster to itself but in no cluster but 0.  Every round is written,
+    so that both sides of its join come by exchanges that can be split.
+    """
+    members = stored(comparable(facts).where("value is not null").select(*KEYS, "document", "char_start", F.struct(*[F.col(f"value.{c}").alias(c) for c in MEANT]).alias("meant")))
+    open_ = stored(members.groupBy(*KEYS, "meant").agg(F.min(load_order()).alias("at")))
+    done, number = [], 0
+    while not open_.isEmpty():
+        number += 1
+        lead = stored(open_.groupBy(*KEYS).agg(F.min_by("meant", "at").alias("lead"), F.min("at").alias("lead_at")))
+        met = stored(open_.join(lead, KEYS).select(*KEYS, "meant", "at", values_agree(F.col("lead"), F.col("meant")).alias("same"), (F.col("at") == F.col("lead_at")).alias("leads")))
+        done.append(met.where("same or leads").select(*[F.col(k).alias(f"of_{k}") for k in KEYS], F.col("meant").alias("of"), F.when(F.col("same"), number).otherwise(0).alias("cluster")))
+        open_ = met.where("not same and not leads").select(*KEYS, "meant", "at")
+    if not done:
+        return members.select(*KEYS, "document", "char_start", F.lit(0).alias("cluster"))
+    which = reduce(DataFrame.unionByName, done)
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in KEYS]
+    return members.join(which, reduce(Column.__and__, [*same, F.col("meant").eqNullSafe(F.col("of"))])).select(*KEYS, "document", "char_start", "cluster")
 
 
 def agreed(facts: DataFrame) -> DataFrame:

@@ -83,27 +83,46 @@ def committed(previous: DataFrame, approved: DataFrame) -> DataFrame:
 
     previous and approved: SECTION, body, content_hash; previous also version.
     """
-    top = previous.groupBy("pile_id").agg(F.max("version").alias("version"))
-    last = previous.join(top, ["pile_id", "version"], "left_semi")
+    top, last = _last_version(previous)
     touched = approved.select("pile_id").distinct()
     kept = last.join(touched, "pile_id", "left_semi").join(approved.select(*SECTION), SECTION, "left_anti").select(*SECTION, "body", "content_hash", F.lit(True).alias("carried"))
     made = approved.select(*SECTION, "body", "content_hash", F.lit(False).alias("carried")).unionByName(kept)
     return made.join(top.withColumnRenamed("version", "was"), "pile_id", "left").withColumn("version", F.coalesce(F.col("was"), F.lit(0)) + 1).drop("was")
 
 
+def _last_version(previous: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pile_id, version) of each pile's last version, and the sections of it."""
+    top = previous.groupBy("pile_id").agg(F.max("version").alias("version"))
+    return top, previous.join(top, ["pile_id", "version"], "left_semi")
+
+
+#: What a row of the audit says of the change besides its hashes, where the approved sections have it.
+CAUSES = ("run_id", "cause_document", "proposal_id")
+
+
 def audit(previous: DataFrame, approved: DataFrame) -> DataFrame:
-    """SECTION, from_hash, to_hash: a row per approved section, none for carried ones."""
-    p = previous.select(*SECTION, F.col("content_hash").alias("from_hash"))
-    return approved.select(*SECTION, F.col("content_hash").alias("to_hash")).join(p, SECTION, "left")
+    """SECTION, to_hash, from_hash and those of CAUSES that approved has: a row per approved section, none for carried ones.
+
+    previous: sections of any number of versions; from_hash is that of the pile's
+    last one, null for a section that it lacks.
+    """
+    last = _last_version(previous)[1].select(*SECTION, F.col("content_hash").alias("from_hash"))
+    return approved.select(*SECTION, F.col("content_hash").alias("to_hash"), *[c for c in CAUSES if c in approved.columns]).join(last, SECTION, "left")
 
 
 def statuses_after(items: DataFrame, proposals: DataFrame, words=(("approved", "accepted"), ("rejected", "dismissed"))) -> DataFrame:
-    """items (pile_id, ref_id, status) with the status that review gave them."""
-    p = proposals.select("pile_id", "ref_id", F.col("status").alias("said"))
+    """items (pile_id, ref_id, status) with the status that review gave them.
+
+    An item that several runs proposed has the last decision on it, by proposal_id
+    where the proposals have one; an undecided proposal takes none back.
+    """
+    known = dict(words)
+    order = F.col("proposal_id") if "proposal_id" in proposals.columns else F.lit(0)
+    said = proposals.where(F.col("status").isin(*known)).groupBy("pile_id", "ref_id").agg(F.max_by("status", F.struct(order, "status")).alias("said"))
     out = F.col("status")
-    for said, word in words:
-        out = F.when(F.col("said") == said, word).otherwise(out)
-    return items.join(p, ["pile_id", "ref_id"], "left").withColumn("status", out).drop("said")
+    for decision, word in words:
+        out = F.when(F.col("said") == decision, word).otherwise(out)
+    return items.join(said, ["pile_id", "ref_id"], "left").withColumn("status", out).drop("said")
 
 
 def merged_findings(held: DataFrame, new: DataFrame) -> DataFrame:

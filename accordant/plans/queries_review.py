@@ -423,10 +423,19 @@ def u9_commit(spark, sf_dir):
     return U.committed(one, _approved(two)).select("pile_id", "section_key", "content_hash", "carried", "version")
 
 
-@query(f"WITH {_SECTIONS_SQL} SELECT t.pile_id, t.section_key, t.content_hash AS to_hash, o.content_hash AS from_hash FROM two t LEFT JOIN one o USING (pile_id, section_key) WHERE substr(t.content_hash, 1, 1) < '8'")
+@query(
+    f"""WITH {_SECTIONS_SQL}, new AS (SELECT *, CAST(substr(section_key, 2) AS BIGINT) AS proposal_id FROM two WHERE substr(content_hash, 1, 1) < '8')
+    SELECT t.pile_id, t.section_key, t.content_hash AS to_hash, CASE WHEN t.proposal_id % 7 <> 0 THEN o.content_hash END AS from_hash, 'run-' || t.pile_id AS run_id, CASE WHEN t.proposal_id % 3 = 0 THEN 'document-' || t.proposal_id END AS cause_document, t.proposal_id
+    FROM new t LEFT JOIN one o USING (pile_id, section_key)"""
+)
 def u10_audit_rows(spark, sf_dir):
+    """Three earlier versions: all sections as they were once, as they were then, and the last one, which lacks each seventh."""
     one, two = _sections(spark, sf_dir)
-    return U.audit(one, _approved(two)).select("pile_id", "section_key", "to_hash", "from_hash")
+    number = F.substring("section_key", 2, 12).cast("long")
+    old = lambda v, word: one.withColumn("version", F.lit(v)).withColumn("content_hash", F.sha2(F.concat("content_hash", F.lit(word)), 256))
+    previous = old(1, "once").unionByName(old(2, "then")).unionByName(one.withColumn("version", F.lit(3)).where(number % 7 != 0))
+    approved = _approved(two).withColumns({"run_id": F.concat(F.lit("run-"), "pile_id"), "cause_document": F.when(number % 3 == 0, F.concat(F.lit("document-"), number.cast("string"))), "proposal_id": number})
+    return U.audit(previous, approved)
 
 
 @query(f"WITH {_PROPOSALS_SQL} SELECT pile_id, CAST(proposal_id AS VARCHAR) AS ref_id, CASE status WHEN 'approved' THEN 'accepted' WHEN 'rejected' THEN 'dismissed' ELSE 'open' END AS status FROM proposals")
