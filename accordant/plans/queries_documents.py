@@ -8,10 +8,12 @@ from accordant import config as C
 from accordant.functions import text as X
 from accordant.operators import answers as A
 from accordant.operators import extract as E
+from accordant.operators import resume
 from accordant.operators import screen as S
 from accordant.plans.facts import FACTS_SQL, facts, sourced, table
 from accordant.plans.registry import query
 from accordant.sources import ingest as I
+from accordant.sources.sinks import fresh_folder, stored
 
 PATTERNS = ["[a-z0-9._]+@[a-z0-9]+", "licen[cs]e", "token *=", "[0-9]{3,}"]
 
@@ -320,6 +322,31 @@ def p14_batch_inference(spark, sf_dir):
     return A.ask(_docs(spark, sf_dir).select("document", "text"), answer, "document long, n_chars long")
 
 
+@query("SELECT count(*) AS documents, count(DISTINCT text) AS asked, sum(length(text)) AS n_chars FROM documents")
+def p14_durable_answers(spark, sf_dir):
+    """Every distinct text asked once, in chunks that are kept as they come; then all documents with their answer."""
+
+    def answer(batches):
+        for batch in batches:
+            yield batch[["call_key"]].assign(n_chars=batch["text"].str.len())
+
+    docs = stored(_docs(spark, sf_dir).select("document", "text").withColumn("call_key", F.sha2("text", 256)))
+    folder = fresh_folder(spark)
+    found = resume.answered(docs.select("call_key", "text"), lambda rows: A.ask(rows, answer, "call_key string, n_chars long"), folder, chunk=1_000_000)
+    return docs.select("call_key").join(found, "call_key").agg(F.count("*").alias("documents"), F.countDistinct("call_key").alias("asked"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("SELECT 'read' AS stage, count(*) AS n_rows FROM documents UNION ALL SELECT 'distinct', count(DISTINCT text) FROM documents UNION ALL SELECT 'per_language', count(DISTINCT lang) FROM documents")
+def t8_resumed_run(spark, sf_dir):
+    """A run of three stages over documents that stops after two, and is started again: the ledger has each stage once."""
+    docs = _docs(spark, sf_dir).select("document", "text", "lang")
+    folder = fresh_folder(spark)
+    steps = [resume.Stage("read", lambda r: r), resume.Stage("distinct", lambda r: r.groupBy("text").agg(F.min("lang").alias("lang"))), resume.Stage("per_language", lambda r: r.groupBy("lang").count())]
+    resume.run(docs, steps[:2], folder, "run-1")
+    resume.run(docs, steps, folder, "run-1")
+    return resume.progress(spark, folder, "run-1").select("stage", "n_rows")
+
+
 @query(f"SELECT doc_id AS document, doc_id % 11 <> 0 AS readable, CASE WHEN doc_id % 11 <> 0 THEN {_KIND_SQL} END AS doc_type FROM documents")
 def p15_answer_repair(spark, sf_dir):
     return _read_answers(spark, sf_dir).select("document", "readable", "doc_type")

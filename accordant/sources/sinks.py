@@ -5,25 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """The rows written once as Parquet and read again, for work that takes them several times.
-
-    The folder is the cluster's shared one (spark.checkpoint.dir); a local session
-    that names none gets a new one.
-    """
-    spark, context = rows.sparkSession, rows.sparkSession.sparkContext
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder's name in the cluster's shared one (spark.checkpoint.dir); a local session that names none gets a new one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="accordant-"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows written once as Parquet to the shared folder and read again, for work that takes them several times."""
+    path = fresh_folder(rows.sparkSession)
     rows.write.parquet(path)
-    return spark.read.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def replace_piles(rows: DataFrame, path: str) -> None:
+    """Parquet, one folder per pile; the piles that rows has are replaced, all others stay, so that a write that is repeated changes nothing."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pile_id").parquet(path)
+
+
+def write_bucketed(rows: DataFrame, name: str, buckets: int = 64, keys: tuple[str, ...] = ("pile_id", "document")) -> None:
+    """A table dealt and sorted by the keys: tables of one number of buckets join on the keys without a shuffle."""
+    rows.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
 
 
 def write_table(rows: DataFrame, path: str, mode: str = "append") -> None:
