@@ -28,13 +28,18 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return source_mixing.kept_mix(docs, keep=source_mixing.KEEP)
+    return source_mixing.kept_mix(docs, keep=KEEP)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing.packed(docs, public_vocabulary("word_bpe_49k.json"))
 
 
+#: Share of the tokens that the mixture keeps at least: where exact targets would keep
+#: less, scarce cells are kept whole and the others meet the targets among themselves.
+#: A parameter of this pipeline alone; the operator is exact unless it is given one.
+KEEP = 0.5
+
 STAGES = [
     ("quality_classifier", quality),
     ("near_duplicates", deduplication),
