@@ -9,8 +9,10 @@ the scarcest cell allows.  Where a share of the tokens is to be kept at least an
 exact targets keep less, the rates are scaled to that share, cells beyond one are
 kept whole, and the others are raked again; a category with fewer tokens than its
 target asks for then has all it has, and the others share what it lacks in
-proportion to their targets.  Each document is kept if a fixed hash of its id
-falls below its cell's probability.  Margins that miss are reported by a warning.
+proportion to their targets.  Each document is kept if a fixed hash of its id and
+text falls below its cell's probability.  Raking ends when every margin meets its
+targets, or when no cycle brings them nearer, since cells that the corpus lacks can
+make targets impossible together; a miss is reported by a warning.
 
 Targets are given per margin, or follow from the corpus: a category's share
 raised to a power below one, which moves weight from large to small ones.  Topics
@@ -21,8 +23,9 @@ Only DataFrame functions are used.
 
 Defined results for odd input: a null text has no tokens and is kept by its
 cell's probability; null sources and languages are the category ``(none)``; a
-cell without tokens has probability one; repeated rows count and are chosen
-alike; an empty table gives an empty result; further columns are ignored.
+cell without tokens has probability one; ids may be null, and texts that share one
+are drawn each for itself; rows alike in id and text count and are chosen alike; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ from accordant.llm.common import settled, text_of
 MARGINS = ("mix_source", "mix_lang", "mix_topic")
 #: Powers of the shares: one keeps a margin as it is, zero makes it even.
 POWERS = {"mix_source": 0.7, "mix_lang": 0.85, "mix_topic": 0.9}
-CYCLES, CYCLES_A_JOB, TOLERANCE, REPORTED = 60, 6, 1e-9, 1e-6
+CYCLES, CYCLES_A_JOB, TOLERANCE, REPORTED = 600, 6, 1e-9, 1e-6
+#: Raking stops when a job's cycles leave more than this share of the miss.
+STALLED = 0.999
 #: Cells that one partition rakes and a broadcast holds.
 FEW = 20_000
-#: Share of the tokens that the query and the pipeline keep at least.
-KEEP = 0.5
 NONE = "(none)"
 
 # Forms of text that serve as topics, the first that holds.
@@ -65,16 +68,17 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def margins_of(topic_col: str | None = None, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> list[Column]:
-    """The three margins; topic_col: the caller's own topics, else the form of the text stands for one."""
-    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    topic = known(topic_col) if topic_col else topic_of(text_of(text_col))
-    return [known(source_col).alias("mix_source"), known(lang_col).alias("mix_lang"), topic.alias("mix_topic")]
-
+def weighed(docs: DataFrame, topic_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 7, keep_row: bool = False) -> DataFrame:
+    """doc_id, the three margins, n_tokens, draw (from 0 to 1, by id and text), and the row itself if asked for.
 
-def weighed(docs: DataFrame, topic_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """doc_id, the three margins and n_tokens."""
-    return docs.select(F.col(id_col).alias("doc_id"), *margins_of(topic_col, text_col, source_col, lang_col), n_tokens(text_of(text_col)).alias("n_tokens"))
+    topic_col: the caller's own topics, else the form of the text stands for one.
+    """
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    text = text_of(text_col)
+    topic = known(topic_col) if topic_col else topic_of(text)
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, F.xxhash64(text)), 11) / F.lit(float(1 << 53))
+    out = [F.col(id_col).alias("doc_id"), known(source_col).alias("mix_source"), known(lang_col).alias("mix_lang"), topic.alias("mix_topic"), n_tokens(text).alias("n_tokens"), draw.alias("draw")]
+    return docs.select(*out, *[F.struct(*docs.columns).alias("row")] * keep_row)
 
 
 def _with_sums(cells: DataFrame, margin: str, value: Column, few: bool) -> DataFrame:
@@ -87,7 +91,7 @@ def _with_sums(cells: DataFrame, margin: str, value: Column, few: bool) -> DataF
 
 def _scaled(cells: DataFrame, few: bool, whole: bool) -> tuple[DataFrame, float]:
     """cells with rate x scaled in turn to each margin's target, at one at most if whole; and how far the worst total is off."""
-    kept, step, off = F.col("s") * F.col("x"), (lambda c: c) if few else settled, 0.0
+    kept, step, off, before = F.col("s") * F.col("x"), (lambda c: c) if few else settled, 0.0, float("inf")
     for _ in range(0, CYCLES, CYCLES_A_JOB):
         for _ in range(CYCLES_A_JOB):
             for m in MARGINS:
@@ -100,8 +104,9 @@ def _scaled(cells: DataFrame, few: bool, whole: bool) -> tuple[DataFrame, float]
         cells = settled(cells)
         off = cells.agg(F.max("off")).first()[0] or 0.0
         cells = (cells.coalesce(1) if few else cells).drop("off")
-        if off < TOLERANCE:
+        if off < TOLERANCE or off < REPORTED and off > before / 2 or off > STALLED * before:
             break
+        before = off
     return cells, off
 
 
@@ -140,7 +145,7 @@ def raked(sums: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     cells, off = _scaled(cells.coalesce(1) if few else cells, few, False)
     top, stock = cells.agg(F.max("x"), F.sum(F.when(F.col("x") > 0, F.col("s")))).first()
     if off > REPORTED:
-        warnings.warn(f"mixture: after {CYCLES} cycles a margin's share is off by {off:.2g}", stacklevel=2)
+        warnings.warn(f"mixture: not all targets are met; a margin's share is off by {off:.2g}", stacklevel=2)
     if keep is not None and top and 1 / top < keep:
         keep = min(keep, stock)
         for m in MARGINS:
@@ -157,23 +162,21 @@ def raked(sums: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 7, keep: float | None = None, topic_col: str | None = None) -> DataFrame:
-    """doc_id, source_class, lang_class, topic, n_tokens, probability, selected: one row per document, whose text is read once."""
-    rows = settled(weighed(docs, topic_col))
+    """doc_id, source_class, lang_class, topic, n_tokens, probability, selected: one row per document."""
+    rows = settled(weighed(docs, topic_col, seed=seed))
     cells = settled(raked(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets, keep))
-    return _chosen(rows, cells, F.col("doc_id"), seed).select("doc_id", F.col("mix_source").alias("source_class"), F.col("mix_lang").alias("lang_class"), F.col("mix_topic").alias("topic"), "n_tokens", "probability", "selected")
+    return _chosen(rows, cells).select("doc_id", F.col("mix_source").alias("source_class"), F.col("mix_lang").alias("lang_class"), F.col("mix_topic").alias("topic"), "n_tokens", "probability", "selected")
 
 
-def _chosen(rows: DataFrame, cells: DataFrame, key: Column, seed: int) -> DataFrame:
-    """rows, which have the margins, with probability and selected."""
+def _chosen(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows, as ``weighed`` gives them, with probability and selected."""
     held = cells.select(*[F.col(m).alias(f"of_{m}") for m in MARGINS], F.col("probability").alias("held"))
     same = [F.col(m) == F.col(f"of_{m}") for m in MARGINS]
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / F.lit(float(1 << 53))
     out = rows.join(F.broadcast(held) if held.count() <= FEW else held, same, "left").withColumn("probability", F.coalesce("held", F.lit(1.0)))
-    return out.withColumn("selected", u < F.col("probability")).drop("held", *[f"of_{m}" for m in MARGINS])
+    return out.withColumn("selected", F.col("draw") < F.col("probability")).drop("held", *[f"of_{m}" for m in MARGINS])
 
 
 def kept_mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 7, keep: float | None = None, topic_col: str | None = None) -> DataFrame:
     """The documents that the mixture selects, in the columns of docs."""
-    cells = settled(raked(weighed(docs, topic_col).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets, keep))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *margins_of(topic_col))
-    return _chosen(rows, cells, F.col("row.doc_id"), seed).where("selected").select("row.*")
+    cells = settled(raked(weighed(docs, topic_col, seed=seed).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets, keep))
+    return _chosen(weighed(docs, topic_col, seed=seed, keep_row=True), cells).where("selected").select("row.*")

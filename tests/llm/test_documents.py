@@ -600,6 +600,24 @@ def test_mixing_given_targets(documents):
     assert t["en"] == pytest.approx(t["de"], rel=1e-6)
 
 
+def test_texts_of_one_id_are_drawn_each_for_itself(spark):
+    """Also ids that are null; rows alike in id and text are chosen alike."""
+    rows = [(None if i % 2 else 7, f"text {i}", "a" if i % 10 else "b", "en") for i in range(600)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    got = X.kept_mix(docs, {"mix_source": {"a": 0.5, "b": 0.5}}).where("source = 'a'").collect()
+    chosen = collections.Counter((r.doc_id, r.text) for r in got)
+    assert set(chosen.values()) == {2} and {i for i, _ in chosen} == {None, 7} and 30 < len(chosen) < 110
+
+
+def test_probabilities_draw_what_they_say(spark):
+    """Null ids: about the cell's rate of them is kept, not all or none."""
+    rows = [(None, f"text number {i}", "a" if i % 10 else "b", "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("t", F.lit("one"))
+    got = X.mixed(docs, {"mix_source": {"a": 0.5, "b": 0.5}}, topic_col="t").collect()
+    a = [r for r in got if r.source_class == "a"]
+    assert a[0].probability == pytest.approx(1 / 9, rel=0.01) and 0.08 < sum(r.selected for r in a) / len(a) < 0.15
+
+
 def shares(cells, margin):
     return {r[0]: (r.now, r.kept) for r in cells.groupBy(margin).agg(F.sum("tokens").alias("now"), F.sum(F.col("tokens") * F.col("probability")).alias("kept")).collect()}
 
