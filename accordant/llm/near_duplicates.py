@@ -110,22 +110,27 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     return met.select(F.col("h.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
+def _dealt(found: DataFrame, *more: str) -> DataFrame:
+    """An aggregate dealt anew by further columns, so that a join on its key has an exchange of its own on either side, which adaptive execution can split where the other side is hot."""
+    return found.repartition(*more)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable, by alternating large and small stars.
 
-    Each round is two joins on the node; a star's centre may be hot, and those
-    joins are plain ones that Spark splits.  Rounds grow as the logarithm of the
-    longest chain; each one is written to the shared folder.
+    Each round is two joins on the node; a star's centre may be hot, so the sums that
+    they meet are dealt anew, and both sides come by plain exchanges.  Rounds grow as
+    the logarithm of the longest chain; each one is written to the shared folder.
     """
     edges, before = settled(edges.distinct()), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("m").alias("a"), "b")
+        large = both.join(_dealt(least, "k", "m"), F.col("a") == F.col("k")).where("b > a").select(F.col("m").alias("a"), "b")
         large = large.where("a <> b").distinct()
         # each node of a small star is the larger end of its edges
         least = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "k")
-        small = large.join(least, F.col("b") == F.col("k")).select("a", "b", "m")
+        small = large.join(_dealt(least, "k", "m"), F.col("b") == F.col("k")).select("a", "b", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = settled(small.where("a <> b").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -139,16 +144,16 @@ def _component_of(prints: DataFrame) -> DataFrame:
     """(of, component_id): each distinct fingerprint with the smallest doc_id of its component."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = settled(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("of"), "component_id")
+    return rooted.select("fp", "root").join(_dealt(smallest, "root", "component_id"), "root").select(F.col("fp").alias("of"), "component_id")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = settled(fingerprints(docs, id_col, text_col))
     named = _component_of(prints)
-    return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(_dealt(named, "of", "component_id"), F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:

@@ -533,6 +533,36 @@ def test_covering_loses_no_link(spark):
     assert got == want
 
 
+def test_hot_joins_have_exchanges_of_their_own(spark, monkeypatch):
+    """No join takes its rows from an aggregate's exchange, and no side reuses the other's."""
+    seen, real = [], N.settled
+
+    def settled(df):
+        seen.append(df)
+        return real(df)
+
+    monkeypatch.setattr(N, "settled", settled)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(300).selectExpr("id as doc_id", "concat('some words of text number ', id % 40) as text")
+        seen.append(N.near_duplicate_groups(docs))
+        joins = 0
+        for df in seen:
+            lines = str(df._jdf.queryExecution().executedPlan().toString()).split("\n")
+            depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+            for i, line in enumerate(lines):
+                if "SortMergeJoin" in line and "LeftOuter" not in line:  # the outer one has one row for each key on both sides
+                    joins += 1
+                    below = [x for x in lines[i + 1 :]]
+                    sides = [k for k, x in enumerate(below) if depth(x) == min(depth(y) for y in below[:2]) and "Sort" in x][:2]
+                    for k in sides:
+                        after = next(x for x in below[k + 1 :] if not re.search("Sort|AQEShuffleRead|ShuffleQueryStage", x))
+                        assert "Exchange hashpartitioning" in after and "ENSURE_REQUIREMENTS" in after, "\n".join(lines)
+        assert joins >= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_long_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 600)] + [(700, 701), (700, 701)]
     got = {r.node: r.root for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
