@@ -8,7 +8,9 @@ and checksums, the hit at offset zero corrects the declared type, and further
 confirmed hits are carved as embedded media.  ``media_features`` reads the stored
 payload back and describes it; ``described_texts`` does all three in one pass.
 
-What confirms a hit: wave and PNG, chunks that add up, PNG checksums; GIF, its
+What confirms a hit: RIFF (wave of any uncompressed sample format, WebP, AVI) and PNG,
+chunks that add up, a wave's format that agrees with itself, PNG checksums; ISO media
+(MP4, QuickTime, HEIC, AVIF), boxes that add up; MP3, a tag and two frames behind it; GIF, its
 blocks to the trailer; JPEG, segments with a frame before the scan, and the end
 mark; Ogg, pages of one stream with their checksums; FLAC, its metadata blocks and
 the checksum of the first frame's head (it has no length: it ends with the buffer);
@@ -52,7 +54,19 @@ SIGNATURES = {
     "audio/flac": b"fLaC",
     "application/pdf": b"%PDF-",
     "application/zip": b"PK\x03\x04",
+    "audio/mpeg": b"ID3",
+    "video/mp4": b"ftyp",  # behind the length of its box
 }
+# What a RIFF file, an ISO media file and its boxes are named; codings of waves that are samples as they are.
+RIFF_FORMS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
+ISO_BRANDS = {b"M4A ": "audio/mp4", b"M4B ": "audio/mp4", b"heic": "image/heic", b"mif1": "image/heif", b"avif": "image/avif", b"qt  ": "video/quicktime"}
+ISO_BOXES = frozenset((b"ftyp", b"moov", b"moof", b"mdat", b"meta", b"free", b"skip", b"wide", b"styp", b"sidx", b"mfra", b"uuid", b"pdin"))
+UNPACKED = (1, 3, 6, 7, 0xFFFE)
+# Kilobits a second by index, of MPEG 1 and of the versions of half its rates, and samples a second.
+MP3_KILOBITS = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+MP3_KILOBITS_LOW = (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
+MP3_HERTZ = (44100, 48000, 32000)
+
 # Where formats end.
 ENDS = {"jpeg end": b"\xff\xd9", "pdf end": b"%%EOF", "zip end": b"PK\x05\x06"}
 Where = tuple[int, int, int]  # end, payload start, payload end
@@ -65,23 +79,88 @@ def stored_as_wave(payload: bytes) -> bytes:
     return struct.pack("<4sI4s", b"RIFF", 4 + len(form) + len(data), b"WAVE") + form + data
 
 
-def _wave(b: bytes, at: int) -> tuple[int, int, int] | None:
-    """(end, payload start, payload end) of a wave file at an offset, if its chunks add up."""
-    if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 12:
+def _wave_form(chunk: bytes) -> bool:
+    """Whether a wave's format chunk agrees with itself: any channels, sample size and coding without compression."""
+    if len(chunk) < 16:
+        return False
+    coding, channels, rate, byte_rate, align, bits = struct.unpack("<HHIIHH", chunk[:16])
+    return coding in UNPACKED and channels > 0 and rate > 0 and bits > 0 and align == channels * -(-bits // 8) and byte_rate == rate * align
+
+
+def _riff(b: bytes, at: int) -> tuple[str, Where] | None:
+    """Type, end and payload of a RIFF file at an offset, if its chunks add up: a wave, a WebP picture or an AVI film."""
+    kind = RIFF_FORMS.get(b[at + 8 : at + 12])
+    if kind is None or len(b) < at + 12:
         return None
     end, i, form = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), at + 12, False
     if end > len(b):
         return None
+    chunks = []
     while i + 8 <= end:
         n = int.from_bytes(b[i + 4 : i + 8], "little")
         if i + 8 + n > end:
             return None
-        if b[i : i + 4] == b"fmt ":
-            form = n >= 16 and b[i + 8 : i + 10] == b"\x01\x00" and b[i + 22 : i + 24] == b"\x08\x00"
-        if b[i : i + 4] == b"data":
-            return (end, i + 8, i + 8 + n) if form else None
+        name = b[i : i + 4]
+        if kind == "audio/wav":
+            if name == b"fmt ":
+                form = _wave_form(b[i + 8 : i + 8 + min(n, 16)])
+            if name == b"data":
+                return (kind, (end, i + 8, i + 8 + n)) if form else None
+        chunks.append(name)
         i += 8 + n + n % 2
-    return None
+    first = chunks[0] if chunks else b""
+    whole = kind == "image/webp" and first in (b"VP8 ", b"VP8L", b"VP8X") or kind == "video/x-msvideo" and first == b"LIST" and b"LIST" in chunks[1:]
+    return (kind, (end, at + 12, end)) if whole else None
+
+
+def _boxes(b: bytes, at: int) -> tuple[str, Where] | None:
+    """Type, end and payload of an ISO media file at an offset: boxes whose lengths add up, the brand first, with a movie or its data."""
+    if at < 0:
+        return None
+    i, names, head = at, set(), 0
+    while i + 8 <= len(b):
+        n, name, short = int.from_bytes(b[i : i + 4], "big"), b[i + 4 : i + 8], 8
+        if name not in ISO_BOXES:
+            break
+        if n == 1 and i + 16 <= len(b):
+            n, short = int.from_bytes(b[i + 8 : i + 16], "big"), 16
+        n = len(b) - i if n == 0 else n
+        if n < short or i + n > len(b) or (name == b"ftyp") != (i == at):
+            break
+        if i == at and (n < 16 or n % 4):
+            return None
+        head = head or n
+        names.add(name)
+        i += n
+    if not names & {b"moov", b"moof", b"mdat", b"meta"}:
+        return None
+    brand = b[at + 8 : at + 12]
+    return ISO_BRANDS.get(brand, "video/mp4"), (i, at + head, i)
+
+
+def _frame_bytes(b: bytes, at: int) -> int:
+    """Length of the MPEG layer III frame whose head stands there, 0 if none does."""
+    head = int.from_bytes(b[at : at + 4], "big")
+    version, layer, rate, sampling = head >> 19 & 3, head >> 17 & 3, head >> 12 & 15, head >> 10 & 3
+    if at + 4 > len(b) or head >> 21 != 0x7FF or version == 1 or layer != 1 or rate in (0, 15) or sampling == 3:
+        return 0
+    hertz = MP3_HERTZ[sampling] >> {3: 0, 2: 1, 0: 2}[version]
+    kilobits = (MP3_KILOBITS if version == 3 else MP3_KILOBITS_LOW)[rate - 1]
+    return (144 if version == 3 else 72) * kilobits * 1000 // hertz + (head >> 9 & 1)
+
+
+def _mp3(b: bytes, at: int) -> Where | None:
+    """A tag whose length agrees, and the layer III frames behind it, two at least."""
+    head = b[at : at + 10]
+    if len(head) < 10 or head[3] not in (2, 3, 4) or head[4] == 255 or max(head[6:10]) > 127:
+        return None
+    i = first = at + 10 + sum(x << 7 * (3 - k) for k, x in enumerate(head[6:10])) + 10 * bool(head[5] & 16)
+    frames = 0
+    while n := _frame_bytes(b, i):
+        if i + n > len(b):
+            break
+        i, frames = i + n, frames + 1
+    return (i, first, i) if frames > 1 else None
 
 
 def _png(b: bytes, at: int) -> tuple[int, int, int] | None:
@@ -216,7 +295,7 @@ def zip_files(b: bytes, ends: list[int]) -> dict[int, Where]:
     return out
 
 
-PLAIN_VALIDATORS = {"audio/wav": _wave, "image/png": _png, "image/gif": _gif, "audio/ogg": _ogg, "audio/flac": _flac}
+PLAIN_VALIDATORS = {"audio/mpeg": _mp3, "image/png": _png, "image/gif": _gif, "audio/ogg": _ogg, "audio/flac": _flac}
 
 
 @lru_cache(maxsize=1)
@@ -236,10 +315,13 @@ def segments(media: bytes) -> tuple[list[tuple[str, int, int, int, int]], int]:
     for end, (kind, n) in automaton().iter(media.decode("latin-1")):
         at[kind].append(end - n + 1)
     zips = zip_files(media, at["zip end"]) if at["application/zip"] else {}
-    found, refused, streamed, zipped = [], 0, 0, 0
+    found, refused, streamed, zipped, framed = [], 0, 0, 0, 0
+    at["video/mp4"] = [x - 4 for x in at["video/mp4"]]
     for start, kind in sorted((start, kind) for kind in SIGNATURES for start in at[kind]):
         if kind == "audio/ogg" and start < streamed:
             continue  # a further page of the stream before
+        if kind == "audio/mpeg" and start < framed:
+            continue  # within the frames before
         if kind == "image/jpeg":
             where = _jpeg(media, start, at["jpeg end"])
         elif kind == "application/pdf":
@@ -249,6 +331,9 @@ def segments(media: bytes) -> tuple[list[tuple[str, int, int, int, int]], int]:
                 continue  # a further entry of the file before
             where = zips.get(start)
             zipped = max(zipped, where[0]) if where else zipped
+        elif kind in ("audio/wav", "video/mp4"):
+            named = (_riff if kind == "audio/wav" else _boxes)(media, start)
+            kind, where = named or (kind, None)
         else:
             where = PLAIN_VALIDATORS[kind](media, start)
         if where is None:
@@ -257,6 +342,8 @@ def segments(media: bytes) -> tuple[list[tuple[str, int, int, int, int]], int]:
         found.append((kind, start, *where))
         if kind == "audio/ogg":
             streamed = where[0]
+        if kind == "audio/mpeg":
+            framed = where[0]
     return found, refused
 
 
@@ -297,7 +384,8 @@ def typed(media: bytes | None, declared: str | None) -> tuple[str | None, list[t
 def sniffed(media: DataFrame, media_col: str = "media") -> DataFrame:
     """The table with media_type (the declared one where nothing at offset zero is confirmed), segments and refused hits."""
     added = [T.StructField(f.name, f.dataType) for f in SNIFFED]
-    clash = [f.name for f in added if f.name in media.columns]
+    own = {f.name.lower() for f in added}
+    clash = [c for c in media.columns if c.lower() in own]
     if clash:
         media = media.drop(*clash)
     schema = T.StructType([*media.schema.fields, *added])

@@ -441,6 +441,56 @@ def flac():
     return b"fLaC\x80\0\0\x22" + bytes(34) + head + bytes([M._crc8(head)]) + b"samples"
 
 
+def real_wave(channels, width, rate, coding=None):
+    """As a recorder writes it; coding: another one than plain samples."""
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setparams((channels, width, rate, 0, "NONE", ""))
+        w.writeframes(bytes(range(48)) * channels * width)
+    made = out.getvalue()
+    return made[:20] + coding.to_bytes(2, "little") + made[22:] if coding else made
+
+
+def chunk(name, body):
+    return name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+
+
+def box(name, body):
+    return (8 + len(body)).to_bytes(4, "big") + name + body
+
+
+WEBP = chunk(b"RIFF", b"WEBP" + chunk(b"VP8L", b"abcde"))
+AVI = chunk(b"RIFF", b"AVI " + chunk(b"LIST", b"hdrl") + chunk(b"LIST", b"movi"))
+MP4 = box(b"ftyp", b"isom\0\0\2\0isom") + box(b"free", b"") + box(b"moov", b"m" * 9) + box(b"mdat", b"d" * 50)
+M4A = box(b"ftyp", b"M4A \0\0\0\0") + b"\0\0\0\1mdat" + (20).to_bytes(8, "big") + b"data"
+MP3 = b"ID3\4\0\0\0\0\0\5title" + (b"\xff\xfb\x90\0" + bytes(413)) * 3
+WAVES = [real_wave(2, 2, 44100), real_wave(1, 3, 48000), real_wave(6, 4, 96000, 3), real_wave(1, 1, 8000, 7), real_wave(2, 2, 44100, 0xFFFE)]
+
+
+@pytest.mark.parametrize("kind, whole", [*[("audio/wav", w) for w in WAVES], ("image/webp", WEBP), ("video/x-msvideo", AVI), ("video/mp4", MP4), ("audio/mp4", M4A), ("audio/mpeg", MP3)])
+def test_ordinary_files(spark, kind, whole):
+    found, refused = M.segments(b"before " + whole + b" after")
+    assert [(x[0], x[1], x[2]) for x in found] == [(kind, 7, 7 + len(whole))] and refused == 0
+    assert M.typed(whole, "text/plain")[0] == kind
+    if kind == "audio/wav":
+        assert whole[found[0][3] - 7 : found[0][4] - 7] == whole[44:]
+
+
+@pytest.mark.parametrize("broken", [WAVES[0][:32] + b"\3" + WAVES[0][33:], WAVES[0][:28] + b"\1\2" + WAVES[0][30:], WEBP[:-1], WEBP.replace(b"VP8L", b"VP9L"), AVI.replace(b"LIST", b"JUNK"), MP4[:20], MP4[:4] + b"ftypisom", MP3[:15], MP3[:430], MP3.replace(b"ID3\4", b"ID3\x09")])
+def test_ordinary_files_that_do_not_add_up(broken):
+    found, refused = M.segments(b"xx" + broken)
+    assert not found and refused >= 1
+
+
+def test_columns_that_differ_in_case_give_way(spark):
+    rows = spark.createDataFrame([(1, "x", PNG, 0, "old")], "doc_id long, declared_type string, media binary, REFUSED int, Media_Type string")
+    made = M.sniffed(rows)
+    assert [c.lower() for c in made.columns].count("refused") == 1 and made.select("media_type", "refused").first()[:] == ("image/png", 0)
+
+
 def test_signatures_are_validated_and_carved(spark):
     wave = M.stored_as_wave(PNG + b"GIF8 no" + GIF + b"RIFFnope" + PDF)
     found, refused = M.segments(wave)
@@ -474,7 +524,7 @@ def test_many_signatures_take_linear_time():
     import time
 
     start = time.process_time()
-    for magic in (b"PK\3\4", b"%PDF-1", b"\xff\xd8\xff\xda\0\2", b"OggS\0\2", b"fLaC\0\0\0\x22"):
+    for magic in (b"PK\3\4", b"%PDF-1", b"\xff\xd8\xff\xda\0\2", b"OggS\0\2", b"fLaC\0\0\0\x22", b"\0\0\0\x10ftypisom\0\0\0\0", b"ID3\4\0\0\0\0\0\0\xff\xfb"):
         M.segments(magic * 80_000)
     assert time.process_time() - start < 20
 
