@@ -6,14 +6,18 @@ its block element and the container around it (article, main, section, div, ...)
 
 The text-to-tag ratio of the lines is smoothed with a Gaussian along the page,
 and a two-means threshold over the smoothed ratios parts content lines from the
-rest.  The content lines select the region: the smallest container that holds
-nearly all of their text.  Without content lines there is no text.  Structure
-only refines that choice.  Lines in navigation, footers, forms and the like, or
-in a container named as such, are no content; content lines in an article or main
-element go before others, and such an element around the region, or beside it, is
-part of it.  Of a region that is no such element, lines count that stand between
-its first and last content line, directly in it, or in a part with content; a
-heading right before them counts as well.
+rest.  The content lines make the text: from the first to the last of them, without
+what is mostly links, and with REACH lines more at either end; in an article or main
+element, from a heading beside the first of them.  All other lines are out, in such
+an element as anywhere.
+
+Structure refines that.  Lines in navigation, footers, forms and the like, or in a
+container named as such, are no content.  The region is the smallest container that
+holds nearly all text of the content lines; those in an article or main element go
+before others, and such an element around the region, or beside it, is part of it.
+What stands outside the region is out.  Of a region that is no such element, lines
+count that stand between its first and last content line, directly in it, or in a part
+with content; a heading right before them counts as well.
 
 A name is a weaker sign than an element: it is void where its container holds an
 article or main element.
@@ -64,6 +68,8 @@ ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption",
 SIGMA = 1.5
 #: Share of the content's text that a container must hold to be the region; and of a line's text that links may hold.
 NEARLY_ALL, MOST_LINK = 0.9, 0.5
+#: Lines that come with the content before and behind it.
+REACH = 4
 SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
@@ -256,6 +262,22 @@ def regions_of(page: Lines, content: list[int]) -> tuple[list[int], bool]:
     return [r for r, kind in enumerate(kinds) if r == at or kind == "article" == kinds[at] and parents[r] == parents[at]], True
 
 
+def with_content(lines: list[Line], candidates: list[int], content: set[int], whole: bool) -> list[int]:
+    """Of the candidates, in page order: content lines, and the lines between or next to them that are not mostly links.
+
+    whole: they are of an article or main element; its text starts with the first
+    heading that stands beside the first content line.
+    """
+    places = [k for k, i in enumerate(candidates) if i in content]
+    if not places:
+        return []
+    first, last = places[0] - REACH, places[-1] + REACH
+    if whole:
+        beside = lines[candidates[places[0]]].region
+        first = min([first, *(k for k, i in enumerate(candidates[: places[0]]) if lines[i].block in HEADINGS and lines[i].region == beside)])
+    return [i for k, i in enumerate(candidates) if i in content or first <= k <= last and lines[i].link <= MOST_LINK * len(lines[i].text)]
+
+
 def main_text(html: str) -> str:
     page = Lines()
     page.feed(html)
@@ -291,6 +313,9 @@ def main_text(html: str) -> str:
         few_links = x.link <= MOST_LINK * len(x.text)
         if whole or first <= i <= last or x.region not in chosen and held[x.region] or few_links and x.region in chosen:
             out.append(i)
+    out = with_content(lines, out, set(content), whole)
+    if not out:
+        return ""
     own_at = {i: k for k, i in enumerate(own)}
     at = own_at[out[0]] - 1
     before = []

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import html as H
 import json
+import math
+import random
 import re
 
 
@@ -78,6 +80,51 @@ def test_clusters_choose_the_region(name, monkeypatch):
     assert E.main_text(PAGES[name][0]) == ""
 
 
+def test_clusters_choose_the_text_of_the_given_pages(spark, sf_dir, monkeypatch):
+    """With the line of the lowest ratio, or another single one, as the only content, half of the pages of more than a few lines and more lose text."""
+    rng, real = random.Random(1), {}
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    real = [E.main_text(h) for h in pages]
+
+    def ratio(x):
+        return (len(x.text) - x.link) / max(1, x.tags)
+
+    for choose in (lambda lines, own: [min(own, key=lambda i: ratio(lines[i]))], lambda lines, own: [rng.choice(own)]):
+        seen = []
+        monkeypatch.setattr(E, "content_lines", lambda lines, own: (seen.append(len(own)), choose(lines, own))[1])
+        changed = [E.main_text(h) != t for h, t in zip(pages, real)]
+        many = [c for c, n in zip(changed, seen) if n > 3 * E.REACH]
+        assert len(many) > 5 and sum(many) >= 0.5 * len(many) and sum(changed) > 0.2 * len(changed)
+
+
+def test_ratios_smoothing_and_threshold_by_a_second_computation(spark, sf_dir):
+    """The content lines of the given pages, from the definition: ratio, Gaussian over the page's lines, two means."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(60).collect():
+        page = E.Lines()
+        page.feed(r.html)
+        E.HTMLParser.close(page)
+        page.flush()
+        lines = page.lines
+        level = [math.log(1 + max(0, (len(x.text) - x.link) / max(1, x.tags))) for x in lines]
+        smooth = []
+        for i in range(len(level)):
+            weights = {j: math.exp(-((j - i) ** 2) / (2 * E.SIGMA**2)) for j in range(len(level)) if abs(j - i) <= 5}
+            smooth.append(sum(level[j] * w for j, w in weights.items()) / sum(weights.values()))
+        low, high = min(smooth), max(smooth)
+        for _ in range(100):
+            parts = [[x for x in smooth if (abs(x - high) <= abs(x - low)) == upper] for upper in (False, True)]
+            low, high = (sum(p) / len(p) for p in parts)
+        want = [i for i, x in enumerate(smooth) if abs(x - high) <= abs(x - low)]
+        assert E.content_lines(lines, list(range(len(lines)))) == want
+
+
+@pytest.mark.parametrize("around", ["main", "article", "div"])
+def test_link_lists_are_out_in_any_element(around):
+    more = "".join(f"<div><a href='/{i}'>More of this {i}</a></div>" for i in range(3))
+    page = f"<{around}><h1>Head</h1><p>{BODY}</p><div><a href=a>Read on</a></div><p>{BODY}</p>{more}</{around}>"
+    assert E.main_text(page) == re.sub(r"\s+", " ", f"Head {BODY} {BODY}").strip()
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 20_000 + "x"
     rows = spark.createDataFrame([(1, "u", None, "t", 1), (1, "u", None, "t", 1), (None, None, deep, "t", 2)], "page_id long, url string, html string, text string, n_chars int")
