@@ -237,5 +237,32 @@ folded AS (SELECT * FROM {_folds_sql(_folds_sql("started", "low"), "top", part="
 SELECT doc_id, leaf, subroot, (SELECT d FROM top_top) AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = (SELECT d FROM top_top) AS verified FROM folded
 """
 
-ORACLES: dict[str, str] = {**ORACLES_OF_SECRETS, "op8_chat_formatting": OP8_SQL, "op11_ranked_search": OP11_SQL, "op12_exact_duplicates": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
-QUERIES["secret_ledger_versions"] = secret_ledger_versions
+CHAT_LAYOUTS_SQL = """
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+SELECT conv_id, CASE conv_id % 4 WHEN 1 THEN 'speakers' WHEN 2 THEN 'dialogue' ELSE 'messages' END AS layout, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(length('<|im_start|>') + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<|', '<||')) + 1 + length(replace(text, '<|', '<||')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON records of four layouts by conv_id, mapped by their fingerprints, formatted and read back; further keys and parts of a text are among them."""
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    convs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("t"))
+    as_list = lambda role, text, part=lambda x: x: F.transform("t", lambda x: F.struct(x["role"].alias(role), part(x["text"]).alias(text)))
+    parts = lambda x: F.array(F.struct(F.lit("text").alias("type"), F.left(x, F.lit(5)).alias("text")), F.struct(F.lit("text").alias("type"), F.substring(x, F.lit(6), F.length(x)).alias("text")))
+    json = (
+        F.when(F.col("conv_id") % 4 == 1, F.to_json(F.struct(F.lit("k").alias("id"), as_list("from", "value").alias("conversations"))))
+        .when(F.col("conv_id") % 4 == 2, F.to_json(F.struct(as_list("speaker", "text").alias("dialogue"), F.lit(3).alias("score"))))
+        .when(F.col("conv_id") % 4 == 3, F.to_json(F.struct(as_list("role", "content", parts).alias("messages"))))
+        .otherwise(F.to_json(F.struct(as_list("role", "content").alias("messages"), F.lit("x").alias("dataset"))))
+    )
+    made = chat_formatting.formatted_turns(chat_formatting.canonical_turns(convs.select("conv_id", json.alias("json")), "json"))
+    turns = chat_formatting.read_back(F.col("formatted"))
+    text = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.withColumn("back", turns).select("conv_id", "layout", F.size("back").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+ORACLES: dict[str, str] = {"chat_layouts": CHAT_LAYOUTS_SQL, **ORACLES_OF_SECRETS, "op8_chat_formatting": OP8_SQL, "op11_ranked_search": OP11_SQL, "op12_exact_duplicates": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
+QUERIES |= {"secret_ledger_versions": secret_ledger_versions, "chat_layouts": chat_layouts}
