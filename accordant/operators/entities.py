@@ -24,7 +24,8 @@ def contained(candidates: DataFrame, known: DataFrame) -> DataFrame:
     k = known.select("entity_key", significant_tokens(F.col("name")).alias("tokens")).where(F.size("tokens") > 0)
     each = k.select("entity_key", "tokens", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = each.join(often, "token").groupBy("entity_key").agg(F.min_by(F.struct("token", "tokens"), F.struct("n", "token")).alias("r")).select("entity_key", "r.token", "r.tokens")
+    # dealt anew, so that the join has plain exchanges on both sides, which can be split where a token is in very many names
+    rarest = each.join(often.repartition("n", "token"), "token").groupBy("entity_key").agg(F.min_by(F.struct("token", "tokens"), F.struct("n", "token")).alias("r")).select("entity_key", "r.token", "r.tokens")
     c = candidates.select("candidate_id", significant_tokens(F.col("name")).alias("has"))
     met = c.select("candidate_id", "has", F.explode("has").alias("token")).join(rarest, "token")
     return met.where(F.size(F.array_except("tokens", "has")) == 0).select("candidate_id", "entity_key")
@@ -40,7 +41,7 @@ def nearest(candidates: DataFrame, known: DataFrame, floor: float = C.NEAR_MATCH
     """candidate_id, entity_key, sim: the most similar known name at or above the floor."""
     q = V.vectors(V.features(candidates, "candidate_id", "name"))
     items = V.vectors(V.features(known, "entity_key", "name"))
-    best = V.similar(q, items, floor).groupBy("query_id").agg(F.max_by(F.struct("id", "sim"), F.struct(F.round("sim", 9), "id")).alias("b"))
+    best = V.similar_above(q, items, floor).groupBy("query_id").agg(F.max_by(F.struct("id", "sim"), F.struct(F.round("sim", 9), "id")).alias("b"))
     return best.select(F.col("query_id").alias("candidate_id"), F.col("b.id").alias("entity_key"), F.col("b.sim").alias("sim"))
 
 
@@ -94,7 +95,7 @@ def resolved_in_order(candidates: DataFrame, order: str = "document") -> DataFra
     seen = named.groupBy("pile", "slug").agg(F.min("at").alias("first")).withColumn("tokens", significant_tokens(F.col("slug")))
     each = seen.where(F.size("tokens") > 0).withColumn("token", F.explode("tokens"))
     often = each.groupBy("pile", "token").agg(F.count("*").alias("n"))
-    rarest = each.join(often, ["pile", "token"]).groupBy("pile", "slug").agg(F.min_by(F.struct("token", "tokens", "first"), F.struct("n", "token")).alias("r"))
+    rarest = each.join(often.repartition("n", "pile", "token"), ["pile", "token"]).groupBy("pile", "slug").agg(F.min_by(F.struct("token", "tokens", "first"), F.struct("n", "token")).alias("r"))
     keys = rarest.select("pile", "r.token", F.col("slug").alias("key_slug"), F.col("r.tokens").alias("key_tokens"), F.col("r.first").alias("key_first"))
     pairs = each.join(keys, ["pile", "token"]).where((F.col("slug") != F.col("key_slug")) & (F.size(F.array_except("key_tokens", "tokens")) == 0))
     pairs = pairs.select("pile", "slug", "first", "key_slug", "key_first")

@@ -54,8 +54,10 @@ def located_fuzzily(rows: DataFrame, keys: list[str], text: str = "text", quote:
 
     def scored(start: Column, longest: Column) -> Column:
         """The best of the windows that begin like the longest one."""
-        by_width = F.transform("_widths", lambda n: F.element_at(F.transform(F.array(F.left(longest, n)), lambda w: F.struct(
-            (1 - F.levenshtein(F.lower(w), F.col("_said")) / F.greatest(F.length(w), F.length("_said"))).alias("score"), (-start).alias("start"), (-n).alias("n"))), 1))
+        # the distance stops where the floor is out of reach, and is -1 then; one more than what the floor allows, for its rounding
+        far = lambda w: F.call_function("levenshtein", F.lower(w), F.col("_said"), (F.greatest(F.length(w), F.length("_said")) * (1 - floor)).cast("int") + 1)
+        by_width = F.transform("_widths", lambda n: F.element_at(F.transform(F.array(F.left(longest, n)), lambda w: F.element_at(F.transform(F.array(far(w)), lambda d: F.struct(
+            F.when(d >= 0, 1 - d / F.greatest(F.length(w), F.length("_said"))).otherwise(0.0).alias("score"), (-start).alias("start"), (-n).alias("n"))), 1)), 1))
         return F.array_max(by_width)
 
     most = F.array_max("_widths")

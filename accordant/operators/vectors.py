@@ -60,6 +60,44 @@ def similar(queries: DataFrame, items: DataFrame, floor: float = C.SEARCH_FLOOR)
     return q.join(items, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("sim")).where(F.col("sim") >= floor)
 
 
+def rarest_first(vecs: DataFrame, often: DataFrame, floor: float) -> DataFrame:
+    """id, bucket, weight, after: the rows of each vector, from the rarest bucket to where what is left is shorter than the floor; after: the square of what is left behind a row.
+
+    often: bucket and n, how many vectors have it; at most BUCKETS rows.
+    """
+    ranked = vecs.join(F.broadcast(often), "bucket")
+    last = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    squares = F.col("weight") * F.col("weight")
+    held = ranked.withColumn("left", F.sum(squares).over(last)).where(F.col("left") >= (floor - 1e-9) ** 2)
+    return held.select("id", "bucket", "weight", F.greatest(F.lit(0.0), F.col("left") - squares).alias("after"))
+
+
+def met_above(queries: DataFrame, items: DataFrame, floor: float) -> DataFrame:
+    """query_id, id: the pairs that may reach the floor, of which the sums are still to be taken.
+
+    Buckets are taken from the rarest to the most frequent, in one order for all.  A
+    pair whose common buckets all lie behind the place where one of the two vectors
+    has less than the floor left cannot reach it, so pairs meet only in buckets before
+    that place in both.  What they have in common besides lies behind the last of
+    those, where it is at most the product of what is left of the two; only pairs that
+    may still reach the floor with that stay.
+    """
+    often = queries.select("bucket").unionByName(items.select("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    q = rarest_first(queries, often, floor).select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw"), F.col("after").alias("q_after"))
+    both = q.join(rarest_first(items, often, floor), "bucket").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("so_far"), F.min(F.col("q_after") * F.col("after")).alias("behind"))
+    return both.where(F.col("so_far") + F.sqrt("behind") >= floor - 1e-9).select("query_id", "id")
+
+
+def similar_above(queries: DataFrame, items: DataFrame, floor: float) -> DataFrame:
+    """query_id, id, sim: what ``similar`` gives, for floors high enough that few pairs reach them; vectors of unit length."""
+    whole = lambda vecs: vecs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("vector"))
+    pairs = met_above(queries, items, floor)
+    q = whole(queries).select(F.col("id").alias("of_query"), F.col("vector").alias("qv"))
+    held = pairs.join(q, F.col("query_id") == F.col("of_query")).join(whole(items), "id")
+    dot = F.aggregate(F.map_entries("vector"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("qv", e["key"]), F.lit(0.0)))
+    return held.select("query_id", "id", dot.alias("sim")).where(F.col("sim") >= floor)
+
+
 def top_k(found: DataFrame, k: int) -> DataFrame:
     """The k most similar per query, k between 1 and 50; ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
