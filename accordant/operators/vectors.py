@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant import config as C
 
-BUCKETS, WORD_WEIGHT, GRAM_WEIGHT, GRAM, FIT_ROWS = 1024, 1.5, 1.0, 3, 1000
+BUCKETS, WORD_WEIGHT, GRAM_WEIGHT, GRAM = 1024, 1.5, 1.0, 3
+#: Lists of an inverted file, how many of them a query looks into, and vectors that their centres are fitted on.
+LISTS, PROBES, FIT_ROWS = 32, 4, 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -140,21 +144,56 @@ def dense_similar(queries: DataFrame, items: DataFrame, vector: str = "embedding
     return out
 
 
-def approximate(items: DataFrame, queries: DataFrame, vector: str = "embedding", bucket_length: float = 0.6, tables: int = 8, seed: int = 3) -> DataFrame:
-    """query_id, id, sim: neighbours that share a random projection's bucket, ranked exactly.
+def _units(rows: DataFrame, vector: str) -> DataFrame:
+    """rows with v, the vector at unit length; rows without one, or of length zero, are left out."""
+    dot = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
+    sized = rows.withColumn("v", F.transform(vector, lambda x: x.cast("double"))).withColumn("length", F.sqrt(dot(F.col("v")))).where("length > 0")
+    return sized.withColumn("v", F.transform("v", lambda x: x / F.col("length"))).drop("length")
 
-    The projections are drawn at random and need one vector for their width only, so
-    the fit reads FIT_ROWS vectors; every vector is in the index.
+
+def fit_lists(items: DataFrame, lists: int = LISTS, vector: str = "embedding", seed: int = 3) -> list[list[float]]:
+    """Centres of unit length of an inverted file: k-means over FIT_ROWS vectors at most, those that a hash of their id puts first."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    sample = _units(items.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(FIT_ROWS), vector).select(array_to_vector("v").alias("features"))
+    model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", initMode="random", maxIter=15).fit(sample)
+    return [[float(x) for x in c / (c @ c) ** 0.5] for c in model.clusterCenters()]
+
+
+def in_lists(rows: DataFrame, centres: list[list[float]], nearest: int = 1, vector: str = "embedding") -> DataFrame:
+    """id, v, list, near: every row under its nearest centres, by similarity.
+
+    An index is this for one centre, written as a table partitioned by list; further
+    rows are appended to it under the same centres.
+    """
+    at = np.array(centres).T
+
+    @F.pandas_udf("array<struct<list:int,near:double>>")
+    def found(vs: pd.Series) -> pd.Series:
+        near = np.stack(vs.to_list()) @ at if len(vs) else np.zeros((0, at.shape[1]))
+        order = np.argsort(-near, axis=1, kind="stable")[:, :nearest]
+        return pd.Series([[{"list": int(j), "near": float(n[j])} for j in o] for o, n in zip(order, near)])
+
+    return _units(rows, vector).select("id", "v", F.explode(found("v")).alias("l")).select("id", "v", "l.list", "l.near")
+
+
+def list_search(queries: DataFrame, index: DataFrame, centres: list[list[float]], probes: int, vector: str = "embedding") -> DataFrame:
+    """query_id, id, sim: each query against the rows of its ``probes`` nearest lists; the join is on the list, whose rows come from the index as they lie."""
+    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    q = in_lists(queries, centres, probes, vector).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("list").alias("probed"))
+    return q.join(index, F.col("probed") == F.col("list")).select("query_id", "id", dot.alias("sim"))
+
+
+def approximate(items: DataFrame, queries: DataFrame, vector: str = "embedding", lists: int = LISTS, probes: int = PROBES, seed: int = 3) -> DataFrame:
+    """query_id, id, sim: neighbours out of an inverted file, ranked exactly.
+
+    Every vector is in the index; only the centres are fitted on a sample.  A pair
+    meets once at most, in the list of the item.  How many lists must be probed for a
+    recall depends on how much the vectors cluster.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda df: df.withColumn("d", F.transform(vector, lambda x: x.cast("double"))).withColumn("l", F.sqrt(dot(F.col("d"), F.col("d")))).where("l > 0").select("id", array_to_vector(F.transform("d", lambda x: x / F.col("l"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(unit(items).limit(FIT_ROWS))
-    pairs = model.approxSimilarityJoin(unit(queries), unit(items), 2.0, "gap")
-    a, b = vector_to_array("datasetA.v"), vector_to_array("datasetB.v")
-    return pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), dot(a, b).alias("sim"))
+    centres = fit_lists(items, lists, vector, seed)
+    return list_search(queries, in_lists(items, centres, 1, vector).drop("near"), centres, probes, vector)
 
 
 def weak(queries: DataFrame, found: DataFrame, confident: float = C.CONFIDENT_MATCH) -> DataFrame:

@@ -177,7 +177,7 @@ def test_approximate_recall(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     queries = items.where("id % 50 = 0")
     exact = {(r.query_id, r.id) for r in V.top_k(V.dense_similar(queries, items), 10).collect()}
-    near = {(r.query_id, r.id) for r in V.top_k(V.approximate(items, queries), 10).collect()}
+    near = {(r.query_id, r.id) for r in V.top_k(V.approximate(items, queries, probes=22), 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 

@@ -92,3 +92,55 @@ def test_common_tokens_do_not_hold_their_join_in_one_task(spark):
         assert "Repartition" in plan or "REPARTITION_BY_COL" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def recall_and_share(items, queries, probes, k=10):
+    """Recall against brute force, and the share of all pairs that met."""
+    import numpy as np
+
+    held = {r.id: np.array(r.embedding, float) for r in items.collect()}
+    ids, unit = sorted(held), {i: v / np.linalg.norm(v) for i, v in held.items()}
+    at = np.stack([unit[i] for i in ids])
+    found = V.approximate(items, queries, probes=probes)
+    got, n = {}, 0
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((-r.sim, r.id))
+        n += 1
+    asked = [r.id for r in queries.collect()]
+    hits = 0
+    for q in asked:
+        best = [ids[j] for j in np.argsort(-(at @ unit[q]), kind="stable")[:k]]
+        hits += len(set(best) & {i for _, i in sorted(got.get(q, []))[:k]})
+    return hits / (k * len(asked)), n / (len(asked) * len(ids))
+
+
+def test_inverted_file_over_vectors_that_cluster(spark):
+    """Nine tenths of the neighbours at under a tenth of the pairs."""
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(40, 24))
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.3 * draw.normal(size=24)]) for i in range(2000)] + [(2000, [0.0] * 24), (2001, None)]
+    items = spark.createDataFrame(rows, "id int, embedding array<float>").repartition(4)
+    good = items.where("id < 2000")
+    recall, share = recall_and_share(good, good.where("id % 50 = 0"), V.PROBES - 2)
+    assert recall >= 0.9 and share < 0.1
+    assert V.approximate(items, items.where("id >= 2000")).count() == 0
+
+
+def test_inverted_file_over_the_given_vectors(spark):
+    """They do not cluster: the recall that the query promises needs two thirds of the lists."""
+    items = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    recall, share = recall_and_share(items, items.where("id % 50 = 0"), 22)
+    print(recall, share)
+    assert recall >= 0.9 and share < 0.8
+
+
+def test_an_index_is_appended_to(spark, tmp_path):
+    items = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    centres = V.fit_lists(items)
+    for part in (0, 1):
+        V.in_lists(items.where(f"id % 2 = {part}"), centres).drop("near").write.mode("append").partitionBy("list").parquet(str(tmp_path / "index"))
+    index, queries = spark.read.parquet(str(tmp_path / "index")), items.where("id % 50 = 0")
+    by = lambda df: sorted((r.query_id, r.id, round(r.sim, 9)) for r in df.collect())
+    assert by(V.list_search(queries, index, centres, 4)) == by(V.approximate(items, queries))
