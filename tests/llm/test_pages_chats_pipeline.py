@@ -221,7 +221,7 @@ def test_sql_of_chats(spark, sf_dir):
 
 
 def test_registered_over_all_rows(spark, sf_dir):
-    assert sorted(int(m[1]) for n in registry.QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in registry.QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     got = registry.QUERIES["op8_chat_formatting"](spark, sf_dir)
     assert got.where("conv_id = -1").first().loss_chars == len("<|im_end|><|im_start|>assistant ok")
 
@@ -244,3 +244,64 @@ def test_pipeline(spark, sf_dir):
     placed = P.run(spark, sf_dir).collect()
     assert {r.doc_id for r in placed} == set(ids[3])
     assert sum(r.piece == 0 for r in placed) == len(ids[3]) and P.ORACLE_SQL is None
+
+
+def test_pipeline_over_odd_rows(spark, sf_dir, odd, tmp_path):
+    """Nulls, empty and very long texts, ties and repeated rows among the documents; every stage by its contents."""
+    import zlib
+
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    both = docs.unionByName(odd.selectExpr("doc_id + 100000 as doc_id", "text", "lang", "source", "n_chars"))
+    both.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    before, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in P.STAGES[:-1]:
+        rows = [tuple(r) for r in stage(spark, before, str(tmp_path)).select(docs.columns).collect()]
+        kept.append(collections.Counter(rows))
+        before = spark.createDataFrame(rows, docs.schema).repartition(3)
+    good, unique, masked, mixed = kept
+    assert good <= collections.Counter(tuple(r) for r in both.select(docs.columns).collect())
+    # one row of each component of fingerprints, of the smallest id (null last)
+    prints = collections.defaultdict(list)
+    for r in good:
+        prints[N.simhash(r[1] or "") & (2**64 - 1)].append(r)
+    left, groups = set(prints), []
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            a = todo.pop()
+            group.add(a)
+            near = {b for b in left if (a ^ b).bit_count() <= 3}
+            left -= near
+            todo += near
+        groups.append([r for fp in group for r in prints[fp]])
+    assert len(groups) == sum(unique.values()) == len(unique)
+    for group in groups:
+        own = [r for r in group if r in unique]
+        assert len(own) == 1 and (own[0][0] is None, own[0][0] or 0) == min((r[0] is None, r[0] or 0) for r in group)
+    # masking changes texts and their lengths alone, and those of secrets only
+    assert sorted((str(r[0]), str(r[2:4])) for r in masked) == sorted((str(r[0]), str(r[2:4])) for r in unique)
+    secret = re.compile(r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}")
+    assert not any(secret.search(r[1] or "") for r in masked)
+    assert {r for r in unique if r[1] is None or not re.search(r"[0-9a-f]{16}|AKIA|[:=]|PRIVATE|eyJ|gh[a-z]_|xox|glpat", r[1])} <= set(masked)
+    assert mixed <= masked and sum(mixed.values()) > 0
+    tokenizer, want = Tokenizer.from_file(registry.public_vocabulary("word_bpe_49k.json")), collections.Counter()
+    for r, n in mixed.items():
+        ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            cut = b"".join(i.to_bytes(4, "little") for i in ids[k : k + 4096])
+            want[r[0], k // 4096, k, len(cut) // 4, zlib.crc32(cut)] += n
+    got = P.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("name", ["op1_token_counts", "op3_best_fit_packing", "op4_quality_rules", "op5_media_columns", "op6_near_duplicates", "op7_html_extraction", "op9_source_mixing"])
+def test_registered_queries_have_a_row_for_every_row(spark, sf_dir, name):
+    made = registry.QUERIES[name](spark, sf_dir).collect()
+    of, key = ("pages", "page_id") if name.startswith("op7") else ("documents", "doc_id")
+    want = collections.Counter(r[key] for r in spark.read.parquet(f"{sf_dir}/{of}.parquet").select(key).collect())
+    seen = collections.Counter(r[key] for r in made if name != "op3_best_fit_packing" or r.piece == 0)
+    assert seen == want
