@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from accordant import config as C
 from accordant.functions.normalize import trimmed
+from accordant.operators.reports import placed
 
 NOT_ESTABLISHED = "Not established"
 NO_DISPUTE, NO_GAP = "No two documents disagree.", "Nothing is missing."
@@ -59,6 +60,48 @@ def table_body(rows: DataFrame, columns: list[str], order: list[str]) -> DataFra
     return keyed.select(*SECTION, F.concat_ws("\n", head, rule, body).alias("body"), "lines", "gaps")
 
 
+#: Lines that one chunk of a section holds.
+CHUNK_LINES = 1000
+
+
+def table_lines(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """SECTION, at, line: the lines of each section's table, the head at 0 and its rule at 1, as rows.
+
+    For sections of any size: the widths of the columns are an aggregate that combines
+    before the shuffle, lines get their place from a range partitioning, and none of a
+    section's lines are put together.  The text is that of ``table_body``.
+    """
+    width = [F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(f"w_{c}") for c in columns]
+    widths = rows.groupBy(*[F.col(k).alias(f"of_{k}") for k in SECTION]).agg(*width)
+
+    def line(values: list[Column]) -> Column:
+        return F.concat(F.lit("|"), *[x for v, c in zip(values, columns) for x in (F.lit(" "), F.rpad(v, F.col(f"w_{c}"), F.lit(" ")), F.lit(" |"))])
+
+    kept = [*SECTION, *dict.fromkeys([*order, *columns])]
+    numbered = placed(rows.select(F.struct(*SECTION).alias("section"), *kept), "section", *[F.col(c) for c in [*order, *columns]])
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in SECTION]
+    # dealt anew, so that a large section's join is one of plain exchanges
+    of_lines = numbered.join(widths.repartition(*[f"w_{c}" for c in columns], *[f"of_{k}" for k in SECTION]), same[0] & same[1]).select(*SECTION, (F.col("place") + 1).cast("long").alias("at"), line([F.col(c) for c in columns]).alias("line"))
+    rule = F.concat(F.lit("|"), *[F.concat(F.call_function("repeat", F.lit("-"), F.col(f"w_{c}") + 2), F.lit("|")) for c in columns])
+    heads = widths.select(*[F.col(f"of_{k}").alias(k) for k in SECTION], F.posexplode(F.array(line([F.lit(c) for c in columns]), rule)).alias("at", "line"))
+    return heads.withColumn("at", F.col("at").cast("long")).unionByName(of_lines)
+
+
+def chunked(lines: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
+    """SECTION, chunk, lines, body, content_hash: lines in ordered parts of so many at most."""
+    each = lines.groupBy(*SECTION, F.floor(F.col("at") / size).alias("chunk")).agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("all"))
+    return hashed(each.select(*SECTION, "chunk", "lines", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body")))
+
+
+def changed_chunks(new: DataFrame, old: DataFrame) -> DataFrame:
+    """SECTION, chunk, from_hash, to_hash of the chunks that differ, null where one side lacks it; bodies are not compared."""
+    keys = [*SECTION, "chunk"]
+    # one shuffle, and null piles are piles: each side's hash in a column of its own
+    sided = new.select(*keys, F.lit(None).cast("string").alias("from_hash"), F.col("content_hash").alias("to_hash")).unionByName(old.select(*keys, F.col("content_hash").alias("from_hash"), F.lit(None).cast("string").alias("to_hash")))
+    both = sided.groupBy(*keys).agg(F.max("from_hash").alias("from_hash"), F.max("to_hash").alias("to_hash"))
+    return both.where(~F.col("to_hash").eqNullSafe(F.col("from_hash")))
+
+
 def hashed(sections: DataFrame) -> DataFrame:
     return sections.withColumn("content_hash", F.sha2("body", 256))
 

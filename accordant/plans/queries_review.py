@@ -265,6 +265,23 @@ def c5_table_rendering(spark, sf_dir):
     return made.select("pile_id", "section_key", F.sha2("body", 256).alias("digest"))
 
 
+_LINE = " || ".join(f"'| ' || rpad({c}, CAST(w_{c} AS INT), ' ') || ' '" for c in _COLUMNS) + " || '|'"
+_HEAD = " || ".join(f"'| ' || rpad('{c}', CAST(w_{c} AS INT), ' ') || ' '" for c in _COLUMNS) + " || '|'"
+
+
+@query(
+    f"""WITH {CONFLICTS_SQL}, {TABLES_SQL}, table_lines AS (
+      SELECT pile_id, section_key, 0 AS nth, {_HEAD} AS line FROM wide UNION ALL SELECT pile_id, section_key, 1, '|' || {_RULE} || '|' FROM wide
+      UNION ALL SELECT pile_id, section_key, row_number() OVER (PARTITION BY pile_id, section_key ORDER BY place, source, char_start, term, shown, stated_at) + 1, {_LINE} FROM cells JOIN wide USING (pile_id, section_key))
+    SELECT pile_id, section_key, nth // 100 AS chunk, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY nth)) AS content_hash FROM table_lines GROUP BY ALL"""
+)
+def c5_section_chunks(spark, sf_dir):
+    """The sections' tables as rows of lines, a hash for each hundred of them."""
+    rows = fact_table(spark, sf_dir)
+    lines = G.table_lines(G.section_rows(rows, R.conflicts(rows).where("disputed")), list(_COLUMNS), ["place", "source", "char_start"])
+    return G.chunked(lines, 100).drop("body")
+
+
 _HEADS = ", ".join(f"('{k}', {i}, '{h}')" for i, (k, h) in enumerate([(k, h) for k, h, _ in C.SECTIONS] + list(C.COMPUTED_SECTIONS)))
 
 

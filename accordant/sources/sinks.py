@@ -42,6 +42,12 @@ def write_table(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.repartition("pile_id").write.mode(mode).partitionBy("pile_id").parquet(path)
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """lines (pile_id, section_key, at, line) as text files, one folder per pile, whose files in the order of their names have the lines in theirs; no text of a section is put together."""
+    dealt = lines.repartitionByRange("pile_id", "section_key", "at").sortWithinPartitions("pile_id", "section_key", "at")
+    dealt.select("pile_id", F.col("line").alias("value")).write.partitionBy("pile_id").text(path)
+
+
 def rendered(sections: DataFrame, title: str = "Register") -> DataFrame:
     """pile_id, version, body: the register as one text per pile and version."""
     part = F.struct("ordinal", F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"), F.col("body")).alias("part"))
