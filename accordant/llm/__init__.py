@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-scale steps, each one a module of its own.
+"""Training-data operators: thirteen corpus-scale steps, each one a module of its own.
 
 Nothing outside this subpackage imports it.  Registered queries are in
 ``accordant.llm.registry``.
