@@ -231,7 +231,6 @@ class _Examined:
         figures = [c.alias(f"r{i}_{n}") for i, (rule, check) in enumerate(checks) for n, c in check.gathers(rule).items()]
         self.figures = stored(facts.groupBy(*ENTITY).agg(*figures))
         self.evidence = self._evidence(facts)
-        self.judged = self._judged()
 
     def _heads(self, i: int) -> Column:
         """The passages of the leading facts, in order and once each."""
@@ -255,7 +254,7 @@ class _Examined:
         met = asked.join(figures, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in ENTITY]))
         return stored(met.select(*ENTITY, *PLACE, "shown", F.explode(F.array_compact(F.array(*roles))).alias("r")).select(*ENTITY, "r.*", *PLACE, "shown"))
 
-    def _judged(self) -> DataFrame:
+    def _judged(self, words: bool) -> DataFrame:
         """One row per rule and engagement: rule (its place), rule_key, severity, outcome, head (words), heads (leading passages), cites (the role cited), n_citations."""
         rows, counted = self.figures, self.evidence is not None
         if counted:
@@ -270,26 +269,29 @@ class _Examined:
         found = []
         for i, (rule, check) in enumerate(self.checks):
             outcome, head, _ = check.judges(rule, self.domain, lambda n, i=i: number(f"n{i}_{n}") if n in (TOP, BOUND, OFF) else F.col(f"r{i}_{n}"))
-            off = number(f"n{i}_{OFF}") > 0
-            n = F.size(self._heads(i)) + F.when(off, number(f"c{i}_{OFF}")).otherwise(number(f"c{i}_{BOUND}"))
             found.append(
                 F.struct(
-                    F.lit(i).alias("rule"), F.lit(rule.key).alias("rule_key"), F.lit(rule.severity).alias("severity"), outcome.alias("outcome"), head.alias("head"),
-                    F.when(outcome == UNJUDGED, F.array().cast(CITES)).otherwise(self._heads(i)).alias("heads"), F.when(outcome == UNJUDGED, None).when(off, OFF).otherwise(BOUND).alias("cites"),
-                    F.when(outcome == UNJUDGED, 0).otherwise(n).cast("long").alias("n_citations"),
+                    F.lit(i).alias("rule"), F.lit(rule.key).alias("rule_key"), F.lit(rule.severity).alias("severity"), outcome.alias("outcome"), (head if words else F.lit(None).cast("string")).alias("head"),
+                    self._heads(i).alias("heads"), (number(f"n{i}_{OFF}") > 0).alias("some_off"), number(f"c{i}_{OFF}").alias("n_off"), number(f"c{i}_{BOUND}").alias("n_bound"),
                 )
             )
-        return rows.select(*ENTITY, F.explode(F.array(*found)).alias("f")).select(*ENTITY, "f.*")
+        each = rows.select(*ENTITY, F.explode(F.array(*found)).alias("f")).select(*ENTITY, "f.*")
+        open_, n = F.col("outcome") == UNJUDGED, F.size("heads") + F.when(F.col("some_off"), F.col("n_off")).otherwise(F.col("n_bound"))
+        return each.select(
+            *ENTITY, "rule", "rule_key", "severity", "outcome", "head", F.when(open_, F.array().cast(CITES)).otherwise(F.col("heads")).alias("heads"),
+            F.when(open_, None).when(F.col("some_off"), OFF).otherwise(BOUND).alias("cites"), F.when(open_, 0).otherwise(n).cast("long").alias("n_citations"),
+        )
 
     def outcomes(self) -> DataFrame:
-        return self.judged.select("rule_key", "severity", *ENTITY, "outcome", "n_citations")
+        return self._judged(words=False).select("rule_key", "severity", *ENTITY, "outcome", "n_citations")
 
     def citations(self) -> DataFrame:
         """rule (its place), rule_key, pile_id, entity_key, at (0 and up: leading facts, then one number for all others), document, char_start, char_end; each passage once."""
-        leading = self.judged.select("rule", "rule_key", *ENTITY, F.posexplode("heads").alias("at", "c")).select("rule", "rule_key", *ENTITY, "at", "c.*")
+        judged = self._judged(words=False)
+        leading = judged.select("rule", "rule_key", *ENTITY, F.posexplode("heads").alias("at", "c")).select("rule", "rule_key", *ENTITY, "at", "c.*")
         if self.evidence is None:
             return leading
-        cited = self.judged.where("cites is not null").select(F.col("rule").alias("of_rule"), "rule_key", "cites", *[F.col(k).alias(f"of_{k}") for k in ENTITY])
+        cited = judged.where("cites is not null").select(F.col("rule").alias("of_rule"), "rule_key", "cites", *[F.col(k).alias(f"of_{k}") for k in ENTITY])
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in ENTITY])
         rest = self.evidence.where("not ahead and role <> 'top'").join(cited, same & (F.col("rule") == F.col("of_rule")) & (F.col("role") == F.col("cites")))
         rest = rest.select("rule", "rule_key", *ENTITY, F.lit(len(self.checks) + 2).alias("at"), *PLACE).distinct()
@@ -305,7 +307,7 @@ class _Examined:
             said = F.struct(*PLACE, _joined(word).alias("said"))
             listed = F.array_join(F.transform(F.sort_array(F.collect_list(said)), lambda m: m["said"]), ", ")
             parts.append(self.evidence.where((F.col("role") == OFF) & F.col("rule").isin(*words)).groupBy(*ENTITY, "rule").agg(listed.alias("listed")))
-        out = self.judged.drop("n_citations")
+        out = self._judged(words=True).drop("n_citations")
         for part in parts:
             theirs = part.withColumnsRenamed({k: f"of_{k}" for k in [*ENTITY, "rule"]})
             out = out.join(theirs, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in [*ENTITY, "rule"]]), "left").drop(*[f"of_{k}" for k in [*ENTITY, "rule"]])
