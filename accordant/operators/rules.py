@@ -6,7 +6,7 @@ the shuffle, and no list of an engagement's facts is made.  Then the facts that
 weighs meet the figures of their engagement and get a role (``evidence``); the counts
 of roles settle the outcome.  ``outcomes`` has that, ``citations`` the rows that an
 outcome rests on, and ``examine`` puts both together, with the facts that are off in
-words.  Hand over a table: what is read twice should not be computed twice.
+words.  The facts are written once before, as they are read twice.
 
 Null piles and entities are groups of their own; a fact without a value is weighed by
 no rule but counts as the statement of a field that has to be present; repeated facts
@@ -228,6 +228,8 @@ class _Examined:
 
     def __init__(self, facts: DataFrame, checks: list[tuple[C.Rule, Check]], domain: C.Domain):
         self.checks, self.domain = checks, domain
+        # written first: inlined into so many aggregates, the reading of values would be planned and computed for each
+        facts = stored(facts.select(*ENTITY, "field", *PLACE, "doc_type", "rank", "value", "value_raw"))
         figures = [c.alias(f"r{i}_{n}") for i, (rule, check) in enumerate(checks) for n, c in check.gathers(rule).items()]
         self.figures = stored(facts.groupBy(*ENTITY).agg(*figures))
         self.evidence = self._evidence(facts)

@@ -256,7 +256,7 @@ present AS (
 
 @query(f"WITH {PRESENT_SQL} SELECT * FROM present")
 def r2_field_present(spark, sf_dir):
-    return _judged(E.field_present(fact_table(spark, sf_dir), _rule("liability_cap_present"), C.Domain()))
+    return _judged(E.field_present(sourced(spark, sf_dir), _rule("liability_cap_present"), C.Domain()))
 
 
 def _matches_sql(rule: str, severity: str, field: str, relative: str) -> str:
@@ -308,7 +308,7 @@ limits AS (
 
 @query(f"WITH {FACTS_SQL},{SUM_SQL} SELECT * FROM limits")
 def r4_sum_within_limit(spark, sf_dir):
-    return _judged(E.sum_within_limit(fact_table(spark, sf_dir), _rule("hours_within_sow_cap"), C.Domain()))
+    return _judged(E.sum_within_limit(sourced(spark, sf_dir), _rule("hours_within_sow_cap"), C.Domain()))
 
 
 LEAST_SQL = """
@@ -327,7 +327,7 @@ minimums AS (
 
 @query(f"WITH {FACTS_SQL},{LEAST_SQL} SELECT * FROM minimums")
 def r5_at_least(spark, sf_dir):
-    return _judged(E.at_least(fact_table(spark, sf_dir), _rule("termination_notice_observed"), C.Domain()))
+    return _judged(E.at_least(sourced(spark, sf_dir), _rule("termination_notice_observed"), C.Domain()))
 
 
 TERM_SQL = """
@@ -348,7 +348,7 @@ dated AS (
 
 @query(f"WITH {FACTS_SQL},{TERM_SQL} SELECT * FROM dated")
 def r6_date_within(spark, sf_dir):
-    return _judged(E.date_within(fact_table(spark, sf_dir), _rule("invoice_within_term"), C.Domain()))
+    return _judged(E.date_within(sourced(spark, sf_dir), _rule("invoice_within_term"), C.Domain()))
 
 
 def _sources(spark, sf_dir):
@@ -376,11 +376,11 @@ found AS (
 
 
 def _examined(spark, sf_dir):
-    return E.examine(fact_table(spark, sf_dir), _sources(spark, sf_dir))
+    return E.examine(sourced(spark, sf_dir), _sources(spark, sf_dir))
 
 
 def _outcomes(spark, sf_dir):
-    return E.outcomes(fact_table(spark, sf_dir), _sources(spark, sf_dir))
+    return E.outcomes(sourced(spark, sf_dir), _sources(spark, sf_dir))
 
 
 @query(f"WITH {ALL_SQL} SELECT rule_key, severity, pile_id, entity_key, outcome, n_citations FROM found")

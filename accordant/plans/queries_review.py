@@ -556,7 +556,7 @@ def t7_watch_report(spark, sf_dir):
 @query(f"WITH {ALL_SQL} SELECT rule_key, count(*) AS n FROM found GROUP BY ALL")
 def h5_registered_checks(spark, sf_dir):
     """A playbook run with the kinds that a user registered."""
-    return E.outcomes(fact_table(spark, sf_dir), _held(spark, sf_dir), kinds=dict(E.KINDS)).groupBy("rule_key").agg(F.count("*").alias("n"))
+    return E.outcomes(sourced(spark, sf_dir), _held(spark, sf_dir), kinds=dict(E.KINDS)).groupBy("rule_key").agg(F.count("*").alias("n"))
 
 
 def _held(spark, sf_dir):
