@@ -1,13 +1,17 @@
 """Hashed vectors of text, exact and approximate nearest neighbours.
 
-A vector is sparse: (id, bucket, weight) rows of unit length.  Similarity is an
+A vector is sparse: (id, bucket, weight) rows of unit length.  ``similar`` is an
 equi join on the bucket and a sum, so that pairs without a common bucket never
-meet; a bucket's frequency bounds its work.
+meet; it makes a row for each bucket that a pair shares.  ``best_in_blocks`` meets
+blocks of queries and of items as products of matrices and gives each query's best
+of a block, so that what is shuffled grows with the vectors and not with the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,19 +23,47 @@ from accordant import config as C
 BUCKETS, WORD_WEIGHT, GRAM_WEIGHT, GRAM = 1024, 1.5, 1.0, 3
 #: Lists of an inverted file, how many of them a query looks into, and vectors that their centres are fitted on.
 LISTS, PROBES, FIT_ROWS = 32, 4, 20_000
+#: Rows of a block on average, query rows of one product within it, and words (and trigrams) whose buckets a task remembers.
+BLOCK, TILE, WORDS = 4096, 512, 400_000
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+def spoken_texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, said: the words of an id's texts, between spaces; all of them in one row, so that what is made of it needs no shuffle of its own."""
+    plain = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+", " ")
+    return rows.select(F.col(id_col).alias("id"), plain.alias("said")).groupBy("id").agg(F.collect_list("said").alias("said"))
+
+
+def counted(said: list[str]) -> Counter[str]:
+    return Counter(w for text in said for w in text.split(" ") if w)
+
+
+def made_of(word: str) -> list[tuple[str, float]]:
+    """A word's features: itself, and its trigrams between spaces."""
+    padded = f" {word} "
+    return [("w:" + word, WORD_WEIGHT)] + [("g:" + padded[i : i + GRAM], GRAM_WEIGHT) for i in range(len(word))]
+
+
+def text_features(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, features, weights: a row a text; no row without a feature."""
+
+    @F.pandas_udf("struct<features:array<string>,weights:array<double>>")
+    def summed(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for said in texts:
+            sums: dict[str, float] = {}
+            for word, n in counted(said).items():
+                for feature, weight in made_of(word):
+                    sums[feature] = sums.get(feature, 0.0) + n * weight
+            out.append((list(sums), list(sums.values())))
+        return pd.DataFrame(out, columns=["features", "weights"])
+
+    return spoken_texts(rows, id_col, text_col).select("id", summed("said").alias("f")).select("id", "f.features", "f.weights").where(F.size("features") > 0)
 
 
 def features(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, feature, weight: whole words, and trigrams of each word between spaces."""
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(GRAM)))
-    words = rows.select(F.col(id_col).alias("id"), F.explode(words_of(F.col(text_col))).alias("w"))
-    whole = words.select("id", F.concat(F.lit("w:"), F.col("w")).alias("feature"), F.lit(WORD_WEIGHT).alias("weight"))
-    parts = words.select("id", F.explode(grams(F.col("w"))).alias("g")).select("id", F.concat(F.lit("g:"), F.col("g")).alias("feature"), F.lit(GRAM_WEIGHT).alias("weight"))
-    return whole.unionByName(parts).groupBy("id", "feature").agg(F.sum("weight").alias("weight"))
+    each = text_features(rows, id_col, text_col).select("id", F.explode(F.arrays_zip("features", "weights")).alias("e"))
+    return each.select("id", F.col("e.features").alias("feature"), F.col("e.weights").alias("weight"))
 
 
 def vectors(feats: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -44,9 +76,68 @@ def vectors(feats: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return summed.select("id", "bucket", (F.col("x") / length).alias("weight"))
 
 
+def hashed(feature: str, buckets: int) -> int:
+    """A feature's bucket, or one's complement of it where its sign is negative: as ``vectors`` has them."""
+    digest = hashlib.sha256(feature.encode()).digest()
+    bucket = int.from_bytes(digest[:4], "big") % buckets
+    return bucket if digest[4] < 128 else ~bucket
+
+
+def text_vectors(rows: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
+    """id, at, weights: what ``vectors`` gives for the features of the texts, a row a vector; no row without a bucket.
+
+    Texts are dealt by id, once; a text's words are counted and their buckets summed
+    where it lies, so that no feature is a row of a shuffle.  Sums of halves are exact
+    in any order.
+    """
+
+    @F.pandas_udf("struct<at:array<int>,weights:array<double>>")
+    def summed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        places: dict[str, int] = {}  # of trigrams, which are few
+        seen: dict[str, np.ndarray] = {}  # of the words: first its own place, then those of its trigrams
+        for texts in parts:
+            at, weights = [], []
+            for said in texts:
+                count = counted(said)
+                if len(seen) > WORDS or len(places) > WORDS:
+                    seen.clear(), places.clear()
+                for w in count:
+                    if w not in seen:
+                        (own, _), *grams = made_of(w)
+                        seen[w] = np.array([hashed(own, buckets)] + [places[g] if g in places else places.setdefault(g, hashed(g, buckets)) for g, _ in grams])
+                held = [seen[w] for w in count]
+                place = np.concatenate(held) if held else np.zeros(0, np.int64)
+                sizes = np.fromiter(map(len, held), np.int64, len(held))
+                weight = np.full(len(place), GRAM_WEIGHT)
+                weight[np.cumsum(sizes) - sizes] = WORD_WEIGHT
+                weight *= np.repeat(np.fromiter(count.values(), float, len(count)), sizes)
+                x = np.bincount(np.where(place < 0, ~place, place), np.where(place < 0, -weight, weight), buckets)
+                found = np.flatnonzero(x)
+                at.append(found.astype("int32"))
+                weights.append(x[found] / np.sqrt((x * x).sum()) if len(found) else x[found])
+            yield pd.DataFrame({"at": at, "weights": weights})
+
+    return spoken_texts(rows, id_col, text_col).select("id", summed("said").alias("v")).select("id", "v.at", "v.weights").where(F.size("at") > 0)
+
+
+def as_rows(whole: DataFrame) -> DataFrame:
+    """id, bucket, weight of vectors that are a row each."""
+    each = whole.select("id", F.explode(F.arrays_zip("at", "weights")).alias("e"))
+    return each.select("id", F.col("e.at").cast("long").alias("bucket"), F.col("e.weights").alias("weight"))
+
+
+def as_whole(vecs: DataFrame) -> DataFrame:
+    """id, at, weights of vectors that are rows of (id, bucket, weight)."""
+    each = F.sort_array(F.collect_list(F.struct(F.col("bucket").cast("int").alias("at"), "weight")))
+    return vecs.groupBy("id").agg(each.alias("e")).select("id", F.col("e.at").alias("at"), F.col("e.weight").alias("weights"))
+
+
 def with_null_vectors(rows: DataFrame, id_col: str, vecs: DataFrame) -> DataFrame:
-    """id and vector (map of bucket to weight): null for a text without features."""
-    whole = vecs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("vector"))
+    """id and vector (map of bucket to weight): null for a text without features. vecs: whole or as rows."""
+    if "at" in vecs.columns:
+        whole = vecs.select("id", F.map_from_arrays(F.col("at").cast("array<long>"), "weights").alias("vector"))
+    else:
+        whole = vecs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("vector"))
     return rows.select(F.col(id_col).alias("id")).join(whole, "id", "left")
 
 
@@ -108,20 +199,111 @@ def top_k(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, min(50, k)))
 
 
+def _matrix(block: pd.DataFrame, width: int) -> np.ndarray:
+    """A block's vectors, a row each; sparse ones as ``at`` and ``weights``, dense ones as ``v``."""
+    if "v" in block:
+        return np.stack(block["v"].to_list())
+    made = np.zeros((len(block), width))
+    made[np.repeat(np.arange(len(block)), block["at"].map(len)), np.concatenate(block["at"].to_list())] = np.concatenate(block["weights"].to_list())
+    return made
+
+
+def _in_order(q: np.ndarray, v: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Dot products of the pairs, summed from the first dimension to the last: equal for equal vectors wherever they lie."""
+    out = np.zeros(len(rows))
+    for d in range(q.shape[1]):
+        out += q[rows, d] * v[cols, d]
+    return out
+
+
+def best_in_blocks(queries: DataFrame, items: DataFrame, k: int, floor: float | None = None, places: int | None = None, cosine: bool = False, last: bool = False, apart: bool = False, width: int = BUCKETS, block: int = BLOCK) -> DataFrame:
+    """query_id, id, sim: of every block of items that a query meets its k best, which hold the k best of all.
+
+    queries: scope, query_id and a vector; items: scope, id and a vector: ``at`` and
+    ``weights``, or ``v`` (array of doubles).  A query meets the items of its scope
+    (none, if null).  Within a scope queries and items are dealt by their ids into
+    blocks of about ``block`` rows, and each pair of blocks is one product of matrices.
+    The best come by sim (to ``places`` if given, as it is else) and then by the smaller
+    id (``last``: the greater).  Similarities as they are come again, in the order of
+    the dimensions, for all that the product puts among the best.  ``cosine`` divides
+    by both lengths; ``apart`` leaves out the item with the query's id.
+    """
+
+    def dealt(rows, key, name):
+        rows = rows.where("scope IS NOT NULL")
+        held = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).alias(f"n_{name}"))
+        return rows.join(held, "scope").withColumn(name, F.pmod(F.xxhash64(key), F.col(f"n_{name}"))), held
+
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # of their own, where they come from the items
+    q, q_held = dealt(queries, "query_id", "qb")
+    v, v_held = dealt(items, "id", "vb")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = q.drop("n_qb").join(v_held, "scope").withColumn("vb", each("n_vb")).drop("n_vb")
+    v = v.drop("n_vb").join(q_held, "scope").withColumn("qb", each("n_qb")).drop("n_qb")
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *items.schema]}
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "sim": np.zeros(0)})
+        if not len(left) or not len(right):
+            return none
+        right = right.sort_values("id", ascending=not last, kind="stable")
+        b, ids = _matrix(right, width), right["id"].to_numpy()
+        lengths = np.sqrt(_in_order(b, b, np.arange(len(b)), np.arange(len(b)))) if cosine else None
+        out = []
+        for start in range(0, len(left), TILE):
+            part = left.iloc[start : start + TILE]
+            a, names = _matrix(part, width), part["query_id"].to_numpy()
+            sims = a @ b.T
+            if cosine:
+                of_query = np.sqrt(_in_order(a, a, np.arange(len(a)), np.arange(len(a))))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sims /= of_query[:, None] * lengths[None, :]
+                sims[np.isnan(sims)] = -np.inf
+            if floor is not None:
+                sims[sims < floor - 1e-9] = -np.inf
+            if apart:
+                sims[names[:, None] == ids[None, :]] = -np.inf
+            if sims.shape[1] > k:
+                least = sims.max(1) if k == 1 else np.partition(sims, sims.shape[1] - k, 1)[:, -k]
+                rows, cols = np.nonzero((sims >= least[:, None] - (1e-9 if places is None else 1.01 * 10.0**-places)) & (sims > -np.inf))
+            else:
+                rows, cols = np.nonzero(sims > -np.inf)
+            if places is None:
+                score = _in_order(a, b, rows, cols)
+                score = score / (of_query[rows] * lengths[cols]) if cosine else score
+                key = score
+            else:
+                score = sims[rows, cols]
+                key = np.floor(score * 10.0**places + 0.5)
+            order = np.lexsort((cols, -key, rows))
+            rows, cols, score = rows[order], cols[order], score[order]
+            first = np.searchsorted(rows, rows)
+            kept = np.arange(len(rows)) - first < k
+            out.append(pd.DataFrame({"query_id": names[rows[kept]], "id": ids[cols[kept]], "sim": score[kept]}))
+        return pd.concat(out) if out else none
+
+    met = q.groupBy("scope", "qb", "vb").cogroup(v.groupBy("scope", "qb", "vb"))
+    found = met.applyInPandas(best, f"query_id {types['query_id']}, id {types['id']}, sim double")
+    return found if floor is None else found.where(F.col("sim") >= floor)
+
+
 def search(queries: DataFrame, spans: DataFrame, vecs: DataFrame, k: int = 8, floor: float = C.SEARCH_FLOOR) -> DataFrame:
     """query_id, place, sim and the columns of spans: the k most similar spans of the query's own pile.
 
-    queries: pile_id, id, bucket, weight; spans: id, pile_id and whatever tells where
-    they are from; vecs: id, bucket, weight.  A span without a vector is not found, a
+    queries: pile_id, id and a vector; spans: id, pile_id and whatever tells where
+    they are from; vecs: id and a vector, as rows of bucket and weight or whole.  A span without a vector is not found, a
     query without features finds nothing; equal similarities (to six places) stand
-    by id.  The join is on (pile_id, bucket), so that piles do not meet, and the
-    texts join only those that are found.
+    by id.  Piles do not meet, and the texts join only those that are found.
     """
-    q = queries.select("pile_id", F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw"))
-    items = vecs.join(spans.select("id", "pile_id"), "id")
-    sims = q.join(items, ["pile_id", "bucket"]).groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("sim")).where(F.col("sim") >= floor)
+    k = max(1, min(50, k))
+    if "bucket" in queries.columns:
+        queries = as_whole(queries).join(queries.select("id", "pile_id").distinct(), "id")
+    vecs = as_whole(vecs) if "bucket" in vecs.columns else vecs
+    q = queries.select(F.col("pile_id").alias("scope"), F.col("id").alias("query_id"), "at", "weights")
+    items = vecs.join(spans.select("id", F.col("pile_id").alias("scope")), "id").select("scope", "id", "at", "weights")
+    sims = best_in_blocks(q, items, k, floor, places=6)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 6)), "id")
-    best = sims.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= max(1, min(50, k)))
+    best = sims.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
     return best.join(spans, "id")
 
 
@@ -144,6 +326,12 @@ def dense_similar(queries: DataFrame, items: DataFrame, vector: str = "embedding
     return out
 
 
+def dense_best(queries: DataFrame, items: DataFrame, k: int, vector: str = "embedding", apart: bool = False) -> DataFrame:
+    """query_id, id, sim: of the pairs of ``dense_similar`` those that hold each query's k best; nothing for vectors that are null or of length zero. ``apart``: without the pairs of one id."""
+    one = lambda rows, name: rows.where(F.col(vector).isNotNull()).select(F.lit(0).alias("scope"), F.col("id").alias(name), F.col(vector).cast("array<double>").alias("v"))
+    return best_in_blocks(one(queries, "query_id"), one(items, "id"), k, cosine=True, apart=apart)
+
+
 def _units(rows: DataFrame, vector: str) -> DataFrame:
     """rows with v, the vector at unit length; rows without one, or of length zero, are left out."""
     dot = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
@@ -178,22 +366,25 @@ def in_lists(rows: DataFrame, centres: list[list[float]], nearest: int = 1, vect
     return _units(rows, vector).select("id", "v", F.explode(found("v")).alias("l")).select("id", "v", "l.list", "l.near")
 
 
-def list_search(queries: DataFrame, index: DataFrame, centres: list[list[float]], probes: int, vector: str = "embedding") -> DataFrame:
-    """query_id, id, sim: each query against the rows of its ``probes`` nearest lists; the join is on the list, whose rows come from the index as they lie."""
+def list_search(queries: DataFrame, index: DataFrame, centres: list[list[float]], probes: int, vector: str = "embedding", k: int | None = None) -> DataFrame:
+    """query_id, id, sim: each query against the rows of its ``probes`` nearest lists: all pairs, or those that hold its k best, from blocks of the lists."""
+    if k:
+        q = in_lists(queries, centres, probes, vector).select(F.col("list").alias("scope"), F.col("id").alias("query_id"), "v")
+        return best_in_blocks(q, index.select(F.col("list").alias("scope"), "id", "v"), k)
     dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     q = in_lists(queries, centres, probes, vector).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("list").alias("probed"))
     return q.join(index, F.col("probed") == F.col("list")).select("query_id", "id", dot.alias("sim"))
 
 
-def approximate(items: DataFrame, queries: DataFrame, vector: str = "embedding", lists: int = LISTS, probes: int = PROBES, seed: int = 3) -> DataFrame:
-    """query_id, id, sim: neighbours out of an inverted file, ranked exactly.
+def approximate(items: DataFrame, queries: DataFrame, vector: str = "embedding", lists: int = LISTS, probes: int = PROBES, seed: int = 3, k: int | None = None) -> DataFrame:
+    """query_id, id, sim: neighbours out of an inverted file, ranked exactly; with k only those that hold each query's k best.
 
     Every vector is in the index; only the centres are fitted on a sample.  A pair
     meets once at most, in the list of the item.  How many lists must be probed for a
     recall depends on how much the vectors cluster.
     """
     centres = fit_lists(items, lists, vector, seed)
-    return list_search(queries, in_lists(items, centres, 1, vector).drop("near"), centres, probes, vector)
+    return list_search(queries, in_lists(items, centres, 1, vector).drop("near"), centres, probes, vector, k)
 
 
 def weak(queries: DataFrame, found: DataFrame, confident: float = C.CONFIDENT_MATCH) -> DataFrame:
@@ -208,6 +399,6 @@ def index_status(spans: DataFrame, vecs: DataFrame) -> DataFrame:
 
 
 def backfilled(spans: DataFrame, vecs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Vectors with those of spans that had none."""
+    """Vectors, whole or as rows, with those of spans that had none."""
     absent = spans.join(vecs.select("id").distinct(), "id", "left_anti")
-    return vecs.unionByName(vectors(features(absent, "id", text_col)))
+    return vecs.unionByName(text_vectors(absent, "id", text_col) if "at" in vecs.columns else vectors(features(absent, "id", text_col)))

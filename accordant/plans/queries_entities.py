@@ -162,19 +162,20 @@ _DOCS_V = _vectors_sql("d", "documents", "doc_id", "text")
 
 @query(f"WITH {_DOCS_V} SELECT id, count(*) AS features, round(CAST(sum(weight) AS DOUBLE), 3) AS weight FROM f_d GROUP BY ALL")
 def v1_features(spark, sf_dir):
-    return V.features(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("id").agg(F.count("*").alias("features"), F.round(F.sum("weight"), 3).alias("weight"))
+    made = V.text_features(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return made.select("id", F.size("features").cast("long").alias("features"), F.round(F.aggregate("weights", F.lit(0.0), lambda s, x: s + x), 3).alias("weight"))
 
 
 @query(f"WITH {_DOCS_V} SELECT id, bucket, round(weight, 6) AS weight FROM v_d")
 def v2_vectors(spark, sf_dir):
     """Also V4: one pass for all texts."""
-    return V.vectors(V.features(table(spark, sf_dir, "documents"), "doc_id", "text")).select("id", "bucket", F.round("weight", 6).alias("weight"))
+    return V.as_rows(V.text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")).select("id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT doc_id AS id, doc_id % 10 = 0 OR NOT regexp_matches(text, '[\\p{L}\\p{N}]') AS is_null FROM documents")
 def v3_null_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").withColumn("t", F.when(F.col("doc_id") % 10 == 0, "?! …").otherwise(F.col("text")))
-    return V.with_null_vectors(rows, "doc_id", V.vectors(V.features(rows, "doc_id", "t"))).select("id", F.col("vector").isNull().alias("is_null"))
+    return V.with_null_vectors(rows, "doc_id", V.text_vectors(rows, "doc_id", "t")).select("id", F.col("vector").isNull().alias("is_null"))
 
 
 _BENCH_V = _vectors_sql("b", "benchmark", "item_id", "text")
@@ -192,7 +193,7 @@ def v6_similarity(spark, sf_dir):
 def _spans(spark, sf_dir):
     """Documents as spans of their source's pile, with where they are from; those of one length are without a vector."""
     spans = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("pile_id"), F.format_string("f%08d", "doc_id").alias("document"), F.col("lang").alias("doc_type"), F.lit(1).alias("page_no"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
-    return spans, stored(V.vectors(V.features(spans.where("char_end % 10 <> 0"), "id", "text")))
+    return spans, stored(V.text_vectors(spans.where("char_end % 10 <> 0"), "id", "text"))
 
 
 @query(
@@ -221,41 +222,41 @@ sims AS (SELECT query_id, vec_id AS id, list_dot_product(qv, CAST(embedding AS D
 @query(f"WITH {_TOP_SQL} SELECT query_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS place FROM sims) WHERE place <= 10")
 def w7_top_k(spark, sf_dir):
     items = _embedded(spark, sf_dir)
-    return V.top_k(V.dense_similar(items.where("id % 50 = 0"), items), 10).select("query_id", "id", F.col("place").cast("long").alias("place"))
+    return V.top_k(V.dense_best(items.where("id % 50 = 0"), items, 10), 10).select("query_id", "id", F.col("place").cast("long").alias("place"))
 
 
 @query()
 def v8_approximate(spark, sf_dir):
     """The vectors of the tables are spread evenly over their sphere, so that two thirds of the lists are probed for nine tenths of the neighbours."""
     items = _embedded(spark, sf_dir)
-    return V.top_k(V.approximate(items, items.where("id % 50 = 0"), probes=22), 10).select("query_id", "id", "place")
+    return V.top_k(V.approximate(items, items.where("id % 50 = 0"), probes=22, k=10), 10).select("query_id", "id", "place")
 
 
 @query(f"WITH {_TOP_SQL} SELECT query_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS place FROM sims) WHERE place <= 10")
 def v8_all_lists(spark, sf_dir):
     """With every list probed the inverted file gives the exact neighbours: each vector is in one list."""
     items = _embedded(spark, sf_dir)
-    return V.top_k(V.approximate(items, items.where("id % 50 = 0"), probes=V.LISTS), 10).select("query_id", "id", F.col("place").cast("long").alias("place"))
+    return V.top_k(V.approximate(items, items.where("id % 50 = 0"), probes=V.LISTS, k=10), 10).select("query_id", "id", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT source AS pile_id, count(*) AS spans, count(*) FILTER (WHERE doc_id % 10 <> 0 AND regexp_matches(text, '[\\p{L}\\p{N}]')) AS embedded FROM documents GROUP BY ALL")
 def v9_index_status(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("pile_id"), "text")
-    return V.index_status(docs, V.vectors(V.features(docs.where("id % 10 <> 0"), "id", "text")))
+    return V.index_status(docs, V.text_vectors(docs.where("id % 10 <> 0"), "id", "text"))
 
 
 @query(f"WITH {_DOCS_V} SELECT id, count(*) AS buckets FROM v_d GROUP BY ALL")
 def v10_backfill(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    some = V.vectors(V.features(docs.where("id % 3 = 0"), "id", "text"))
-    return V.backfilled(docs, some).groupBy("id").agg(F.count("*").alias("buckets"))
+    some = V.text_vectors(docs.where("id % 3 = 0"), "id", "text")
+    return V.backfilled(docs, some).select("id", F.size("at").cast("long").alias("buckets"))
 
 
 @query(f"WITH {_TOP_SQL} SELECT query_id, max(sim) FILTER (WHERE id <> query_id) IS NULL OR max(sim) FILTER (WHERE id <> query_id) < 0.35 AS weak FROM sims GROUP BY ALL")
 def v12_weak_answers(spark, sf_dir):
     items = _embedded(spark, sf_dir)
     queries = items.where("id % 50 = 0")
-    return V.weak(queries, V.dense_similar(queries, items).where("query_id <> id")).select("query_id", "weak")
+    return V.weak(queries, V.dense_best(queries, items, 1, apart=True)).select("query_id", "weak")
 
 
 @query(
