@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from accordant.sources.sinks import stored
 
 
-def placed(rows: DataFrame, group: str, *order: Column, out: str = "place") -> DataFrame:
+def placed(rows: DataFrame, group: str, *order: Column, out: str = "place", written: bool = False) -> DataFrame:
     """rows with their place (from 1) within the group by the order, where one group may be most of the table.
 
-    The rows are parted by range over group and order, so that a large group lies in
+    The rows are written first unless they are (``written``), as the bounds of the ranges take them once more.  They are parted by range over group and order, so that a large group lies in
     many tasks, and written once; a row's place is its place in its task's share and
     what the tasks before hold of the group.  Those counts are a row per task and
     group.  Rows that the order does not tell apart stand in any order.  A null
     group is a group.
     """
-    share = stored(rows.repartitionByRange(F.col(group), *order).withColumn("_share", F.spark_partition_id()))
+    share = stored((rows if written else stored(rows)).repartitionByRange(F.col(group), *order).withColumn("_share", F.spark_partition_id()))
     before = Window.partitionBy(group).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
     counts = share.groupBy(group, "_share").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     counts = counts.select(F.col(group).alias("_group"), F.col("_share").alias("_of"), "_before")

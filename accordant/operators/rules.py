@@ -4,9 +4,8 @@ The rules read the facts twice.  First, one aggregation over (pile, entity) keep
 all rules together, counts, sums, extremes and the leading facts: it combines before
 the shuffle, and no list of an engagement's facts is made.  Then the facts that a rule
 weighs meet the figures of their engagement and get a role (``evidence``); the counts
-of roles settle the outcome.  ``outcomes`` has that, ``citations`` the rows that an
-outcome rests on, and ``examine`` puts both together, with the facts that are off in
-words.  The facts are written once before, as they are read twice.
+of roles settle the outcome.  ``outcomes`` has that, ``worded`` also the facts that are off in words,
+``citations`` the rows that an outcome rests on, and ``examine`` puts all together.  The facts are written once before, as they are read twice.
 
 Null piles and entities are groups of their own; a fact without a value is weighed by
 no rule but counts as the statement of a field that has to be present; repeated facts
@@ -19,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -287,9 +286,9 @@ class _Examined:
     def outcomes(self) -> DataFrame:
         return self._judged(words=False).select("rule_key", "severity", *ENTITY, "outcome", "n_citations")
 
-    def citations(self) -> DataFrame:
+    def citations(self, judged: DataFrame | None = None) -> DataFrame:
         """rule (its place), rule_key, pile_id, entity_key, at (0 and up: leading facts, then one number for all others), document, char_start, char_end; each passage once."""
-        judged = self._judged(words=False)
+        judged = self._judged(words=False) if judged is None else judged
         leading = judged.select("rule", "rule_key", *ENTITY, F.posexplode("heads").alias("at", "c")).select("rule", "rule_key", *ENTITY, "at", "c.*")
         if self.evidence is None:
             return leading
@@ -299,22 +298,33 @@ class _Examined:
         rest = rest.select("rule", "rule_key", *ENTITY, F.lit(len(self.checks) + 2).alias("at"), *PLACE).distinct()
         return leading.unionByName(rest)
 
+    def _beside(self, out: DataFrame, part: DataFrame) -> DataFrame:
+        keys = [*ENTITY, "rule"]
+        theirs = part.withColumnsRenamed({k: f"of_{k}" for k in keys})
+        return out.join(theirs, reduce(and_, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]), "left").drop(*[f"of_{k}" for k in keys])
+
+    def _with_details(self, judged: DataFrame) -> DataFrame:
+        """judged with detail: its head and, of a violation, the facts that are off."""
+        words = {i: check.off for i, (_, check) in enumerate(self.checks) if check.off}
+        if self.evidence is None or not words:
+            return judged.withColumn("detail", F.col("head"))
+        word = F.element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.col("rule"))
+        said = F.struct(*PLACE, _joined(word).alias("said"))
+        listed = F.array_join(F.transform(F.sort_array(F.collect_list(said)), lambda m: m["said"]), ", ")
+        part = self.evidence.where((F.col("role") == OFF) & F.col("rule").isin(*words)).groupBy(*ENTITY, "rule").agg(listed.alias("listed"))
+        off = F.when(F.col("outcome") == VIOLATED, F.coalesce("listed", F.lit(""))).otherwise("")
+        return self._beside(judged, part).withColumn("detail", F.concat("head", off))
+
+    def worded(self) -> DataFrame:
+        """The outcomes with their words, passages counted only."""
+        return self._with_details(self._judged(words=True)).select("rule_key", "severity", *ENTITY, "outcome", "detail", "n_citations")
+
     def findings(self) -> DataFrame:
         """The outcomes with their words and their passages, each of them in one row."""
         cites = F.transform(F.array_sort(F.collect_list(F.struct("at", *PLACE))), lambda c: F.struct(*[c[p].alias(p) for p in PLACE]))
-        parts = [self.citations().groupBy(*ENTITY, "rule").agg(cites.alias("citations"))]
-        words = {i: check.off for i, (_, check) in enumerate(self.checks) if check.off}
-        if self.evidence is not None and words:
-            word = F.element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.col("rule"))
-            said = F.struct(*PLACE, _joined(word).alias("said"))
-            listed = F.array_join(F.transform(F.sort_array(F.collect_list(said)), lambda m: m["said"]), ", ")
-            parts.append(self.evidence.where((F.col("role") == OFF) & F.col("rule").isin(*words)).groupBy(*ENTITY, "rule").agg(listed.alias("listed")))
-        out = self._judged(words=True).drop("n_citations")
-        for part in parts:
-            theirs = part.withColumnsRenamed({k: f"of_{k}" for k in [*ENTITY, "rule"]})
-            out = out.join(theirs, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in [*ENTITY, "rule"]]), "left").drop(*[f"of_{k}" for k in [*ENTITY, "rule"]])
-        off = F.when(F.col("outcome") == VIOLATED, F.coalesce("listed", F.lit(""))).otherwise("") if len(parts) > 1 else F.lit("")
-        return out.select("rule_key", "severity", *ENTITY, "outcome", F.concat("head", off).alias("detail"), F.coalesce("citations", F.array().cast(CITES)).alias("citations"))
+        judged = stored(self._judged(words=True))  # taken three times
+        out = self._beside(self._with_details(judged), self.citations(judged).groupBy(*ENTITY, "rule").agg(cites.alias("citations")))
+        return out.select("rule_key", "severity", *ENTITY, "outcome", "detail", F.coalesce("citations", F.array().cast(CITES)).alias("citations"))
 
 
 def _joined(word: Column) -> Column:
@@ -372,6 +382,12 @@ def outcomes(facts: DataFrame, documents: DataFrame | None = None, domain: C.Dom
     return _over_all(facts, documents, domain, kinds, _Examined.outcomes, _sources_outcome, counted)
 
 
+def worded(facts: DataFrame, documents: DataFrame | None = None, domain: C.Domain | None = None, kinds=None) -> DataFrame:
+    """What ``examine`` finds with the number of passages in their stead: rule_key, severity, pile_id, entity_key, outcome, detail, n_citations."""
+    counted = lambda found: found.withColumn("n_citations", F.size("citations").cast("long")).drop("citations")
+    return _over_all(facts, documents, domain, kinds, _Examined.worded, no_quarantined_sources, counted)
+
+
 def citations(facts: DataFrame, domain: C.Domain | None = None, kinds=None) -> DataFrame:
     """What the outcomes rest on as rows: rule_key, pile_id, entity_key, document, char_start, char_end."""
     domain, known = domain or C.Domain(), kinds or KINDS

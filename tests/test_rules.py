@@ -147,3 +147,23 @@ def test_one_engagement_with_most_facts(spark):
 def test_nothing(spark):
     facts = _random_facts(spark, 5, 50)
     assert L.examine(facts.where("false")).count() == L.outcomes(facts.where("false")).count() == L.citations(facts.where("false")).count() == 0
+
+
+def test_words_without_passages_are_those_of_examine(spark):
+    """Over random facts with nulls and repeats; nothing but the numbers of passages stands for them, and no plan nests them."""
+    facts = _random_facts(spark, 11)
+    key = lambda r: (r.rule_key, str(r.pile_id), str(r.entity_key))
+    got = {key(r): (r.severity, r.outcome, r.detail, r.n_citations) for r in L.worded(facts).collect()}
+    assert got and got == {key(r): (r.severity, r.outcome, r.detail, len(r.citations)) for r in L.examine(facts).collect()}
+
+
+@pytest.mark.parametrize("name", ["a16_findings_per_outcome", "w8_finding_display", "u2_finding_proposals", "u12_finding_upsert", "r3_matches_governing", "r10_finding_order"])
+def test_findings_are_not_judged_again_for_passages(spark, sf_dir, monkeypatch, name):
+    """Queries that return no passages judge each fact once and gather no passages."""
+    from accordant.plans import QUERIES
+
+    calls, judged = [], L._Examined._judged
+    monkeypatch.setattr(L._Examined, "_judged", lambda self, words: calls.append(words) or judged(self, words))
+    monkeypatch.setattr(L._Examined, "citations", lambda self, *_: pytest.fail("passages are gathered"))
+    QUERIES[name](spark, sf_dir)
+    assert len(calls) == 1
