@@ -10,11 +10,12 @@ of a block, so that what is shuffled grows with the vectors and not with the pai
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,10 @@ from accordant import config as C
 BUCKETS, WORD_WEIGHT, GRAM_WEIGHT, GRAM = 1024, 1.5, 1.0, 3
 #: Lists of an inverted file, how many of them a query looks into, and vectors that their centres are fitted on.
 LISTS, PROBES, FIT_ROWS = 32, 4, 20_000
-#: Rows of a block on average, query rows of one product within it, and words (and trigrams) whose buckets a task remembers.
+#: Rows of a block on average, query rows of one product within it, and features whose buckets a task remembers.
 BLOCK, TILE, WORDS = 4096, 512, 400_000
+#: Texts, and bytes of them, whose words are counted together, and words whose features are summed at once.
+SLICE, CHARS, SPREAD = 512, 4_000_000, 16_384
 
 
 def spoken_texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -33,31 +36,79 @@ def spoken_texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), plain.alias("said")).groupBy("id").agg(F.collect_list("said").alias("said"))
 
 
-def counted(said: list[str]) -> Counter[str]:
-    return Counter(w for text in said for w in text.split(" ") if w)
-
-
-def made_of(word: str) -> list[tuple[str, float]]:
-    """A word's features: itself, and its trigrams between spaces."""
-    padded = f" {word} "
-    return [("w:" + word, WORD_WEIGHT)] + [("g:" + padded[i : i + GRAM], GRAM_WEIGHT) for i in range(len(word))]
+def made_of(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct words: all their features; how many a word has; word by word their numbers, itself and then its trigrams between spaces, and weights."""
+    letters = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.int64)
+    middle = np.flatnonzero(letters != ord(" "))
+    keys, which = np.unique(letters[middle - 1] << 42 | letters[middle] << 21 | letters[middle + 1], return_inverse=True)
+    grams = np.stack([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    numbers = np.empty(sizes.sum(), np.int64)
+    itself = np.zeros(len(numbers), bool)
+    itself[np.cumsum(sizes) - sizes] = True
+    numbers[itself], numbers[~itself] = np.arange(len(words)), len(words) + which
+    return ["w:" + w for w in words] + ["g:" + grams[i : i + GRAM] for i in range(0, len(grams), GRAM)], sizes, numbers, np.where(itself, WORD_WEIGHT, GRAM_WEIGHT)
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of id and said in pieces of SLICE rows and CHARS bytes at most; a longer text is a piece of its own."""
+    for batch in batches:
+        said = batch.column("said")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(said.flatten()), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        ends = np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(said).to_numpy(zero_copy_only=False), dtype=np.int64))]
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, min(start + SLICE, int(np.searchsorted(ends, ends[start] + CHARS, "right")) - 1))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def spoken_words(said: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of rows of texts: for each word the row that says it and its number among the distinct words, and these."""
+    parts = pc.split_pattern(said.flatten(), " ")
+    words = parts.flatten()
+    row = pc.list_parent_indices(said).take(pc.list_parent_indices(parts))
+    held = pc.not_equal(words, "")
+    words = words.filter(held).dictionary_encode()
+    return row.filter(held).to_numpy(), words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def spread(rows: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of so many words said at once: for each of their features the row, and its place among the features of the distinct words; sizes: how many each of those has."""
+    starts = np.cumsum(sizes) - sizes
+    for at in range(0, len(words), SPREAD):
+        row, word = rows[at : at + SPREAD], words[at : at + SPREAD]
+        n = sizes[word]
+        ends = np.cumsum(n)
+        yield np.repeat(row, n), np.repeat(starts[word] - (ends - n), n) + np.arange(ends[-1])
+
+
+def as_lists(sizes: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
 
 
 def text_features(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, features, weights: a row a text; no row without a feature."""
 
-    @F.pandas_udf("struct<features:array<string>,weights:array<double>>")
-    def summed(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for said in texts:
-            sums: dict[str, float] = {}
-            for word, n in counted(said).items():
-                for feature, weight in made_of(word):
-                    sums[feature] = sums.get(feature, 0.0) + n * weight
-            out.append((list(sums), list(sums.values())))
-        return pd.DataFrame(out, columns=["features", "weights"])
-
-    return spoken_texts(rows, id_col, text_col).select("id", summed("said").alias("f")).select("id", "f.features", "f.weights").where(F.size("features") > 0)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            row, word, words = spoken_words(batch.column("said"))
+            if not words:
+                continue
+            names, sizes, numbers, weights = made_of(words)
+            parts = []
+            for r, at in spread(row, word, sizes):
+                keys, which = np.unique(r * len(names) + numbers[at], return_inverse=True)
+                parts.append((keys, np.bincount(which, weights[at])))
+            keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            sums = np.bincount(which, np.concatenate([x for _, x in parts]))
+            sizes = np.bincount(keys // len(names), minlength=batch.num_rows)
+            held = np.flatnonzero(sizes)
+            found = pa.array(names).take(pa.array(keys % len(names)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(held)), as_lists(sizes[held], found), as_lists(sizes[held], sums)], ["id", "features", "weights"])
+
+    said = spoken_texts(rows, id_col, text_col)
+    return said.mapInArrow(summed, f"id {said.schema['id'].dataType.simpleString()}, features array<string>, weights array<double>")
 
 
 def features(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,38 +137,36 @@ def hashed(feature: str, buckets: int) -> int:
 def text_vectors(rows: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
     """id, at, weights: what ``vectors`` gives for the features of the texts, a row a vector; no row without a bucket.
 
-    Texts are dealt by id, once; a text's words are counted and their buckets summed
-    where it lies, so that no feature is a row of a shuffle.  Sums of halves are exact
+    Texts are dealt by id, once; their words are counted and their buckets summed
+    where they lie, so that no feature is a row of a shuffle.  Sums of halves are exact
     in any order.
     """
 
-    @F.pandas_udf("struct<at:array<int>,weights:array<double>>")
-    def summed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        places: dict[str, int] = {}  # of trigrams, which are few
-        seen: dict[str, np.ndarray] = {}  # of the words: first its own place, then those of its trigrams
-        for texts in parts:
-            at, weights = [], []
-            for said in texts:
-                count = counted(said)
-                if len(seen) > WORDS or len(places) > WORDS:
-                    seen.clear(), places.clear()
-                for w in count:
-                    if w not in seen:
-                        (own, _), *grams = made_of(w)
-                        seen[w] = np.array([hashed(own, buckets)] + [places[g] if g in places else places.setdefault(g, hashed(g, buckets)) for g, _ in grams])
-                held = [seen[w] for w in count]
-                place = np.concatenate(held) if held else np.zeros(0, np.int64)
-                sizes = np.fromiter(map(len, held), np.int64, len(held))
-                weight = np.full(len(place), GRAM_WEIGHT)
-                weight[np.cumsum(sizes) - sizes] = WORD_WEIGHT
-                weight *= np.repeat(np.fromiter(count.values(), float, len(count)), sizes)
-                x = np.bincount(np.where(place < 0, ~place, place), np.where(place < 0, -weight, weight), buckets)
-                found = np.flatnonzero(x)
-                at.append(found.astype("int32"))
-                weights.append(x[found] / np.sqrt((x * x).sum()) if len(found) else x[found])
-            yield pd.DataFrame({"at": at, "weights": weights})
-
-    return spoken_texts(rows, id_col, text_col).select("id", summed("said").alias("v")).select("id", "v.at", "v.weights").where(F.size("at") > 0)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[str, int] = {}  # of features
+        for batch in in_slices(batches):
+            row, word, words = spoken_words(batch.column("said"))
+            if not words:
+                continue
+            names, sizes, numbers, weights = made_of(words)
+            if len(places) > WORDS:
+                places.clear()
+            place = np.array([places[f] if f in places else places.setdefault(f, hashed(f, buckets)) for f in names])
+            place = place[numbers]
+            weights, place = np.where(place < 0, -weights, weights), np.where(place < 0, ~place, place)
+            x = np.zeros(batch.num_rows * buckets)
+            for r, at in spread(row, word, sizes):
+                low, high = r[0] * buckets, (r[-1] + 1) * buckets
+                x[low:high] += np.bincount(r * buckets - low + place[at], weights[at], high - low)
+            x = x.reshape(-1, buckets)
+            r, found = np.nonzero(x)
+            sizes = np.bincount(r, minlength=len(x))
+            held = np.flatnonzero(sizes)
+            weights = x[r, found] / np.sqrt((x * x).sum(1))[r]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(held)), as_lists(sizes[held], found.astype("int32")), as_lists(sizes[held], weights)], ["id", "at", "weights"])
+
+    said = spoken_texts(rows, id_col, text_col)
+    return said.mapInArrow(summed, f"id {said.schema['id'].dataType.simpleString()}, at array<int>, weights array<double>")
 
 
 def as_rows(whole: DataFrame) -> DataFrame:

@@ -169,7 +169,9 @@ def v1_features(spark, sf_dir):
 @query(f"WITH {_DOCS_V} SELECT id, bucket, round(weight, 6) AS weight FROM v_d")
 def v2_vectors(spark, sf_dir):
     """Also V4: one pass for all texts."""
-    return V.as_rows(V.text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")).select("id", "bucket", F.round("weight", 6).alias("weight"))
+    made = V.as_rows(V.text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    millionths = F.col("weight") * 1e6  # rounded as SQL does it, half away from zero; F.round goes through decimal text, row by row
+    return made.select("id", "bucket", ((millionths + F.signum(millionths) * 0.5).cast("long") / F.lit(1e6)).alias("weight"))
 
 
 @query("SELECT doc_id AS id, doc_id % 10 = 0 OR NOT regexp_matches(text, '[\\p{L}\\p{N}]') AS is_null FROM documents")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,32 @@ def test_texts_are_shuffled_once(spark, sf_dir, name):
     assert plan.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("name", ["v1_features", "v2_vectors", "v3_null_vectors", "v9_index_status"])
+def test_texts_are_taken_apart_once(spark, sf_dir, name):
+    """A filter on what Python makes of a text must not make it a second time."""
+    from accordant.plans import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
+
+
+def test_texts_are_cut_in_slices_and_words_keep_their_rows(monkeypatch):
+    said = [["a b", " c "], [], ["long " * 30], ["Ж ß", ""], [" "], ["a"], ["a a"], ["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(said, pa.list_(pa.string()))], ["id", "said"])
+    monkeypatch.setattr(V, "SLICE", 3), monkeypatch.setattr(V, "CHARS", 10), monkeypatch.setattr(V, "SPREAD", 2)
+    found, ids = [], []
+    for piece in V.in_slices(iter([batch, batch.slice(0, 0)])):
+        rows, at, words = V.spoken_words(piece.column("said"))
+        here = piece.column("id").to_pylist()
+        ids.append(here)
+        found += [(here[r], words[w]) for r, w in zip(rows, at)]
+        if words:
+            names, sizes, numbers, weights = V.made_of(words)
+            each = [(here[r], names[numbers[p]], weights[p]) for rs, ps in V.spread(rows, at, sizes) for r, p in zip(rs, ps)]
+            assert sorted(each) == sorted((here[r], *f) for r, w in zip(rows, at) for f in [("w:" + words[w], 1.5)] + [("g:" + f" {words[w]} "[i : i + 3], 1.0) for i in range(len(words[w]))])
+    assert ids == [[0, 1], [2], [3, 4, 5], [6, 7]] and found == [(i, w) for i, texts in enumerate(said) for t in texts for w in t.split()]
+
+
 @pytest.mark.parametrize("name", ["j5_near_match", "w7_top_k", "v6_span_search", "v12_weak_answers", "v8_all_lists", "v8_approximate"])
 def test_pairs_meet_in_blocks(spark, sf_dir, name):
     """No join makes a row for each pair, or for each bucket that a pair shares."""
