@@ -1,10 +1,13 @@
 """Facts are made in one pass over the orders, and values are read by code that the virtual machine compiles."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from accordant import config as C
 from accordant.functions.normalize import ambiguous_date, duration_unit, parse_date, with_value, word_number
+from accordant.operators.reconcile import grouped
 from accordant.plans.facts import facts
 
 #: Bytes of a method from which HotSpot does not compile it.
@@ -16,6 +19,18 @@ def test_documents_meet_their_lines_once(spark, sf_dir):
     assert "Union" not in plan and plan.count("o_orderpriority") and plan.count("Relation") == 5
 
 
+def test_documents_of_groups_are_counted_in_every_part(spark):
+    """Nulls and repeats by hand; the parts are not coalesced, though they are small."""
+    draw = random.Random(5)
+    rows = [(draw.choice(["p", None]), f"e{draw.randrange(4)}", draw.choice("fg"), draw.choice([None, "a", "b", "c"])) for _ in range(300)]
+    want = {}
+    for *key, document in rows:
+        want.setdefault(tuple(key), []).append(document)
+    found = grouped(spark.createDataFrame(rows, "pile_id string, entity_key string, field string, document string"))
+    assert {tuple(r)[:3]: (r.members, r.documents) for r in found.collect()} == {k: (len(v), len({*v} - {None})) for k, v in want.items()}
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reading_a_value_is_compiled(spark):
     rows = with_value(spark.range(9).select(F.concat(F.lit("USD "), "id").alias("value_raw"), F.when(F.col("id") < 9, "money").alias("value_type")))
     plan = rows.select(F.hash("value"))._jdf.queryExecution().executedPlan()
