@@ -10,6 +10,7 @@ of a block, so that what is shuffled grows with the vectors and not with the pai
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,16 +25,20 @@ from accordant import config as C
 BUCKETS, WORD_WEIGHT, GRAM_WEIGHT, GRAM = 1024, 1.5, 1.0, 3
 #: Lists of an inverted file, how many of them a query looks into, and vectors that their centres are fitted on.
 LISTS, PROBES, FIT_ROWS = 32, 4, 20_000
-#: Rows of a block on average, query rows of one product within it, and features whose buckets a task remembers.
+#: Rows of a block on average, query rows of one product within it, and words whose buckets a task remembers.
 BLOCK, TILE, WORDS = 4096, 512, 400_000
 #: Texts, and bytes of them, whose words are counted together, and words whose features are summed at once.
 SLICE, CHARS, SPREAD = 512, 4_000_000, 16_384
 
 
+def spoken(text_col: str) -> Column:
+    """A text's words between spaces."""
+    return F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+", " ")
+
+
 def spoken_texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, said: the words of an id's texts, between spaces; all of them in one row, so that what is made of it needs no shuffle of its own."""
-    plain = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+", " ")
-    return rows.select(F.col(id_col).alias("id"), plain.alias("said")).groupBy("id").agg(F.collect_list("said").alias("said"))
+    return rows.select(F.col(id_col).alias("id"), spoken(text_col).alias("said")).groupBy("id").agg(F.collect_list("said").alias("said"))
 
 
 def made_of(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -83,8 +88,10 @@ def spread(rows: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> Iterator[t
         yield np.repeat(row, n), np.repeat(starts[word] - (ends - n), n) + np.arange(ends[-1])
 
 
-def as_lists(sizes: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
+def as_lists(sizes: np.ndarray, values: np.ndarray | pa.Array, none: np.ndarray | None = None) -> pa.ListArray:
+    """Lists of so many values each; null where ``none``."""
+    mask = None if none is None else pa.array(none)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values, mask=mask)
 
 
 def text_features(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,46 +134,93 @@ def vectors(feats: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return summed.select("id", "bucket", (F.col("x") / length).alias("weight"))
 
 
-def hashed(feature: str, buckets: int) -> int:
-    """A feature's bucket, or one's complement of it where its sign is negative: as ``vectors`` has them."""
-    digest = hashlib.sha256(feature.encode()).digest()
-    bucket = int.from_bytes(digest[:4], "big") % buckets
-    return bucket if digest[4] < 128 else ~bucket
-
-
-def text_vectors(rows: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
-    """id, at, weights: what ``vectors`` gives for the features of the texts, a row a vector; no row without a bucket.
-
-    Texts are dealt by id, once; their words are counted and their buckets summed
-    where they lie, so that no feature is a row of a shuffle.  Sums of halves are exact
-    in any order.
-    """
+def hashed(names: list[str], buckets: int) -> np.ndarray:
+    """Of each feature its bucket, or one's complement of it where its sign is negative: as ``vectors`` has them."""
+    digests = np.frombuffer(b"".join([hashlib.sha256(f.encode()).digest() for f in names]), np.uint8).reshape(-1, 32)
+    bucket = np.ascontiguousarray(digests[:, :4]).view(">u4")[:, 0].astype(np.int64) % buckets
+    return np.where(digests[:, 4] < 128, bucket, ~bucket)
+
+
+class Known:
+    """The words that a task has met: word by word how many features they have, and the buckets and signed weights of these."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.gram: dict[str, int] = {}
+        self.sizes, self.place, self.weights = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Of distinct words their places among those met; new ones are taken in, and all others forgotten before, if they or their features are too many."""
+        if len(self.number) > WORDS or len(self.gram) > WORDS or len(self.place) > 16 * WORDS:
+            self.forget()
+        at = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+        held = len(self.number)
+        absent = np.flatnonzero(at < 0)
+        if len(absent):
+            new = [words[i] for i in absent]
+            at[absent] = np.arange(held, held + len(new))
+            names, sizes, numbers, weights = made_of(new)
+            grams = names[len(new) :]
+            unseen = [g for g in grams if g not in self.gram]
+            made = hashed(names[: len(new)] + unseen, self.buckets)
+            self.gram.update(zip(unseen, made[len(new) :].tolist()))
+            place = np.append(made[: len(new)], np.array([self.gram[g] for g in grams], np.int64))[numbers]
+            self.number.update(zip(new, range(held, held + len(new))))
+            self.sizes = np.append(self.sizes, sizes)
+            self.place = np.append(self.place, np.where(place < 0, ~place, place).astype(np.int32))
+            self.weights = np.append(self.weights, np.where(place < 0, -weights, weights).astype(np.float32))
+        return at
+
+
+def summed_in(buckets: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of id and said to id, at and weights, a row a vector; for a row without a bucket null (``every``) or no row."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[str, int] = {}  # of features
+        known = Known(buckets)
         for batch in in_slices(batches):
             row, word, words = spoken_words(batch.column("said"))
-            if not words:
+            if not words and not every:
                 continue
-            names, sizes, numbers, weights = made_of(words)
-            if len(places) > WORDS:
-                places.clear()
-            place = np.array([places[f] if f in places else places.setdefault(f, hashed(f, buckets)) for f in names])
-            place = place[numbers]
-            weights, place = np.where(place < 0, -weights, weights), np.where(place < 0, ~place, place)
+            word = known.numbers(words)[word]
             x = np.zeros(batch.num_rows * buckets)
-            for r, at in spread(row, word, sizes):
+            for r, at in spread(row, word, known.sizes):
                 low, high = r[0] * buckets, (r[-1] + 1) * buckets
-                x[low:high] += np.bincount(r * buckets - low + place[at], weights[at], high - low)
+                x[low:high] += np.bincount(r * buckets - low + known.place[at], known.weights[at], high - low)
             x = x.reshape(-1, buckets)
             r, found = np.nonzero(x)
             sizes = np.bincount(r, minlength=len(x))
-            held = np.flatnonzero(sizes)
+            held = np.arange(len(x)) if every else np.flatnonzero(sizes)
             weights = x[r, found] / np.sqrt((x * x).sum(1))[r]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(held)), as_lists(sizes[held], found.astype("int32")), as_lists(sizes[held], weights)], ["id", "at", "weights"])
+            none = sizes[held] == 0
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(held)), as_lists(sizes[held], found.astype("int32"), none), as_lists(sizes[held], weights, none)], ["id", "at", "weights"])
+
+    return summed
 
+
+def text_vectors(rows: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
+    """id, at, weights: what ``vectors`` gives for the features of the texts, a row a vector; no row without a bucket.
+
+    Texts are dealt by id, once; their words are counted and their buckets summed
+    where they lie, so that no feature is a row of a shuffle.  Sums of halves are exact
+    in any order.
+    """
     said = spoken_texts(rows, id_col, text_col)
-    return said.mapInArrow(summed, f"id {said.schema['id'].dataType.simpleString()}, at array<int>, weights array<double>")
+    return said.mapInArrow(summed_in(buckets, False), f"id {said.schema['id'].dataType.simpleString()}, at array<int>, weights array<double>")
+
+
+def row_vectors(rows: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
+    """id, at, weights: the vector of each row's own text; null, never zero, for a text without features.
+
+    Rows are dealt by id and text, once, and stay rows: no vector is shuffled, and none
+    has to meet its row again.
+    """
+    dealt = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id", F.xxhash64("text"))
+    said = dealt.select("id", F.array(spoken("text")).alias("said"))
+    return said.mapInArrow(summed_in(buckets, True), f"id {said.schema['id'].dataType.simpleString()}, at array<int>, weights array<double>")
 
 
 def as_rows(whole: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def v2_vectors(spark, sf_dir):
 @query("SELECT doc_id AS id, doc_id % 10 = 0 OR NOT regexp_matches(text, '[\\p{L}\\p{N}]') AS is_null FROM documents")
 def v3_null_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").withColumn("t", F.when(F.col("doc_id") % 10 == 0, "?! …").otherwise(F.col("text")))
-    return V.with_null_vectors(rows, "doc_id", V.text_vectors(rows, "doc_id", "t")).select("id", F.col("vector").isNull().alias("is_null"))
+    return V.row_vectors(rows, "doc_id", "t").select("id", F.col("at").isNull().alias("is_null"))
 
 
 _BENCH_V = _vectors_sql("b", "benchmark", "item_id", "text")

@@ -75,6 +75,24 @@ def test_texts_are_taken_apart_once(spark, sf_dir, name):
     assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
 
 
+def test_each_row_has_its_own_vector_or_null(spark):
+    """Rows of one id and of none do not mix; the vectors are those of the texts by themselves, and null for texts without features, whatever else is in their slice."""
+    texts = ["Ab-ab acme", "?! …", None, "", "Ж ß9", "acme", " ", "Ab-ab acme"]
+    rows = spark.createDataFrame([([1, 1, 2, None][i % 4], i, t) for i, t in enumerate(texts)], "id int, n int, t string")
+    alone = {r.id: (r["at"], r.weights) for r in V.text_vectors(rows, "n", "t").collect()}
+    got = sorted(((r.id, r["at"], r.weights) for r in V.row_vectors(rows, "id", "t").collect()), key=repr)
+    assert got == sorted(((r.id, *alone.get(r.n, (None, None))) for r in rows.collect()), key=repr) and sum(a is None for _, a, _ in got) == 4
+    assert [tuple(r) for r in V.row_vectors(rows.where("n = 1"), "n", "t").collect()] == [(1, None, None)]
+
+
+def test_null_vectors_stay_with_their_rows(spark, sf_dir):
+    """Texts are shuffled once, and no vector is shuffled to meet its row."""
+    from accordant.plans import QUERIES
+
+    plan = QUERIES["v3_null_vectors"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_texts_are_cut_in_slices_and_words_keep_their_rows(monkeypatch):
     said = [["a b", " c "], [], ["long " * 30], ["Ж ß", ""], [" "], ["a"], ["a a"], ["b"]]
     batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(said, pa.list_(pa.string()))], ["id", "said"])
