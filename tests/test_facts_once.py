@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from accordant import config as C
 from accordant.functions.normalize import ambiguous_date, duration_unit, parse_date, with_value, word_number
 from accordant.operators.reconcile import grouped
-from accordant.plans.facts import facts
+from accordant.plans.facts import facts, ranked_lines
 
 #: Bytes of a method from which HotSpot does not compile it.
 HUGE = 8000
@@ -19,6 +19,16 @@ def test_documents_meet_their_lines_once(spark, sf_dir):
     assert "Union" not in plan and plan.count("o_orderpriority") and plan.count("Relation") == 5
 
 
+def test_lines_are_ranked_in_every_part(spark, sf_dir):
+    """Lines are dealt once, for ranks and for the join, in parts that are not coalesced, though they are small."""
+    made = ranked_lines(spark, sf_dir)
+    plan = facts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning(l_orderkey") == 1
+    parts = {r[0] for r in made.select(F.spark_partition_id()).distinct().collect()}
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert made.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("rn").alias("d"), F.max("rn").alias("m")).where("n <> d OR n <> m").count() == 0
+
+
 def test_documents_of_groups_are_counted_in_every_part(spark):
     """Nulls and repeats by hand; the parts are not coalesced, though they are small."""
     draw = random.Random(5)
