@@ -13,6 +13,7 @@ from accordant import config as C
 from accordant.functions.normalize import significant_tokens, slug
 from accordant.operators import vectors as V
 from accordant.operators.reports import placed
+from accordant.sources.sinks import stored
 
 
 def contained(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -39,8 +40,9 @@ def containment(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 def nearest(candidates: DataFrame, known: DataFrame, floor: float = C.NEAR_MATCH) -> DataFrame:
     """candidate_id, entity_key, sim: the most similar known name at or above the floor."""
-    whole = lambda rows, key, name: V.text_vectors(rows, key, "name").select(F.lit(0).alias("scope"), F.col("id").alias(name), "at", "weights")
-    found = V.best_in_blocks(whole(candidates, "candidate_id", "query_id"), whole(known, "entity_key", "id"), 1, floor, places=9, last=True)
+    # written once: they are counted before they are dealt
+    whole = lambda rows, key, name: stored(V.text_vectors(rows, key, "name")).select(F.lit(0).alias("scope"), F.col("id").alias(name), "at", "weights")
+    found = V.closest_in_blocks(whole(candidates, "candidate_id", "query_id"), whole(known, "entity_key", "id"), floor, places=9)
     best = found.groupBy("query_id").agg(F.max_by(F.struct("id", "sim"), F.struct(F.round("sim", 9), "id")).alias("b"))
     return best.select(F.col("query_id").alias("candidate_id"), F.col("b.id").alias("entity_key"), F.col("b.sim").alias("sim"))
 

@@ -5,6 +5,8 @@ equi join on the bucket and a sum, so that pairs without a common bucket never
 meet; it makes a row for each bucket that a pair shares.  ``best_in_blocks`` meets
 blocks of queries and of items as products of matrices and gives each query's best
 of a block, so that what is shuffled grows with the vectors and not with the pairs.
+``closest_in_blocks`` gives the one best and passes over groups of items that cannot
+hold it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ BUCKETS, WORD_WEIGHT, GRAM_WEIGHT, GRAM = 1024, 1.5, 1.0, 3
 LISTS, PROBES, FIT_ROWS = 32, 4, 20_000
 #: Rows of a block on average, query rows of one product within it, and words whose buckets a task remembers.
 BLOCK, TILE, WORDS = 4096, 512, 400_000
+#: Rows of a block of items and of queries of ``closest_in_blocks``, entries that a row has there on average at most, items of a group, queries whose bounds are held at once, those of one product, and groups of a query that are met first.
+ITEMS, ASKED, ENTRIES, GROUP, BATCH, ALIKE, TRIED = 196_608, 32_768, 32, 16, 2048, 64, 8
 #: Texts, and bytes of them, whose words are counted together, and words whose features are summed at once.
 SLICE, CHARS, SPREAD = 512, 4_000_000, 16_384
 
@@ -319,6 +323,25 @@ def _in_order(q: np.ndarray, v: np.ndarray, rows: np.ndarray, cols: np.ndarray)
     return out
 
 
+def _met(queries: DataFrame, items: DataFrame, asked: int, held: int, entries: int | None = None):
+    """Queries and items of each scope in blocks of about so many rows, by their ids, each pair of blocks a cogroup; and the types of the columns. entries: of sparse vectors, how many a row of a full block may have on average."""
+
+    def dealt(rows, key, name, block):
+        rows = rows.where("scope IS NOT NULL")
+        full = F.count("*") / block if entries is None else F.greatest(F.count("*") / block, F.sum(F.size("at")) / (block * entries))
+        n = rows.groupBy("scope").agg(F.ceil(full).alias(f"n_{name}"))
+        return rows.join(n, "scope").withColumn(name, F.pmod(F.xxhash64(key), F.col(f"n_{name}"))), n
+
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # of their own, where they come from the items
+    q, q_held = dealt(queries, "query_id", "qb", asked)
+    v, v_held = dealt(items, "id", "vb", held)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = q.drop("n_qb").join(v_held, "scope").withColumn("vb", each("n_vb")).drop("n_vb")
+    v = v.drop("n_vb").join(q_held, "scope").withColumn("qb", each("n_qb")).drop("n_qb")
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *items.schema]}
+    return q.groupBy("scope", "qb", "vb").cogroup(v.groupBy("scope", "qb", "vb")), types
+
+
 def best_in_blocks(queries: DataFrame, items: DataFrame, k: int, floor: float | None = None, places: int | None = None, cosine: bool = False, last: bool = False, apart: bool = False, width: int = BUCKETS, block: int = BLOCK) -> DataFrame:
     """query_id, id, sim: of every block of items that a query meets its k best, which hold the k best of all.
 
@@ -332,18 +355,7 @@ def best_in_blocks(queries: DataFrame, items: DataFrame, k: int, floor: float |
     by both lengths; ``apart`` leaves out the item with the query's id.
     """
 
-    def dealt(rows, key, name):
-        rows = rows.where("scope IS NOT NULL")
-        held = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).alias(f"n_{name}"))
-        return rows.join(held, "scope").withColumn(name, F.pmod(F.xxhash64(key), F.col(f"n_{name}"))), held
-
-    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # of their own, where they come from the items
-    q, q_held = dealt(queries, "query_id", "qb")
-    v, v_held = dealt(items, "id", "vb")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    q = q.drop("n_qb").join(v_held, "scope").withColumn("vb", each("n_vb")).drop("n_vb")
-    v = v.drop("n_vb").join(q_held, "scope").withColumn("qb", each("n_qb")).drop("n_qb")
-    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *items.schema]}
+    met, types = _met(queries, items, block, block)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "sim": np.zeros(0)})
@@ -385,11 +397,136 @@ def best_in_blocks(queries: DataFrame, items: DataFrame, k: int, floor: float |
             out.append(pd.DataFrame({"query_id": names[rows[kept]], "id": ids[cols[kept]], "sim": score[kept]}))
         return pd.concat(out) if out else none
 
-    met = q.groupBy("scope", "qb", "vb").cogroup(v.groupBy("scope", "qb", "vb"))
     found = met.applyInPandas(best, f"query_id {types['query_id']}, id {types['id']}, sim double")
     return found if floor is None else found.where(F.col("sim") >= floor)
 
 
+class _Sparse:
+    """A block's sparse vectors, one behind the other: where each ends, and entry by entry row, bucket and weight."""
+
+    def __init__(self, block: pd.DataFrame) -> None:
+        sizes = block["at"].map(len).to_numpy(np.int64)
+        self.ends, self.row = np.append(0, np.cumsum(sizes)), np.repeat(np.arange(len(block)), sizes)
+        self.at, self.weights = np.concatenate(block["at"].to_list()), np.concatenate(block["weights"].to_list())
+
+    def dense(self, start: int, stop: int, width: int) -> np.ndarray:
+        of = slice(self.ends[start], self.ends[stop])
+        made = np.zeros((stop - start, width))
+        made[self.row[of] - start, self.at[of]] = self.weights[of]
+        return made
+
+
+class _Groups:
+    """Items in groups of GROUP rows.
+
+    boxes: the greatest and, below, the least weight that a group has in every bucket, a
+    column a group; 0 where an item lacks the bucket and the weight would be beyond it.
+    """
+
+    def __init__(self, items: _Sparse, width: int) -> None:
+        self.items, self.n = items, len(items.ends) - 1
+        count = -(-self.n // GROUP)
+        group = items.row // GROUP
+        keys = group * width + items.at
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        cuts = np.flatnonzero(np.diff(keys, prepend=-1))
+        sizes = np.diff(cuts, append=len(keys))
+        self.has = keys[cuts] % width
+        self.starts = np.searchsorted(keys[cuts] // width, np.arange(count + 1))
+        self.local = np.empty(len(keys), np.int64)
+        self.local[order] = np.repeat(np.arange(len(cuts)), sizes)
+        self.local -= self.starts[group]
+        boxes = np.zeros((2, width, count), np.float32)
+        for box, ends in zip(boxes, (np.maximum, np.minimum)):
+            found = ends.reduceat(items.weights[order], cuts)
+            box[self.has, keys[cuts] // width] = np.where(sizes < GROUP, ends(found, 0), found)
+        self.boxes = boxes.reshape(2 * width, count)
+
+    def __getitem__(self, g: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first row of a group, its buckets, and its items over these."""
+        first, last = g * GROUP, min(self.n, (g + 1) * GROUP)
+        of = slice(self.items.ends[first], self.items.ends[last])
+        has = self.has[self.starts[g] : self.starts[g + 1]]
+        b = np.zeros((last - first, len(has)))
+        b[self.items.row[of] - first, self.local[of]] = self.items.weights[of]
+        return first, has, b
+
+
+def _closest(left: pd.DataFrame, right: pd.DataFrame, floor: float, places: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows of left that reach the floor, of right the best for each, and its similarity; and how many pairs were multiplied. right: in the order in which equal ones stand."""
+    asked, held, n = _Sparse(left), _Groups(_Sparse(right), width), len(right)
+    boxes, out, met = held.boxes, [], 0
+    least = np.floor((floor - 1e-9) * 10.0**places)
+    loose = 4 * width * 2.0**-24 * GROUP**0.5  # single precision: twice 2 * width roundings of sums of at most the square root of GROUP
+    for start in range(0, len(left), BATCH):
+        stop = min(len(left), start + BATCH)
+        a = asked.dense(start, stop, width)
+        signed = np.concatenate([np.maximum(a, 0), np.minimum(a, 0)], 1, dtype=np.float32, casting="same_kind")
+        bound = np.empty((len(a), boxes.shape[1]), np.float32)
+        for at in range(0, len(a), ALIKE):
+            part = signed[at : at + ALIKE]
+            has = np.flatnonzero(part.any(0))
+            np.matmul(part[:, has], boxes[has], out=bound[at : at + ALIKE])
+        a = np.ascontiguousarray(a.T)
+        best, key, sim = np.full(stop - start, n), np.full(stop - start, least), np.zeros(stop - start)
+
+        def meet(rows: np.ndarray, groups: np.ndarray) -> int:
+            """Queries with groups of items, group by group; a pair is left out where the query has found better since."""
+            order, pairs = np.argsort(groups, kind="stable"), 0
+            rows, groups = rows[order], groups[order]
+            cuts = np.flatnonzero(np.diff(groups, prepend=-1))
+            for cut, end in zip(cuts, np.append(cuts[1:], len(groups))):
+                g, r = groups[cut], rows[cut:end]
+                r = r[bound[r, g] >= key[r] / 10.0**places - loose]
+                if not len(r):
+                    continue
+                first, has, b = held[g]
+                sims = b @ a[has[:, None], r]
+                keys = np.floor(sims * 10.0**places + 0.5)
+                at = keys.argmax(0)
+                found = keys[at, np.arange(len(r))]
+                new = np.flatnonzero((found > key[r]) | (found == key[r]) & (first + at < best[r]))
+                pairs += sims.size
+                r, at = r[new], at[new]
+                key[r], best[r], sim[r] = found[new], first + at, sims[at, new]
+            return pairs
+
+        tried = min(TRIED, bound.shape[1])
+        first = np.argpartition(bound, -tried, 1)[:, -tried:]
+        met += meet(np.repeat(np.arange(len(first)), tried), first.ravel())
+        more = bound >= (key / 10.0**places - loose)[:, None]
+        more[np.arange(len(first))[:, None], first] = False
+        met += meet(*np.divmod(np.flatnonzero(more), more.shape[1]))
+        rows = np.flatnonzero((best < n) & (sim >= floor - 1e-9))
+        out.append((start + rows, best[rows], sim[rows]))
+    return *(np.concatenate(x) for x in zip(*out)), met
+
+
+def closest_in_blocks(queries: DataFrame, items: DataFrame, floor: float, places: int, width: int = BUCKETS) -> DataFrame:
+    """query_id, id, sim: what ``best_in_blocks`` gives with k = 1 and ``last``, for sparse vectors of unit length and a floor above 0.
+
+    Queries and items of a block are taken in the order of their ids, so that names with
+    alike ids are together.  For every group the greatest and the least weight in each bucket
+    bound what a query may have in common with any of its items: products of
+    matrices, in single precision.  A query meets the groups of its
+    greatest bounds first, and then only those whose bound reaches the best that it
+    has found; every similarity that counts is taken in double precision.  Of equal
+    vectors only the one of the greatest id is met.
+    """
+    met, types = _met(queries, items, ASKED, ITEMS, ENTRIES)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "sim": np.zeros(0)})
+        left, right = left.sort_values("query_id", kind="stable"), right.sort_values("id", ascending=False, kind="stable")
+        right = right[~pd.Series([(a.tobytes(), w.tobytes()) for a, w in zip(right["at"], right["weights"])], right.index).duplicated()]
+        rows, cols, sims, _ = _closest(left, right, floor, places, width)
+        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "id": right["id"].to_numpy()[cols], "sim": sims})
+
+    return met.applyInPandas(best, f"query_id {types['query_id']}, id {types['id']}, sim double").where(F.col("sim") >= floor)
+
+
 def search(queries: DataFrame, spans: DataFrame, vecs: DataFrame, k: int = 8, floor: float = C.SEARCH_FLOOR) -> DataFrame:
     """query_id, place, sim and the columns of spans: the k most similar spans of the query's own pile.
 

@@ -117,3 +117,31 @@ def test_pairs_meet_in_blocks(spark, sf_dir, name):
 
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "zip_with" not in plan and "(bucket" not in plan
+
+
+@pytest.mark.parametrize("digits", [True, False])
+def test_closest_by_brute_force(monkeypatch, digits):
+    """Numbered names, which are alike in most of their trigrams, and names of any sort, with copies: the best of the greatest place, and few of the pairs are multiplied."""
+    import pandas as pd
+
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choices("abcdefgh", k=draw.randrange(3, 8)))
+    names = [f"supplier {n:09}" if digits else f"{word()} {word()}" for n in range(3000)]
+    names += names[::50]
+    asked = [draw.choice([f"the {s} group inc", s, s.replace("pp", "p") + "x", f"{s} and supplier 000000003", "wholly other firm", s[::-1]]) for s in draw.sample(names, 400)]
+
+    def made(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([[t] for t in texts], pa.list_(pa.string()))], ["id", "said"])
+        return pd.concat([b.to_pandas() for b in V.summed_in(V.BUCKETS, False)(iter([batch]))], ignore_index=True)
+
+    left, right = made(asked), made(names)
+    monkeypatch.setattr(V, "BATCH", 150), monkeypatch.setattr(V, "ALIKE", 40)
+    rows, cols, sims, met = V._closest(left, right, 0.55, 9, V.BUCKETS)
+    every = V._matrix(left, V.BUCKETS) @ V._matrix(right, V.BUCKETS).T
+    keys = np.floor(every * 1e9 + 0.5)
+    want = {i: int(keys[i].argmax()) for i in range(len(left)) if every[i].max() >= 0.55}
+    assert dict(zip(rows.tolist(), cols.tolist())) == want and 150 < len(want) < 400
+    assert all(s == pytest.approx(every[i, j], abs=1e-12) for i, j, s in zip(rows, cols, sims))
+    assert met < 0.25 * every.size
+    assert len(V._closest(left, right[:1], 0.55, 9, V.BUCKETS)[0]) < 400
+    assert [tuple(map(len, V._closest(made(["zzzz qqqq"]), right, 0.55, 9, V.BUCKETS)[:3]))] == [(0, 0, 0)]
